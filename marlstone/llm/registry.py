@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, token_binary, url_filter
+from . import decontaminate, mixing, simhash, token_binary, url_filter, winnow
 
 QUERIES = {
+    "op1_winnowing": winnow.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_source_mixing": mixing.query,
     "op5_token_binary": token_binary.query,
+    "op7_benchmark_decontamination": decontaminate.query,
     "op10_url_filter": url_filter.query,
 }
 ORACLES = {
