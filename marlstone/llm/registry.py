@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, simhash, token_binary, url_filter, winnow
+from . import decontaminate, mixing, pii, simhash, token_binary, url_filter, winnow
 
 QUERIES = {
     "op1_winnowing": winnow.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_source_mixing": mixing.query,
     "op5_token_binary": token_binary.query,
     "op7_benchmark_decontamination": decontaminate.query,
+    "op8_personal_data": pii.query,
     "op10_url_filter": url_filter.query,
 }
 ORACLES = {

@@ -47,11 +47,15 @@ def _hashes(units: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: gram(i) + (F.lit(_LOW) - i))
 
 
+def _with_later(step: int):
+    """Each element or the one step further on, whichever is less."""
+    return lambda a: F.transform(a, lambda x, i: F.least(x, F.get(a, i + step)))
+
+
 def _minima(h: Column, window: int) -> Column:
     span = 1
     while span < window:
-        step = span
-        h = F.transform(F.array(h), lambda a, step=step: F.transform(a, lambda x, i: F.least(x, F.get(a, i + step))))[0]
+        h = F.transform(F.array(h), _with_later(span))[0]
         span *= 2
     size = window - 1
 
