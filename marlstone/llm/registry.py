@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, simhash, token_binary, url_filter, winnow
+from . import decontaminate, mixing, pii, simhash, substring_words, token_binary, url_filter, winnow
 
 QUERIES = {
     "op1_winnowing": winnow.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_source_mixing": mixing.query,
+    "op4_substring_dedup": substring_words.query,
     "op5_token_binary": token_binary.query,
     "op7_benchmark_decontamination": decontaminate.query,
     "op8_personal_data": pii.query,
