@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, simhash, substring_words, token_binary, url_filter, winnow
+from . import decontaminate, mixing, pii, simhash, substring_bytes, substring_words, token_binary, url_filter, winnow
 
 QUERIES = {
     "op1_winnowing": winnow.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_binary": token_binary.query,
     "op7_benchmark_decontamination": decontaminate.query,
     "op8_personal_data": pii.query,
+    "op9_suffix_array_dedup": substring_bytes.query,
     "op10_url_filter": url_filter.query,
 }
 ORACLES = {
