@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, simhash, substring_bytes, substring_words, token_binary, url_filter, winnow
+import corpus_pipeline
+
+from . import decontaminate, mixing, pii, quality, simhash, substring_bytes, substring_words, token_binary, url_filter, winnow
 
 QUERIES = {
     "op1_winnowing": winnow.query,
@@ -10,10 +12,12 @@ QUERIES = {
     "op3_source_mixing": mixing.query,
     "op4_substring_dedup": substring_words.query,
     "op5_token_binary": token_binary.query,
+    "op6_quality_classifier": quality.query,
     "op7_benchmark_decontamination": decontaminate.query,
     "op8_personal_data": pii.query,
     "op9_suffix_array_dedup": substring_bytes.query,
     "op10_url_filter": url_filter.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op3_source_mixing": mixing.ORACLE,
