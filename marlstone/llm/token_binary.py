@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,41 +122,74 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE of the tokenizers library, with a bounded memory of words.
+    """Ids of texts by a byte-level BPE of the tokenizers library, with a bounded memory of words and pre-tokens.
 
     Byte-level BPE never merges across pre-tokens. A text in which no space meets other white space, and whose
     letters have been letters in every Unicode version, splits into pre-tokens within its space-separated
-    words, so the library sees each distinct word once; any other text goes to the library whole.
+    words, so the library's model sees each distinct pre-token once; any other text goes to the library whole.
     """
 
-    #: Printable ASCII, line feed, and Latin letters and signs from U+00A1 to U+017F.
-    odd = re.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-ſ]| [ \n]| $|<\|")
+    #: What isn't printable ASCII, line feed, or a Latin letter or sign from U+00A1 to U+017F.
+    odd = re.compile(r"[^\n -~\xa1-\xac\xae-\u017f]")
+    #: Pre-tokens of byte-level BPE within those characters.
+    parts = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zªµºÀ-ÖØ-öø-\u017f]+| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-\u017f0-9²³¹¼½¾]+|\s+(?!\S)|\s+")
+    kept: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most_words: int = 250_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_file(path), most_words
-        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.tokenize = self.model.model.tokenize
+        #: The characters that stand for bytes: printable ones for themselves, the others from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte_signs = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """This process's encoder, which keeps its words from task to task."""
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def part(self, p: str) -> bytes:
+        if len(self.known) > self.most:
+            self.known.clear()
+        signs = p.encode().decode("latin-1").translate(self.byte_signs)
+        ids = self.known[p] = array("I", [t.id for t in self.tokenize(signs)]).tobytes()
+        return ids
+
+    def word(self, w: str) -> bytes:
+        known = self.known
+        return b"".join([known[p] if p in known else self.part(p) for p in self.parts.findall(w)])
+
+    def is_odd(self, t: str) -> bool:
+        return "  " in t or " \n" in t or t.endswith(" ") or "<|" in t or bool(self.odd.search(t))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.odd.search(t)]
-        for i, ids in zip(odd, self.plain([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        whole = set(odd)
-        first, later = self.words
-        split = [(i, t.split(" ")) for i, t in enumerate(texts) if i not in whole]
-        if len(first) + len(later) > self.most:
-            first.clear()
-            later.clear()
-        for known, words, lead in ((first, {w[0] for _, w in split if w[0] not in first}, ""), (later, {x for _, w in split for x in w[1:] if x not in later}, " ")):
-            new = sorted(words)
-            known.update(zip(new, self.plain([lead + x for x in new]), strict=True))
-        for i, w in split:
+        strange = []
+        first, later = self.first, self.later
+        for i, t in enumerate(texts):
+            if self.is_odd(t):
+                strange.append(i)
+                continue
+            if len(first) + len(later) > self.most:
+                first.clear()
+                later.clear()
+            w = t.split(" ")
+            for x in set(w[1:]).difference(later):
+                later[x] = self.word(" " + x)
+            if w[0] not in first:
+                first[w[0]] = self.word(w[0])
             out[i] = first[w[0]] + b"".join(map(later.__getitem__, w[1:]))
+        for i, ids in zip(strange, self.plain([texts[i] for i in strange]), strict=True):
+            out[i] = ids
         return out
 
 
@@ -235,13 +269,13 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
         fs, root = _open(folder)
         fs.create_dir(root)
         name, own = f"{root}/shard-{shard:06d}.s8b", f"{root}/.{shard:06d}-{TaskContext.get().taskAttemptId()}"
-        encoder, end, tokens = Encoder(tokenizer), np.array([end_id], np.uint64), 0
+        encoder, end, tokens = Encoder.of(tokenizer), np.array([end_id], np.uint64), 0
         with fs.open_output_stream(own) as out:
             writer = ShardWriter(out)
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1)
-                for k in range(0, len(texts), 256):
-                    for doc, raw in zip(ids[k : k + 256], encoder.encode(texts.slice(k, 256).to_pylist()), strict=True):
+                for k in range(0, len(texts), 64):
+                    for doc, raw in zip(ids[k : k + 64], encoder.encode(texts.slice(k, 64).to_pylist()), strict=True):
                         got = np.concatenate([np.frombuffer(raw, "<u4").astype(np.uint64), end])
                         writer.add(NULL_ID if doc is None else doc, got)
                         tokens += len(got)
