@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import blank_null, materialize
 
 #: Bits of a key, of its bucket, and bytes that hold the rest.
-KEY_BITS, BUCKET_BITS = 56, 10
+KEY_BITS, BUCKET_BITS = 50, 10
 REST_BYTES = -(-(KEY_BITS - BUCKET_BITS) // 8)
 CHUNK_ANCHORS = 1_000_000
 PIECE_BYTES = 2_000_000
@@ -89,12 +89,8 @@ def _from_planes(b: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-SCHEMA = "kind int, bucket int, keys binary, docs binary, doc_id long, repeated array<long>, n long, t1 long, t2 long, kept_sha256 string"
-_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("doc_id", pa.int64()), ("repeated", pa.list_(pa.int64())), ("n", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("kept_sha256", pa.string())])
-
-
-def _batch(size: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in _ARROW], schema=_ARROW)
+_PACKED = "bucket int, known boolean, keys binary, docs binary"
+_INFO = "doc_id long, n long, t1 long, t2 long, kept_sha256 string"
 
 
 def by_doc(docs: np.ndarray, keys: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -105,39 +101,51 @@ def by_doc(docs: np.ndarray, keys: np.ndarray) -> tuple[pa.Array, pa.Array]:
 
 
 def pack(keys: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows for a chunk's anchors: kind 1 for keys that several of its documents have, kind 0 by bucket."""
+    """Rows of a chunk's anchors by bucket: each key once, and once more, as known, with every document of several."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
     keys, docs = keys[new], docs[new]
     first = np.concatenate([[True], keys[1:] != keys[:-1]])
     last = np.concatenate([first[1:], [True]])
-    many = ~(first & last)
-    if many.any():
-        ids, lists = by_doc(docs[many], keys[many])
-        yield _batch(len(ids), kind=pa.array([1] * len(ids), pa.int32()), doc_id=ids, repeated=lists)
-    keys, docs = keys[first], docs[first]
-    bucket = (keys >> U(KEY_BITS - BUCKET_BITS)).astype(np.int64)
-    cut = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1)).tolist()
-    full = [b for b in range(1 << BUCKET_BITS) if cut[b] < cut[b + 1]]
-    yield _batch(len(full), kind=pa.array([0] * len(full), pa.int32()), bucket=pa.array(full, pa.int32()), keys=pa.array([_planes(keys[cut[b] : cut[b + 1]], REST_BYTES) for b in full]), docs=pa.array([_planes(docs[cut[b] : cut[b + 1]].view(U), 8) for b in full]))
+    for known, fit in ((True, ~(first & last)), (False, first)):
+        k, d = keys[fit], docs[fit]
+        cut = np.searchsorted((k >> U(KEY_BITS - BUCKET_BITS)).astype(np.int64), np.arange((1 << BUCKET_BITS) + 1)).tolist()
+        full = [b for b in range(1 << BUCKET_BITS) if cut[b] < cut[b + 1]]
+        if full:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int32()), pa.array([known] * len(full)), pa.array([_planes(k[cut[b] : cut[b + 1]], REST_BYTES) for b in full]), pa.array([_planes(d[cut[b] : cut[b + 1]].view(U), 8) for b in full])],
+                ["bucket", "known", "keys", "docs"],
+            )
 
 
-def scan(docs: DataFrame, units: Callable[[bytes], int], content: Callable[[bytes], bytes], anchors: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """One pass: kind 2 rows with a document's size, name and hash; kinds 0 and 1 as pack() gives.
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank_null().alias("text")).where("doc_id is not null")
 
-    anchors(texts) gives keys and the texts' numbers.
-    """
+
+def described(docs: DataFrame, units: Callable[[bytes], int], content: Callable[[bytes], bytes]) -> DataFrame:
+    """doc_id, n (units), t1 and t2 (128-bit name of the content), kept_sha256 (of the whole content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), 512):
+                texts = [content(t) for t in b.column(1).slice(lo, 512).cast(pa.binary()).to_pylist()]
+                names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 512), pa.array([units(t) for t in texts], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], ["doc_id", "n", "t1", "t2", "kept_sha256"])
+
+    return _rows(docs).mapInArrow(run, _INFO)
+
+
+def packed(docs: DataFrame, content: Callable[[bytes], bytes], anchors: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """All anchors, as pack() gives them. anchors(texts) gives keys and the texts' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         many = 0
         for b in batches:
-            ids, size = b.column(0).to_numpy(), len(b)
-            for lo in range(0, size, 512):
+            ids = b.column(0).to_numpy()
+            for lo in range(0, len(b), 512):
                 texts = [content(t) for t in b.column(1).slice(lo, 512).cast(pa.binary()).to_pylist()]
-                names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts), "<i8").reshape(-1, 2)
-                yield _batch(len(texts), kind=pa.array([2] * len(texts), pa.int32()), doc_id=pa.array(ids[lo : lo + 512]), n=pa.array([units(t) for t in texts], pa.int64()), t1=pa.array(names[:, 0]), t2=pa.array(names[:, 1]), kept_sha256=pa.array([hashlib.sha256(t).hexdigest() for t in texts]))
                 for x, y in pieces(texts):
                     keys, which = anchors(texts[x:y])
                     held.append((keys, ids[lo + x : lo + y][which]))
@@ -148,39 +156,40 @@ def scan(docs: DataFrame, units: Callable[[bytes], int], content: Callable[[byte
         if many:
             yield from pack(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank_null().alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, SCHEMA)
+    return _rows(docs).mapInArrow(run, _PACKED)
 
 
-def repeated(scanned: DataFrame) -> DataFrame:
-    """(doc_id, keys): each document's keys that other documents have too."""
+def repeated(anchors: DataFrame) -> DataFrame:
+    """(doc_id, keys): each document's keys that other documents have too. anchors: packed()."""
 
     def meet(t: pa.Table) -> pa.Table:
         top = U(t.column("bucket")[0].as_py()) << U(KEY_BITS - BUCKET_BITS)
         keys = np.concatenate([_from_planes(x, REST_BYTES) for x in t.column("keys").to_pylist()]) | top
         docs = np.concatenate([_from_planes(x, 8) for x in t.column("docs").to_pylist()]).view(np.int64)
+        known = np.repeat(t.column("known").to_numpy(), [len(x) // REST_BYTES for x in t.column("keys").to_pylist()])
+        told = keys[known], docs[known]
+        keys, docs = keys[~known], docs[~known]
         order = np.argsort(keys, kind="stable")
         keys, docs = keys[order], docs[order]
         same = keys[1:] == keys[:-1]
         many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        ids, lists = by_doc(docs[many], keys[many])
+        ids, lists = by_doc(np.concatenate([told[1], docs[many]]), np.concatenate([told[0], keys[many]]))
         return pa.table({"doc_id": ids.cast(pa.int64()), "repeated": lists})
 
-    across = scanned.where("kind = 0").select("bucket", "keys", "docs").groupBy("bucket").applyInArrow(meet, "doc_id long, repeated array<long>")
-    return across.union(scanned.where("kind = 1").select("doc_id", "repeated")).groupBy("doc_id").agg(F.flatten(F.collect_list("repeated")).alias("keys"))
+    found = anchors.groupBy("bucket").applyInArrow(meet, "doc_id long, repeated array<long>")
+    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("repeated")).alias("keys"))
 
 
-def suspects(docs: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, texts).
+def suspects(docs: DataFrame, info: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, texts) from described() and packed().
 
     documents: doc_id, n, t1, t2, kept_sha256, first_id (least doc_id with the same text). texts: doc_id, t1,
     text, keys of the first of each text that has repeated keys, written to the shared folder.
     """
-    info = scanned.where("kind = 2").select("doc_id", "n", "t1", "t2", "kept_sha256")
     groups = info.groupBy(F.col("t1").alias("g1"), F.col("t2").alias("g2")).agg(F.min("doc_id").alias("first_id"))
     documents = info.join(groups, (F.col("t1") == F.col("g1")) & (F.col("t2") == F.col("g2"))).drop("g1", "g2")
     firsts = documents.where("doc_id = first_id").select(F.col("doc_id").alias("d"), "t1").distinct()
-    todo = materialize(repeated(scanned).join(firsts, F.col("doc_id") == F.col("d")).select("d", "t1", "keys"))
+    todo = materialize(repeated(anchors).join(firsts, F.col("doc_id") == F.col("d")).select("d", "t1", "keys"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank_null().alias("text"))
     if todo.count() <= BROADCAST_IDS:  # spares the other texts the shuffle
         rows = rows.join(F.broadcast(todo.select(F.col("d").alias("id")).distinct()), F.col("doc_id") == F.col("id"), "left_semi")

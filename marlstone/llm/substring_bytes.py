@@ -1,8 +1,8 @@
 """Substring dedup over bytes by external induced sorting of suffixes.
 
-A window of 50 bytes picks an anchor, the 24-gram in it with the least hash; windows whose anchor other documents have
+A window of 50 bytes picks an anchor, the 32-gram in it with the least hash; windows whose anchor other documents have
 too (see repeats) are cut out with their neighbours as contexts: all windows in a row with one anchor, which is at
-most 76 bytes. Equal windows have equal anchors, so contexts are dealt to shards by anchor. Equal contexts count once,
+most 68 bytes. Equal windows have equal anchors, so contexts are dealt to shards by anchor. Equal contexts count once,
 with the least doc_id. Each shard concatenates its contexts, sorts all suffixes by external induced sorting
 (see induced), and walks the suffix array: suffixes whose common prefixes reach 50 bytes are equal windows,
 whose least doc_id is their first. Queues that outgrow memory go to the shared folder.
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, parallelism, shared_dir, table
 from .induced import Queues, sorted_suffixes
-from .repeats import KEY_BITS, U, joined, least_in, mix, name_of, pieces, scan, suspects
+from .repeats import KEY_BITS, U, described, joined, least_in, mix, name_of, packed, pieces, suspects
 
 WINDOW = 50
-GRAM = 24
+GRAM = 32
 #: Bytes of contexts that a shard gets on average, and entries that its queues keep in memory.
 SHARD_BYTES = 8_000_000
 QUEUE_ENTRIES = 8_000_000
@@ -46,7 +46,7 @@ def grams(data: bytes) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, U)
     eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).astype(U)
-    return joined(joined(eight[:n], eight[8 : 8 + n]), eight[16 : 16 + n], 5)
+    return joined(joined(eight[:n], eight[8 : 8 + n]), joined(eight[16 : 16 + n], eight[24 : 24 + n]), 5)
 
 
 def window_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -217,17 +217,17 @@ def repeated_windows(texts: DataFrame, shard_bytes: int = SHARD_BYTES, queue_ent
     early = dealt.mapInArrow(_sorter(shared_dir(spark), queue_entries), "c1 long, c2 long, offset int").distinct()
     copied = distinct.where("least < most").select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("key").alias("k"), "least")
     same = (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))
-    whole = occurrences.join(copied, same & (F.col("key") == F.col("k"))).where("doc_id > least").select("doc_id", "t1", F.col("at").alias("first"), (F.length("context") - WINDOW + 1).cast("long").alias("many"))
+    sized = occurrences.select("key", "c1", "c2", "doc_id", "t1", "at", (F.length("context") - WINDOW + 1).cast("long").alias("many"))
+    whole = sized.join(copied, same & (F.col("key") == F.col("k"))).where("doc_id > least").select("doc_id", "t1", F.col("at").alias("first"), "many")
     firsts = distinct.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "least", "key")
     marked = early.join(firsts, same).select("d1", "d2", "key", "least", "offset")
-    part = occurrences.drop("context").withColumnRenamed("key", "k").join(marked, same & (F.col("k") == F.col("key")) & (F.col("doc_id") == F.col("least"))).select("doc_id", "t1", (F.col("at") + F.col("offset")).alias("first"), F.lit(1).cast("long").alias("many"))
+    part = sized.drop("many").withColumnRenamed("key", "k").join(marked, same & (F.col("k") == F.col("key")) & (F.col("doc_id") == F.col("least"))).select("doc_id", "t1", (F.col("at") + F.col("offset")).alias("first"), F.lit(1).cast("long").alias("many"))
     return whole.union(part)
 
 
 def dedup(docs: DataFrame, shard_bytes: int = SHARD_BYTES, queue_entries: int = QUEUE_ENTRIES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    scanned = materialize(scan(docs, len, lambda t: t, anchors))
-    documents, texts = suspects(docs, scanned)
+    documents, texts = suspects(docs, materialize(described(docs, len, bytes)), packed(docs, bytes, anchors))
     found = repeated_windows(texts, shard_bytes, queue_entries).groupBy(F.col("doc_id").alias("d"), F.col("t1").alias("t")).agg(F.collect_list(F.struct("first", "many")).alias("spans"))
     cut = texts.join(found, (F.col("doc_id") == F.col("d")) & (F.col("t1") == F.col("t"))).select("doc_id", "t1", "text", "spans").mapInArrow(_cut, "doc_id long, t1 long, n_removed long, n_spans long, kept_sha256 string")
     cut = cut.distinct().select(F.col("doc_id").alias("d"), F.col("t1").alias("t"), "n_removed", "n_spans", F.col("kept_sha256").alias("cut_sha256"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .repeats import KEY_BITS, U, joined, least_in, mix, name_of, pieces, scan, spans, suspects
+from .repeats import KEY_BITS, U, described, joined, least_in, mix, name_of, packed, pieces, spans, suspects
 
 WINDOW = 50
 #: A window's anchor starts at one of the words FIRST to LAST of it; the key names BEFORE words before it and AFTER from it on.
@@ -178,8 +178,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    scanned = materialize(scan(docs, _count, _content, anchors))
-    documents, texts = suspects(docs, scanned)
+    documents, texts = suspects(docs, materialize(described(docs, _count, _content)), packed(docs, _content, anchors))
     found = repeated_windows(texts).groupBy(F.col("doc_id").alias("d"), F.col("t1").alias("t")).agg(F.collect_list("at").alias("at"))
     cut = texts.join(found, (F.col("doc_id") == F.col("d")) & (F.col("t1") == F.col("t"))).select("doc_id", "t1", "text", "at").mapInArrow(_cut, "doc_id long, t1 long, n_removed long, kept_sha256 string")
     cut = cut.distinct().select(F.col("doc_id").alias("d"), F.col("t1").alias("t"), "n_removed", F.col("kept_sha256").alias("cut_sha256"))
