@@ -3,7 +3,8 @@
 A window of 50 bytes picks an anchor, the 32-gram in it with the least hash; windows whose anchor other documents have
 too (see repeats) are cut out with their neighbours as contexts: all windows in a row with one anchor, which is at
 most 68 bytes. Equal windows have equal anchors, so contexts are dealt to shards by anchor. Equal contexts count once,
-with the least doc_id. Each shard concatenates its contexts, sorts all suffixes by external induced sorting
+with the least doc_id; within a piece of the scan already, so a passage of many documents costs a shard one
+row for each piece. Each shard concatenates its contexts, sorts all suffixes by external induced sorting
 (see induced), and walks the suffix array: suffixes whose common prefixes reach 50 bytes are equal windows,
 whose least doc_id is their first. Queues that outgrow memory go to the shared folder.
 
@@ -75,7 +76,11 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, c1, c2, context, doc_id, t1, at) of windows in a row with one repeated anchor."""
+    """(key, c1, c2, context, doc_id, t1, at, many) of windows in a row with one repeated anchor.
+
+    In a piece of texts each context is open once, for its least document; for the others c1 is null, they are
+    settled, as a smaller document has the same windows.
+    """
     for b in batches:
         ids, names, every = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.binary()).to_pylist()
         for x, y in pieces(every):
@@ -98,7 +103,18 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = begin[hits] - starts[doc[hits]]
             cut = [texts[d][p : p + m] for d, p, m in zip(doc[hits].tolist(), at.tolist(), (end - begin)[hits].tolist(), strict=True)]
             named = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, cut)), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(key[hits].astype(np.int64)), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(cut, pa.binary()), pa.array(ids[x:y][doc[hits]]), pa.array(names[x:y][doc[hits]]), pa.array(at)], ["key", "c1", "c2", "context", "doc_id", "t1", "at"])
+            owner, many, key = ids[x:y][doc[hits]], (end - begin)[hits] - WINDOW + 1, key[hits].astype(np.int64)
+            order = np.lexsort((at, owner, named[:, 1], named[:, 0]))
+            first = np.concatenate([[True], (named[order[1:]] != named[order[:-1]]).any(axis=1)])
+            least = owner[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+            settled = np.zeros(len(order), bool)
+            settled[order] = owner[order] > least
+            key[settled] = owner[settled]
+            fill = [None if z else c for z, c in zip(settled.tolist(), cut, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(named[:, 0], mask=settled), pa.array(named[:, 1], mask=settled), pa.array(fill, pa.binary()), pa.array(owner), pa.array(names[x:y][doc[hits]]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32))],
+                ["key", "c1", "c2", "context", "doc_id", "t1", "at", "many"],
+            )
 
 
 def _saver(folder: str) -> Callable:
@@ -162,24 +178,47 @@ def first_windows(contexts: list[bytes], least: np.ndarray, queues: Callable[[],
 
 
 def _sorter(folder: str, limit: int) -> Callable:
+    def ranges(doc: np.ndarray, name: np.ndarray, first: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(name), pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32))], ["doc_id", "t1", "first", "many"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, texts, least = [], [], []
+        held, texts, number = [], [], {}
         for b in batches:
-            names.append(np.column_stack([b.column(k).to_numpy() for k in (0, 1)]))
-            least.append(b.column(3).to_numpy())
-            texts += b.column(2).to_pylist()
-        if len(texts) < 2:
+            settled = np.array(b.column(0).is_null())
+            doc, name, at, many = (b.column(k).to_numpy() for k in (3, 4, 5, 6))
+            if settled.any():
+                yield ranges(doc[settled], name[settled], at[settled], many[settled])
+            open_ = np.flatnonzero(~settled)
+            if len(open_):
+                which = np.empty(len(open_), np.int64)
+                for k, (i, c1, c2) in enumerate(zip(open_.tolist(), b.column(0).take(pa.array(open_)).to_pylist(), b.column(1).take(pa.array(open_)).to_pylist(), strict=True)):
+                    which[k] = number.setdefault((c1, c2), len(texts))
+                    if which[k] == len(texts):
+                        texts.append(b.column(2)[i].as_py())
+                held.append((which, doc[open_], name[open_], at[open_], many[open_]))
+        if not texts:
             return
-        name, low = np.concatenate(names), np.concatenate(least)
+        number.clear()
+        which, doc, name, at, many = (np.concatenate(x) for x in zip(*held, strict=True))
+        least = np.full(len(texts), 2**63 - 1, np.int64)
+        np.minimum.at(least, which, doc)
+        later = doc > least[which]
+        if later.any():
+            yield ranges(doc[later], name[later], at[later], many[later])
+        which, doc, name, at = which[~later], doc[~later], name[~later], at[~later]
+        order = np.argsort(which, kind="stable")
+        which, doc, name, at = which[order], doc[order], name[order], at[order]
+        begin, size = np.searchsorted(which, np.arange(len(texts) + 1)), np.bincount(which, minlength=len(texts))
         save = []
 
         def queues() -> Queues:
             return Queues(lambda *c: (save or save.append(_saver(folder)) or save)[0](*c), limit)
 
-        for which, offset in first_windows(texts, low, queues):
-            for k in range(0, len(which), 100_000):
-                w = which[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(name[w, 0]), pa.array(name[w, 1]), pa.array(offset[k : k + 100_000].astype(np.int32))], ["c1", "c2", "offset"])
+        for found, offset in first_windows(texts, least, queues):
+            for k in range(0, len(found), 100_000):
+                f, o = found[k : k + 100_000], offset[k : k + 100_000]
+                rows = np.repeat(begin[f], size[f]) + np.arange(size[f].sum()) - np.repeat(np.cumsum(size[f]) - size[f], size[f])
+                yield ranges(doc[rows], name[rows], at[rows] + np.repeat(o, size[f]), np.ones(len(rows), np.int64))
 
     return run
 
@@ -208,21 +247,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(texts: DataFrame, shard_bytes: int = SHARD_BYTES, queue_entries: int = QUEUE_ENTRIES) -> DataFrame:
     """(doc_id, t1, first, many): windows in a row that also start in a document with a smaller doc_id."""
     spark = texts.sparkSession
-    occurrences = materialize(texts.mapInArrow(_contexts, "key long, c1 long, c2 long, context binary, doc_id long, t1 long, at long"))
-    distinct = materialize(occurrences.groupBy("key", "c1", "c2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("context").alias("context")))
-    total = distinct.agg(F.sum(F.length("context"))).first()[0] or 0
+    total = (texts.agg(F.sum(F.size("keys"))).first()[0] or 0) * (WINDOW + 10)
     shards = max(parallelism(spark), -(-total // shard_bytes))
-    several = distinct.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    dealt = distinct.join(several, F.col("key") == F.col("k")).repartition(shards, "key").select("c1", "c2", "context", "least")
-    early = dealt.mapInArrow(_sorter(shared_dir(spark), queue_entries), "c1 long, c2 long, offset int").distinct()
-    copied = distinct.where("least < most").select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("key").alias("k"), "least")
-    same = (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))
-    sized = occurrences.select("key", "c1", "c2", "doc_id", "t1", "at", (F.length("context") - WINDOW + 1).cast("long").alias("many"))
-    whole = sized.join(copied, same & (F.col("key") == F.col("k"))).where("doc_id > least").select("doc_id", "t1", F.col("at").alias("first"), "many")
-    firsts = distinct.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "least", "key")
-    marked = early.join(firsts, same).select("d1", "d2", "key", "least", "offset")
-    part = sized.drop("many").withColumnRenamed("key", "k").join(marked, same & (F.col("k") == F.col("key")) & (F.col("doc_id") == F.col("least"))).select("doc_id", "t1", (F.col("at") + F.col("offset")).alias("first"), F.lit(1).cast("long").alias("many"))
-    return whole.union(part)
+    contexts = texts.mapInArrow(_contexts, "key long, c1 long, c2 long, context binary, doc_id long, t1 long, at int, many int")
+    return contexts.repartition(shards, "key").drop("key").mapInArrow(_sorter(shared_dir(spark), queue_entries), "doc_id long, t1 long, first int, many int")
 
 
 def dedup(docs: DataFrame, shard_bytes: int = SHARD_BYTES, queue_entries: int = QUEUE_ENTRIES) -> DataFrame:
