@@ -143,6 +143,7 @@ class Encoder:
         #: The characters that stand for bytes: printable ones for themselves, the others from U+0100 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_signs = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
+        self.space, self.line = chr(self.byte_signs[32]), chr(self.byte_signs[10])
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
@@ -160,13 +161,16 @@ class Encoder:
     def part(self, p: str) -> bytes:
         if len(self.known) > self.most:
             self.known.clear()
-        signs = p.encode().decode("latin-1").translate(self.byte_signs)
+        signs = p.replace(" ", self.space).replace("\n", self.line) if p.isascii() else p.encode().decode("latin-1").translate(self.byte_signs)
         ids = self.known[p] = array("I", [t.id for t in self.tokenize(signs)]).tobytes()
         return ids
 
     def word(self, w: str) -> bytes:
-        known = self.known
-        return b"".join([known[p] if p in known else self.part(p) for p in self.parts.findall(w)])
+        known, bare = self.known, w[1:] if w[:1] == " " else w
+        if bare.isalpha():
+            return known.get(w) or self.part(w)
+        parts = [w[:-1], w[-1]] if bare[-1:] in (",", ".") and bare[:-1].isalpha() else self.parts.findall(w)
+        return b"".join([known[p] if p in known else self.part(p) for p in parts])
 
     def is_odd(self, t: str) -> bool:
         return "  " in t or " \n" in t or t.endswith(" ") or "<|" in t or bool(self.odd.search(t))
