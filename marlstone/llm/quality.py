@@ -3,8 +3,9 @@
 Heuristic labellers vote on each document, 1 bad, 0 good, -1 abstaining, for two questions: is its text of low quality, and
 is it toxic. Where a table of labels has a document, that is one more labeller. Expectation-maximisation over the
 counts of vote patterns estimates how far each labeller is to be trusted and gives each pattern a posterior. The
-posteriors of a bounded sample of documents (`sample` of them, those with the least hashes of their ids) then train, for each
-question, a linear scorer over hashed features: the words that a document has, and shares of its tokens by shape. All
+posteriors of a bounded sample of documents (`sample` of them, those with a label first, then those with the least hashes of their
+ids) then train, for each question, a linear scorer over hashed features: the words that a document has, the stems that it repeats
+(the lists of abuse are English; other languages' are learnt from labels), and shares of its tokens by shape. All
 documents are scored; those with a probability over one half on either question are rejected.
 
 All documents vote and count in the patterns, and whole texts are read. To the driver come the pattern counts (at most
@@ -42,8 +43,14 @@ PLAIN, MARKED, CAPITALS, BARS, ABUSE_1, ABUSE_2 = range(6)
 QUESTIONS = ("quality", "toxic")
 
 
+#: Frequent words of the language that the lists above are in; elsewhere their silence is no vote.
+ENGLISH = frozenset("the and of to is that with for was".split())
+#: A stem is a longer word's first letters; features say how often a text has one.
+STEM = 4
+
+
 class _Tokens(dict):
-    """token -> shape << 32 | 30-bit hash of its bare lower-case word; memory is bounded."""
+    """token -> shape << 60 | 30-bit hash of its stem (0: none) << 30 | 30-bit hash of its bare lower-case word; memory is bounded."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > 300_000:
@@ -62,7 +69,8 @@ class _Tokens(dict):
             shape = CAPITALS
         else:
             shape = PLAIN
-        v = self[token] = shape << 32 | xxhash.xxh32_intdigest(low, 11) & 0x3FFFFFFF
+        stem = xxhash.xxh32_intdigest(low[:STEM], 13) & 0x3FFFFFFF if len(low) > STEM and low.isalpha() else 0
+        v = self[token] = shape << 60 | stem << 30 | xxhash.xxh32_intdigest(low, 11) & 0x3FFFFFFF
         return v
 
 
@@ -71,18 +79,26 @@ _tokens = _Tokens()
 SHAPES = ["marked", "capitals", "bars", "repeats"]
 
 
+def _stem_features(stems: np.ndarray, n: int) -> np.ndarray:
+    """Hashed features of the stems that a text of n tokens has more than once, or in a hundredth of its tokens."""
+    ids, counts = np.unique(stems[stems > 0], return_counts=True)
+    levels = (counts >= 2, counts >= 3, counts > 0.01 * n, counts > 0.03 * n)
+    return np.concatenate([(ids[at] * 2_654_435_761 + k * 40_503_001) & 0x3FFFFFFF | 1 << 31 for k, at in enumerate(levels)])
+
+
 def profile(text: str) -> tuple[np.ndarray, list[float], tuple[int, int], int]:
-    """Distinct word hashes, shares of SHAPES, distinct abusive words by list, and the number of tokens."""
+    """Distinct hashes of words and stems, shares of SHAPES, distinct abusive words by list, and the number of tokens."""
     words = text.split()
     n = len(words)
     if not n:
         return np.zeros(0, np.int64), [0.0] * 4, (0, 0), 0
     code = np.fromiter(map(_tokens.__getitem__, words), np.int64, n)
-    shape = np.bincount(code >> 32, minlength=6)
+    shape = np.bincount(code >> 60, minlength=6)
     distinct = np.unique(code)
-    kinds = distinct >> 32
+    kinds = distinct >> 60
     repeats = float((code[1:] == code[:-1]).sum()) / n
-    return np.unique(distinct & 0x3FFFFFFF), [shape[MARKED] / n, shape[CAPITALS] / n, shape[BARS] / n, repeats], (int((kinds == ABUSE_1).sum()), int((kinds == ABUSE_2).sum())), n
+    known = np.concatenate([np.unique(distinct & 0x3FFFFFFF), _stem_features(code >> 30 & 0x3FFFFFFF, n)])
+    return known, [shape[MARKED] / n, shape[CAPITALS] / n, shape[BARS] / n, repeats], (int((kinds == ABUSE_1).sum()), int((kinds == ABUSE_2).sum())), n
 
 
 def votes(text: str) -> tuple[list[int], list[int]]:
@@ -93,8 +109,9 @@ def votes(text: str) -> tuple[list[int], list[int]]:
     shouting = band(capitals, 0.3, 0.05) if n >= 5 else -1
     looping = band(repeats, 0.15, 0.03) if n >= 5 else -1
     clean = 0 if n and marked + capitals + bars + repeats < 0.1 else 1 if n >= 5 and marked + capitals + bars + repeats > 0.3 else -1
-    strong = 1 if one + two >= 2 else 0 if one + two == 0 else -1
-    return [noisy, shouting, looping, clean], [1 if one else 0, 1 if two else 0, strong]
+    none = 0 if one + two or sum(w in ENGLISH for w in text.lower().split()) >= 0.05 * n else -1
+    strong = 1 if one + two >= 2 else none if one + two == 0 else -1
+    return [noisy, shouting, looping, clean], [1 if one else none, 1 if two else none, strong]
 
 
 def _hash(name: str) -> int:
@@ -169,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> dict
     for q in QUESTIONS:
         counts = sorted((tuple(r[0]), float(r[1])) for r in cast.groupBy(q).count().collect())
         posterior[q] = expectation_maximisation(counts)[2]
-    chosen = cast.where("doc_id is not null").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
+    chosen = cast.where("doc_id is not null").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("toxic").alias("toxic")).orderBy(F.greatest(F.element_at("quality", -1), F.element_at("toxic", -1)) < 0, F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
     target = {r.doc_id: r for r in chosen.collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
