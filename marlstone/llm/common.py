@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE = "[\\x20\\x09-\\x0D]+"
+#: Whether shuffle files go when a query ends, not when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,9 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once.
+
+    The table stands in for the shuffles behind it, so their files go as soon as it is written.
+    """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

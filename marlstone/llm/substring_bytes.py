@@ -4,8 +4,9 @@ A window of 50 bytes picks an anchor, the 32-gram in it with the least hash; win
 too (see repeats) are cut out with their neighbours as contexts: all windows in a row with one anchor, which is at
 most 68 bytes. Equal windows have equal anchors, so contexts are dealt to shards by anchor. Equal contexts count once,
 with the least doc_id; within a piece of the scan already, so a passage of many documents costs a shard one
-row for each piece. Each shard concatenates its contexts, sorts all suffixes by external induced sorting
-(see induced), and walks the suffix array: suffixes whose common prefixes reach 50 bytes are equal windows,
+row for each piece. A shard leaves out contexts that can share no window: a window has half of its other bytes on one
+side of its anchor's gram, so contexts are kept whose gram with that many bytes before, or after it, is in
+another document's too. It concatenates the others, sorts all suffixes by external induced sorting (see induced), and walks the suffix array: suffixes whose common prefixes reach 50 bytes are equal windows,
 whose least doc_id is their first. Queues that outgrow memory go to the shared folder.
 
 Windows of a context go where it occurs in a document after its first; in its first document those go whose window
@@ -39,6 +40,9 @@ GRAM = 32
 SHARD_BYTES = 8_000_000
 QUEUE_ENTRIES = 8_000_000
 _LOW = U((1 << 24) - 1)
+#: At least so many bytes of a window lie before its anchor's gram, or after it.
+SIDE = -((GRAM - WINDOW) // 2)
+_CONTEXT = "key long, context binary, doc_id long, t1 long, at int, many int, gap int"
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -76,9 +80,9 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, c1, c2, context, doc_id, t1, at, many) of windows in a row with one repeated anchor.
+    """(key, context, doc_id, t1, at, many, gap) of windows in a row with one repeated anchor, gap bytes on.
 
-    In a piece of texts each context is open once, for its least document; for the others c1 is null, they are
+    In a piece of texts each context is open once, for its least document; for the others it is null, they are
     settled, as a smaller document has the same windows.
     """
     for b in batches:
@@ -103,6 +107,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = begin[hits] - starts[doc[hits]]
             cut = [texts[d][p : p + m] for d, p, m in zip(doc[hits].tolist(), at.tolist(), (end - begin)[hits].tolist(), strict=True)]
             named = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, cut)), "<i8").reshape(-1, 2)
+            gap = a[new][hits] - begin[hits]
             owner, many, key = ids[x:y][doc[hits]], (end - begin)[hits] - WINDOW + 1, key[hits].astype(np.int64)
             order = np.lexsort((at, owner, named[:, 1], named[:, 0]))
             first = np.concatenate([[True], (named[order[1:]] != named[order[:-1]]).any(axis=1)])
@@ -112,8 +117,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key[settled] = owner[settled]
             fill = [None if z else c for z, c in zip(settled.tolist(), cut, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(named[:, 0], mask=settled), pa.array(named[:, 1], mask=settled), pa.array(fill, pa.binary()), pa.array(owner), pa.array(names[x:y][doc[hits]]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32))],
-                ["key", "c1", "c2", "context", "doc_id", "t1", "at", "many"],
+                [pa.array(key), pa.array(fill, pa.binary()), pa.array(owner), pa.array(names[x:y][doc[hits]]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(gap.astype(np.int32))],
+                ["key", "context", "doc_id", "t1", "at", "many", "gap"],
             )
 
 
@@ -177,35 +182,66 @@ def first_windows(contexts: list[bytes], least: np.ndarray, queues: Callable[[],
     yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _may_share(contexts: pa.LargeBinaryArray, gap: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which contexts may have a window that one with another least has. gap: where each one's anchor begins."""
+    offsets, data = np.frombuffer(contexts.buffers()[1], np.int64)[contexts.offset : contexts.offset + len(contexts) + 1], contexts.buffers()[2].to_pybytes()
+    begin, size, span = offsets[:-1], np.diff(offsets), GRAM + SIDE
+    view = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
+    out = np.zeros(len(contexts), bool)
+    for fit, shift in ((gap >= SIDE, gap - SIDE), (size - gap >= span, gap)):
+        rows = np.flatnonzero(fit)
+        if not len(rows):
+            continue
+        place = begin[rows] + shift[rows]
+        name = view[place].astype(U)
+        for k in [*range(8, span - 8, 8), span - 8]:
+            name = joined(name, view[place + k].astype(U), k)
+        order = np.argsort(name)
+        name, low = name[order], least[rows][order]
+        at = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        several = np.minimum.reduceat(low, at) < np.maximum.reduceat(low, at)
+        out[rows[order]] |= np.repeat(several, np.diff(np.append(at, len(name))))
+    return out
+
+
 def _sorter(folder: str, limit: int) -> Callable:
     def ranges(doc: np.ndarray, name: np.ndarray, first: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(name), pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32))], ["doc_id", "t1", "first", "many"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, texts, number = [], [], {}
+        held, cuts = [], []
         for b in batches:
             settled = np.array(b.column(0).is_null())
-            doc, name, at, many = (b.column(k).to_numpy() for k in (3, 4, 5, 6))
+            doc, name, at, many, gap = (b.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
             if settled.any():
                 yield ranges(doc[settled], name[settled], at[settled], many[settled])
-            open_ = np.flatnonzero(~settled)
-            if len(open_):
-                which = np.empty(len(open_), np.int64)
-                for k, (i, c1, c2) in enumerate(zip(open_.tolist(), b.column(0).take(pa.array(open_)).to_pylist(), b.column(1).take(pa.array(open_)).to_pylist(), strict=True)):
-                    which[k] = number.setdefault((c1, c2), len(texts))
-                    if which[k] == len(texts):
-                        texts.append(b.column(2)[i].as_py())
-                held.append((which, doc[open_], name[open_], at[open_], many[open_]))
-        if not texts:
+            if not settled.all():
+                rest = b.filter(pa.array(~settled))
+                cuts.append(rest.column(0).cast(pa.large_binary()))
+                c1, c2 = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, rest.column(0).to_pylist())), "<i8").reshape(-1, 2).T
+                held.append((c1, c2, *(x[~settled] for x in (doc, name, at, many, gap))))
+        if not held:
             return
-        number.clear()
-        which, doc, name, at, many = (np.concatenate(x) for x in zip(*held, strict=True))
+        c1, c2, doc, name, at, many, gap = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((c2, c1))
+        new = np.concatenate([[True], (c1[order[1:]] != c1[order[:-1]]) | (c2[order[1:]] != c2[order[:-1]])])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        texts = pa.concat_arrays(cuts).take(pa.array(order[new]))
+        gap = gap[order[new]]
+        cuts.clear()
         least = np.full(len(texts), 2**63 - 1, np.int64)
         np.minimum.at(least, which, doc)
         later = doc > least[which]
         if later.any():
             yield ranges(doc[later], name[later], at[later], many[later])
-        which, doc, name, at = which[~later], doc[~later], name[~later], at[~later]
+        fit = _may_share(texts, gap, least)
+        texts, number = texts.filter(pa.array(fit)).to_pylist(), np.cumsum(fit) - 1
+        if not texts:
+            return
+        rest = ~later & fit[which]
+        which, doc, name, at, least = number[which[rest]], doc[rest], name[rest], at[rest], least[fit]
         order = np.argsort(which, kind="stable")
         which, doc, name, at = which[order], doc[order], name[order], at[order]
         begin, size = np.searchsorted(which, np.arange(len(texts) + 1)), np.bincount(which, minlength=len(texts))
@@ -249,14 +285,14 @@ def repeated_windows(texts: DataFrame, shard_bytes: int = SHARD_BYTES, queue_ent
     spark = texts.sparkSession
     total = (texts.agg(F.sum(F.size("keys"))).first()[0] or 0) * (WINDOW + 10)
     shards = max(parallelism(spark), -(-total // shard_bytes))
-    contexts = texts.mapInArrow(_contexts, "key long, c1 long, c2 long, context binary, doc_id long, t1 long, at int, many int")
+    contexts = texts.mapInArrow(_contexts, _CONTEXT)
     return contexts.repartition(shards, "key").drop("key").mapInArrow(_sorter(shared_dir(spark), queue_entries), "doc_id long, t1 long, first int, many int")
 
 
 def dedup(docs: DataFrame, shard_bytes: int = SHARD_BYTES, queue_entries: int = QUEUE_ENTRIES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     documents, texts = suspects(docs, materialize(described(docs, len, bytes)), packed(docs, bytes, anchors))
-    found = repeated_windows(texts, shard_bytes, queue_entries).groupBy(F.col("doc_id").alias("d"), F.col("t1").alias("t")).agg(F.collect_list(F.struct("first", "many")).alias("spans"))
+    found = materialize(repeated_windows(texts, shard_bytes, queue_entries).groupBy(F.col("doc_id").alias("d"), F.col("t1").alias("t")).agg(F.collect_list(F.struct("first", "many")).alias("spans")))  # before the texts are shuffled, so the contexts' files are gone by then
     cut = texts.join(found, (F.col("doc_id") == F.col("d")) & (F.col("t1") == F.col("t"))).select("doc_id", "t1", "text", "spans").mapInArrow(_cut, "doc_id long, t1 long, n_removed long, n_spans long, kept_sha256 string")
     cut = cut.distinct().select(F.col("doc_id").alias("d"), F.col("t1").alias("t"), "n_removed", "n_spans", F.col("kept_sha256").alias("cut_sha256"))
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n") >= WINDOW)
