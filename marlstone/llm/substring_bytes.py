@@ -42,7 +42,7 @@ QUEUE_ENTRIES = 8_000_000
 _LOW = U((1 << 24) - 1)
 #: At least so many bytes of a window lie before its anchor's gram, or after it.
 SIDE = -((GRAM - WINDOW) // 2)
-_CONTEXT = "key long, context binary, doc_id long, t1 long, at int, many int, gap int"
+_CONTEXT = "key int, context binary, doc_id long, t1 long, at int, many int, gap int"
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -82,6 +82,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, context, doc_id, t1, at, many, gap) of windows in a row with one repeated anchor, gap bytes on.
 
+    key is the low half of the anchor's; it only chooses the shard.
+
     In a piece of texts each context is open once, for its least document; for the others it is null, they are
     settled, as a smaller document has the same windows.
     """
@@ -117,7 +119,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key[settled] = owner[settled]
             fill = [None if z else c for z, c in zip(settled.tolist(), cut, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(fill, pa.binary()), pa.array(owner), pa.array(names[x:y][doc[hits]]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(gap.astype(np.int32))],
+                [pa.array(key.astype(np.int32)), pa.array(fill, pa.binary()), pa.array(owner), pa.array(names[x:y][doc[hits]]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(gap.astype(np.int32))],
                 ["key", "context", "doc_id", "t1", "at", "many", "gap"],
             )
 
