@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, mixing, quality, simhash, token_binary
+from marlstone.llm import decontaminate, mixing, near_copies, quality, token_binary
 from marlstone.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,8 +20,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component only the document with the least doc_id stays."""
-    keep = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    """Of documents linked by a similarity of 0.8 in 5-word shingles only the one with the least doc_id stays."""
+    keep = near_copies.near_copies(docs).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
     return docs.select(COLUMNS).join(keep, F.col("doc_id") == F.col("id"), "left_semi")
 
 

@@ -38,21 +38,29 @@ STEP = 4
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str, width: int = SHINGLE) -> int:
+def shingle_hashes(text: str, width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, in pieces; of all words where there are fewer, of nothing without words."""
     words = text.encode().translate(_LOWER).split()  # bytes.split() parts at space and U+0009 to U+000D
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
+        yield np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+        return
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     end = np.cumsum(size) - 1
     start = end - size + 1
-    tally, count, digest = np.zeros(BITS, np.int64), len(words) - width + 1, xxhash.xxh64_intdigest
+    count, digest = len(words) - width + 1, xxhash.xxh64_intdigest
     for k in range(0, count, 32_768):
         m = min(count, k + 32_768)
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(start[k:m].tolist(), end[k + width - 1 : m + width - 1].tolist(), strict=True)], np.uint64)
+        yield np.array([digest(joined[a:b], 42) for a, b in zip(start[k:m].tolist(), end[k + width - 1 : m + width - 1].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str, width: int = SHINGLE) -> int:
+    tally, count = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(text, width):
         tally += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += len(h)
     return int(np.packbits(2 * tally > count, bitorder="little").view("<u8")[0])
 
 

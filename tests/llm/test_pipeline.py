@@ -1,5 +1,7 @@
 """The pipeline's stages, each against its own input."""
 
+import random
+
 import corpus_pipeline as cp
 
 D = "/root/testdata/sf0.001"
@@ -24,3 +26,37 @@ def test_stages(spark):
             rows = sorted(out.collect(), key=lambda r: r.start)
             assert len(rows) == docs.count() and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
     assert 0 < len(rows) and n
+
+
+def test_near_copies_go(spark):
+    """Copies with some words changed go: what stays equals brute force over 5-word shingles at 0.8."""
+    r = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdgkmt" for b in "aeiou" for c in ("l", "n", "rs")]
+    line = "this line is in every second document of the whole table".split()
+    texts = []
+    for k in range(60):
+        base = [r.choice(words) for _ in range(r.choice([4, 12, 60, 150, 400]))]
+        texts.append(base + line * (k % 2))
+        for changed in (1, 2, 4, 8):
+            copy = list(base)
+            for _ in range(changed):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            texts.append(copy + line * (k % 2))
+    hub = [r.choice(words) for _ in range(200)]
+    for _ in range(80):  # a large group of near copies
+        copy = list(hub)
+        for _ in range(r.randrange(5)):
+            copy[r.randrange(200)] = r.choice(words)
+        texts.append(copy)
+    rows = [(i, " ".join(t).upper() if i % 3 else "  ".join(t), None, "s", 1) for i, t in enumerate(texts)] + [(900, None, None, "s", 0), (901, " ", None, "s", 1)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t, *_ in rows}
+    top = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if j in sets and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) and top[i] != top[j]:
+                lo, hi = sorted((top[i], top[j]))
+                top = {k: lo if v == hi else v for k, v in top.items()}
+    want = {i for i, v in top.items() if i == v}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id for x in cp.drop_near_duplicates(spark, docs, D).collect()}
+    assert got == want and len(want) < len(rows) * 0.6
