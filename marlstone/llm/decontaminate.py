@@ -9,7 +9,9 @@ item's windows, the words themselves are compared: a template word must be equal
 that is, equal values of the item stand for equal values of the document and different ones for
 different ones. What passes is a leak, 'exact' if all slots kept their values, else 'reparameterised'.
 An alignment's coverage is counted together with those of its neighbours within `slack` words, since an
-inserted or lost word shifts the rest; slots are checked at the alignment with the most hits.
+inserted or lost word shifts the rest; slots are checked at the alignment with the most hits of those, and at each that
+reaches the threshold by itself. Of an item's alignments in a document that pass, exact ones come first, then those
+with the most hits, then the earliest.
 
 DataFrame expressions only. Documents are scanned once: their windows are exploded beside the scan and only those
 whose hash the benchmark has go on, to a partial sum by (document, item, alignment). The benchmark's window hashes
@@ -92,20 +94,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold:
     placed = hits.join(F.broadcast(item_windows) if few else item_windows, "h").select("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), "item_pos")
     counted = placed.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_pos").alias("here"))
     near = counted.withColumn("to", F.explode(F.sequence(F.col("shift") - slack, F.col("shift") + slack)))
-    around = near.groupBy("doc_id", "item_id", F.col("to").alias("shift")).agg(F.sum("here").alias("n"), F.max(F.when(F.col("to") == F.col("shift"), F.col("here"))).alias("here")).where("here is not null")
-    best = around.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n"), F.col("here"), (-F.col("shift")).alias("s"))).alias("b"))
-    wide = best.join(F.broadcast(n_windows) if few else n_windows, "item_id").where(F.col("b.n") >= F.ceil(F.col("n_windows") * threshold - 1e-9)).select("doc_id", "item_id", F.least("b.n", "n_windows").alias("n_matched"), "n_windows", (-F.col("b.s")).cast("int").alias("at_word"))
+    around = near.groupBy("doc_id", "item_id", F.col("to").alias("shift")).agg(F.sum("here").alias("n"), F.max("here").alias("most"), F.max(F.when(F.col("to") == F.col("shift"), F.col("here"))).alias("here")).where("here is not null")
+    # Checked are places that reach the threshold by themselves and those with the most hits among their neighbours.
+    reached = around.join(F.broadcast(n_windows) if few else n_windows, "item_id").withColumn("need", F.ceil(F.col("n_windows") * threshold - 1e-9)).where((F.col("n") >= F.col("need")) & ((F.col("here") >= F.col("need")) | (F.col("here") == F.col("most"))))
+    wide = reached.groupBy("doc_id", "item_id", "n_windows").agg(F.collect_list(F.struct("n", "here", F.col("shift").cast("int").alias("shift"))).alias("places"))
 
     texts = prepared(one_row_per_id(docs.join(wide.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id")
-    at = F.greatest(F.col("at_word"), F.lit(0))
     doc_slots = slots(words(F.col("cleaned")), words(canonical(F.col("cleaned"))))
     both = wide.join(texts, "doc_id").withColumn("d", doc_slots).drop("cleaned").join(items.select("item_id", slots(words(F.col("cleaned")), F.col("template")).alias("i")), "item_id")
-    skip = F.greatest(-F.col("at_word"), F.lit(0))
-    cut = both.withColumn("i", F.slice("i", skip + 1, F.size("i"))).withColumn("d", F.slice("d", at + 1, F.size("i")))
-    pairs = F.filter(F.zip_with("i", "d", lambda i, d: F.when((i["t"] == d["t"]) & i["v"].isNotNull() & d["v"].isNotNull(), F.struct(i["v"].alias("i"), d["v"].alias("d")))), lambda p: p.isNotNull())
-    checked = cut.withColumn("p", F.array_distinct(pairs)).withColumn("ok", (F.size("p") == F.size(F.array_distinct("p.i"))) & (F.size("p") == F.size(F.array_distinct("p.d"))))
-    same = F.forall("p", lambda p: p["i"] == p["d"])
-    return checked.where("ok").select("doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), "at_word", F.when(same, "exact").otherwise("reparameterised").alias("kind"))
+
+    def checked(place: Column) -> Column:
+        """The place with whether its slots kept their values; null where they are inconsistent."""
+        item = F.slice("i", F.greatest(-place["shift"], F.lit(0)) + 1, F.size("i"))
+        here = F.slice("d", F.greatest(place["shift"], F.lit(0)) + 1, F.size(item))
+        pairs = F.filter(F.zip_with(item, here, lambda i, d: F.when((i["t"] == d["t"]) & i["v"].isNotNull() & d["v"].isNotNull(), F.struct(i["v"].alias("i"), d["v"].alias("d")))), lambda p: p.isNotNull())
+
+        def judged(p: Column) -> Column:
+            ok = (F.size(p) == F.size(F.array_distinct(p["i"]))) & (F.size(p) == F.size(F.array_distinct(p["d"])))
+            same = F.forall(p, lambda x: x["i"] == x["d"])
+            return F.when(ok, F.struct(same.alias("same"), place["n"].alias("n"), place["here"].alias("here"), (-place["shift"]).alias("s")))
+
+        return F.transform(F.array(F.array_distinct(pairs)), judged)[0]
+
+    best = both.select("doc_id", "item_id", "n_windows", F.array_max(F.transform("places", checked)).alias("b")).where("b is not null")
+    matched = F.least("b.n", "n_windows")
+    return best.select("doc_id", "item_id", matched.alias("n_matched"), "n_windows", (matched / F.col("n_windows")).alias("coverage"), (-F.col("b.s")).alias("at_word"), F.when(F.col("b.same"), "exact").otherwise("reparameterised").alias("kind"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

@@ -255,3 +255,12 @@ def test_shared_folder_files(tmp_path):
         w.close()
     with fs.open_input_file(f"{at}/s") as f:
         assert [(d, len(i), int(i.sum())) for d, i in token_binary.read_shard(f)] == [(0, 0, 0), (1, 3, 3), (2, 70_000, 70_000 * 69_999 // 2), (3, 1, 0)]
+
+
+def test_decontamination_checks_every_place(spark):
+    """A copy counts behind an instance of its template whose slots don't fit; an exact one comes before others."""
+    bench = spark.createDataFrame([(1, "What is 5 plus 5 in base ten?")], "item_id long, text string")
+    ask = "What is {} plus {} in base ten?".format
+    docs = [(1, f"Sheet. {ask(3, 4)} So. {ask(5, 5)} End."), (2, f"{ask(3, 3)} {ask(1, 2)} {ask(5, 5)}"), (3, f"{ask(3, 4)} {ask(8, 8)}"), (4, f"{ask(3, 4)} {ask(1, 2)}")]
+    got = {r.doc_id: (r.kind, r.at_word) for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
+    assert got == {1: ("exact", 10), 2: ("exact", 16), 3: ("reparameterised", 8)}
