@@ -2,7 +2,9 @@
 
 A source's repetition rate is budget * weight / size, where size is the number of its characters and budget
 the number of characters wanted. Each document gets a Poisson count with that mean by inverting the
-distribution at a uniform number hashed from (seed, doc_id): the same document always gets the same count.
+distribution at a uniform number hashed from (seed, doc_id): the same document always gets the same count. A rate over
+PIECE is split into equal parts, each inverted at a uniform number of its own (the part's number is hashed too), and the
+counts are added: a sum of Poissons is one, and exp(-rate) stays far from the least double.
 Copies are exploded and shuffled globally by a second hash, under which each partition is sorted.
 DataFrame operations only. The weights are a parameter, so the rate table has at most as many rows as the
 weights have keys and may be broadcast; sizes are summed before they are shuffled.
@@ -24,6 +26,8 @@ SEED = "mix-1"
 #: Target weights of the query by source; the other sources share `other` by size.
 WEIGHTS = {f"src{i}": w for i, w in enumerate([0.04, 0.04, 0.06, 0.06, 0.08, 0.08, 0.10, 0.10, 0.06, 0.06])}
 OTHER = 0.32
+#: Largest rate that is inverted at once.
+PIECE = 500.0
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -63,13 +67,15 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float, budget: floa
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float = OTHER, budget: float | None = None, seed: str = SEED) -> DataFrame:
     """docs replicated to the weights and shuffled; adds copy (from 0) and shuffle_key."""
     weights = WEIGHTS if weights is None else weights
-    table_ = rates(docs, weights, other, budget).select(F.col("source").alias("__s"), cumulative(F.col("rate")).alias("__cdf"))
+    pieces = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int")
+    table_ = rates(docs, weights, other, budget).select(F.col("source").alias("__s"), cumulative(F.col("rate") / pieces).alias("__cdf"), pieces.alias("__m"))
     named = F.coalesce("source", F.lit(""))
     key = F.when(named.isin(*weights), named) if weights else F.lit(None).cast("string")
     id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    count = F.size(F.filter("__cdf", lambda c: c <= uniform(seed, id_)))
+    uniforms = F.transform(F.sequence(F.lit(0), F.col("__m") - 1), lambda k: F.when(k == 0, uniform(seed, id_)).otherwise(uniform(seed, id_, k.cast("string"))))
+    count = F.aggregate(uniforms, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
     rows = docs.drop("copy", "shuffle_key").join(F.broadcast(table_), key.eqNullSafe(F.col("__s")))
-    copies = rows.withColumn("__n", count).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n", "__s", "__cdf")
+    copies = rows.withColumn("__n", count).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n", "__s", "__cdf", "__m")
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed + "-order"), id_, F.col("copy"))))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id")
 

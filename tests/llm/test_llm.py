@@ -264,3 +264,10 @@ def test_decontamination_checks_every_place(spark):
     docs = [(1, f"Sheet. {ask(3, 4)} So. {ask(5, 5)} End."), (2, f"{ask(3, 3)} {ask(1, 2)} {ask(5, 5)}"), (3, f"{ask(3, 4)} {ask(8, 8)}"), (4, f"{ask(3, 4)} {ask(1, 2)}")]
     got = {r.doc_id: (r.kind, r.at_word) for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
     assert got == {1: ("exact", 10), 2: ("exact", 16), 3: ("reparameterised", 8)}
+
+
+def test_mixing_at_high_rates(spark):
+    """Counts stay Poisson where exp(-rate) is 0."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"), F.lit("s").alias("source"), F.lit(2).alias("n_chars"))
+    n = np.array([r[1] for r in mixing.mix(docs, {"s": 1.0}, 0.0, budget=600_000.0).groupBy("doc_id").count().collect()])
+    assert len(n) == 300 and abs(n.mean() - 1000) < 8 and 650 < n.var() < 1400
