@@ -6,9 +6,10 @@ a shingle in their prefixes: in one order of all shingles, two sets that are sim
 among the first n - ceil(0.8 n) + 1 of each. Frequent shingles of a sample come last in that order, so a common line
 makes no pairs; the sample changes how many pairs are looked at, never which are found.
 
-First each node is compared with the least node that it shares a shingle with, so a large group of near copies becomes one
-component with one comparison each. Then all other pairs in different components follow that pass two bounds which no
-similar pair fails: of sizes, and of the parities of 256 counters, whose bits differ at most as often as the sets do.
+First, in ROUNDS rounds, each node is compared with one node that it shares a shingle with, so most of a large group of near copies
+becomes one component with few comparisons each. Then all other pairs in different components follow that pass three bounds which
+no similar pair fails at the first shingle in common: of sizes, of what is left of both sets from there, and of the
+parities of 256 counters, whose bits differ at most as often as the sets do.
 What is left is compared by the sets themselves, computed anew from those texts alone.
 
 Nulls: a null text is an empty one; rows without doc_id are left out; rows that repeat a doc_id link through the id. Texts
@@ -33,6 +34,8 @@ WIDTH = 5
 OVER, UNDER = 4, 5
 #: Documents looked at for frequent shingles, how many of them have such a one, and at most so many are known.
 SAMPLE, FREQUENT, MOST = 4_000, 5, 200_000
+#: Rounds of one comparison a node before all pairs that are left.
+ROUNDS = 3
 _BITS = ["b0", "b1", "b2", "b3"]
 
 
@@ -96,8 +99,9 @@ def described(docs: DataFrame, last: np.ndarray, width: int = WIDTH) -> DataFram
     return _ids(docs).mapInArrow(run, "doc_id long, node long, n int, " + ", ".join(f"{c} long" for c in _BITS) + ", prefix array<long>")
 
 
-def _sizes_fit(n: Column, m: Column) -> Column:
-    return F.least(n, m) * UNDER >= F.greatest(n, m) * OVER
+def _may_reach(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Whether sets of n and m shingles can be similar whose first common one is at i and j."""
+    return (F.least(n, m) * UNDER >= F.greatest(n, m) * OVER) & (F.least(n - i, m - j) * (OVER + UNDER) >= (n + m) * OVER)
 
 
 def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -115,24 +119,23 @@ def near_copies(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> Da
     """doc_id, component_id: the least doc_id that a document is linked with, through others too."""
     rows = materialize(described(docs, frequent(docs, width, sample), width))
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _BITS]))
-    prefixes = rows.select("node", "n", F.explode("prefix").alias("h")).distinct()
-    # A shingle's frequency is told from ends that differ; most have one node and go here.
-    groups = prefixes.groupBy("h").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("other")).where("hub.node < other")
-    shared = materialize(prefixes.join(groups.drop("other"), "h"))
-    near = shared.where((F.col("hub.node") < F.col("node")) & _sizes_fit(F.col("hub.n"), F.col("n")))
-    first = similar(near.groupBy("node").agg(F.min("hub.node").alias("b")).select(F.col("node").alias("a"), "b"), docs, nodes, width)
+    prefixes = rows.select("node", "n", F.posexplode("prefix").alias("pos", "h")).distinct()
+    groups = prefixes.groupBy("h").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one < other").select("h")
+    shared = materialize(prefixes.join(groups, "h"))
     by_id = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    several = rows.join(by_id.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
-    found = materialize(first.union(several).distinct())
-    so_far = materialize(connected_components(found))
-
+    found = materialize(rows.join(by_id.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")))
     part = F.coalesce("component", "node")
-    placed = shared.select("h", "node").join(so_far, "node", "left").select("h", "node", part.alias("part"))
-    open_ = placed.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("h")
-    left = materialize(placed.join(open_, "h", "left_semi").join(nodes.drop("least"), "node"))
+    for k in range(ROUNDS + 1):
+        placed = shared.join(materialize(connected_components(found)), "node", "left").select("h", "node", "n", "pos", part.alias("part"))
+        open_ = placed.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("o"), "node", "n", "pos", "part")).alias("hub")).where("p < q").select("h", "hub")
+        left = materialize(placed.join(open_, "h"))
+        if k < ROUNDS:
+            one = left.where((F.col("hub.part") != F.col("part")) & _may_reach(F.col("hub.n"), F.col("hub.pos"), F.col("n"), F.col("pos"))).groupBy("node").agg(F.min_by("hub.node", "hub.o").alias("b"))
+            found = materialize(found.union(similar(one.select(F.col("node").alias("a"), "b"), docs, nodes, width)))
+    left = left.drop("hub").join(nodes.drop("least", "n"), "node")
     x, y = left.alias("x"), left.alias("y")
     differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _BITS), F.lit(0))
-    fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _sizes_fit(F.col("x.n"), F.col("y.n")) & (differ * (OVER + UNDER) <= (F.col("x.n") + F.col("y.n")) * (UNDER - OVER))
+    fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _may_reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")) & (differ * (OVER + UNDER) <= (F.col("x.n") + F.col("y.n")) * (UNDER - OVER))
     rest = x.join(y, (F.col("x.h") == F.col("y.h")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = similar(rest, docs, nodes, width)
     comps = materialize(connected_components(found.union(more)))
