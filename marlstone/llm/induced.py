@@ -6,7 +6,9 @@ of that one's first byte; served in descending order, the S suffix before it. Wi
 arrival is the right one, so the priority queue is a FIFO for each byte, served byte by byte. Its entries are tuples
 (place, common prefix with the entry before); a new entry's prefix is one more than the least that was seen since
 the last entry of its queue. Queues hold at most `limit` entries in memory; beyond that the longest ones
-go to files and come back in order. The recursion ends with the first level, because prefixes beyond CAP
+go to files and come back in order. Served suffixes are needed once more, backward or for the result: beyond `limit` they
+are in files too, read a chunk at a time. In memory stay the text with four bytes more for each of its own and the places
+of the leftmost S suffixes; of those, one symbol's are sorted at a time. The recursion ends with the first level, because prefixes beyond CAP
 bytes don't matter here: that level's suffixes are compared as seven 8-byte words.
 """
 
@@ -112,51 +114,80 @@ class _Serving:
             self.queues.push(c, before[at], np.minimum(least + np.uint8(1), np.uint8(CAP)))
 
 
+class _Served:
+    """Chunks by symbol in the order they were served. Beyond the queues' limit they stay in files, each written once."""
+
+    def __init__(self, queues: Queues):
+        self.queues, self.held = queues, 0
+        self.chunks: dict[int, list] = defaultdict(list)
+        self.last: dict[int, int] = {}
+
+    def keep(self, symbol: int, places: np.ndarray, prefixes: np.ndarray) -> None:
+        self.last[symbol] = int(places[-1])
+        self.held += len(places)
+        if self.held > self.queues.limit and self.queues.save:
+            self.held -= len(places)
+            self.chunks[symbol].append([None, self.queues.save(places, prefixes)])
+        else:
+            self.chunks[symbol].append([(places, prefixes), None])
+
+    def _get(self, chunk: list, again: bool) -> tuple[np.ndarray, np.ndarray]:
+        if chunk[0] is not None:
+            return chunk[0]
+        return (getattr(chunk[1], "again", chunk[1]) if again else chunk[1])()
+
+    def forward(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for chunk in self.chunks.get(symbol, []):
+            yield self._get(chunk, again=False)
+
+    def backward(self, symbol: int, first: int, again: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The last one first; first: the common prefix with what comes before it then."""
+        for chunk in reversed(self.chunks.get(symbol, [])):
+            places, prefixes = self._get(chunk, again)
+            yield places[::-1], np.concatenate([np.array([first], np.uint8), prefixes[:0:-1]])
+            first = prefixes[0]
+
+
 def sorted_suffixes(t: np.ndarray, queues: Callable[[], Queues] = Queues) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pieces of the suffix array of t (uint8, ending in its only 0) with common prefixes up to CAP, in ascending order."""
     n = len(t)
     s, run = _types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    seeds, seed_prefix = _first_level(t, lms)
-    at = np.searchsorted(t[seeds], np.arange(257)).tolist()
-    ascending: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    lms = lms[np.argsort(t[lms], kind="stable")].astype(np.int32 if n < 2**31 else np.int64)
+    at = np.searchsorted(t[lms], np.arange(257)).tolist()
     q = queues()
+    ascending = _Served(q)
     up = _Serving(t, ~s, q)
     for c in range(256):
-        own = []
+        started = False
         while (chunk := q.pop(c)) is not None:
-            if not own:
+            if not started:
                 chunk[1][0] = 0
-            own.append(chunk)
+            started = True
             up.serve(*chunk)
-        if own:
-            ascending[c] = tuple(np.concatenate(x) for x in zip(*own, strict=True))
+            ascending.keep(c, *chunk)
         if at[c] < at[c + 1]:
-            places, prefixes = seeds[at[c] : at[c + 1]], seed_prefix[at[c] : at[c + 1]].copy()
-            prefixes[0] = min(run[ascending[c][0][-1]], run[places[0]], CAP) if c in ascending else 0
+            places, prefixes = _first_level(t, lms[at[c] : at[c + 1]].astype(np.int64))
+            prefixes[0] = min(run[ascending.last[c]], run[places[0]], CAP) if c in ascending.last else 0
             up.serve(places, prefixes)
-    descending: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    del lms
     q = queues()
+    descending = _Served(q)
     down = _Serving(t, s, q)
     for c in range(255, -1, -1):
-        own = []
+        started = False
         while (chunk := q.pop(c)) is not None:
-            if not own:
+            if not started:
                 chunk[1][0] = 0
-            own.append(chunk)
+            started = True
             down.serve(*chunk)
-        if own:
-            descending[c] = tuple(np.concatenate(x) for x in zip(*own, strict=True))
-        if c in ascending:
-            places, prefixes = ascending[c]
-            back = np.concatenate([prefixes[:1], prefixes[:0:-1]])
-            back[0] = min(run[descending[c][0][-1]], run[places[-1]], CAP) if c in descending else 0
-            down.serve(places[::-1], back)
+            descending.keep(c, *chunk)
+        if c in ascending.last:
+            first = min(run[descending.last[c]], run[ascending.last[c]], CAP) if c in descending.last else 0
+            for places, prefixes in ascending.backward(c, first, again=True):
+                down.serve(places, prefixes)
     yield np.array([n - 1]), np.zeros(1, np.uint8)
     for c in range(1, 256):
-        if c in ascending:
-            yield ascending[c]
-        if c in descending:
-            places, prefixes = descending[c]
-            first = min(run[ascending[c][0][-1]], run[places[-1]], CAP) if c in ascending else 0
-            yield places[::-1], np.concatenate([np.array([first], np.uint8), prefixes[:0:-1]])
+        yield from ascending.forward(c)
+        if c in descending.last:
+            yield from descending.backward(c, min(run[ascending.last[c]], run[descending.last[c]], CAP) if c in ascending.last else 0)

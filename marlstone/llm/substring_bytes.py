@@ -7,7 +7,8 @@ with the least doc_id; within a piece of the scan already, so a passage of many
 row for each piece. A shard leaves out contexts that can share no window: a window has half of its other bytes on one
 side of its anchor's gram, so contexts are kept whose gram with that many bytes before, or after it, is in
 another document's too. It concatenates the others, sorts all suffixes by external induced sorting (see induced), and walks the suffix array: suffixes whose common prefixes reach 50 bytes are equal windows,
-whose least doc_id is their first. Queues that outgrow memory go to the shared folder.
+whose least doc_id is their first. Queues that outgrow memory go to the shared folder, and so do
+served suffixes; a shard's contexts with their documents, and the text made of them, stay in memory.
 
 Windows of a context go where it occurs in a document after its first; in its first document those go whose window
 has an earlier first. Equal texts count as one from the start: only the first is searched, and the others go
@@ -134,13 +135,18 @@ def _saver(folder: str) -> Callable:
             out.write(places.astype("<i8").tobytes())
             out.write(prefixes.tobytes())
 
-        def load() -> tuple[np.ndarray, np.ndarray]:
+        def again() -> tuple[np.ndarray, np.ndarray]:
             with fs.open_input_stream(path) as f:
                 raw = f.read()
-            fs.delete_file(path)
             n = len(raw) // 9
             return np.frombuffer(raw, "<i8", n).astype(np.int64), np.frombuffer(raw, np.uint8, n, 8 * n).copy()
 
+        def load() -> tuple[np.ndarray, np.ndarray]:
+            chunk = again()
+            fs.delete_file(path)
+            return chunk
+
+        load.again = again  # without deleting it
         return load
 
     return save

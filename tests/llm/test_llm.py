@@ -271,3 +271,19 @@ def test_mixing_at_high_rates(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"), F.lit("s").alias("source"), F.lit(2).alias("n_chars"))
     n = np.array([r[1] for r in mixing.mix(docs, {"s": 1.0}, 0.0, budget=600_000.0).groupBy("doc_id").count().collect()])
     assert len(n) == 300 and abs(n.mean() - 1000) < 8 and 650 < n.var() < 1400
+
+
+def test_served_suffixes_spill(tmp_path):
+    """With a small limit all but a few suffixes go to files, and memory doesn't keep nine bytes of each."""
+    t = np.append(np.random.default_rng(2).integers(97, 117, 400_000, np.uint8), np.uint8(0))
+    save, written = substring_bytes._saver(f"file://{tmp_path}/q"), []
+
+    def counted(places, prefixes):
+        written.append(len(places))
+        return save(places, prefixes)
+
+    pieces = list(sorted_suffixes(t, lambda: Queues(counted, 1_000)))
+    want = [np.concatenate(x) for x in zip(*sorted_suffixes(t), strict=True)]
+    assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*pieces, strict=True), want, strict=True))
+    assert sum(written) > 2 * len(t) - 100_000  # each suffix in its queue, and once served; before: the queues' alone
+    assert not list((tmp_path / "q").iterdir())
