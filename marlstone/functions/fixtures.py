@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import Matrix
@@ -40,3 +40,12 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> Matrix:
     m, n = table(spark, sf_dir, "part").count(), table(spark, sf_dir, "supplier").count()
     e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("int").alias("row"), F.col("l_suppkey").cast("int").alias("col")).agg(F.sum("l_quantity").alias("val"))
     return Matrix(e, m, n)
+
+
+def user_event(spark: SparkSession, sf_dir: str) -> Matrix:
+    """Counts by user_id and the event type's rank."""
+    events = table(spark, sf_dir, "events").where("user_id is not null and event_type is not null")
+    types = events.select("event_type").distinct().withColumn("col", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int"))
+    e = events.join(F.broadcast(types), "event_type").groupBy(F.col("user_id").cast("int").alias("row"), "col").agg(F.count(F.lit(1)).cast("double").alias("val"))
+    last = events.agg(F.max("user_id")).first()[0]
+    return Matrix(e, 0 if last is None else last + 1, types.count())

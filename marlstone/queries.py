@@ -126,6 +126,17 @@ def _(s, d):
     return L.to_dense(X.parts_square(s, d).entries.where("row < 50 and col < 50"), 50, 50)
 
 
+_EVENTS = "ev AS (SELECT * FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL)"
+_TYPES = "ty AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS col FROM (SELECT DISTINCT event_type FROM ev))"
+_USER_EVENT = "f AS (SELECT user_id AS row, col, CAST(count(*) AS DOUBLE) AS val FROM ev JOIN ty USING (event_type) GROUP BY 1, 2)"
+
+
+@_query("sparse_to_dense_whole", "SELECT CAST(r.i AS INT) AS row, CAST(c.j AS INT) AS col, coalesce(val, 0) AS val FROM range((SELECT max(user_id) + 1 FROM ev)) r(i) CROSS JOIN range((SELECT count(*) FROM ty)) c(j) LEFT JOIN f ON f.row = r.i AND f.col = c.j", _EVENTS, _TYPES, _USER_EVENT)
+def _(s, d):
+    m = X.user_event(s, d)
+    return L.to_dense(m.entries, m.m, m.n)
+
+
 @_query("spmv", f"SELECT CAST(t.i AS INT) AS i, coalesce(sum(val * x), 0) AS x FROM range({_N}) t(i) LEFT JOIN e ON e.row = t.i LEFT JOIN v ON e.col = v.i GROUP BY t.i", _E, _VEC)
 def _(s, d):
     m = X.parts_square(s, d)

@@ -115,3 +115,13 @@ def test_parameters_and_reports(spark):
     x = T.default_vector(spark, 2)
     e = spark.createDataFrame([(0, 0, 2.0), (0, 1, 3.0)], "row int, col int, val double")
     assert running_spmv(e, x).collect()[0].y == 8.0
+
+
+def test_whole_matrix_is_made_dense(spark):
+    """All cells of F4, by the query's own SQL and by count."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{D}/events.parquet')")
+    want = sorted(con.execute(Q.ORACLES["sparse_to_dense_whole"]).fetchall())
+    got = sorted(tuple(r) for r in Q.QUERIES["sparse_to_dense_whole"](spark, D).collect())
+    users, types, rows = con.execute("SELECT max(user_id) + 1, count(DISTINCT event_type), count(*) FROM events").fetchone()
+    assert got == want and len(got) == users * types and sum(v for *_, v in got) == rows
