@@ -18,6 +18,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -146,9 +147,9 @@ def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[top[away]], nodes[away]
 
 
-def _spread(step: int, left: str):
+def _spread(step: int, left: str, budget: int):
     """What `step` bits further down can differ within the budget left: array of (mask, left)."""
-    masks = [m for m in range(1 << step) if bin(m).count("1") <= BUDGET]
+    masks = [m for m in range(1 << step) if bin(m).count("1") <= budget]
     options = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), (F.col(left) - bin(m).count("1")).cast("int").alias("left")) for m in masks])
     return F.filter(options, lambda o: o["left"] >= 0)
 
@@ -165,7 +166,7 @@ def links(nodes: DataFrame, node_rows: int = NODE_ROWS, task_rows: int = TASK_RO
     depth = max(0, min(40, int(np.ceil(np.log2(max(1, count / node_rows))))))
     prefix = lambda d: F.shiftrightunsigned("fp", BITS - d) if d else F.lit(0).cast("long")
     pair = lambda p, diff: F.least(p, p.bitwiseXOR(diff))
-    masks = [0] + [1 << i for i in range(depth)] + [(1 << i) | (1 << j) for i in range(depth) for j in range(i) if budget >= 2]
+    masks = [sum(1 << i for i in bits) for k in range(min(budget, depth) + 1) for bits in combinations(range(depth), k)]
     start = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("diff"), F.lit(budget - bin(m).count("1")).alias("left")) for m in masks]))
     rows = nodes.select("fp", start.alias("o")).select("fp", "o.diff", "o.left").withColumn("low", pair(prefix(depth), F.col("diff")))
     out = None
@@ -179,7 +180,7 @@ def links(nodes: DataFrame, node_rows: int = NODE_ROWS, task_rows: int = TASK_RO
         if not over:
             return out
         step = min(STEP, BITS - depth)
-        deeper = rows.join(big.select("low", "diff"), ["low", "diff"], "left_semi").withColumn("o", F.explode(_spread(step, "left")))
+        deeper = rows.join(big.select("low", "diff"), ["low", "diff"], "left_semi").withColumn("o", F.explode(_spread(step, "left", budget)))
         depth += step
         rows = materialize(
             deeper.select("fp", F.shiftleft("diff", step).bitwiseOR(F.col("o.mask")).alias("diff"), F.col("o.left").alias("left")).withColumn("low", pair(prefix(depth), F.col("diff")))

@@ -287,3 +287,14 @@ def test_served_suffixes_spill(tmp_path):
     assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*pieces, strict=True), want, strict=True))
     assert sum(written) > 2 * len(t) - 100_000  # each suffix in its queue, and once served; before: the queues' alone
     assert not list((tmp_path / "q").iterdir())
+
+
+@pytest.mark.parametrize("sizes", [(4, 10_000), (4, 20)])
+def test_links_of_larger_budgets(spark, sizes):
+    """Pairs that differ in three of the top bits are linked too."""
+    r = np.random.default_rng(4)
+    fps = [int(x) for x in r.integers(0, 2**63, 40)]
+    pairs = [(x, x ^ (0b111 << k)) for x, k in zip(fps, [60, 59, 58, 57, 40, 20, 0, 56] * 5, strict=True)]
+    nodes = spark.createDataFrame([(int(np.uint64(y).view(np.int64)),) for p in pairs for y in p], "fp long")
+    found = {frozenset((a & 2**64 - 1, b & 2**64 - 1)) for a, b in simhash.links(nodes, *sizes, budget=3).collect()}
+    assert found == {frozenset(p) for p in pairs}
