@@ -7,18 +7,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether shuffle files go when a query ends, not when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset, one in /tmp (tests)."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, one in /tmp, but only for a local master:
+    on a cluster every machine would write to its own disk."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = getattr(shared_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         shared_dir.own = root
     return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once.
+
+    The table stands in for the shuffles behind it, so their files go as soon as it is written.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and that no later step reads."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._shared_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
