@@ -2,42 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the contracts: space and U+0009 to U+000D.
-SPACE = "[\\x20\\x09-\\x0D]+"
-#: Whether shuffle files go when a query ends, not when the driver's garbage is collected.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+from ..storage import discard, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; only where none is named, one in /tmp (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(shared_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        shared_dir.own = root
-    return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
+__all__ = ["SPACE", "arrow_map", "blank_null", "connected_components", "discard", "materialize", "one_row_per_id", "parallelism", "possible", "shared_dir", "table"]
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once.
-
-    The table stands in for the shuffles behind it, so their files go as soon as it is written.
-    """
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+#: White space of the contracts: space and U+0009 to U+000D.
+SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +37,20 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def possible(rows: DataFrame, ids: DataFrame, key: str = "doc_id", most_words: int = 1 << 20) -> DataFrame:
+    """The rows whose key is among ids (one column, any number), and a few others: spares most others the shuffle of a join.
+
+    The ids set bits in 64-bit words, about four in each, so one row in sixteen passes by chance. At most `most_words`
+    words are broadcast, so beyond four times as many ids more rows pass by chance, but none is ever lost.
+    """
+    name = ids.columns[0]
+    words = max(1, min(most_words, ids.count() // 4 + 1))
+    word = lambda c: f"pmod(xxhash64(cast({c} as bigint), 5), {words})"
+    bit = lambda c: f"shiftleft(1L, cast(pmod(xxhash64(cast({c} as bigint), 6), 64) as int))"
+    bits = ids.groupBy(F.expr(word(name)).alias("__word")).agg(F.expr(f"bit_or({bit(name)})").alias("__bits"))
+    return rows.join(F.broadcast(bits), (F.expr(word(key)) == F.col("__word")) & (F.col("__bits").bitwiseAND(F.expr(bit(key))) != 0)).select(rows.columns)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) of an edge list: component is the smallest node reachable.
 
@@ -79,7 +69,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = materialize(small.where("u <> v").distinct())
+        was, now = now, materialize(small.where("u <> v").distinct())
+        discard(was)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

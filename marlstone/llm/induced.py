@@ -1,15 +1,18 @@
-"""External induced sorting of suffixes with their common prefixes.
-
-Suffixes are S (less than the next one) or L. The leftmost S suffixes of each run of S are sorted by themselves, as far
-as CAP bytes; all others are induced: served in ascending order, a suffix puts the L suffix before it into the queue
-of that one's first byte; served in descending order, the S suffix before it. Within a queue the order of
-arrival is the right one, so the priority queue is a FIFO for each byte, served byte by byte. Its entries are tuples
-(place, common prefix with the entry before); a new entry's prefix is one more than the least that was seen since
-the last entry of its queue. Queues hold at most `limit` entries in memory; beyond that the longest ones
-go to files and come back in order. Served suffixes are needed once more, backward or for the result: beyond `limit` they
-are in files too, read a chunk at a time. In memory stay the text with four bytes more for each of its own and the places
-of the leftmost S suffixes; of those, one symbol's are sorted at a time. The recursion ends with the first level, because prefixes beyond CAP
-bytes don't matter here: that level's suffixes are compared as seven 8-byte words.
+"""External recursive induced sorting of suffixes with their common prefixes.
+
+Suffixes are S (less than the next one) or L. The leftmost S suffix of each run of S begins a substring that ends with the
+next one's first symbol. These substrings are named in their order; where names repeat, the string of names, a
+third as long or less, is sorted in the same way, level by level, until all names differ. The order of the leftmost S suffixes
+then induces that of all others: served in ascending order, a suffix puts the L suffix before it into the queue of that
+one's first symbol; served in descending order, the S suffix before it.
+
+The text itself is sorted with queues on disk: within a queue the order of arrival is the right one, so the priority queue is
+a FIFO for each byte, served byte by byte. Its entries are tuples (place, common prefix with the entry before); a
+new entry's prefix is one more than the least that was seen since the last entry of its queue. Queues hold at most
+`limit` entries in memory; beyond that the longest ones go to files and come back in order. Served suffixes are needed once
+more, backward or for the result: beyond `limit` they are in files too, read a chunk at a time. Prefixes beyond CAP bytes aren't told apart.
+In memory stay the text with four bytes more for each of its own, and the reduced strings, which are sorted in arrays: their symbols are too many
+for a queue each, so symbols are served by ranges, each as long as nothing in it induces into it.
 """
 
 from __future__ import annotations
@@ -64,22 +67,151 @@ def _types(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, run
 
 
-def _first_level(t: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """places by the first CAP bytes of their suffixes, and the common prefix with the one before."""
-    padded = np.concatenate([t, np.zeros(CAP + 8, np.uint8)])
-    view = np.ndarray((len(t) + CAP,), ">u8", padded, strides=(1,))
-    words = [view[places + 8 * j].astype(np.uint64) for j in range(CAP // 8)]
-    order = np.lexsort(words[::-1])
+def _leftmost(s: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(s[1:] & ~s[:-1]) + 1
+
+
+def _refined(rank: np.ndarray, rows: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """Ranks told apart further by keys (the first counts most) of rows, which hold all or none of the equal ranks."""
+    order = np.lexsort([*keys[::-1], rank[rows]])
+    r = rank[rows][order]
+    same = np.concatenate([[False], r[1:] == r[:-1]])
+    differs = np.zeros(len(r), bool)
+    for k in keys:
+        differs[1:] |= k[order[1:]] != k[order[:-1]]
+    step = np.cumsum(same & differs)
+    begin = np.flatnonzero(~same)
+    within = step - np.repeat(step[begin], np.diff(np.append(begin, len(r))))
+    extra = np.zeros(int(rank.max()) + 2, np.int64)
+    last = np.append(begin[1:], len(r)) - 1
+    extra[r[begin] + 1] = within[last]
+    out = rank + np.cumsum(extra)[rank]
+    out[rows[order]] += within
+    return out
+
+
+def _byte_names(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Names of the substrings from each place of lms to the next, in order. At its end a substring is larger than any that goes on: 255."""
+    size = np.append(lms[1:], lms[-1]) - lms + 1
+    longest = int(size.max())
+    view = np.ndarray((len(t) + longest + 8,), ">u8", np.concatenate([t, np.zeros(longest + 15, np.uint8)]), strides=(1,))
+
+    def word(rows: np.ndarray, k: int) -> np.ndarray:
+        w, left = view[lms[rows] + 8 * k].astype(np.uint64), size[rows] - 8 * k
+        short = np.flatnonzero(left < 8)
+        n = np.maximum(left[short], 0).astype(np.uint64) * np.uint64(8)
+        w[short] = np.where(left[short] < 0, 0, (w[short] & ~(np.uint64(2**64 - 1) >> n)) | (np.uint64(255) << (np.uint64(56) - n)))
+        return w
+
+    rank = np.unique(word(np.arange(len(lms)), 0), return_inverse=True)[1].astype(np.int64)
+    rows = np.flatnonzero(size >= 8)
+    return _refined(rank, rows, [word(rows, k) for k in range(1, longest // 8 + 1)]) if len(rows) else rank
+
+
+def _names(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """As _byte_names, of a string of numbers."""
+    size = np.append(lms[1:], lms[-1]) - lms + 1
+    end = int(t.max()) + 1
+    rank = np.unique(t[lms], return_inverse=True)[1].astype(np.int64)
+    for k in range(1, int(size.max()) + 1):
+        rows = np.flatnonzero(size >= k)
+        rank = _refined(rank, rows, [np.where(size[rows] > k, t[np.minimum(lms[rows] + k, len(t) - 1)], end)])
+    return rank
+
+
+def _ordered(t: np.ndarray, lms: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """lms in the order of their suffixes."""
+    return lms[np.argsort(names)] if int(names.max()) + 1 == len(names) else lms[suffix_order(names)]
+
+
+def suffix_order(t: np.ndarray) -> np.ndarray:
+    """The suffix array of a string of numbers from 0 that ends in its only 0."""
+    n = len(t)
+    if n == 1:
+        return np.zeros(1, np.int64)
+    s = _types(t)[0]
+    lms = _leftmost(s)
+    seeds = _ordered(t, lms, _names(t, lms))
+    start = np.concatenate([[0], np.cumsum(np.bincount(t))])
+    top = len(start) - 1
+    sa = np.full(n, -1)
+    c = t[seeds]
+    many = np.bincount(c, minlength=top)
+    sa[start[c + 1] - many[c] + np.arange(len(c)) - (np.cumsum(many) - many)[c]] = seeds
+
+    def induce(served: np.ndarray, kind: np.ndarray, free: np.ndarray, step: int) -> None:
+        before = served - 1
+        before = before[(before >= 0) & kind[before]]
+        symbol = t[before]
+        order = np.argsort(symbol, kind="stable")
+        before, symbol = before[order], symbol[order]
+        cut = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]])) if len(symbol) else np.zeros(0, np.int64)
+        size = np.diff(np.append(cut, len(symbol)))
+        nth = np.arange(len(symbol)) - np.repeat(cut, size)
+        sa[free[symbol] + step * nth] = before
+        free[symbol[cut]] += step * size
+
+    def clashing(served: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        before = served - 1
+        return t[before[(before >= 0) & kind[before]]]
+
+    large, head, a, width = ~s, start[:-1].copy(), 0, 64
+    while a < top:
+        b = min(top, a + width)
+        part = sa[start[a] : start[b]]
+        part = part[part >= 0]
+        met = clashing(part, large)
+        met = met[met < b]
+        first = int(met.min()) if len(met) else b
+        if first > a:
+            induce(part[t[part] < first] if first < b else part, large, head, 1)
+            width = width * 2 if first == b else max(16, 2 * (first - a))
+            a = first
+            continue
+        at = start[a]
+        while at < head[a]:
+            part, at = sa[at : head[a]], head[a]
+            induce(part, large, head, 1)
+        part = sa[at : start[a + 1]]
+        induce(part[part >= 0], large, head, 1)
+        a += 1
+    sa[sa >= 0] = np.where(s[sa[sa >= 0]], -1, sa[sa >= 0])
+    tail, b, width = start[1:] - 1, top, 64
+    while b > 0:
+        a = max(0, b - width)
+        part = sa[start[a] : start[b]][::-1]
+        part = part[part >= 0]
+        met = clashing(part, s)
+        met = met[met >= a]
+        last = int(met.max()) + 1 if len(met) else a
+        if last < b:
+            induce(part[t[part] >= last] if last > a else part, s, tail, -1)
+            width = width * 2 if last == a else max(16, 2 * (b - last))
+            b = last
+            continue
+        at = start[b]
+        while at > tail[b - 1] + 1:
+            part, at = sa[tail[b - 1] + 1 : at][::-1], tail[b - 1] + 1
+            induce(part, s, tail, -1)
+        part = sa[start[b - 1] : at][::-1]
+        induce(part[part >= 0], s, tail, -1)
+        b -= 1
+    sa[0] = n - 1
+    return sa
+
+
+def _prefixes(t: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Common prefix of each place's suffix with that of the place before, up to CAP bytes; 0 for the first."""
+    view = np.ndarray((len(t) + CAP,), ">u8", np.concatenate([t, np.zeros(CAP + 8, np.uint8)]), strides=(1,))
     prefix = np.full(len(places), CAP, np.uint8)
-    for j in range(CAP // 8 - 1, -1, -1):
-        w = words[j][order]
-        x = w[1:] ^ w[:-1]
+    prefix[:1] = 0
+    open_ = np.arange(1, len(places))
+    for j in range(CAP // 8):
+        x = (view[places[open_] + 8 * j] ^ view[places[open_ - 1] + 8 * j]).astype(np.uint64)
         k = np.flatnonzero(x)
-        zeros = sum((x[k] < np.uint64(1 << (64 - 8 * b))).astype(np.uint8) for b in range(1, 8))
-        prefix[k + 1] = 8 * j + zeros
-    if len(prefix):
-        prefix[0] = 0
-    return places[order], prefix
+        prefix[open_[k]] = 8 * j + sum((x[k] < np.uint64(1 << (64 - 8 * b))).astype(np.uint8) for b in range(1, 8))
+        open_ = open_[x == 0]
+    return prefix
 
 
 class _Serving:
@@ -149,11 +281,14 @@ class _Served:
 
 
 def sorted_suffixes(t: np.ndarray, queues: Callable[[], Queues] = Queues) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pieces of the suffix array of t (uint8, ending in its only 0) with common prefixes up to CAP, in ascending order."""
+    """Pieces of the suffix array of t (uint8 below 255, ending in its only 0) with common prefixes up to CAP, in ascending order."""
     n = len(t)
+    if n == 1:
+        yield np.zeros(1, np.int64), np.zeros(1, np.uint8)
+        return
     s, run = _types(t)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    lms = lms[np.argsort(t[lms], kind="stable")].astype(np.int32 if n < 2**31 else np.int64)
+    lms = _leftmost(s)
+    lms = _ordered(t, lms, _byte_names(t, lms)).astype(np.int32 if n < 2**31 else np.int64)
     at = np.searchsorted(t[lms], np.arange(257)).tolist()
     q = queues()
     ascending = _Served(q)
@@ -167,7 +302,8 @@ def sorted_suffixes(t: np.ndarray, queues: Callable[[], Queues] = Queues) -> Ite
             up.serve(*chunk)
             ascending.keep(c, *chunk)
         if at[c] < at[c + 1]:
-            places, prefixes = _first_level(t, lms[at[c] : at[c + 1]].astype(np.int64))
+            places = lms[at[c] : at[c + 1]].astype(np.int64)
+            prefixes = _prefixes(t, places)
             prefixes[0] = min(run[ascending.last[c]], run[places[0]], CAP) if c in ascending.last else 0
             up.serve(places, prefixes)
     del lms

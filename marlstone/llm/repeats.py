@@ -18,14 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_null, materialize
+from .common import blank_null, discard, materialize, possible
 
-#: Bits of a key, of its bucket, and bytes that hold the rest.
-KEY_BITS, BUCKET_BITS = 50, 10
-REST_BYTES = -(-(KEY_BITS - BUCKET_BITS) // 8)
+KEY_BITS = 50
 CHUNK_ANCHORS = 1_000_000
 PIECE_BYTES = 2_000_000
-BROADCAST_IDS = 500_000
+#: A bucket gets about so many anchors; there are at least 2 ** 6 and at most 2 ** 20 buckets.
+BUCKET_ANCHORS = 500_000
 
 U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93)
@@ -43,20 +42,6 @@ def joined(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
     return mix(a * _A + (b ^ (b >> U(31))) * _B + U(salt))
 
 
-def spans(h: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
-    """Names of h[i : i + length] for each i; n - length + 1 of them. Runs of 1, 2, 4, ... are named from their halves."""
-    part, out, done, size = h, None, 0, 1
-    while True:
-        if length & size:
-            tail = part[done : done + len(h) - length + 1] if out is not None else part[: len(h) - length + 1]
-            out = tail if out is None else joined(out, tail, salt + size)
-            done += size
-        if size * 2 > length:
-            return out
-        part = joined(part[:-size], part[size:], salt + 7 * size)
-        size *= 2
-
-
 def least_in(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of x[i : i + width] for each i."""
     size = 1
@@ -66,12 +51,30 @@ def least_in(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about PIECE_BYTES."""
+def least_place(x: np.ndarray, width: int) -> np.ndarray:
+    """Where in x[i : i + width] the upper 40 bits are least, the leftmost of equals, for each i."""
+    low, step, n = U((1 << 24) - 1), (1 << 24) - width, len(x) - width + 1
+    out = [np.zeros(0, np.int64)]
+    for a in range(0, n, step):
+        part = x[a : min(a + step, n) + width - 1]
+        least = least_in((part & ~low) | np.arange(len(part), dtype=U), width)
+        out.append(a + (least & low).astype(np.int64))
+    return np.concatenate(out)
+
+
+def segments(texts: list, size: int, overlap: int) -> Iterator[tuple[int, int, object]]:
+    """(text's number, offset, part): whole texts, or parts of at most size + overlap units where they are longer."""
+    for k, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - overlap), size):
+            yield k, at, t if len(t) <= size + overlap else t[at : at + size + overlap]
+
+
+def pieces(texts: list, units: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many units."""
     begin = size = 0
     for k, t in enumerate(texts):
         size += len(t)
-        if size >= PIECE_BYTES:
+        if size >= units:
             yield begin, k + 1
             begin, size = k + 1, 0
     if begin < len(texts):
@@ -89,7 +92,7 @@ def _from_planes(b: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-_PACKED = "bucket int, known boolean, keys binary, docs binary"
+_PACKED = "shard int, bucket int, known boolean, keys binary, docs binary"
 _INFO = "doc_id long, n long, t1 long, t2 long, kept_sha256 string"
 
 
@@ -100,23 +103,36 @@ def by_doc(docs: np.ndarray, keys: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array(docs[at]), pa.ListArray.from_arrays(pa.array(np.append(at, len(docs)).astype(np.int32)), pa.array(keys.view(np.int64)))
 
 
-def pack(keys: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of a chunk's anchors by bucket: each key once, and once more, as known, with every document of several."""
+def bucket_bits(anchors: float) -> int:
+    """Enough buckets for about so many anchors."""
+    return max(6, min(20, int(np.ceil(np.log2(max(1.0, anchors / BUCKET_ANCHORS))))))
+
+
+def pack(keys: np.ndarray, docs: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk's anchors by bucket: each key once, and once more, as known, with every document of several.
+
+    What is known needs no meeting, so those rows go to any shard, not to their bucket's.
+    """
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
     keys, docs = keys[new], docs[new]
     first = np.concatenate([[True], keys[1:] != keys[:-1]])
     last = np.concatenate([first[1:], [True]])
+    rest = -(-(KEY_BITS - bits) // 8)
+    anywhere = int(mix(docs[:1].view(U))[0] & U(0xFFFFF))
     for known, fit in ((True, ~(first & last)), (False, first)):
         k, d = keys[fit], docs[fit]
-        cut = np.searchsorted((k >> U(KEY_BITS - BUCKET_BITS)).astype(np.int64), np.arange((1 << BUCKET_BITS) + 1)).tolist()
-        full = [b for b in range(1 << BUCKET_BITS) if cut[b] < cut[b + 1]]
-        if full:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([known] * len(full)), pa.array([_planes(k[cut[b] : cut[b + 1]], REST_BYTES) for b in full]), pa.array([_planes(d[cut[b] : cut[b + 1]].view(U), 8) for b in full])],
-                ["bucket", "known", "keys", "docs"],
-            )
+        if not len(k):
+            continue
+        bucket = (k >> U(KEY_BITS - bits)).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(k)]
+        full = bucket[cut[:-1]]
+        shard = (full + anywhere) % (1 << bits) if known else full
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(shard.astype(np.int32)), pa.array(full.astype(np.int32)), pa.array([known] * len(full)), pa.array([_planes(k[a:b], rest) for a, b in zip(cut[:-1], cut[1:], strict=True)]), pa.array([_planes(d[a:b].view(U), 8) for a, b in zip(cut[:-1], cut[1:], strict=True)])],
+            ["shard", "bucket", "known", "keys", "docs"],
+        )
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -136,8 +152,8 @@ def described(docs: DataFrame, units: Callable[[bytes], int], content: Callable[
     return _rows(docs).mapInArrow(run, _INFO)
 
 
-def packed(docs: DataFrame, content: Callable[[bytes], bytes], anchors: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """All anchors, as pack() gives them. anchors(texts) gives keys and the texts' numbers."""
+def packed(docs: DataFrame, content: Callable[[bytes], bytes], anchors: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
+    """All anchors, as pack() gives them for 2 ** bits buckets. anchors(texts) gives keys and the texts' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -151,37 +167,38 @@ def packed(docs: DataFrame, content: Callable[[bytes], bytes], anchors: Callable
                     held.append((keys, ids[lo + x : lo + y][which]))
                     many += len(keys)
                     if many >= CHUNK_ANCHORS:
-                        yield from pack(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                        yield from pack(*(np.concatenate(c) for c in zip(*held, strict=True)), bits)
                         held, many = [], 0
         if many:
-            yield from pack(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield from pack(*(np.concatenate(c) for c in zip(*held, strict=True)), bits)
 
     return _rows(docs).mapInArrow(run, _PACKED)
 
 
-def repeated(anchors: DataFrame) -> DataFrame:
+def repeated(anchors: DataFrame, bits: int) -> DataFrame:
     """(doc_id, keys): each document's keys that other documents have too. anchors: packed()."""
+    rest = -(-(KEY_BITS - bits) // 8)
 
     def meet(t: pa.Table) -> pa.Table:
-        top = U(t.column("bucket")[0].as_py()) << U(KEY_BITS - BUCKET_BITS)
-        keys = np.concatenate([_from_planes(x, REST_BYTES) for x in t.column("keys").to_pylist()]) | top
+        top = np.repeat(t.column("bucket").to_numpy().astype(U) << U(KEY_BITS - bits), [len(x) // rest for x in t.column("keys").to_pylist()])
+        keys = np.concatenate([_from_planes(x, rest) for x in t.column("keys").to_pylist()]) | top
         docs = np.concatenate([_from_planes(x, 8) for x in t.column("docs").to_pylist()]).view(np.int64)
-        known = np.repeat(t.column("known").to_numpy(), [len(x) // REST_BYTES for x in t.column("keys").to_pylist()])
+        known = np.repeat(t.column("known").to_numpy(), [len(x) // rest for x in t.column("keys").to_pylist()])
         told = keys[known], docs[known]
         keys, docs = keys[~known], docs[~known]
         order = np.argsort(keys, kind="stable")
         keys, docs = keys[order], docs[order]
         same = keys[1:] == keys[:-1]
-        many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        many = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(keys) else np.zeros(0, bool)
         ids, lists = by_doc(np.concatenate([told[1], docs[many]]), np.concatenate([told[0], keys[many]]))
         return pa.table({"doc_id": ids.cast(pa.int64()), "repeated": lists})
 
-    found = anchors.groupBy("bucket").applyInArrow(meet, "doc_id long, repeated array<long>")
+    found = anchors.groupBy("shard").applyInArrow(meet, "doc_id long, repeated array<long>")
     return found.groupBy("doc_id").agg(F.flatten(F.collect_list("repeated")).alias("keys"))
 
 
-def suspects(docs: DataFrame, info: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, texts) from described() and packed().
+def suspects(docs: DataFrame, info: DataFrame, content: Callable, anchors: Callable, anchors_per_unit: float) -> tuple[DataFrame, DataFrame]:
+    """(documents, texts). info: described(), written; content and anchors: as in packed().
 
     documents: doc_id, n, t1, t2, kept_sha256, first_id (least doc_id with the same text). texts: doc_id, t1,
     text, keys of the first of each text that has repeated keys, written to the shared folder.
@@ -189,11 +206,12 @@ def suspects(docs: DataFrame, info: DataFrame, anchors: DataFrame) -> tuple[Data
     groups = info.groupBy(F.col("t1").alias("g1"), F.col("t2").alias("g2")).agg(F.min("doc_id").alias("first_id"))
     documents = info.join(groups, (F.col("t1") == F.col("g1")) & (F.col("t2") == F.col("g2"))).drop("g1", "g2")
     firsts = documents.where("doc_id = first_id").select(F.col("doc_id").alias("d"), "t1").distinct()
-    todo = materialize(repeated(anchors).join(firsts, F.col("doc_id") == F.col("d")).select("d", "t1", "keys"))
+    bits = bucket_bits((info.agg(F.sum("n")).first()[0] or 0) * anchors_per_unit)
+    todo = materialize(repeated(packed(docs, content, anchors, bits), bits).join(firsts, F.col("doc_id") == F.col("d")).select("d", "t1", "keys"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank_null().alias("text"))
-    if todo.count() <= BROADCAST_IDS:  # spares the other texts the shuffle
-        rows = rows.join(F.broadcast(todo.select(F.col("d").alias("id")).distinct()), F.col("doc_id") == F.col("id"), "left_semi")
-    return documents, materialize(rows.join(todo, F.col("doc_id") == F.col("d")).select("doc_id", "t1", "text", "keys"))
+    texts = materialize(possible(rows, todo.select("d")).join(todo, F.col("doc_id") == F.col("d")).select("doc_id", "t1", "text", "keys"))
+    discard(todo)
+    return documents, texts
 
 
 def name_of(content: bytes) -> int:

@@ -1,21 +1,23 @@
-"""Substring dedup over bytes by external induced sorting of suffixes.
+"""Substring dedup over bytes by external recursive induced sorting of suffixes.
 
 A window of 50 bytes picks an anchor, the 32-gram in it with the least hash; windows whose anchor other documents have
 too (see repeats) are cut out with their neighbours as contexts: all windows in a row with one anchor, which is at
 most 68 bytes. Equal windows have equal anchors, so contexts are dealt to shards by anchor. Equal contexts count once,
 with the least doc_id; within a piece of the scan already, so a passage of many documents costs a shard one
-row for each piece. A shard leaves out contexts that can share no window: a window has half of its other bytes on one
-side of its anchor's gram, so contexts are kept whose gram with that many bytes before, or after it, is in
-another document's too. It concatenates the others, sorts all suffixes by external induced sorting (see induced), and walks the suffix array: suffixes whose common prefixes reach 50 bytes are equal windows,
-whose least doc_id is their first. Queues that outgrow memory go to the shared folder, and so do
-served suffixes; a shard's contexts with their documents, and the text made of them, stay in memory.
+row for each piece. Anchors that very many documents share are split: their contexts are dealt window by window, each to its
+own hash's shard, so that no shard grows with the corpus. A shard leaves out contexts that can share no window: a window has half of its
+other bytes on one side of its anchor's gram, so contexts are kept whose gram with that many bytes before, or after it, is in
+another document's too. It concatenates the others, sorts all suffixes (see induced), and walks the suffix array: suffixes whose
+common prefixes reach 50 bytes are equal windows, whose least doc_id is their first. Queues that outgrow memory go to the
+shared folder, and so do served suffixes.
 
 Windows of a context go where it occurs in a document after its first; in its first document those go whose window
 has an earlier first. Equal texts count as one from the start: only the first is searched, and the others go
 whole (if they have 50 bytes).
 
 Nulls: a null text is empty; rows without doc_id are left out; rows that repeat a doc_id are documents of their own that
-don't count as smaller than each other. Extra columns aren't read. An empty table gives no rows.
+don't count as smaller than each other. Texts longer than SEGMENT are scanned in parts that overlap by a window. Extra
+columns aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,14 +35,19 @@ from pyspark.sql import functions as F
 
 from .common import materialize, parallelism, shared_dir, table
 from .induced import Queues, sorted_suffixes
-from .repeats import KEY_BITS, U, described, joined, least_in, mix, name_of, packed, pieces, suspects
+from .repeats import KEY_BITS, U, described, joined, least_place, mix, name_of, pieces, segments, suspects
 
 WINDOW = 50
 GRAM = 32
 #: Bytes of contexts that a shard gets on average, and entries that its queues keep in memory.
 SHARD_BYTES = 8_000_000
-QUEUE_ENTRIES = 8_000_000
-_LOW = U((1 << 24) - 1)
+QUEUE_ENTRIES = 4_000_000
+#: An anchor is split that more documents have than HOT and than one HOT_SHARE-th of all places of repeated anchors; at most HOT_SHARE are.
+HOT, HOT_SHARE = 2_000, 1_000_000
+#: Bytes of a text that are scanned at once.
+SEGMENT = 4_000_000
+#: Anchors of a byte of text, about.
+DENSITY = 2 / (WINDOW - GRAM + 2)
 #: At least so many bytes of a window lie before its anchor's gram, or after it.
 SIDE = -((GRAM - WINDOW) // 2)
 _CONTEXT = "key int, context binary, doc_id long, t1 long, at int, many int, gap int"
@@ -64,23 +71,23 @@ def window_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     n = int(ends[-1]) - WINDOW + 1 if len(ends) else 0
     if n <= 0:
         return g, starts, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = (g & ~_LOW) | (np.arange(len(g), dtype=U) & _LOW)
-    least = least_in(place, WINDOW - GRAM + 1)
+    least = least_place(g, WINDOW - GRAM + 1)
     whole = np.zeros(int(ends[-1]) + 1, np.int8)
     long = sizes >= WINDOW
     np.add.at(whole, starts[long], 1)
     np.add.at(whole, ends[long] - WINDOW + 1, -1)
     windows = np.flatnonzero(np.cumsum(whole[:n], dtype=np.int8) > 0)
-    return g, starts, windows, windows + (((least[windows] & _LOW).astype(np.int64) - windows) & ((1 << 24) - 1))
+    return g, starts, windows, least[windows]
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    g, starts, _, a = window_anchors(texts)
+    number, _, parts = zip(*segments(texts, SEGMENT, WINDOW - 1), strict=True)
+    g, starts, _, a = window_anchors(list(parts))
     a = a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
-    return mix(g[a]) >> U(64 - KEY_BITS), np.searchsorted(starts, a, "right") - 1
+    return mix(g[a]) >> U(64 - KEY_BITS), np.array(number)[np.searchsorted(starts, a, "right") - 1]
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(key, context, doc_id, t1, at, many, gap) of windows in a row with one repeated anchor, gap bytes on.
 
     key is the low half of the anchor's; it only chooses the shard.
@@ -90,8 +97,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for b in batches:
         ids, names, every = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.binary()).to_pylist()
-        for x, y in pieces(every):
-            texts = every[x:y]
+        fits = [name_of(t) == n for t, n in zip(every, names.tolist(), strict=True)]
+        number, offset, parts = (list(x) for x in zip(*segments(every, SEGMENT, WINDOW - 1), strict=True))
+        for x, y in pieces(parts):
+            texts, which, shift = parts[x:y], np.array(number[x:y]), np.array(offset[x:y])
             g, starts, windows, a = window_anchors(texts)
             if not len(windows):
                 continue
@@ -102,25 +111,37 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge = np.searchsorted(doc, np.arange(len(texts) + 1))
             hit = np.zeros(len(key), bool)
             for k in range(len(texts)):
-                if edge[k] < edge[k + 1] and name_of(texts[k]) == names[x + k]:
-                    hit[edge[k] : edge[k + 1]] = np.isin(key[edge[k] : edge[k + 1]], b.column(3)[x + k].values.to_numpy(zero_copy_only=False).view(U))
+                if edge[k] < edge[k + 1] and fits[which[k]]:
+                    hit[edge[k] : edge[k + 1]] = np.isin(key[edge[k] : edge[k + 1]], b.column(3)[int(which[k])].values.to_numpy(zero_copy_only=False).view(U))
             hits = np.flatnonzero(hit)
             if not len(hits):
                 continue
             at = begin[hits] - starts[doc[hits]]
             cut = [texts[d][p : p + m] for d, p, m in zip(doc[hits].tolist(), at.tolist(), (end - begin)[hits].tolist(), strict=True)]
+            at += shift[doc[hits]]
             named = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, cut)), "<i8").reshape(-1, 2)
             gap = a[new][hits] - begin[hits]
-            owner, many, key = ids[x:y][doc[hits]], (end - begin)[hits] - WINDOW + 1, key[hits].astype(np.int64)
+            row = which[doc[hits]]
+            owner, many, key = ids[row], (end - begin)[hits] - WINDOW + 1, key[hits].astype(np.int64)
             order = np.lexsort((at, owner, named[:, 1], named[:, 0]))
             first = np.concatenate([[True], (named[order[1:]] != named[order[:-1]]).any(axis=1)])
             least = owner[order][np.flatnonzero(first)][np.cumsum(first) - 1]
             settled = np.zeros(len(order), bool)
             settled[order] = owner[order] > least
+            split = np.flatnonzero(~settled & np.isin(key, hot))
+            if len(split):
+                at_once = np.setdiff1d(np.arange(len(key)), split)
+                again, part = np.repeat(split, many[split]), np.arange(many[split].sum()) - np.repeat(np.cumsum(many[split]) - many[split], many[split])
+                single = [cut[k][o : o + WINDOW] for k, o in zip(again.tolist(), part.tolist(), strict=True)]
+                cut = [cut[k] for k in at_once.tolist()] + single
+                key = np.concatenate([key[at_once], np.array([xxhash.xxh3_64_intdigest(c) for c in single], U).view(np.int64)])
+                take, part = np.concatenate([at_once, again]), np.concatenate([np.zeros(len(at_once), np.int64), part])
+                settled, owner, row, many = settled[take], owner[take], row[take], np.where(np.arange(len(take)) < len(at_once), many[take], 1)
+                at, gap = at[take] + part, gap[take] - part
             key[settled] = owner[settled]
             fill = [None if z else c for z, c in zip(settled.tolist(), cut, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.astype(np.int32)), pa.array(fill, pa.binary()), pa.array(owner), pa.array(names[x:y][doc[hits]]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(gap.astype(np.int32))],
+                [pa.array(key.astype(np.int32)), pa.array(fill, pa.binary()), pa.array(owner), pa.array(names[row]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(gap.astype(np.int32))],
                 ["key", "context", "doc_id", "t1", "at", "many", "gap"],
             )
 
@@ -288,19 +309,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s)], ["doc_id", "t1", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_windows(texts: DataFrame, shard_bytes: int = SHARD_BYTES, queue_entries: int = QUEUE_ENTRIES) -> DataFrame:
+def hot_anchors(texts: DataFrame, total: int, least: int = HOT) -> np.ndarray:
+    """Keys that are split; at most HOT_SHARE."""
+    count = texts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return count.where(F.col("n") > max(least, total // HOT_SHARE)).select("key").toArrow().column(0).to_numpy()
+
+
+def repeated_windows(texts: DataFrame, shard_bytes: int = SHARD_BYTES, queue_entries: int = QUEUE_ENTRIES, hot: int = HOT) -> DataFrame:
     """(doc_id, t1, first, many): windows in a row that also start in a document with a smaller doc_id."""
     spark = texts.sparkSession
-    total = (texts.agg(F.sum(F.size("keys"))).first()[0] or 0) * (WINDOW + 10)
-    shards = max(parallelism(spark), -(-total // shard_bytes))
-    contexts = texts.mapInArrow(_contexts, _CONTEXT)
+    places = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
+    shards = max(parallelism(spark), -(-places * (WINDOW + 10) // shard_bytes))
+    split = hot_anchors(texts, places, hot)
+    contexts = texts.mapInArrow(lambda batches: _contexts(batches, split), _CONTEXT)
     return contexts.repartition(shards, "key").drop("key").mapInArrow(_sorter(shared_dir(spark), queue_entries), "doc_id long, t1 long, first int, many int")
 
 
-def dedup(docs: DataFrame, shard_bytes: int = SHARD_BYTES, queue_entries: int = QUEUE_ENTRIES) -> DataFrame:
+def dedup(docs: DataFrame, shard_bytes: int = SHARD_BYTES, queue_entries: int = QUEUE_ENTRIES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    documents, texts = suspects(docs, materialize(described(docs, len, bytes)), packed(docs, bytes, anchors))
-    found = materialize(repeated_windows(texts, shard_bytes, queue_entries).groupBy(F.col("doc_id").alias("d"), F.col("t1").alias("t")).agg(F.collect_list(F.struct("first", "many")).alias("spans")))  # before the texts are shuffled, so the contexts' files are gone by then
+    documents, texts = suspects(docs, materialize(described(docs, len, bytes)), bytes, anchors, DENSITY)
+    found = materialize(repeated_windows(texts, shard_bytes, queue_entries, hot).groupBy(F.col("doc_id").alias("d"), F.col("t1").alias("t")).agg(F.collect_list(F.struct("first", "many")).alias("spans")))  # before the texts are shuffled, so the contexts' files are gone by then
     cut = texts.join(found, (F.col("doc_id") == F.col("d")) & (F.col("t1") == F.col("t"))).select("doc_id", "t1", "text", "spans").mapInArrow(_cut, "doc_id long, t1 long, n_removed long, n_spans long, kept_sha256 string")
     cut = cut.distinct().select(F.col("doc_id").alias("d"), F.col("t1").alias("t"), "n_removed", "n_spans", F.col("kept_sha256").alias("cut_sha256"))
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n") >= WINDOW)

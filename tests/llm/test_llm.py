@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, mixing, pii, quality, simhash, substring_bytes, substring_words, token_binary, url_filter, winnow
 from marlstone.llm.common import connected_components
-from marlstone.llm.induced import Queues, sorted_suffixes
+from marlstone.llm.induced import Queues, sorted_suffixes, suffix_order
 
 D = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copy int, h long, start long"
@@ -298,3 +298,50 @@ def test_links_of_larger_budgets(spark, sizes):
     nodes = spark.createDataFrame([(int(np.uint64(y).view(np.int64)),) for p in pairs for y in p], "fp long")
     found = {frozenset((a & 2**64 - 1, b & 2**64 - 1)) for a, b in simhash.links(nodes, *sizes, budget=3).collect()}
     assert found == {frozenset(p) for p in pairs}
+
+
+def test_substring_groups_of_near_copies(spark):
+    """Anchors that many documents share are split, contexts that many share are settled: equal to brute force."""
+    r = random.Random(8)
+    words = [f"{a}{b}" for a in "bcdfglmn" for b in ("a", "e", "io", "ung")]
+    text = lambda n: [r.choice(words) for _ in range(n)]
+    hub, run, rows = text(130), ["la"] * 60 + ["li"] * 55, []
+    for k in range(60):
+        t = list(hub)
+        for _ in range(r.randrange(3)):
+            t[r.randrange(len(t))] = r.choice(words)
+        rows.append((r.randrange(1000, 2000), " ".join(text(k % 4) + t[: r.randrange(60, 130)] + text(k % 3))))
+        rows.append((2000 + k, " ".join(text(2) + run[r.randrange(40) : 70 + r.randrange(45)] + text(2))))
+    b = covered(kept(rows), lambda t: t.encode(), 50)
+    want = sorted((i, len(u), int(g.sum()), int(g[0]) + int((g[1:] & ~g[:-1]).sum()), hashlib.sha256(bytes(x for x, y in zip(u, g, strict=True) if not y)).hexdigest()) for i, u, g in b)
+    for hot in (2, 10**6):
+        assert sorted(tuple(x) for x in substring_bytes.dedup(frame(spark, rows), hot=hot).collect()) == want
+    w = covered(kept(rows), str.split, 50)
+    want = sorted((i, len(u), int(g.sum()), hashlib.sha256(" ".join(x for x, y in zip(u, g, strict=True) if not y).encode()).hexdigest()) for i, u, g in w)
+    assert sorted(tuple(x) for x in substring_words.dedup(frame(spark, rows)).collect()) == want
+
+
+def test_substring_of_very_long_texts(spark):
+    """A passage across the border of two scanned parts of one text is found."""
+    r = np.random.default_rng(6)
+    words = [f"{x:x}" for x in r.integers(0, 2**40, substring_words.SEGMENT + 9_000)]
+    at = substring_words.SEGMENT - 20
+    passage = words[at : at + 90]
+    rows = [(1, " ".join(["x", *passage, "y"])), (2, " ".join(words)), (3, " ".join(words[-70:]))]
+    got = {x.doc_id: x.n_removed for x in substring_words.dedup(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 90, 3: 70}
+    size = len(rows[1][1])
+    assert size > substring_bytes.SEGMENT
+    text = rows[1][1]
+    cut = text[substring_bytes.SEGMENT - 30 : substring_bytes.SEGMENT + 45]
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in substring_bytes.dedup(frame(spark, [(1, f"#{cut}#"), (2, text), (3, text[-64:])])).collect()}
+    assert got == {1: (0, 0), 2: (75, 1), 3: (64, 1)}
+
+
+def test_reduced_strings_are_sorted():
+    """Recursion over names: equal to a plain sort of all suffixes."""
+    r = random.Random(3)
+    for _ in range(80):
+        top = r.choice([2, 4, 20])
+        t = np.array([x for _ in range(r.randrange(1, 14)) for x in [r.randrange(1, 1 + top)] * r.choice([1, 1, 2, 9])] + [0], np.int64)
+        assert suffix_order(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
