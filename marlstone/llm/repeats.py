@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import blank_null, discard, materialize, possible
 
@@ -200,16 +201,17 @@ def repeated(anchors: DataFrame, bits: int) -> DataFrame:
 def suspects(docs: DataFrame, info: DataFrame, content: Callable, anchors: Callable, anchors_per_unit: float) -> tuple[DataFrame, DataFrame]:
     """(documents, texts). info: described(), written; content and anchors: as in packed().
 
-    documents: doc_id, n, t1, t2, kept_sha256, first_id (least doc_id with the same text). texts: doc_id, t1,
-    text, keys of the first of each text that has repeated keys, written to the shared folder.
+    documents: doc_id, n, t1, t2, kept_sha256, first_id (least doc_id with the same text). texts: doc_id, part
+    (a number that tells texts apart that repeat a doc_id), t1, text, keys of the first of each text that has repeated
+    keys, written to the shared folder.
     """
     groups = info.groupBy(F.col("t1").alias("g1"), F.col("t2").alias("g2")).agg(F.min("doc_id").alias("first_id"))
     documents = info.join(groups, (F.col("t1") == F.col("g1")) & (F.col("t2") == F.col("g2"))).drop("g1", "g2")
-    firsts = documents.where("doc_id = first_id").select(F.col("doc_id").alias("d"), "t1").distinct()
+    firsts = documents.where("doc_id = first_id").select(F.col("doc_id").alias("d"), "t1").distinct().withColumn("part", F.row_number().over(W.partitionBy("d").orderBy("t1")))
     bits = bucket_bits((info.agg(F.sum("n")).first()[0] or 0) * anchors_per_unit)
-    todo = materialize(repeated(packed(docs, content, anchors, bits), bits).join(firsts, F.col("doc_id") == F.col("d")).select("d", "t1", "keys"))
+    todo = materialize(repeated(packed(docs, content, anchors, bits), bits).join(firsts, F.col("doc_id") == F.col("d")).select("d", "part", "t1", "keys"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank_null().alias("text"))
-    texts = materialize(possible(rows, todo.select("d")).join(todo, F.col("doc_id") == F.col("d")).select("doc_id", "t1", "text", "keys"))
+    texts = materialize(possible(rows, todo.select("d")).join(todo, F.col("doc_id") == F.col("d")).select("doc_id", "part", "t1", "text", "keys"))
     discard(todo)
     return documents, texts
 

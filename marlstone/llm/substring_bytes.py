@@ -50,7 +50,7 @@ SEGMENT = 4_000_000
 DENSITY = 2 / (WINDOW - GRAM + 2)
 #: At least so many bytes of a window lie before its anchor's gram, or after it.
 SIDE = -((GRAM - WINDOW) // 2)
-_CONTEXT = "key int, context binary, doc_id long, t1 long, at int, many int, gap int"
+_CONTEXT = "key int, context binary, doc_id long, part int, place long"
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -88,16 +88,17 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, context, doc_id, t1, at, many, gap) of windows in a row with one repeated anchor, gap bytes on.
+    """(key, context, doc_id, part, place) of windows in a row with one repeated anchor.
 
+    place: where the context begins, how many windows it has and where its anchor is in it, in 40, 12 and 12 bits.
     key is the low half of the anchor's; it only chooses the shard.
 
     In a piece of texts each context is open once, for its least document; for the others it is null, they are
     settled, as a smaller document has the same windows.
     """
     for b in batches:
-        ids, names, every = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.binary()).to_pylist()
-        fits = [name_of(t) == n for t, n in zip(every, names.tolist(), strict=True)]
+        ids, numbers, names, every = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), b.column(3).cast(pa.binary()).to_pylist()
+        fits = [name_of(t) == n for t, n in zip(every, names, strict=True)]
         number, offset, parts = (list(x) for x in zip(*segments(every, SEGMENT, WINDOW - 1), strict=True))
         for x, y in pieces(parts):
             texts, which, shift = parts[x:y], np.array(number[x:y]), np.array(offset[x:y])
@@ -112,7 +113,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa
             hit = np.zeros(len(key), bool)
             for k in range(len(texts)):
                 if edge[k] < edge[k + 1] and fits[which[k]]:
-                    hit[edge[k] : edge[k + 1]] = np.isin(key[edge[k] : edge[k + 1]], b.column(3)[int(which[k])].values.to_numpy(zero_copy_only=False).view(U))
+                    hit[edge[k] : edge[k + 1]] = np.isin(key[edge[k] : edge[k + 1]], b.column(4)[int(which[k])].values.to_numpy(zero_copy_only=False).view(U))
             hits = np.flatnonzero(hit)
             if not len(hits):
                 continue
@@ -141,8 +142,8 @@ def _contexts(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa
             key[settled] = owner[settled]
             fill = [None if z else c for z, c in zip(settled.tolist(), cut, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.astype(np.int32)), pa.array(fill, pa.binary()), pa.array(owner), pa.array(names[row]), pa.array(at.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(gap.astype(np.int32))],
-                ["key", "context", "doc_id", "t1", "at", "many", "gap"],
+                [pa.array(key.astype(np.int32)), pa.array(fill, pa.binary()), pa.array(owner), pa.array(numbers[row]), pa.array(at << 24 | many << 12 | gap)],
+                ["key", "context", "doc_id", "part", "place"],
             )
 
 
@@ -235,13 +236,14 @@ def _may_share(contexts: pa.LargeBinaryArray, gap: np.ndarray, least: np.ndarray
 
 def _sorter(folder: str, limit: int) -> Callable:
     def ranges(doc: np.ndarray, name: np.ndarray, first: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(name), pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32))], ["doc_id", "t1", "first", "many"])
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(name), pa.array(first), pa.array(many.astype(np.int32))], ["doc_id", "part", "first", "many"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, cuts = [], []
         for b in batches:
             settled = np.array(b.column(0).is_null())
-            doc, name, at, many, gap = (b.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
+            doc, name, place = (b.column(k).to_numpy() for k in (1, 2, 3))
+            at, many, gap = place >> 24, place >> 12 & 4095, place & 4095
             if settled.any():
                 yield ranges(doc[settled], name[settled], at[settled], many[settled])
             if not settled.all():
@@ -316,20 +318,20 @@ def hot_anchors(texts: DataFrame, total: int, least: int = HOT) -> np.ndarray:
 
 
 def repeated_windows(texts: DataFrame, shard_bytes: int = SHARD_BYTES, queue_entries: int = QUEUE_ENTRIES, hot: int = HOT) -> DataFrame:
-    """(doc_id, t1, first, many): windows in a row that also start in a document with a smaller doc_id."""
+    """(doc_id, part, first, many): windows in a row that also start in a document with a smaller doc_id."""
     spark = texts.sparkSession
     places = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
     shards = max(parallelism(spark), -(-places * (WINDOW + 10) // shard_bytes))
     split = hot_anchors(texts, places, hot)
     contexts = texts.mapInArrow(lambda batches: _contexts(batches, split), _CONTEXT)
-    return contexts.repartition(shards, "key").drop("key").mapInArrow(_sorter(shared_dir(spark), queue_entries), "doc_id long, t1 long, first int, many int")
+    return contexts.repartition(shards, "key").drop("key").mapInArrow(_sorter(shared_dir(spark), queue_entries), "doc_id long, part int, first long, many int")
 
 
 def dedup(docs: DataFrame, shard_bytes: int = SHARD_BYTES, queue_entries: int = QUEUE_ENTRIES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     documents, texts = suspects(docs, materialize(described(docs, len, bytes)), bytes, anchors, DENSITY)
-    found = materialize(repeated_windows(texts, shard_bytes, queue_entries, hot).groupBy(F.col("doc_id").alias("d"), F.col("t1").alias("t")).agg(F.collect_list(F.struct("first", "many")).alias("spans")))  # before the texts are shuffled, so the contexts' files are gone by then
-    cut = texts.join(found, (F.col("doc_id") == F.col("d")) & (F.col("t1") == F.col("t"))).select("doc_id", "t1", "text", "spans").mapInArrow(_cut, "doc_id long, t1 long, n_removed long, n_spans long, kept_sha256 string")
+    found = materialize(repeated_windows(texts, shard_bytes, queue_entries, hot).groupBy(F.col("doc_id").alias("d"), F.col("part").alias("p")).agg(F.collect_list(F.struct("first", "many")).alias("spans")))  # before the texts are shuffled, so the contexts' files are gone by then
+    cut = texts.join(found, (F.col("doc_id") == F.col("d")) & (F.col("part") == F.col("p"))).select("doc_id", "t1", "text", "spans").mapInArrow(_cut, "doc_id long, t1 long, n_removed long, n_spans long, kept_sha256 string")
     cut = cut.distinct().select(F.col("doc_id").alias("d"), F.col("t1").alias("t"), "n_removed", "n_spans", F.col("kept_sha256").alias("cut_sha256"))
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n") >= WINDOW)
     return documents.join(cut, (F.col("doc_id") == F.col("d")) & (F.col("t1") == F.col("t")), "left").select(

@@ -232,14 +232,14 @@ def _count(content: bytes) -> int:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c1, c2, doc_id, t1, at, many, names) of contexts whose key is repeated: many windows from at on.
+    """(c1, c2, doc_id, part, at, many, names) of contexts whose key is repeated: many windows from at on.
 
     In a piece of texts each context is open once, for its least document, with the names of its windows; for the
     others names is null: they are settled, as a smaller document has the same windows.
     """
     for b in batches:
-        ids, names, every = b.column(0).to_numpy(), b.column(1).to_numpy(), [_content(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
-        fits = [name_of(t) == n for t, n in zip(every, names.tolist(), strict=True)]
+        ids, numbers, names, every = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), [_content(t) for t in b.column(3).cast(pa.binary()).to_pylist()]
+        fits = [name_of(t) == n for t, n in zip(every, names, strict=True)]
         found = ((x, *s) for x, y in pieces(every) for s in scanned(every[x:y]))
         for x, h, windows, key, place, part, starts, number, offset in found:
             number = number + x
@@ -247,7 +247,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = np.zeros(len(windows), bool)
             for k in range(len(number)):
                 if edge[k] < edge[k + 1] and fits[number[k]]:
-                    hit[edge[k] : edge[k + 1]] = np.isin(key[edge[k] : edge[k + 1]], b.column(3)[int(number[k])].values.to_numpy(zero_copy_only=False).view(U))
+                    hit[edge[k] : edge[k + 1]] = np.isin(key[edge[k] : edge[k + 1]], b.column(4)[int(number[k])].values.to_numpy(zero_copy_only=False).view(U))
             w, part, place = windows[hit], part[hit], place[hit]
             if not len(w):
                 continue
@@ -264,11 +264,11 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             settled[order] = owner[order] > owner[order][np.flatnonzero(first)][np.cumsum(first) - 1]
             both = np.column_stack([s1, s2]).astype("<i8")
             fill = [None if z else both[a : a + m].tobytes() for z, a, m in zip(settled.tolist(), new.tolist(), many.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(owner), pa.array(names[row]), pa.array(at), pa.array(many), pa.array(fill, pa.binary())], ["c1", "c2", "doc_id", "t1", "at", "many", "names"])
+            yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array(owner), pa.array(numbers[row]), pa.array(at), pa.array(many), pa.array(fill, pa.binary())], ["c1", "c2", "doc_id", "part", "at", "many", "names"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, doc_id, t1, at) of each window of the contexts (doc_id, t1, at, names)."""
+    """(w1, w2, doc_id, part, at) of each window of the contexts (doc_id, part, at, names)."""
     for b in batches:
         for lo in range(0, len(b), 2_000):
             c = b.slice(lo, 2_000)
@@ -277,7 +277,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many = np.array([len(x) // 16 for x in lists], np.int64)
             which = np.repeat(np.arange(len(lists)), many)
             nth = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(c.column(0).to_numpy()[which]), pa.array(c.column(1).to_numpy()[which]), pa.array(c.column(2).to_numpy()[which] + nth)], ["w1", "w2", "doc_id", "t1", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(c.column(0).to_numpy()[which]), pa.array(c.column(1).to_numpy()[which]), pa.array(c.column(2).to_numpy()[which] + nth)], ["w1", "w2", "doc_id", "part", "at"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,23 +301,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
-    """(doc_id, t1, at, many): windows in a row that also start in a document with a smaller doc_id."""
-    contexts = materialize(texts.mapInArrow(_emit, "c1 long, c2 long, doc_id long, t1 long, at long, many long, names binary"))
+    """(doc_id, part, at, many): windows in a row that also start in a document with a smaller doc_id."""
+    contexts = materialize(texts.mapInArrow(_emit, "c1 long, c2 long, doc_id long, part int, at long, many long, names binary"))
     opened = contexts.where("names is not null")
     least = opened.groupBy(F.col("c1").alias("g1"), F.col("c2").alias("g2")).agg(F.min("doc_id").alias("least"))
-    placed = materialize(opened.join(least, (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2"))).select("doc_id", "t1", "at", "many", F.when(F.col("doc_id") == F.col("least"), F.col("names")).alias("names")))
-    windows = placed.where("names is not null").select("doc_id", "t1", "at", "names").mapInArrow(_windows, "w1 long, w2 long, doc_id long, t1 long, at long")
+    placed = materialize(opened.join(least, (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2"))).select("doc_id", "part", "at", "many", F.when(F.col("doc_id") == F.col("least"), F.col("names")).alias("names")))
+    windows = placed.where("names is not null").select("doc_id", "part", "at", "names").mapInArrow(_windows, "w1 long, w2 long, doc_id long, part int, at long")
     first = windows.groupBy(F.col("w1").alias("v1"), F.col("w2").alias("v2")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    later = windows.join(first, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).where("doc_id > least").select("doc_id", "t1", "at", F.lit(1).cast("long").alias("many"))
-    whole = [df.where("names is null").select("doc_id", "t1", "at", "many") for df in (contexts, placed)]
+    later = windows.join(first, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).where("doc_id > least").select("doc_id", "part", "at", F.lit(1).cast("long").alias("many"))
+    whole = [df.where("names is null").select("doc_id", "part", "at", "many") for df in (contexts, placed)]
     return whole[0].union(whole[1]).union(later)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     documents, texts = suspects(docs, materialize(described(docs, _count, _content)), _content, anchors, DENSITY)
-    found = materialize(repeated_windows(texts).groupBy(F.col("doc_id").alias("d"), F.col("t1").alias("t")).agg(F.collect_list(F.struct("at", "many")).alias("spans")))
-    cut = texts.join(found, (F.col("doc_id") == F.col("d")) & (F.col("t1") == F.col("t"))).select("doc_id", "t1", "text", "spans").mapInArrow(_cut, "doc_id long, t1 long, n_removed long, kept_sha256 string")
+    found = materialize(repeated_windows(texts).groupBy(F.col("doc_id").alias("d"), F.col("part").alias("p")).agg(F.collect_list(F.struct("at", "many")).alias("spans")))
+    cut = texts.join(found, (F.col("doc_id") == F.col("d")) & (F.col("part") == F.col("p"))).select("doc_id", "t1", "text", "spans").mapInArrow(_cut, "doc_id long, t1 long, n_removed long, kept_sha256 string")
     cut = cut.distinct().select(F.col("doc_id").alias("d"), F.col("t1").alias("t"), "n_removed", F.col("kept_sha256").alias("cut_sha256"))
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n") >= WINDOW)
     return documents.join(cut, (F.col("doc_id") == F.col("d")) & (F.col("t1") == F.col("t")), "left").select(
