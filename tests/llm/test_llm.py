@@ -198,13 +198,13 @@ def test_decontamination(spark, rows):
     item = "A train leaves Rome at 7 hours and Anna walks 12 km to meet it, then waits 7 minutes near the old gate of Milan."
     other = item.replace("7", "9").replace("12", "15").replace("Rome", "Oslo").replace("Anna", "Petra").replace("Milan", "Turin")
     broken = item.replace("at 7 hours", "at 8 hours")
-    docs = rows + [(500, f"bla {item} bla"), (501, f"bla bla {other} bla"), (502, f"bla {broken} bla"), (503, "A train leaves Rome at noon.")]
+    docs = rows + [(500, f"bla {item} bla"), (501, f"bla bla {other} bla"), (502, f"bla {broken} bla"), (503, "A train leaves Rome at noon."), (504, "It is\n too  SHORT!\nfor all"), (505, "this is too short to tell")]
     bench = spark.createDataFrame([(1, item, 9), (2, "too short", 9), (None, item, 9), (3, None, 9)], "item_id long, text string, doc_id int")
     for limit in (1_000_000, 0):
         got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(frame(spark, docs), bench, broadcast_rows=limit).collect()}
-        assert got == {(500, 1): "exact", (501, 1): "reparameterised"}
+        assert got == {(500, 1): "exact", (501, 1): "reparameterised", (504, 2): "whole"}
     left = decontaminate.decontaminate(frame(spark, docs), bench)
-    assert left.columns == frame(spark, docs).columns and left.count() == len(docs) - 2
+    assert left.columns == frame(spark, docs).columns and left.count() == len(docs) - 3
     assert decontaminate.leaks(frame(spark, docs).limit(0), bench).count() == 0 == decontaminate.leaks(frame(spark, docs), bench.limit(0)).count()
 
 
@@ -345,3 +345,39 @@ def test_reduced_strings_are_sorted():
         top = r.choice([2, 4, 20])
         t = np.array([x for _ in range(r.randrange(1, 14)) for x in [r.randrange(1, 1 + top)] * r.choice([1, 1, 2, 9])] + [0], np.int64)
         assert suffix_order(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+def test_decontamination_kinds_and_repeated_ids(spark):
+    """A changed word is no exact copy, an inserted one shifts the rest; of rows with one id any may leak."""
+    bench = spark.createDataFrame([(1, "please give us the sum of 12 apples and 30 pears that Anna put into the large red basket on day 4 of the week")], "item_id long, text string")
+    item = bench.first().text
+    docs = [(1, f"a b {item} c"), (2, item.replace("week", "month")), (3, item.replace("the large", "the very large")), (4, item.replace("the large", "the very large").replace("12", "15")), (5, item.replace("the large", "the very large").replace("day 4", "day 12")), (6, "aaa clean text of another row"), (6, f"zzz {item}"), (7, f"x {item.replace('30', '12')}")]
+    got = {r.doc_id: r.kind for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
+    assert got == {1: "exact", 2: "edited", 3: "edited", 4: "reparameterised", 6: "exact"}
+    assert decontaminate.decontaminate(frame(spark, docs), bench).count() == 2
+
+
+def test_decontamination_against_brute_force(spark):
+    """Random templates with other values: all consistent ones are found, no inconsistent or partial one is."""
+    r = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "bdgkmt" for b in "aeiou" for c in ("l", "n", "rs")]
+    bench, docs, want = [], [], set()
+    for item in range(40):
+        t = [r.choice(words) for _ in range(r.randrange(12, 40))]
+        at = sorted(r.sample(range(2, len(t) - 2), 3))
+        values = [str(v) for v in r.sample(range(100, 500), 2)]
+        fill = lambda v: [v[0] if k in at[:2] else v[1] if k == at[2] else w for k, w in enumerate(t)]  # noqa: B023, E731
+        bench.append((item, " ".join(fill(values))))
+        prose = lambda n: [r.choice(words) for _ in range(n)]
+        for kind in range(4):
+            doc = item * 10 + kind
+            x = fill([str(r.randrange(1000, 5000)), str(r.randrange(6000, 9000))]) if kind != 1 else fill(values)
+            if kind == 2:
+                x[at[0]] = "77"
+            if kind == 3:
+                x = x[: len(x) // 2]
+            docs.append((doc, " ".join(prose(r.randrange(30)) + x + prose(r.randrange(30)))))
+            if kind < 2:
+                want.add((doc, item, "exact" if kind else "reparameterised"))
+    got = {(x.doc_id, x.item_id, x.kind) for x in decontaminate.leaks(frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == want
