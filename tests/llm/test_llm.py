@@ -190,7 +190,11 @@ def test_quality(spark):
     few = [(k, clean * (k + 1)) for k in range(6)] + [(6, None), (7, ""), (None, clean), (8, "%%% $$$ ### *** " * 40), (9, clean + "you stupid worthless idiot"), (9, clean)]
     keep = quality.classify(frame(spark, few)).collect()
     assert len(keep) == len(few) and all(r.keep for r in keep if r.doc_id is None or r.doc_id < 8)
-    assert quality.filter_quality(frame(spark, few)).columns == frame(spark, few).columns
+    odd = frame(spark, few).select("*", F.lit(1).alias("p_toxic"), F.lit(2).alias("P_low_quality"), F.lit(3).alias("text_"), F.lit(4).alias("keep"))
+    left = quality.filter_quality(odd)
+    assert left.columns == odd.columns and {tuple(r)[-4:] for r in left.collect()} == {(1, 2, 3, 4)} and left.count() >= 9
+    long = frame(spark, [(1, clean * 20_000), (2, "%%% $$$ ### *** " * 20_000), (3, clean)])
+    assert quality.classify(long).count() == 3
     assert quality.classify(frame(spark, few).limit(0)).count() == 0
 
 
@@ -381,3 +385,15 @@ def test_decontamination_against_brute_force(spark):
                 want.add((doc, item, "exact" if kind else "reparameterised"))
     got = {(x.doc_id, x.item_id, x.kind) for x in decontaminate.leaks(frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()}
     assert got == want
+
+
+def test_quality_finds_toxic_documents(spark):
+    """Held-out recall of labelled toxic documents in all languages, clean ones left alone; twice the same."""
+    docs, labels = (spark.read.parquet(f"{D.replace('0.001', '0.1')}/{n}.parquet") for n in ("documents", "labels"))
+    gold = {r.doc_id: r.toxic for r in labels.collect()}
+    some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = {r.doc_id: r.p_toxic for r in quality.classify(some, labels.where("doc_id % 2 = 0")).collect()}
+    found, missed, wrong = (sum(bool(gold[i]) == t and (p > 0.5) == f for i, p in got.items() if i % 2) for t, f in ((True, True), (True, False), (False, True)))
+    assert found >= 0.8 * (found + missed) and wrong <= 3, (found, missed, wrong)
+    again = {r.doc_id: r.p_toxic for r in quality.classify(some.repartition(5), labels.where("doc_id % 2 = 0")).collect()}
+    assert again == got
