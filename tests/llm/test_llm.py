@@ -397,3 +397,37 @@ def test_quality_finds_toxic_documents(spark):
     assert found >= 0.8 * (found + missed) and wrong <= 3, (found, missed, wrong)
     again = {r.doc_id: r.p_toxic for r in quality.classify(some.repartition(5), labels.where("doc_id % 2 = 0")).collect()}
     assert again == got
+
+
+def test_personal_data_found_by_votes(spark):
+    """Planted phones, spelled addresses, names and secrets are accepted, dates, amounts and placeholders aren't; places are right."""
+    r = random.Random(2)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    good = [lambda: f"({digits(3)}) 555-{digits(4)}", lambda: f"anna{digits(2)} at mail{digits(1)} dot com", lambda: f'token = "{r.randbytes(20).hex()}"', lambda: f"AKIA{''.join(r.choice('ABCDEFGHIJKLMNOP234567') for _ in range(16))}"]
+    lead = ["phone: ", "mail: ", "", "key: "]
+    bad = [lambda: f"2024-0{r.randrange(1, 10)}-1{digits(1)} 10", lambda: f"123 {digits(3)} {digits(3)}", lambda: "password = your_password_here"]
+    rows, want, decoys = [], {}, {}
+    for k in range(300):
+        kind = k % 7
+        g = (good + bad)[kind]()
+        before = f"é some prose {digits(1)} " + (lead + [""] * 3)[kind]
+        rows.append((k, f"{before}{g} and more"))
+        (want if kind < 4 else decoys)[k] = (len(before), len(before) + len(g))
+    got = {x.doc_id: x for x in pii.find(frame(spark, rows)).collect()}
+    hit = sum(any(tuple(map(int, s.split(":")[1:])) == at for s in got[k].spans.split(",") if s) for k, at in want.items())
+    false = sum(got[k].n_added > 0 for k in decoys)
+    assert hit >= 0.95 * len(want) and false <= 0.1 * len(decoys), (hit, len(want), false, len(decoys))
+    assert sum(x.n_secret for x in got.values()) >= 0.95 * 2 * 300 / 7 - 2
+    # candidates never meet base spans
+    for x in got.values():
+        s = sorted(tuple(map(int, y.split(":")[1:])) for y in x.spans.split(",") if y)
+        assert all(a[1] <= b[0] for a, b in zip(s, s[1:], strict=False))
+
+
+def test_personal_data_in_texts_of_many_matches(spark):
+    """Time grows with the matches, not with their square."""
+    text = "".join(f"u{k}@mail.example.com (555) 123-4567\n" for k in range(20_000))
+    x = pii.find(frame(spark, [(1, text)])).first()
+    assert x.n_email == 20_000 and x.spans.startswith("email:0:")
+    last = [s for s in x.spans.split(",") if s.startswith("email")][-1].split(":")
+    assert text[int(last[1]) : int(last[2])] == "u19999@mail.example.com"
