@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing.
 
 A text's units are its words, longer ones cut every 12 code points, so texts without white space have
-units too. Each k-gram of units gets a hash (XXH64 over the units, its upper 31 bits); of every `window`
+units too. Each unit is hashed once (XXH64 modulo the prime 2^31 - 1), and the k-grams get Rabin and Karp's rolling hash, the units'
+hashes as digits of a number to a fixed base modulo that prime: from one k-gram to the next the first digit leaves and another
+enters, no unit is read twice. Of every `window`
 consecutive hashes the least is chosen, the rightmost of equals, and kept with its position. So any match of
 at least window + k - 1 units shares a chosen hash (10 with the defaults), and matches under k units are
-never seen. Texts with fewer hashes than a window choose their least one; texts under k units hash as a whole.
+never seen. Texts with fewer hashes than a window choose their least one; texts under k units hash as a whole (those without any to 0).
 
 The fingerprint is written as one 16-digit hex number per chosen position, in order of position: 31 bits of
 hash, 32 bits that count down from the greatest position. Likeness is Jaccard's of the sets of chosen hashes.
@@ -32,19 +34,28 @@ K = 3
 WINDOW = 8
 UNIT = "[\\x20\\x09-\\x0D]+|(?<=\\G.{12})"
 _LOW = 2**32 - 1
+PRIME, BASE = 2**31 - 1, 1_103_515_245
 
 
 def chosen(text: Column, k: int = K, window: int = WINDOW) -> Column:
     """The chosen (hash, position) numbers of a text, in order of position."""
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
-    return F.transform(F.array(F.split(text, UNIT)), lambda units: _minima(_hashes(units, k), window))[0]
+    return F.transform(F.array(F.filter(F.split(text, UNIT), lambda x: x != "")), lambda units: _minima(_hashes(units, k), window))[0]
 
 
 def _hashes(units: Column, k: int) -> Column:
-    n = F.greatest(F.size(units) - (k - 1), F.lit(1))
-    gram = lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*[F.get(units, i + j) for j in range(k)]), 33), 32)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: gram(i) + (F.lit(_LOW) - i))
+    def rolled(u: Column) -> Column:
+        def gram(i: Column) -> Column:
+            h = F.coalesce(F.get(u, i), F.lit(0))
+            for j in range(1, k):
+                h = (h * BASE + F.coalesce(F.get(u, i + j), F.lit(0))) % PRIME
+            return h
+
+        n = F.greatest(F.size(u) - (k - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.shiftleft(gram(i), 32) + (F.lit(_LOW) - i))
+
+    return F.transform(F.array(F.transform(units, lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME)))), rolled)[0]
 
 
 def _with_later(step: int):

@@ -69,7 +69,7 @@ def test_winnowing(spark, rows):
     assert got[3].fingerprint == got[108].fingerprint
     assert got[110].near_edited > 0.2
     one = frame(spark, [(1, texts[110])])
-    h, chosen = one.select(winnow._hashes(F.split("text", winnow.UNIT), 3), winnow.chosen(F.col("text"))).first()
+    h, chosen = one.select(winnow._hashes(F.filter(F.split("text", winnow.UNIT), lambda x: x != ""), 3), winnow.chosen(F.col("text"))).first()
     h = [x >> 32 for x in h]
     want = sorted({max(range(s, s + 8), key=lambda i: (-h[i], i)) for s in range(len(h) - 7)})
     assert [2**32 - 1 - (x & (2**32 - 1)) for x in chosen] == want
@@ -431,3 +431,32 @@ def test_personal_data_in_texts_of_many_matches(spark):
     assert x.n_email == 20_000 and x.spans.startswith("email:0:")
     last = [s for s in x.spans.split(",") if s.startswith("email")][-1].split(":")
     assert text[int(last[1]) : int(last[2])] == "u19999@mail.example.com"
+
+
+def test_winnowing_against_brute_force(spark):
+    """Rolling hashes, forced ties, fingerprints and likenesses."""
+    texts = {1: "la " * 40 + "lo la li " * 9, 2: "a b", 3: "", 4: "x" * 300, 5: "one two three four five six seven eight nine ten eleven twelve", 6: "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"}
+    units = lambda t: [u for w in re.split("[\x20\x09-\x0d]+", t) for u in [w[k : k + 12] for k in range(0, len(w), 12)]]
+
+    def marks(t):
+        u = [spark.range(1).select(F.pmod(F.xxhash64(F.lit(x)), F.lit(winnow.PRIME))).first()[0] if x not in known else known[x] for x in units(t)]
+        known.update(zip(units(t), u, strict=True))
+        h = []
+        for i in range(max(1, len(u) - 2)):
+            g = u[i] if u else 0
+            for j in (1, 2):
+                g = (g * winnow.BASE + (u[i + j] if i + j < len(u) else 0)) % winnow.PRIME
+            h.append(g)
+        return sorted({max(range(s, min(s + 8, len(h))), key=lambda i: (-h[i], i)) for s in range(max(1, len(h) - 7))}), h
+
+    known: dict = {}
+    got = {x.doc_id: x for x in winnow.fingerprint_pairs(frame(spark, list(texts.items()))).collect()}
+    ids = sorted(texts, reverse=True)
+    near = lambda a, b: len(a & b) / len(a | b)
+    for k, i in enumerate(ids):
+        t, n = texts[i], texts[ids[(k + 1) % len(ids)]]
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        (at, h), (to, g), (nt, f) = marks(t), marks(edited), marks(n)
+        assert got[i].fingerprint.lower() == "".join(f"{h[x] << 32 | (2**32 - 1 - x):016x}" for x in at)
+        assert abs(got[i].near_edited - near({h[x] for x in at}, {g[x] for x in to})) < 1e-12
+        assert abs(got[i].near_next - near({h[x] for x in at}, {f[x] for x in nt})) < 1e-12
