@@ -39,6 +39,8 @@ class SolverParams:
     min_pivot_per_steps: int = 5
     density_tolerance: float = 0.2
     max_dense_schur: int = 8_000
+    #: 'independent': singletons, then an independent set by score; 'blocks': sets of nb_candidates_per_block, merged in pairs.
+    pivot_strategy: str = "independent"
     #: Factors with at most so many entries are solved in one task.
     local_nnz: int = 2_000_000
 
@@ -49,6 +51,8 @@ class SolverParams:
         for name in ("marko_tol", "nb_candidates_per_block", "nb_previous_pivots", "max_dense_schur"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
+        if self.pivot_strategy not in ("independent", "blocks"):
+            raise ValueError("pivot_strategy must be independent or blocks")
         if self.min_pivot_per_steps < self.nb_previous_pivots:
             raise ValueError("min_pivot_per_steps must be at least nb_previous_pivots")
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def axpby(a: DataFrame, alpha: float, b: DataFrame, beta: float) -> DataFrame:
+    """alpha a + beta b; an index that one of them lacks fails the query."""
     y = b.select(F.col("i").alias("j"), F.col("x").alias("y"))
-    return a.join(y, F.col("i") == F.col("j")).select("i", (F.col("x") * alpha + F.col("y") * beta).alias("x"))
+    same = F.when(F.col("i").isNotNull() & F.col("j").isNotNull(), F.col("i")).otherwise(F.raise_error(F.lit("vectors of different sizes")).cast("int"))
+    return a.join(y, F.col("i") == F.col("j"), "full").select(same.alias("i"), (F.col("x") * alpha + F.col("y") * beta).alias("x"))
 
 
 def permute_vector(v: DataFrame, perm: DataFrame) -> DataFrame:

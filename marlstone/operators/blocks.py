@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import materialize
+
 
 def contiguous(spark, m: int, num_blocks: int) -> DataFrame:
     """(row, block) by equal ranges; any other map does as well."""
@@ -13,6 +15,40 @@ def contiguous(spark, m: int, num_blocks: int) -> DataFrame:
     return spark.range(m).select(F.col("id").cast("int").alias("row"), F.floor(F.col("id") / size).cast("int").alias("block"))
 
 
+def grown(e: DataFrame, m: int, num_blocks: int, rounds: int = 8, slack: float = 1.25) -> DataFrame:
+    """(row, block): a partition of the hypergraph of rows (vertices) and columns (edges) into blocks with few columns across.
+
+    Starts from equal ranges. In each round every row looks at how many of its neighbours, rows that share a column with it, are in each
+    block, long columns counting less (1 / length); a hashed half of the rows moves to the block with the most of them, as long
+    as blocks stay below slack times their equal share: of those that want into a block, as many go as have room, by gain.
+    Columns count rows by block first, so a column with many rows costs num_blocks rows, not pairs.
+    """
+    now = materialize(contiguous(e.sparkSession, m, num_blocks))
+    room = int(slack * -(-m // num_blocks))
+    pattern = e.select("row", "col").distinct()
+    best = None
+    for k in range(rounds + 1):
+        cut = pattern.join(now, "row").groupBy("col").agg(F.countDistinct("block").alias("n")).where("n > 1").count()
+        if best is None or cut < best[0]:
+            best = (cut, now)
+        if k == rounds or not cut:
+            break
+        counts = pattern.join(now, "row").groupBy("col", "block").agg(F.count(F.lit(1)).alias("c"))
+        size = counts.groupBy(F.col("col").alias("k")).agg(F.sum("c").alias("size"))
+        pull = counts.join(size, F.col("col") == F.col("k")).select("col", F.col("block").alias("to"), (F.col("c") / F.col("size")).alias("w"))
+        votes = pattern.join(pull, "col").groupBy("row", "to").agg(F.sum("w").alias("w"))
+        top = votes.groupBy("row").agg(F.max(F.struct("w", (-F.col("to")).alias("to"))).alias("t"), F.map_from_entries(F.collect_list(F.struct("to", "w"))).alias("all"))
+        moves = now.join(top, "row").select("row", "block", (-F.col("t.to")).alias("to"), (F.col("t.w") - F.coalesce(F.col("all")[F.col("block")], F.lit(0.0))).alias("gain")).where((F.col("to") != F.col("block")) & (F.col("gain") > 0) & (F.pmod(F.xxhash64("row", F.lit(k)), F.lit(2)) == 0))
+        free = now.groupBy(F.col("block").alias("b")).agg((F.lit(room) - F.count(F.lit(1))).alias("free"))
+        # Of those that want into a block as many go as have room, the largest gains first, in 1,000 classes of gain.
+        classed = moves.withColumn("class", F.floor(F.least(F.col("gain"), F.lit(9.99)) * 100))
+        by_class = classed.groupBy("to", "class").count().withColumn("up_to", F.sum("count").over(W.partitionBy("to").orderBy(F.desc("class"))))
+        fits = by_class.join(free, F.col("to") == F.col("b")).where(F.col("up_to") <= F.col("free")).select("to", "class")
+        going = classed.join(F.broadcast(fits), ["to", "class"]).select("row", F.col("to").alias("next"))
+        now = materialize(now.join(going, "row", "left").select("row", F.coalesce("next", "block").cast("int").alias("block")))
+    return best[1]
+
+
 def row_blocks(assigned: DataFrame) -> DataFrame:
     """(row, block, pos): pos counts through blocks, by row within each."""
     sizes = assigned.groupBy("block").count()
@@ -40,6 +76,13 @@ def block_entries(e: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
     return e.join(own, "row").join(kind, "col").select("block", F.col("local").cast("int").alias("row"), "col", "val", F.col("cb").isNotNull().alias("interior"))
 
 
+def local_columns(e: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """(block, col, local): columns of each block counted from 0, interior ones first, by col within both kinds."""
+    inside = cols.where("block is not null").select("block", "col", F.lit(0).alias("edge"))
+    both = inside.union(border(e, rows, cols).select("block", "col", F.lit(1)))
+    return both.select("block", "col", (F.row_number().over(W.partitionBy("block").orderBy("edge", "col")) - 1).cast("int").alias("local"))
+
+
 def block_sizes(e: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
     """(block, n_rows, n_interior, nnz, n_border)."""
     r = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n_rows"))

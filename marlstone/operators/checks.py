@@ -35,3 +35,25 @@ def independence(e: DataFrame, pivots: DataFrame) -> DataFrame:
     p = pivots.select(F.col("row").alias("r"), F.col("col").alias("own"))
     inside = e.join(p, F.col("row") == F.col("r")).join(pivots.select("col"), "col", "left_semi").where("col <> own")
     return _count(inside)
+
+
+def logical_sum(e: DataFrame, pivots: DataFrame, step: DataFrame) -> DataFrame:
+    """Columns and rows that a step's pivots cross, computed from the matrix, against those that U and L of the step have outside the pivots."""
+    u = step.where("part = 'U'").select("col").distinct().join(pivots.select("col"), "col", "left_anti")
+    l = step.where("part = 'L'").select("row").distinct().join(pivots.select("row"), "row", "left_anti")  # noqa: E741
+    cols = e.join(pivots.select("row"), "row", "left_semi").select("col").distinct().join(pivots.select("col"), "col", "left_anti")
+    rows = e.join(pivots.select("col"), "col", "left_semi").select("row").distinct().join(pivots.select("row"), "row", "left_anti")
+    return _count(cols.exceptAll(u).union(u.exceptAll(cols)).union(rows.exceptAll(l)).union(l.exceptAll(rows)))
+
+
+def touched_once(e: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Pivots' rows and columns that other pivots of the set cross: each must be touched by its own pivot alone."""
+    in_rows = e.join(pivots.select("row"), "row", "left_semi").join(pivots.select("col"), "col", "left_semi")
+    return _count(in_rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n <> 1").select("row").union(in_rows.groupBy("col").agg(F.count(F.lit(1)).alias("n")).where("n <> 1").select("col")))
+
+
+def maximal(e: DataFrame, pivots: DataFrame, cands: DataFrame) -> DataFrame:
+    """Candidates that no pivot's row or column crosses, though they aren't pivots."""
+    cols = e.join(pivots.select("row"), "row", "left_semi").select("col").distinct()
+    rows = e.join(pivots.select("col"), "col", "left_semi").select("row").distinct()
+    return _count(cands.join(cols, "col", "left_anti").join(rows, "row", "left_anti"))

@@ -78,30 +78,64 @@ def independent(e: DataFrame, cands: DataFrame) -> DataFrame:
     return cands.join(conflicts(e, cands), F.col("col") == F.col("loser"), "left_anti")
 
 
-def ordered(rs: DataFrame, cs: DataFrame, luby: DataFrame, done: int, step: int) -> DataFrame:
-    """perm(pos, row, col, step, kind): row singletons, column singletons, the others; by column within each.
-
-    Positions are summed over blocks of 65,536 columns, so no task orders all pivots.
-    """
-    kinds = [(0, "RS", rs), (1, "CS", cs), (2, "LUBY", luby)]
+def ranked(df: DataFrame, groups: list[str]) -> DataFrame:
+    """df with at: each row's place from 0 by groups, then col. Summed over blocks of 65,536 columns, so no task orders all rows."""
+    df = df.withColumn("block", F.floor(F.col("col") / 65536))
+    counts = df.groupBy(*groups, "block").count()
+    order = W.orderBy(*groups, "block").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(*[F.col(c).alias(f"{c}_") for c in [*groups, "block"]], F.coalesce(F.sum("count").over(order), F.lit(0)).alias("before"))
+    same = F.col("block") == F.col("block_")
+    for c in groups:
+        same = same & (F.col(c) == F.col(f"{c}_"))
+    inside = F.row_number().over(W.partitionBy(*groups, "block").orderBy("col")) - 1
+    return df.join(F.broadcast(before), same).withColumn("at", F.col("before") + inside).drop("before", "block", "block_", *[f"{c}_" for c in groups])
+
+
+def capped(cands: DataFrame, needed: int) -> DataFrame:
+    """The first `needed` candidates by column. Those cut off still knock out others (see conflicts)."""
+    return ranked(cands, []).where(F.col("at") < needed).drop("at")
+
+
+def ordered(rs: DataFrame, cs: DataFrame, luby: DataFrame, done: int, step: int, kind: str = "LUBY") -> DataFrame:
+    """perm(pos, row, col, step, kind): row singletons, column singletons, the others; by column within each."""
     every = None
-    for rank, kind, df in kinds:
-        part = df.select(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), "row", "col", F.floor(F.col("col") / 65536).alias("block"))
+    for rank, name, df in ((0, "RS", rs), (1, "CS", cs), (2, kind, luby)):
+        part = df.select(F.lit(rank).alias("rank"), F.lit(name).alias("kind"), "row", "col")
         every = part if every is None else every.union(part)
-    counts = every.groupBy("rank", "block").count()
-    before = counts.select(F.col("rank").alias("r"), F.col("block").alias("b"), F.coalesce(F.sum("count").over(W.orderBy("rank", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = every.join(before, (F.col("rank") == F.col("r")) & (F.col("block") == F.col("b"))).withColumn("at", F.row_number().over(W.partitionBy("rank", "block").orderBy("col")))
-    return placed.select((F.col("before") + F.col("at") - 1 + done).cast("int").alias("pos"), "row", "col", F.lit(step).alias("step"), "kind")
+    return ranked(every, ["rank"]).select((F.col("at") + done).cast("int").alias("pos"), "row", "col", F.lit(step).alias("step"), "kind")
 
 
-def search(e: DataFrame, n: int, done: int, step: int, value_tol: float, marko_tol: float, border: DataFrame | None = None, border_cols: int = 0, keep=lambda df: df) -> DataFrame:
-    """All pivots of a step. keep: makes intermediate results cheap to read again."""
-    rs = keep(row_singletons(e, border))
-    cs = keep(col_singletons(e if border is None else e.join(border.select("col"), "col", "left_anti"), rs))
-    taken = rs.union(cs)
+def proposed(e: DataFrame, nb_cols: int, value_tol: float, marko_tol: float, border: DataFrame | None = None) -> DataFrame:
+    """(kind, row, col, cost, score): row singletons, column singletons and candidates, in one relation."""
+    rs = row_singletons(e, border)
     inner = e if border is None else e.join(border.select("col"), "col", "left_anti")
-    cands = keep(candidates(best_rows(inner, taken, max(1, n - done - border_cols), value_tol), marko_tol))
-    return ordered(rs, cs, independent(inner, cands), done, step)
+    cs = col_singletons(inner, rs)
+    cands = candidates(best_rows(inner, rs.union(cs), nb_cols, value_tol), marko_tol)
+    none = [F.lit(None).cast("long").alias("cost"), F.lit(None).cast("double").alias("score")]
+    return rs.select(F.lit("RS").alias("kind"), "row", "col", *none).union(cs.select(F.lit("CS"), "row", "col", *none)).union(cands.select(F.lit("LUBY"), "row", "col", "cost", "score"))
+
+
+def search(e: DataFrame, n: int, done: int, step: int, value_tol: float, marko_tol: float, border: DataFrame | None = None, border_cols: int = 0, keep=lambda df: df, needed: int | None = None) -> DataFrame:
+    """All pivots of a step. keep: makes an intermediate result cheap to read again. needed: columns to find at most.
+
+    Pivots of a step have rows and columns of their own, so singletons can't be more than the columns left.
+    """
+    every = keep(proposed(e, max(1, n - done - border_cols), value_tol, marko_tol, border))
+    rs, cs, cands = (every.where(f"kind = '{k}'").drop("kind") for k in ("RS", "CS", "LUBY"))
+    chosen = cands
+    if needed is not None:
+        counts = {r.kind: r["count"] for r in every.groupBy("kind").count().collect()}
+        left = max(1, needed - 1 - counts.get("RS", 0) - counts.get("CS", 0))
+        chosen = cands if counts.get("LUBY", 0) <= left else capped(cands, left)
+    return ordered(rs, cs, chosen.join(conflicts(e, cands), F.col("col") == F.col("loser"), "left_anti"), done, step)
+
+
+def block_search(e: DataFrame, n: int, done: int, step: int, value_tol: float, marko_tol: float, per_block: int, keep=lambda df: df) -> DataFrame:
+    """All pivots of a step by the older search: sets of candidates, each independent, merged in pairs."""
+    sets = block_sets(e, keep(block_candidates(e, max(1, n - done), value_tol)), marko_tol, per_block, seed=step)
+    found = merged_sets(e, sets, keep)
+    none = found.select("row", "col").limit(0)
+    return ordered(none, none, found, done, step, kind="TP")
 
 
 def touched(e: DataFrame, pivots: DataFrame, line: str) -> DataFrame:
@@ -111,6 +145,18 @@ def touched(e: DataFrame, pivots: DataFrame, line: str) -> DataFrame:
     return crossed.join(pivots.select(other), other, "left_anti")
 
 
+def structures(e: DataFrame, pivots: DataFrame, line: str) -> DataFrame:
+    """Lines of the other kind that pivot lines cross, without pivots', and how many of the pivot lines cross each (touches)."""
+    other = "col" if line == "row" else "row"
+    crossed = e.join(pivots.select(line), line, "left_semi").groupBy(other).agg(F.count(F.lit(1)).alias("touches"))
+    return crossed.join(pivots.select(other), other, "left_anti")
+
+
+def by_cost(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two sets of cells as one, in order of cost; equal costs by column."""
+    return a.select("row", "col", "cost").union(b.select("row", "col", "cost")).orderBy("cost", "col", "row")
+
+
 def block_candidates(e: DataFrame, nb_cols: int, value_tol: float) -> DataFrame:
     """(col, row, cost): of each column up to twice the average length, the entry with the least Markowitz product."""
     limit = e.agg((2 * F.floor(F.count(F.lit(1)) / nb_cols)).alias("limit"))

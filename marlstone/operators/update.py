@@ -37,3 +37,23 @@ def schur(e: DataFrame, pivots: DataFrame, l: DataFrame, u: DataFrame) -> DataFr
     right = u.join(pivots.select("col"), "col", "left_anti").select("pivot", "col", F.col("val").alias("uv"))
     less = right.join(left, F.col("pivot") == F.col("p")).select("row", "col", (-F.col("uv") * F.col("lv")).alias("val"))
     return rest.unionByName(less).groupBy("row", "col").agg(F.sum("val").alias("val"))
+
+
+def step(e: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(part, pivot, row, col, val, kind): L, D, U and S of a step in one relation, so a step is one table. kind: D rows' alone."""
+    at = _at(e, pivots)
+    kinds = pivots.select(F.col("pos").alias("p"), "kind")
+    d = at.where("row_pos = col_pos").join(kinds, F.col("row_pos") == F.col("p")).select("row_pos", "row", "col", "val", "kind")
+    by = e.join(pivots.select("row", "col", "pos"), ["row", "col"]).select(F.col("pos").alias("p"), F.col("val").alias("by"))
+    l = at.where("col_pos is not null and (row_pos is null or row_pos > col_pos)").join(by, F.col("col_pos") == F.col("p")).select(F.col("col_pos").alias("pivot"), "row", (F.col("val") / F.col("by")).alias("val"), F.col("row_pos").isNull().alias("rest"))  # noqa: E741
+    u = at.where("row_pos is not null and (col_pos is null or row_pos < col_pos)").select(F.col("row_pos").alias("pivot"), "row", "col", "val", F.col("col_pos").isNull().alias("rest"))
+    left = l.where("rest").select(F.col("pivot").alias("p"), F.col("row").alias("i"), F.col("val").alias("lv"))
+    less = u.where("rest").join(left, F.col("pivot") == F.col("p")).select(F.col("i").alias("row"), "col", (-F.col("val") * F.col("lv")).alias("val"))
+    s = at.where("row_pos is null and col_pos is null").select("row", "col", "val").union(less).groupBy("row", "col").agg(F.sum("val").alias("val"))
+    none, nobody = F.lit(None).cast("int"), F.lit(None).cast("string")
+    return (
+        l.select(F.lit("L").alias("part"), "pivot", "row", none.alias("col"), "val", nobody.alias("kind"))
+        .union(d.select(F.lit("D"), "row_pos", "row", "col", "val", "kind"))
+        .union(u.select(F.lit("U"), "pivot", "row", "col", "val", nobody))
+        .union(s.select(F.lit("S"), none, "row", "col", "val", nobody))
+    )

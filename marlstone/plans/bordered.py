@@ -1,4 +1,9 @@
-"""Solves in singly bordered block diagonal form: blocks factorised apart, one dense system for the border."""
+"""Solves in singly bordered block diagonal form.
+
+Columns interior to one block are factorised sparsely, those of all blocks in the same steps, as blocks share no such
+column; border columns get no pivot. What is left of a block is eliminated in a task of its own (dense, at most max_dense_schur columns in all),
+which leaves rows in border columns alone: their system is solved in one task.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Matrix
+from ..model import Matrix, SolverParams
 from ..operators import blocks as B
 from ..storage import materialize
-from .factorize import dense_lu, dense_solve
+from .factorize import accounting, backward_levels, dense_lu, dense_solve, factorize, forward_levels
 
 
 def _reduced(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list, list]:
@@ -22,8 +27,8 @@ def _reduced(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     ci, ce = {c: k for k, c in enumerate(inner)}, {c: k for k, c in enumerate(edge)}
     a, c, b = np.zeros((len(rows), len(inner))), np.zeros((len(rows), len(edge))), np.zeros(len(rows))
     b[[rows[x] for x in r.row]] = r.val
-    for x, y, v, i in zip(e.row, e.col, e.val, e.interior, strict=True):
-        (a if i else c)[rows[x], ci[y] if i else ce[y]] = v
+    for part, to, at in ((e[e.interior], a, ci), (e[~e.interior], c, ce)):
+        to[part.row.map(rows).to_numpy(int), part.col.map(at).to_numpy(int)] = part.val
     lu, order, singular = dense_lu(a) if inner else (a, np.arange(len(rows)), False)
     if singular:
         raise ZeroDivisionError("a block is singular")
@@ -36,25 +41,24 @@ def _reduced(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def _border_rows(t: pd.DataFrame) -> pd.DataFrame:
     _, b, c, _, inner, edge = _reduced(t)
     k, block = len(inner), int(t.block.iloc[0])
-    out = [(block, i - k, col, c[i, j]) for i in range(k, len(b)) for j, col in enumerate(edge)] + [(block, i - k, -1, b[i]) for i in range(k, len(b))]
-    return pd.DataFrame(out, columns=["block", "row", "col", "val"]).astype({"block": "int32", "row": "int32", "col": "int32", "val": "float64"})
+    i, j = np.nonzero(c[k:])
+    rows, cols = np.concatenate([i, np.arange(len(b) - k)]), np.concatenate([np.array(edge, int)[j], np.full(len(b) - k, -1)])
+    return pd.DataFrame({"block": block, "row": rows, "col": cols, "val": np.concatenate([c[k:][i, j], b[k:]])}).astype({"block": "int32", "row": "int32", "col": "int32", "val": "float64"})
 
 
 def _border_solve(t: pd.DataFrame) -> pd.DataFrame:
-    rows = {x: k for k, x in enumerate(sorted(set(zip(t.block, t.row, strict=True))))}
-    cols = {c: k for k, c in enumerate(sorted(set(t.col) - {-1}))}
-    if len(rows) != len(cols):
+    t = t.assign(line=t.groupby(["block", "row"]).ngroup())
+    right = t[t.col < 0].sort_values("line")
+    e = t[t.col >= 0]
+    cols = {c: k for k, c in enumerate(sorted(set(e.col)))}
+    if len(right) != len(cols):
         raise ValueError("the border system isn't square")
-    a, b = np.zeros((len(rows), len(cols))), np.zeros(len(rows))
-    for k, r, c, v in zip(t.block, t.row, t.col, t.val, strict=True):
-        if c < 0:
-            b[rows[k, r]] = v
-        else:
-            a[rows[k, r], cols[c]] = v
+    a, b = np.zeros((len(right), len(cols))), right.val.to_numpy(float)
+    a[e.line, e.col.map(cols).to_numpy(int)] = e.val
     lu, order, singular = dense_lu(a)
     if singular:
         raise ZeroDivisionError("the border system is singular")
-    return pd.DataFrame({"i": list(cols), "x": dense_solve(lu, order, b)}).astype({"i": "int32"})
+    return pd.DataFrame({"i": list(cols), "x": dense_solve(lu, order, b)[: len(cols)]}).astype({"i": "int32"})
 
 
 def _back(t: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -67,15 +71,25 @@ def _back(t: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"i": inner, "x": y}).astype({"i": "int32"})
 
 
-def solve(a: Matrix, b: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(i, x) of A x = b; assigned: (row, block). Blocks and the border system each must fit one task."""
+def solve(a: Matrix, b: DataFrame, assigned: DataFrame, params: SolverParams | None = None) -> DataFrame:
+    """(i, x) of A x = b; assigned: (row, block)."""
     e = a.entries
     cols = materialize(B.col_blocks(e, assigned))
-    own = e.join(assigned, "row").join(cols.select("col", F.col("block").alias("cb")), "col")
-    parts = own.select("block", F.lit("e").alias("part"), "row", "col", "val", F.col("cb").isNotNull().alias("interior")).union(b.join(assigned, F.col("i") == F.col("row")).select("block", F.lit("b"), "row", F.lit(-1), "x", F.lit(True)))
-    parts = materialize(parts)
+    f = factorize(a, params, border=cols.where("block is null").select("col"))
+    v = forward_levels(f, b)
+    kind = cols.select("col", F.col("block").alias("cb"))
+    own = f.dense.join(assigned, "row").join(kind, "col").select("block", F.lit("e").alias("part"), "row", "col", "val", F.col("cb").isNotNull().alias("interior"))
+    right = v.join(f.d.select("row"), F.col("i") == F.col("row"), "left_anti").join(assigned, F.col("i") == F.col("row"))
+    parts = materialize(own.union(right.select("block", F.lit("b"), "i", F.lit(-1), "x", F.lit(True))))
     reduced = parts.groupBy("block").applyInPandas(_border_rows, "block int, row int, col int, val double")
     edge = materialize(reduced.groupBy().applyInPandas(_border_solve, "i int, x double"))
-    wanted = B.border(e, assigned, cols).join(edge, F.col("col") == F.col("i")).select("block", "i", "x")
-    inner = parts.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_back, "i int, x double")
-    return inner.union(edge)
+    wanted = parts.where("part = 'e' and not interior").select(F.col("block").alias("of"), F.col("col").alias("k")).distinct().join(edge, F.col("k") == F.col("i")).select("of", "i", "x")
+    inner = parts.groupBy("block").cogroup(wanted.groupBy("of")).applyInPandas(_back, "i int, x double")
+    return backward_levels(f, v, materialize(inner.union(edge)))
+
+
+def fill(a: Matrix, assigned: DataFrame, params: SolverParams | None = None) -> dict[str, float]:
+    """Entries of the factors and of the border's system, and their ratio to the matrix's."""
+    cols = materialize(B.col_blocks(a.entries, assigned))
+    f = factorize(a, params, border=cols.where("block is null").select("col"))
+    return accounting(f, a.entries.count())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from contextlib import nullcontext
 
 import numpy as np
 import pandas as pd
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..model import Factors, Matrix, SolverParams
+from ..operators import checks as C
 from ..operators import pivots as P
 from ..operators import update as UP
-from ..storage import materialize
+from ..storage import discard, materialize
 
 
 def stop_reason(nnz: int, m: int, n: int, done: int, last: list[int], p: SolverParams) -> str | None:
@@ -26,62 +28,116 @@ def stop_reason(nnz: int, m: int, n: int, done: int, last: list[int], p: SolverP
     return None
 
 
-def factorize(a: Matrix, params: SolverParams | None = None) -> Factors:
-    """Steps of independent pivots until the rest is dense, small or stalls. Each step is written once; only counts reach the driver."""
+class _Kept:
+    """Intermediate tables of a step, deleted after it."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.held.append(materialize(df))
+        return self.held[-1]
+
+    def drop(self) -> None:
+        discard(*self.held)
+        self.held = []
+
+
+def factorize(a: Matrix, params: SolverParams | None = None, border: DataFrame | None = None, trace=None, checks: frozenset[str] = frozenset()) -> Factors:
+    """Steps of independent pivots until the rest is dense, small or stalls. Each step is one table; only counts reach the driver.
+
+    border: columns (col) that get no pivot, left for the dense part. trace: a report.Trace; checks: names of CHECKS made in each step.
+    """
     p = params or SolverParams()
+    span = trace.span if trace else lambda _: nullcontext()
     if a.n > a.m:
         raise ValueError("more columns than rows")
+    if border is not None and p.pivot_strategy == "blocks":
+        raise ValueError("the search by blocks doesn't know a border")
+    edge = border.count() if border is not None else 0
     s = materialize(a.entries)
-    nnz, done, steps, parts, found = s.count(), 0, [], [], []
-    while (why := stop_reason(nnz, a.m, a.n, done, found, p)) is None:
-        began = time.perf_counter()
-        piv = materialize(P.search(s, a.n, done, len(steps), p.value_tol, p.marko_tol, keep=materialize))
-        kinds = {r.kind: r["count"] for r in piv.groupBy("kind").count().collect()}
+    nnz, done, steps, tables, found = s.count(), 0, [], [], []
+    while (why := stop_reason(nnz, a.m, a.n - edge, done, found, p)) is None:
+        began, keep, k = time.perf_counter(), _Kept(), len(steps)
+        with span("pivot search"):
+            if p.pivot_strategy == "blocks":
+                piv = P.block_search(s, a.n, done, k, p.value_tol, p.marko_tol, p.nb_candidates_per_block, keep)
+            else:
+                piv = P.search(s, a.n, done, k, p.value_tol, p.marko_tol, border, edge, keep, needed=a.n - edge - done)
+            piv = keep(piv)
+            kinds = {r.kind: r["count"] for r in piv.groupBy("kind").count().collect()}
         searched = time.perf_counter()
         count = sum(kinds.values())
         if not count:
+            keep.drop()
             why = "stalled"
             break
-        l, u = materialize(UP.lower(s, piv)), materialize(UP.upper(s, piv))  # noqa: E741
-        d = materialize(UP.diagonal(s, piv))
-        s = materialize(UP.schur(s, piv, l, u))
-        after = s.count()
-        parts.append((l, d, u, piv))
-        steps.append({"step": len(steps), "nnz_before": nnz, "row_singletons": kinds.get("RS", 0), "col_singletons": kinds.get("CS", 0), "luby": kinds.get("LUBY", 0), "pivots": count, "nnz_after": after, "search_s": searched - began, "update_s": time.perf_counter() - searched})
+        with span("update"):
+            table = materialize(UP.step(s, piv))
+            after = table.where("part = 'S'").count()
+        for name in sorted(checks):
+            bad = CHECKS[name](s, piv, table).first()[0]
+            if bad:
+                raise ValueError(f"step {k}: check {name} found {bad} violations")
+        keep.drop()
+        s = table.where("part = 'S'").select("row", "col", "val")
+        tables.append(table)
+        steps.append({"step": k, "nnz_before": nnz, "row_singletons": kinds.get("RS", 0), "col_singletons": kinds.get("CS", 0), "luby": kinds.get("LUBY", 0) + kinds.get("TP", 0), "pivots": count, "nnz_after": after, "search_s": searched - began, "update_s": time.perf_counter() - searched})
         nnz, done = after, done + count
         found.append(count)
     if a.n - done > p.max_dense_schur:
         raise ValueError(f"{a.n - done} columns are left for the dense part; at most {p.max_dense_schur} are allowed")
     spark = a.entries.sparkSession
-    empty = ["pivot int, row int, val double", "pivot int, row int, col int, val double", "row int, col int, val double, pivot int", "pos int, row int, col int, step int, kind string"]
-    total = []
-    for k, schema in enumerate(empty):
-        df = spark.createDataFrame([], schema)
-        for part in parts:
-            df = df.unionByName(part[k])
-        total.append(df)
-    return Factors(a.m, a.n, total[0], total[1], total[2], total[3], s, done, p, steps, why or "finished")
-
-
-def dense_lu(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """LU with partial pivoting of an m x k array (m >= k): the factors in place, row order, and whether a pivot was 0."""
+    every = spark.createDataFrame([], "part string, pivot int, row int, col int, val double, kind string, step int")
+    for k, table in enumerate(tables):
+        every = every.union(table.where("part <> 'S'").withColumn("step", F.lit(k)))
+    every = materialize(every)
+    part = lambda name: every.where(f"part = '{name}'")
+    perm = part("D").select(F.col("pivot").alias("pos"), "row", "col", "step", "kind")
+    s = materialize(s)
+    discard(*tables)
+    return Factors(a.m, a.n, part("L").select("pivot", "row", "val"), part("D").select("pivot", "row", "col", "val"), part("U").select("row", "col", "val", "pivot"), perm, s, done, p, steps, why or "finished")
+
+
+#: Checks of a step's input matrix, pivots and result.
+CHECKS = {
+    "doubles": lambda s, piv, t: C.duplicates(t.where("part = 'S'")),
+    "pivots": lambda s, piv, t: C.pivots_emptied(t.where("part = 'S'"), piv),
+    "independence": lambda s, piv, t: C.independence(s, piv.where("kind in ('LUBY', 'TP')")),
+    "logical_sum": lambda s, piv, t: C.logical_sum(s, piv, t),
+    "counters": lambda s, piv, t: C.touched_once(s, piv.where("kind in ('LUBY', 'TP')")),
+}
+
+
+def dense_lu(x: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray, bool]:
+    """LU with partial pivoting of an m x k array (m >= k): the factors in place, row order, and whether a pivot was 0.
+
+    By panels of `block` columns, so most of the work is products of arrays.
+    """
     x = x.astype(float).copy()
     m, k = x.shape
     order, singular = np.arange(m), False
-    for j in range(k):
-        at = j + int(np.argmax(np.abs(x[j:, j]))) if m > j else j
-        if x[at, j] == 0:
-            singular = True
-            continue
-        if at != j:
-            x[[j, at]] = x[[at, j]]
-            order[[j, at]] = order[[at, j]]
-        x[j + 1 :, j] /= x[j, j]
-        x[j + 1 :, j + 1 :] -= np.outer(x[j + 1 :, j], x[j, j + 1 :])
+    for a in range(0, k, block):
+        b = min(k, a + block)
+        for j in range(a, b):
+            at = j + int(np.argmax(np.abs(x[j:, j])))
+            if x[at, j] == 0:
+                singular = True
+                continue
+            if at != j:
+                x[[j, at]] = x[[at, j]]
+                order[[j, at]] = order[[at, j]]
+            x[j + 1 :, j] /= x[j, j]
+            x[j + 1 :, j + 1 : b] -= np.outer(x[j + 1 :, j], x[j, j + 1 : b])
+        if b < k:
+            for j in range(a, b):
+                x[j + 1 : b, b:] -= np.outer(x[j + 1 : b, j], x[j, b:])
+            x[b:, b:] -= x[b:, a:b] @ x[a:b, b:]
     return x, order, singular
 
 
 def dense_solve(x: np.ndarray, order: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution's k entries, and after them what rows beyond the k-th leave of b (0 if the system can be solved)."""
     k = x.shape[1]
     y = b[order].astype(float)
     for j in range(k):
@@ -89,7 +145,18 @@ def dense_solve(x: np.ndarray, order: np.ndarray, b: np.ndarray) -> np.ndarray:
     for j in range(k - 1, -1, -1):
         y[j] /= x[j, j]
         y[:j] -= x[:j, j] * y[j]
-    return y[:k]
+    return y
+
+
+def plain_lu(x: np.ndarray) -> np.ndarray:
+    """LU of a square array without pivoting, in place; for comparison."""
+    x = x.astype(float).copy()
+    for j in range(len(x)):
+        if x[j, j] == 0:
+            raise ZeroDivisionError("a pivot is 0")
+        x[j + 1 :, j] /= x[j, j]
+        x[j + 1 :, j + 1 :] -= np.outer(x[j + 1 :, j], x[j, j + 1 :])
+    return x
 
 
 def _tagged(f: Factors, b: DataFrame) -> DataFrame:
@@ -109,73 +176,90 @@ def _tagged(f: Factors, b: DataFrame) -> DataFrame:
 
 
 def _tail(s: pd.DataFrame, rhs: dict, rows_left: list, cols_left: list) -> dict:
-    """Solution of what is left, by column."""
-    if not cols_left:
-        return {}
-    ri, ci = {r: k for k, r in enumerate(rows_left)}, {c: k for k, c in enumerate(cols_left)}
-    x = np.zeros((len(ri), len(ci)))
-    x[[ri[r] for r in s.b], [ci[c] for c in s.c]] = s.v
-    lu, order, singular = dense_lu(x)
-    if singular:
+    """Solution of what is left, by column. More rows than columns must agree with each other."""
+    if len(rows_left) < len(cols_left):
         raise ZeroDivisionError("the matrix is singular")
-    return dict(zip(cols_left, dense_solve(lu, order, np.array([rhs[r] for r in rows_left])), strict=True))
+    b = np.array([rhs[r] for r in rows_left], float)
+    if not cols_left:
+        y, scale = b, np.abs(b).max(initial=1.0)
+    else:
+        ri, ci = {r: k for k, r in enumerate(rows_left)}, {c: k for k, c in enumerate(cols_left)}
+        x = np.zeros((len(ri), len(ci)))
+        x[s.b.map(ri).to_numpy(int), s.c.map(ci).to_numpy(int)] = s.v
+        lu, order, singular = dense_lu(x)
+        if singular:
+            raise ZeroDivisionError("the matrix is singular")
+        y, scale = dense_solve(lu, order, b), max(1.0, np.abs(b).max())
+    if np.abs(y[len(cols_left) :]).max(initial=0.0) > 1e-6 * scale:
+        raise ValueError("rows beyond the square part contradict the others")
+    return dict(zip(cols_left, y, strict=False))
 
 
-def _solve_local(t: pd.DataFrame) -> pd.DataFrame:
-    parts = dict(list(t.groupby("part")))
-    none = t.iloc[:0]
+def _forward_local(parts: dict[str, pd.DataFrame], none: pd.DataFrame) -> dict:
     rhs = dict(zip(parts.get("b", none).b, parts.get("b", none).v, strict=True))
     d = parts.get("d", none).sort_values("a")
-    l, u, s = parts.get("l", none), parts.get("u", none), parts.get("s", none)  # noqa: E741
-    by_l, by_u = dict(list(l.groupby("a"))), dict(list(u.groupby("a")))
+    by_l = {p: (g.b.to_numpy(), g.v.to_numpy()) for p, g in parts.get("l", none).groupby("a")}
     for p, row in zip(d.a, d.b, strict=True):
         if p in by_l:
-            for i, v in zip(by_l[p].b, by_l[p].v, strict=True):
-                rhs[i] -= v * rhs[row]
-    pivot_rows, pivot_cols = set(d.b), set(d.c)
-    cols = sorted((set(s.c) | set(u.c)) - pivot_cols)
-    x = _tail(s, rhs, sorted(set(rhs) - pivot_rows), cols)
-    for p, row, col, v in zip(d.a[::-1], d.b[::-1], d.c[::-1], d.v[::-1], strict=True):
-        total = rhs[row]
-        if p in by_u:
-            total -= sum(w * x[c] for c, w in zip(by_u[p].c, by_u[p].v, strict=True))
-        x[col] = total / v
-    return pd.DataFrame({"i": list(x), "x": list(x.values())})
+            known = rhs[row]
+            for i, v in zip(*by_l[p], strict=True):
+                rhs[i] -= v * known
+    return rhs
+
+
+def _backward_local(parts: dict[str, pd.DataFrame], none: pd.DataFrame, rhs: dict, x: dict) -> dict:
+    d = parts.get("d", none).sort_values("a", ascending=False)
+    by_u = {p: (g.c.to_numpy(), g.v.to_numpy()) for p, g in parts.get("u", none).groupby("a")}
+    for p, row, col, v in zip(d.a, d.b, d.c, d.v, strict=True):
+        x[col] = (rhs[row] - sum(w * x[c] for c, w in zip(*by_u[p], strict=True)) if p in by_u else rhs[row]) / v
+    return x
+
+
+def _solver_local(m: int, n: int):
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        parts, none = dict(list(t.groupby("part"))), t.iloc[:0]
+        rhs = _forward_local(parts, none)
+        d = parts.get("d", none)
+        x = _tail(parts.get("s", none), rhs, sorted(set(range(m)) - set(d.b)), sorted(set(range(n)) - set(d.c)))
+        x = _backward_local(parts, none, rhs, x)
+        return pd.DataFrame({"i": list(x), "x": list(x.values())})
+
+    return run
+
+
+def is_small(f: Factors) -> bool:
+    """Whether the factors have at most local_nnz entries, so that one task solves with them."""
+    return sum(s["nnz_before"] for s in f.steps[:1]) + sum(s["nnz_after"] for s in f.steps) <= f.params.local_nnz
 
 
 def solve(f: Factors, b: DataFrame) -> DataFrame:
     """(i, x) of A x = b: in one task if the factors are small enough, else level by level."""
-    size = sum(s["nnz_before"] for s in f.steps[:1]) + sum(s["nnz_after"] for s in f.steps)
-    if size <= f.params.local_nnz:
-        return _tagged(f, b).groupBy().applyInPandas(_solve_local, "i int, x double")
+    if is_small(f):
+        return _tagged(f, b).groupBy().applyInPandas(_solver_local(f.m, f.n), "i int, x double")
     return solve_levels(f, b)
 
 
-def solve_levels(f: Factors, b: DataFrame) -> DataFrame:
-    """Joins by (step, kind): pivots of one level don't meet. Row singletons and independent pivots have L entries;
-    backwards each level needs later levels only."""
-    levels = sorted((r.step, {"RS": 0, "CS": 1, "LUBY": 2}[r.kind], r.kind) for r in f.perm.select("step", "kind").distinct().collect())
+def _levels(f: Factors) -> list[tuple[int, int, str]]:
+    return sorted((r.step, {"RS": 0, "CS": 1, "LUBY": 2, "TP": 2}[r.kind], r.kind) for r in f.perm.select("step", "kind").distinct().collect())
+
+
+def forward_levels(f: Factors, b: DataFrame) -> DataFrame:
+    """(i, x): L solved for b, by joins by (step, kind): pivots of one level don't meet. Row singletons and independent pivots have L entries."""
     v = materialize(b)
-    for step, _, kind in levels:
+    for step, _, kind in _levels(f):
         if kind == "CS":
             continue
         here = f.perm.where((F.col("step") == step) & (F.col("kind") == kind)).select(F.col("pos").alias("p"), F.col("row").alias("r"))
         known = here.join(v, F.col("r") == F.col("i")).select("p", F.col("x").alias("xp"))
         less = f.l.join(known, F.col("pivot") == F.col("p")).select(F.col("row").alias("i"), (-F.col("val") * F.col("xp")).alias("x"))
-        v = materialize(v.unionByName(less).groupBy("i").agg(F.sum("x").alias("x")))
-    left = v.join(f.d.select("row"), F.col("i") == F.col("row"), "left_anti")
-    tail = f.dense.select(F.lit("s").alias("part"), F.lit(0).alias("a"), F.col("row").alias("b"), F.col("col").alias("c"), F.col("val").alias("v")).union(left.select(F.lit("b"), F.lit(0), "i", F.lit(0), "x"))
-    done_cols = f.d.select("col")
-    open_cols = f.u.select("col").distinct().join(done_cols, "col", "left_anti").select(F.lit("c").alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.col("col").alias("c"), F.lit(0.0).alias("v"))
+        was, v = v, materialize(v.unionByName(less).groupBy("i").agg(F.sum("x").alias("x")))
+        discard(was)
+    return v
 
-    def dense(t: pd.DataFrame) -> pd.DataFrame:
-        s, r = t[t.part == "s"], t[t.part == "b"]
-        rhs = dict(zip(r.b, r.v, strict=True))
-        x = _tail(s, rhs, sorted(rhs), sorted(set(s.c) | set(t[t.part == "c"].c)))
-        return pd.DataFrame({"i": list(x), "x": list(x.values())})
 
-    x = materialize(tail.union(open_cols).groupBy().applyInPandas(dense, "i int, x double"))
-    for step, _, kind in reversed(levels):
+def backward_levels(f: Factors, v: DataFrame, x: DataFrame) -> DataFrame:
+    """(i, x) of all columns from forward_levels() and the columns without a pivot; each level needs later ones only."""
+    for step, _, kind in reversed(_levels(f)):
         here = f.perm.where((F.col("step") == step) & (F.col("kind") == kind)).select(F.col("pos").alias("p"), "row", "col")
         own = here.join(v, F.col("row") == F.col("i")).select("p", "col", "x")
         less = f.u.join(x.withColumnRenamed("i", "k"), F.col("col") == F.col("k")).select("pivot", (F.col("val") * F.col("x")).alias("w")).join(here.select("p"), F.col("pivot") == F.col("p"), "left_semi").groupBy("pivot").agg(F.sum("w").alias("w"))
@@ -185,6 +269,27 @@ def solve_levels(f: Factors, b: DataFrame) -> DataFrame:
     return x
 
 
+def open_columns(f: Factors) -> DataFrame:
+    """(col) without a pivot, whether they have entries or not."""
+    return f.dense.sparkSession.range(f.n).select(F.col("id").cast("int").alias("col")).join(f.d.select("col"), "col", "left_anti")
+
+
+def solve_levels(f: Factors, b: DataFrame) -> DataFrame:
+    v = forward_levels(f, b)
+    left = v.join(f.d.select("row"), F.col("i") == F.col("row"), "left_anti")
+    none = F.lit(0)
+    tail = f.dense.select(F.lit("s").alias("part"), none.alias("a"), F.col("row").alias("b"), F.col("col").alias("c"), F.col("val").alias("v")).union(left.select(F.lit("b"), none, "i", none, "x"))
+    tail = tail.union(open_columns(f).select(F.lit("c"), none, none, "col", F.lit(0.0)))
+
+    def dense(t: pd.DataFrame) -> pd.DataFrame:
+        s, r = t[t.part == "s"], t[t.part == "b"]
+        rhs = dict(zip(r.b, r.v, strict=True))
+        x = _tail(s, rhs, sorted(rhs), sorted(t[t.part == "c"].c))
+        return pd.DataFrame({"i": list(x), "x": list(x.values())})
+
+    return backward_levels(f, v, materialize(tail.groupBy().applyInPandas(dense, "i int, x double")))
+
+
 def reconstruction(f: Factors) -> DataFrame:
     """(row, col, val) of L (D + U) plus the rest: what the factors say the matrix was."""
     u = f.u.select("pivot", "col", "val").union(f.d.select("pivot", "col", "val"))
@@ -196,12 +301,36 @@ def reconstruction(f: Factors) -> DataFrame:
 
 def permutation(f: Factors) -> DataFrame:
     """perm with the dense tail's lines after the pivots, in order of their ids."""
-    rows = f.dense.select("row").distinct().select("row", F.row_number().over(W.orderBy("row")).alias("k"))  # at most max_dense_schur rows
-    cols = f.dense.select("col").distinct().select("col", F.row_number().over(W.orderBy("col")).alias("j"))
+    rows = f.dense.sparkSession.range(f.m).select(F.col("id").cast("int").alias("row")).join(f.d.select("row"), "row", "left_anti")
+    rows = rows.select("row", F.row_number().over(W.orderBy("row")).alias("k"))  # at most m - n + max_dense_schur rows
+    cols = open_columns(f).select("col", F.row_number().over(W.orderBy("col")).alias("j"))
     tail = rows.join(cols, F.col("k") == F.col("j")).select((F.col("k") - 1 + f.done).cast("int").alias("pos"), "row", "col", F.lit(len(f.steps)).alias("step"), F.lit("DENSE").alias("kind"))
     return f.perm.union(tail)
 
 
+def accounting(f: Factors, nnz: int) -> dict[str, float]:
+    """Entries of the factors: L and U with the dense part's halves, the diagonal once; fill: of all to those of the matrix."""
+    l, u, k = f.l.count(), f.u.count(), f.n - f.done  # noqa: E741
+    dense = k * (f.m - f.done)
+    out = {"nnz_l": l, "nnz_u": u + f.done, "nnz_dense": dense, "nnz_final": l + u + f.done + dense, "schur_density": f.dense.count() / dense if dense else 0.0}
+    return out | {"fill": out["nnz_final"] / max(1, nnz)}
+
+
+def cross_check(a: Matrix, f: Factors) -> float:
+    """Largest difference between P A Q and the product of its plain dense factors under f's permutation; for small matrices in one task."""
+    p, n = permutation(f), a.n
+    e = a.entries.join(p.select("row", F.col("pos").alias("i")), "row").join(p.select("col", F.col("pos").alias("j")), "col").select("i", "j", "val")
+
+    def compare(t: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros((n, n))
+        x[t.i, t.j] = t.val
+        lu, order, _ = dense_lu(x)
+        back = (np.tril(lu, -1) + np.eye(n)) @ np.triu(lu)
+        return pd.DataFrame({"error": [float(np.abs(back - x[order]).max(initial=0.0))]})
+
+    return e.groupBy().applyInPandas(compare, "error double").first()[0]
+
+
 def refine(a: Matrix, f: Factors, b: DataFrame, x: DataFrame, target: float = 1e-14, rounds: int = 20) -> DataFrame:
     """x += solve(b - A x) until the backward error is small or stops shrinking."""
     from ..operators import algebra as A

@@ -12,12 +12,57 @@ from pyspark.sql import DataFrame, SparkSession
 from ..model import Factors, SolverParams
 
 
-def summary(f: Factors) -> str:
+def summary(f: Factors, facts: dict[str, float] | None = None) -> str:
+    """Text of a run; facts: from factorize.accounting() and norms."""
     lines = [f"rows {f.m}, columns {f.n}", f"steps {len(f.steps)}, stopped: {f.reason}", f"sparse pivots {f.done}, dense pivots {f.n - f.done}"]
     lines += [f"{k} {sum(s[k] for s in f.steps):.3f} s" for k in ("search_s", "update_s")]
+    lines += [f"{k} {v:.6g}" for k, v in (facts or {}).items()]
     return "\n".join(lines)
 
 
+def totals(f: Factors) -> dict[str, float]:
+    """Microseconds of search and update, and mean and population deviation of pivots per step."""
+    found = [s["pivots"] for s in f.steps]
+    mean = sum(found) / len(found) if found else 0.0
+    return {
+        "timing_total_pivot_search": sum(s["search_s"] for s in f.steps) * 1e6, "timing_total_update": sum(s["update_s"] for s in f.steps) * 1e6,
+        "pivots_mean": mean, "pivots_std": (sum((x - mean) ** 2 for x in found) / len(found)) ** 0.5 if found else 0.0,
+    }
+
+
+def raw_text(f: Factors, facts: dict[str, float]) -> str:
+    """'#key value' lines, then a line per step: pivots and microseconds; ? where a step's plan doesn't tell parts apart."""
+    head = [f"#{k}\t{v}" for k, v in ({"sparse_pivots": f.done, "dense_pivots": f.n - f.done, "nb_steps": len(f.steps), "reason": f.reason} | totals(f) | facts).items()]
+    return "\n".join(head + ["#pivots\tsearch\tcandidates\tmerging\tupdate\tupdate LD\tupdate U\tupdate S"] + ["\t".join([str(s["pivots"]), f"{s['search_s'] * 1e6:.0f}", "?", "?", f"{s['update_s'] * 1e6:.0f}", "?", "?", "?"]) for s in f.steps]) + "\n"
+
+
+# Column labels of a sweep's file.
+SWEEP_COLUMNS = (
+    "timing total", "timing sparse", "timing dense", "timing convert", "timing pivot search", "timing creating init sets", "timing merging pivots",
+    "timing update", "timing update LD", "timing update U", "timing update S", "timing solve", "timing solve L", "timing solve dense", "timing solve U",
+    "forward error", "backward error", "schur density", "sparse pivots S", "dense pivots", "nnz", "nnz L", "nnz U", "#steps",
+)
+
+
+def sweep_text(stats: DataFrame, swept: str, p: SolverParams) -> str:
+    """The parameters as '#' lines, labels, and a line per run: the swept value and 24 more, ? where a run doesn't measure it."""
+    head = [f"#{k}\t{getattr(p, k)}" for k in ("value_tol", "marko_tol", "nb_candidates_per_block", "nb_previous_pivots", "min_pivot_per_steps", "density_tolerance", "max_dense_schur") if k != swept]
+    lines = []
+    for r in stats.orderBy("run").collect():  # a row per run
+        us = lambda s: f"{s * 1e6:.0f}"
+        known = {
+            "timing total": us(r.search_s + r.update_s), "timing sparse": us(r.search_s + r.update_s), "timing pivot search": us(r.search_s), "timing update": us(r.update_s), "timing solve": us(r.solve_s), "forward error": f"{r.forward_error:e}",
+            "backward error": f"{r.backward_error:e}", "schur density": f"{r.schur_density:f}", "sparse pivots S": str(r.sparse_pivots), "dense pivots": str(r.dense_pivots), "nnz": str(r.nnz_final), "nnz L": str(r.nnz_l), "nnz U": str(r.nnz_u), "#steps": str(r.steps),
+        }
+        lines.append("\t".join([f"{r.param_value:g}", *(known.get(c, "?") for c in SWEEP_COLUMNS)]))
+    return "\n".join([*head, "\t".join(f'"{c}"' for c in (swept, *SWEEP_COLUMNS)), *lines]) + "\n"
+
+
+def write_text(path: str, text: str) -> None:
+    with open(path, "w") as f:
+        f.write(text)
+
+
 def make_dirs(root: str) -> None:
     for d in ("data", "plot", "fig", "trace"):
         os.makedirs(os.path.join(root, d), exist_ok=True)
@@ -36,10 +81,6 @@ def series(f: Factors, columns: tuple[str, ...] = ("search_s", "update_s")) -> s
     return "\n".join("\t".join("?" if s.get(c) is None else f"{s[c]}" for c in columns) for s in f.steps)
 
 
-def write_sweep(stats: DataFrame, path: str) -> None:
-    stats.coalesce(1).write.option("sep", "\t").option("header", True).csv(path)
-
-
 class Trace:
     """Spans of named states by thread; nested spans of one thread are refused."""
 
@@ -65,4 +106,19 @@ class Trace:
         return spark.createDataFrame(self.events, "thread long, event string, start_us long, end_us long")
 
     def text(self) -> str:
-        return "\n".join(f"{s}\t{t}\t{e}\tbegin\n{d}\t{t}\t{e}\tend" for t, e, s, d in sorted(self.events, key=lambda x: x[2]))
+        """A Paje trace: its definitions, a container for each thread, and its states in order of time, idle between them."""
+        names = sorted({e for _, e, _, _ in self.events})
+        who = {t: k for k, t in enumerate(sorted({t for t, *_ in self.events}))}
+        lines = [
+            "%EventDef PajeDefineContainerType 1", "% Alias string", "% Type string", "% Name string", "%EndEventDef",
+            "%EventDef PajeDefineStateType 3", "% Alias string", "% Type string", "% Name string", "%EndEventDef",
+            "%EventDef PajeDefineEntityValue 4", "% Alias string", "% Type string", "% Name string", "%EndEventDef",
+            "%EventDef PajeCreateContainer 5", "% Time date", "% Alias string", "% Type string", "% Container string", "% Name string", "%EndEventDef",
+            "%EventDef PajeDestroyContainer 6", "% Time date", "% Type string", "% Name string", "%EndEventDef",
+            "%EventDef PajeSetState 8", "% Time date", "% Type string", "% Container string", "% Value string", "%EndEventDef",
+            '1 T 0 "thread"', '3 S T "state"', '4 idle S "idle"', *(f'4 e{k} S "{n}"' for k, n in enumerate(names)), *(f'5 0 t{k} T 0 "thread {k}"' for k in who.values()),
+        ]
+        moves = [(s, who[t], f"e{names.index(e)}") for t, e, s, _ in self.events] + [(d, who[t], "idle") for t, _, _, d in self.events]
+        end = max((d for *_, d in self.events), default=0)
+        lines += [f"8 {at / 1e6:.6f} S t{t} {state}" for at, t, state in sorted(moves, key=lambda m: (m[0], m[2] != "idle"))]
+        return "\n".join([*lines, *(f"6 {end / 1e6:.6f} T t{k}" for k in who.values())]) + "\n"

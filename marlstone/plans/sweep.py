@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..model import Matrix, SolverParams
 from ..operators import algebra as A
 from ..sources.triplets import default_vector
-from .factorize import factorize, solve
+from ..storage import discard, materialize
+from .factorize import accounting, factorize, solve
 
 SWEPT = ("value_tol", "marko_tol", "nb_candidates_per_block", "nb_previous_pivots", "min_pivot_per_steps", "density_tolerance")
 
@@ -22,17 +24,25 @@ def values(param: str, init: float, inc: float, steps: int) -> list[float]:
 
 
 def sweep(a: Matrix, param: str, init: float, inc: float, steps: int, params: SolverParams | None = None, tolerance: float = 1e-9) -> DataFrame:
-    """run_stats: a row per run with its steps, pivots, factor sizes, times, backward error and whether it solved."""
+    """run_stats: a row per run with its steps, pivots, factor sizes, times, errors and whether it solved. Swept blocks need pivot_strategy 'blocks'."""
     spark, base, rows = a.entries.sparkSession, params or SolverParams(), []
     x0 = default_vector(spark, a.n)
     b = A.spmv(a.entries, x0, a.m)
+    if param == "nb_candidates_per_block" and base.pivot_strategy != "blocks":
+        base = replace(base, pivot_strategy="blocks")  # the only search that reads it
     for k, v in enumerate(values(param, init, inc, steps)):
         kind = type(getattr(base, param))
         f = factorize(a, replace(base, **{param: kind(v)}))
-        x = solve(f, b)
-        error = A.backward_error(a.entries, x, b, a.m).first()[0]
-        rows.append((k, float(v), len(f.steps), f.done, a.n - f.done, f.l.count(), f.u.count(), sum(s["search_s"] for s in f.steps), sum(s["update_s"] for s in f.steps), float(error), bool(error < tolerance), f.reason))
-    return spark.createDataFrame(rows, "run int, param_value double, steps int, sparse_pivots int, dense_pivots int, nnz_l long, nnz_u long, search_s double, update_s double, backward_error double, solved boolean, reason string")
+        began = time.perf_counter()
+        x = materialize(solve(f, b))
+        took = time.perf_counter() - began
+        error = float(A.backward_error(a.entries, x, b, a.m).first()[0])
+        forward = A.norm2(A.axpby(x, 1.0, x0, -1.0)).first()[0] / max(1e-300, A.norm2(x0).first()[0])
+        facts = accounting(f, 1)
+        rows.append((k, float(v), len(f.steps), f.done, a.n - f.done, facts["nnz_l"], facts["nnz_u"], facts["nnz_final"], float(facts["schur_density"]), sum(s["search_s"] for s in f.steps), sum(s["update_s"] for s in f.steps), took, float(forward), error, error < tolerance, f.reason))
+        discard(x)
+    schema = "run int, param_value double, steps int, sparse_pivots int, dense_pivots int, nnz_l long, nnz_u long, nnz_final long, schur_density double, search_s double, update_s double, solve_s double, forward_error double, backward_error double, solved boolean, reason string"
+    return spark.createDataFrame(rows, schema)
 
 
 def step_stats(spark, f) -> DataFrame:

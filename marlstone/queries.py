@@ -121,17 +121,12 @@ def _(s, d):
     return C.permutation(L.random_permutation(s.range(n).select(F.col("id").cast("int").alias("idx")), 7), n)
 
 
-@_query("sparse_to_dense", "SELECT CAST(r.i AS INT) AS row, CAST(c.j AS INT) AS col, coalesce(val, 0) AS val FROM range(50) r(i), range(50) c(j) LEFT JOIN e ON e.row = i AND e.col = j", _E)
-def _(s, d):
-    return L.to_dense(X.parts_square(s, d).entries.where("row < 50 and col < 50"), 50, 50)
-
-
 _EVENTS = "ev AS (SELECT * FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL)"
 _TYPES = "ty AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS col FROM (SELECT DISTINCT event_type FROM ev))"
 _USER_EVENT = "f AS (SELECT user_id AS row, col, CAST(count(*) AS DOUBLE) AS val FROM ev JOIN ty USING (event_type) GROUP BY 1, 2)"
 
 
-@_query("sparse_to_dense_whole", "SELECT CAST(r.i AS INT) AS row, CAST(c.j AS INT) AS col, coalesce(val, 0) AS val FROM range((SELECT max(user_id) + 1 FROM ev)) r(i) CROSS JOIN range((SELECT count(*) FROM ty)) c(j) LEFT JOIN f ON f.row = r.i AND f.col = c.j", _EVENTS, _TYPES, _USER_EVENT)
+@_query("sparse_to_dense", "SELECT CAST(r.i AS INT) AS row, CAST(c.j AS INT) AS col, coalesce(val, 0) AS val FROM range((SELECT max(user_id) + 1 FROM ev)) r(i) CROSS JOIN range((SELECT count(*) FROM ty)) c(j) LEFT JOIN f ON f.row = r.i AND f.col = c.j", _EVENTS, _TYPES, _USER_EVENT)
 def _(s, d):
     m = X.user_event(s, d)
     return L.to_dense(m.entries, m.m, m.n)
@@ -291,12 +286,64 @@ def _(s, d):
     return P.block_candidates(m.entries, m.n, TOL)
 
 
-@_query("tp_independent_sets", "SELECT CAST(0 AS BIGINT) AS violations")
-def _(s, d):
+def _block_sets(s, d):
     m = X.parts_square(s, d)
     e = materialize(m.entries)
-    sets = P.block_sets(e, materialize(P.block_candidates(e, m.n, TOL)), MARKO)
-    return C.independence(e, P.merged_sets(e, sets, keep=materialize))
+    cands = materialize(P.block_candidates(e, m.n, TOL))
+    return e, cands, P.merged_sets(e, P.block_sets(e, cands, MARKO), keep=materialize)
+
+
+@_query("tp_independent_sets", "SELECT CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS double_touches, CAST(0 AS BIGINT) AS strangers, true AS large")
+def _(s, d):
+    """Of the merged set: entries off the diagonal, lines touched twice, cells that are no candidates, and whether at least a third of the candidates are in."""
+    e, cands, found = _block_sets(s, d)
+    found = materialize(found)
+    strangers = found.join(cands, ["row", "col"], "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
+    large = cands.agg(F.count(F.lit(1)).alias("all")).crossJoin(found.agg(F.count(F.lit(1)).alias("n"))).select((F.col("n") * 3 >= F.col("all")).alias("large"))  # one row each
+    return C.independence(e, found).crossJoin(C.touched_once(e, found).withColumnRenamed("violations", "double_touches")).crossJoin(strangers).crossJoin(large)
+
+
+@_query("tp_best_cost", f"SELECT CASE WHEN min(cost) = 0 THEN 1 ELSE min(cost) END AS best, CAST(floor(CASE WHEN min(cost) = 0 THEN 1 ELSE min(cost) END * {MARKO}) AS BIGINT) AS allowed FROM (SELECT (row_deg - 1) * (col_deg - 1) AS cost FROM e JOIN cs USING (col) JOIN rd USING (row) WHERE abs(val) >= col_max * {TOL} AND col_deg <= 2 * ((SELECT count(*) FROM e) // {_N}))", _E, _STATS)
+def _(s, d):
+    m = X.parts_square(s, d)
+    return P.allowed_cost(P.block_candidates(m.entries, m.n, TOL), MARKO)
+
+
+@_query("touch_counts", "SELECT e.col, count(*) AS touches FROM e JOIN pv ON e.row = pv.row WHERE e.col NOT IN (SELECT col FROM pv) GROUP BY e.col", _E, _STATS)
+def _(s, d):
+    _, e, p = _first_step(s, d)
+    return P.structures(e, p, "row")
+
+
+@_query("capped_candidates", "SELECT col, row, cost FROM ca ORDER BY col LIMIT (SELECT count(*) // 2 FROM ca)", _E, _STATS)
+def _(s, d):
+    cands = materialize(P.candidates(_best(s, d)[1], MARKO))
+    return P.capped(cands, cands.count() // 2).select("col", "row", "cost")
+
+
+@_query("merged_by_cost", "SELECT row, col, cost FROM ca WHERE col % 2 = 0 UNION ALL SELECT row, col, cost FROM ca WHERE col % 2 = 1", _E, _STATS)
+def _(s, d):
+    cands = materialize(P.candidates(_best(s, d)[1], MARKO))
+    return P.by_cost(cands.where("col % 2 = 0"), cands.where("col % 2 = 1"))
+
+
+@_query("check_logical_sum", "SELECT CAST(0 AS BIGINT) AS violations")
+def _(s, d):
+    _, e, p = _first_step(s, d)
+    return C.logical_sum(e, p, materialize(U.step(e, p)))
+
+
+@_query("step_parts", 'SELECT \'L\' AS part, count(*) AS n, round(sum(val), 4) + 0.0 AS total FROM l UNION ALL SELECT \'D\', count(*), round(sum(val), 4) + 0.0 FROM d UNION ALL SELECT \'U\', count(*), round(sum(val), 4) + 0.0 FROM u UNION ALL SELECT \'S\', count(*), round(sum(val), 4) + 0.0 FROM s', _E, _STATS)
+def _(s, d):
+    _, e, p = _first_step(s, d)
+    return U.step(e, p).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("total")).select("part", "n", _round("total", 4))
+
+
+@_query("solve_blocks_strategy", f"SELECT CAST(i AS INT) AS i, i + 1.0::DOUBLE AS x FROM range({_N}) t(i)")
+def _(s, d):
+    m = X.parts_square(s, d)
+    f = factorize(m, SolverParams(pivot_strategy="blocks"))
+    return solve(f, A.spmv(m.entries, default_vector(s, m.n), m.m)).select("i", _round("x"))
 
 
 def _factors(s, d):
@@ -404,6 +451,22 @@ def _(s, d):
     return bordered.solve(m, A.spmv(m.entries, default_vector(s, m.n), m.m), r.select("row", "block")).select("i", _round("x"))
 
 
+@_query("local_columns", "SELECT block, col, CAST(row_number() OVER (PARTITION BY block ORDER BY edge, col) - 1 AS INT) AS local FROM (SELECT block, col, 0 AS edge FROM cb WHERE block IS NOT NULL UNION ALL SELECT block, col, 1 FROM bd)", _E2, _BL)
+def _(s, d):
+    m, r, c = _blocks(s, d)
+    return B.local_columns(m.entries, r, c)
+
+
+@_query("grown_partition", f"SELECT {_N} AS n_rows, true AS balanced, true AS no_worse")
+def _(s, d):
+    """Rows of the grown partition, whether blocks stay within their room, and whether no more columns are cut than by equal ranges."""
+    m = X.parts_square(s, d)
+    ranges, grown = B.contiguous(s, m.m, 4), B.grown(m.entries, m.m, 4)
+    cut = lambda r: B.col_blocks(m.entries, r).where("block is null").agg(F.count(F.lit(1)).alias("cut"))
+    sizes = grown.groupBy("block").count().agg(F.sum("count").alias("n_rows"), (F.max("count") <= int(1.25 * -(-m.m // 4))).alias("balanced"))
+    return sizes.crossJoin(cut(ranges).withColumnRenamed("cut", "a")).crossJoin(cut(grown).withColumnRenamed("cut", "b")).select("n_rows", "balanced", (F.col("b") <= F.col("a")).alias("no_worse"))  # one row each
+
+
 @_query("check_duplicates", "SELECT count(*) AS violations FROM (SELECT 1 FROM e GROUP BY row, col HAVING count(*) > 1)", _E)
 def _(s, d):
     return C.duplicates(X.parts_square(s, d).entries)
@@ -412,7 +475,7 @@ def _(s, d):
 @_query("check_same_pattern", "SELECT CAST(0 AS BIGINT) AS violations")
 def _(s, d):
     e = X.parts_square(s, d).entries
-    return C.same_pattern(e, L.compressed(e, "row").select("row", F.explode("cells").alias("c")).select("row", "c.col"))
+    return C.same_pattern(L.compressed(e, "col").select("col", F.explode("cells").alias("c")).select("c.row", "col"), L.compressed(e, "row").select("row", F.explode("cells").alias("c")).select("row", "c.col"))
 
 
 @_query("check_perms", "SELECT CAST(0 AS BIGINT) AS violations")

@@ -3,26 +3,30 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone import queries as Q
 from marlstone.model import Matrix, SolverParams
 from marlstone.operators import algebra as A
+from marlstone.operators import blocks as B
 from marlstone.operators import checks as C
+from marlstone.operators import layout as L
 from marlstone.operators import pivots as P
-from marlstone.plans import report
-from marlstone.plans.factorize import dense_lu, dense_solve, factorize, permutation, solve, solve_levels
+from marlstone.plans import bordered, options, report
+from marlstone.plans.factorize import CHECKS, cross_check, dense_lu, dense_solve, factorize, permutation, plain_lu, refine, solve, solve_levels
 from marlstone.plans.sweep import values
 from marlstone.sources import triplets as T
+from marlstone.storage import materialize
 from marlstone.streaming.products import running_spmv
 
 D = "/root/testdata/sf0.001"
-QUICK = ["matrix_entries", "csc_columns", "col_sizes", "vec_axpby", "matrix_permute", "sparse_to_dense", "spmv", "spmv_rectangular", "matrix_norm_inf", "range_overlaps", "eligible_entries", "row_singletons", "col_singletons", "independent_pivots", "schur_step", "tp_candidates", "col_blocks", "block_sizes", "block_entries", "block_check", "check_same_pattern"]
+QUICK = ["matrix_entries", "csc_columns", "col_sizes", "vec_axpby", "matrix_permute", "spmv", "spmv_rectangular", "matrix_norm_inf", "range_overlaps", "eligible_entries", "row_singletons", "col_singletons", "independent_pivots", "schur_step", "tp_candidates", "col_blocks", "block_sizes", "block_entries", "block_check", "check_same_pattern", "tp_independent_sets", "tp_best_cost", "touch_counts", "capped_candidates", "merged_by_cost", "check_logical_sum", "step_parts", "local_columns", "grown_partition"]
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("nation", "part", "supplier", "lineitem"):
+    for t in ("nation", "part", "supplier", "lineitem", "events"):
         con.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
     return con
 
@@ -70,18 +74,90 @@ def test_tie_keeps_the_smaller_column(spark):
     assert [r.loser for r in P.conflicts(e, c).collect()] == [1]
 
 
-def test_singular_is_refused(spark):
-    m = matrix(spark, np.array([[1.0, 0, 0], [1, 0, 0], [0, 1, 1]]))
-    with pytest.raises(Exception, match="singular|ZeroDivision|columns|entr"):
-        f = factorize(m)
-        x = solve(f, T.default_vector(spark, 3)).collect()
-        assert len(x) == 3
+@pytest.mark.parametrize("a", [[[1.0, 0, 0], [1, 0, 0], [0, 1, 1]], [[1.0, 0], [1, 0]], [[0.0, 0], [1, 0]]])
+def test_singular_is_refused(spark, a):
+    """Equal lines and columns without entries, by both ways to solve."""
+    m = matrix(spark, np.array(a))
+    f = factorize(m)
+    for how in (solve, solve_levels):
+        with pytest.raises(Exception, match="the matrix is singular"):
+            how(f, T.default_vector(spark, m.m)).collect()
+
+
+def test_more_rows_than_columns(spark):
+    """Extra rows that agree are fine, others are refused."""
+    a = np.vstack([dominant(8, 2), np.ones((2, 8))])
+    m = matrix(spark, a)
+    f = factorize(m, SolverParams(density_tolerance=0.9))
+    right = a @ np.arange(1.0, 9)
+    b = spark.createDataFrame([(i, float(v)) for i, v in enumerate(right)], "i int, x double")
+    for how in (solve, solve_levels):
+        assert np.allclose([v for _, v in sorted(how(f, b).collect())], np.arange(1.0, 9))
+    with pytest.raises(Exception, match="contradict"):
+        solve(f, b.select("i", F.when(F.col("i") == 9, 0.0).otherwise(F.col("x")).alias("x"))).collect()
+
+
+def test_vectors_of_different_sizes_are_refused(spark):
+    with pytest.raises(Exception, match="different sizes"):
+        A.axpby(T.default_vector(spark, 3), 1.0, T.default_vector(spark, 4), 1.0).collect()
+
+
+def test_blocks_and_checks(spark):
+    """The older search solves too; each step's checks pass; bordered blocks and refinement agree."""
+    a = dominant(14, 7)
+    m = matrix(spark, a)
+    m = Matrix(materialize(m.entries), 14, 14)
+    b = materialize(A.spmv(m.entries, T.default_vector(spark, 14), 14))
+    f = factorize(m, SolverParams(density_tolerance=0.7, pivot_strategy="blocks"), checks=frozenset(CHECKS))
+    assert np.allclose([v for _, v in sorted(solve(f, b).collect())], np.arange(1, 15)) and cross_check(m, f) < 1e-9
+    g = factorize(m, SolverParams(density_tolerance=0.7), checks=frozenset(CHECKS))
+    assert g.done and cross_check(m, g) < 1e-9
+    rough = solve(g, b).select("i", (F.col("x") + F.col("i") * 1e-4).alias("x"))
+    assert np.allclose([v for _, v in sorted(refine(m, g, b, rough).collect())], np.arange(1, 15), atol=1e-10)
+    rows = B.grown(m.entries, 14, 2, rounds=1)
+    assert rows.count() == 14
+    x = bordered.solve(m, b, rows, SolverParams(density_tolerance=0.9))
+    assert np.allclose([v for _, v in sorted(x.collect())], np.arange(1, 15))
+
+
+def test_options_and_files(spark, tmp_path):
+    m = matrix(spark, dominant(12, 4))
+    T.write_triplets(m, f"file://{tmp_path}/m.mtl")
+    o = options.parse(["--matrix", f"file://{tmp_path}/m.mtl", "--value_tol", "0.2", "--check_pivots", "--check_counters", "--trace", "--output_dir", f"{tmp_path}/out", "--output_file", f"{tmp_path}/log", "--check_dense_with_perm"])
+    done = options.run(spark, o)
+    assert done["facts"]["backward_error"] < 1e-12 and done["facts"]["forward_error"] < 1e-10 and done["facts"]["cross_check"] < 1e-9
+    data = sorted(p.name for p in (tmp_path / "out" / "data").iterdir())
+    assert len(data) == 3 and (tmp_path / "log").read_text() == done["text"]
+    raw = next((tmp_path / "out" / "data").glob("*_raw.dat")).read_text().splitlines()
+    assert any(line.startswith("#nnz_final\t") for line in raw) and len(raw[-1].split("\t")) == 8
+    trace = next((tmp_path / "out" / "trace").iterdir()).read_text()
+    assert trace.startswith("%EventDef") and " idle" in trace
+    swept = options.run(spark, options.parse(["--matrix", f"file://{tmp_path}/m.mtl", "--group_run", "marko_tol", "2", "2", "2", "--output_dir", f"{tmp_path}/out"]))
+    lines = [line for line in swept["text"].splitlines() if not line.startswith("#")]
+    assert len(lines) == 3 and all(len(line.split("\t")) == 25 for line in lines) and len(report.SWEEP_COLUMNS) == 24
+    for bad in (["--odd"], ["--value_tol", "2"], ["--matrix"], ["word"], ["--group_run", "odd", "1", "1", "1"]):
+        with pytest.raises(ValueError):
+            options.parse(bad)
+    with pytest.warns(UserWarning):
+        options.parse(["--nb_threads", "4"])
+
+
+def test_random_dense(spark):
+    e = L.random_dense(spark, 6, 5, 1)
+    rows = {(r.row, r.col): r.val for r in e.collect()}
+    assert len(rows) == 30 and rows == {(r.row, r.col): r.val for r in L.random_dense(spark, 6, 5, 1).collect()} and 0 <= min(rows.values())
 
 
 def test_dense_lu():
     a = dominant(12, 5)[:, ::-1]
     lu, order, singular = dense_lu(a)
     assert not singular and np.allclose(dense_solve(lu, order, a @ np.arange(12.0)), np.arange(12.0))
+    big = np.random.default_rng(1).random((150, 130))
+    lu, order, _ = dense_lu(big)
+    assert np.allclose((np.tril(lu, -1)[:, :130] + np.eye(150, 130)) @ np.triu(lu[:130]), big[order])
+    small = dominant(20, 1)
+    flat = plain_lu(small)
+    assert np.allclose((np.tril(flat, -1) + np.eye(20)) @ np.triu(flat), small)
 
 
 def test_files(spark, tmp_path):
@@ -111,7 +187,7 @@ def test_parameters_and_reports(spark):
     t = report.Trace()
     with t.span("a"), pytest.raises(RuntimeError), t.span("b"):
         pass
-    assert t.frame(spark).count() == 1
+    assert t.frame(spark).count() == 1 and t.text().count("\n8 ") == 2
     x = T.default_vector(spark, 2)
     e = spark.createDataFrame([(0, 0, 2.0), (0, 1, 3.0)], "row int, col int, val double")
     assert running_spmv(e, x).collect()[0].y == 8.0
@@ -121,7 +197,7 @@ def test_whole_matrix_is_made_dense(spark):
     """All cells of F4, by the query's own SQL and by count."""
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{D}/events.parquet')")
-    want = sorted(con.execute(Q.ORACLES["sparse_to_dense_whole"]).fetchall())
-    got = sorted(tuple(r) for r in Q.QUERIES["sparse_to_dense_whole"](spark, D).collect())
+    want = sorted(con.execute(Q.ORACLES["sparse_to_dense"]).fetchall())
+    got = sorted(tuple(r) for r in Q.QUERIES["sparse_to_dense"](spark, D).collect())
     users, types, rows = con.execute("SELECT max(user_id) + 1, count(DISTINCT event_type), count(*) FROM events").fetchone()
     assert got == want and len(got) == users * types and sum(v for *_, v in got) == rows
