@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, materialize, shared_dir
 
-__all__ = ["SPACE", "arrow_map", "blank_null", "connected_components", "discard", "materialize", "one_row_per_id", "parallelism", "possible", "shared_dir", "table"]
+__all__ = ["SPACE", "arrow_map", "blank_null", "connected_components", "discard", "materialize", "one_row_per_id", "parallelism", "possible", "shared_dir", "slices", "table"]
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -33,6 +33,15 @@ def one_row_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(blank_null(text)).alias(text))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, so that a task's memory holds what a few texts need; at the end memory goes back to the system,
+    as Python workers live on."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 

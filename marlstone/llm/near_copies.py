@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_null, connected_components, materialize
+from .common import blank_null, connected_components, discard, materialize, possible, slices
 from .simhash import shingle_hashes
 
 WIDTH = 5
@@ -57,11 +57,10 @@ def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(node, shingles) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, len(b), 500):
-                x = [shingles(t.as_py(), width) for t in b.column(1)[k : k + 500]]
-                names = np.array([_node(s) for s in x], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([s.view(np.int64) for s in x], pa.list_(pa.int64()))], ["node", "shingles"])
+        for b in slices(batches, 200):
+            x = [shingles(t.as_py(), width) for t in b.column(1)]
+            names = np.array([_node(s) for s in x], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([s.view(np.int64) for s in x], pa.list_(pa.int64()))], ["node", "shingles"])
 
     return _ids(docs).mapInArrow(run, "node long, shingles array<long>")
 
@@ -81,7 +80,7 @@ def described(docs: DataFrame, last: np.ndarray, width: int = WIDTH) -> DataFram
     """(doc_id, node, n, b0 to b3, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             nodes, n, bits, prefixes = [], [], [], []
             for t in b.column(1):
                 x = shingles(t.as_py(), width)
@@ -107,12 +106,14 @@ def _may_reach(n: Column, i: Column, m: Column, j: Column) -> Column:
 def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
     """Those of pairs (a, b) whose sets are similar enough; only their texts are read as sets."""
     pairs = materialize(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node")
-    texts = docs.join(wanted.select(F.col("least").alias("id")).distinct(), F.col("doc_id") == F.col("id"), "left_semi")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node"))
+    texts = possible(_ids(docs), wanted.select("least")).join(wanted.select(F.col("least").alias("id")).distinct(), F.col("doc_id") == F.col("id"), "left_semi")
     known = materialize(sets(texts, width).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
-    return materialize(both.where(common * (OVER + UNDER) >= (F.size("x") + F.size("y")) * OVER).select("a", "b"))
+    out = materialize(both.where(common * (OVER + UNDER) >= (F.size("x") + F.size("y")) * OVER).select("a", "b"))
+    discard(pairs, wanted, known)
+    return out
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> DataFrame:
@@ -126,18 +127,25 @@ def near_copies(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> Da
     found = materialize(rows.join(by_id.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")))
     part = F.coalesce("component", "node")
     for k in range(ROUNDS + 1):
-        placed = shared.join(materialize(connected_components(found)), "node", "left").select("h", "node", "n", "pos", part.alias("part"))
+        comps = materialize(connected_components(found))
+        placed = shared.join(comps, "node", "left").select("h", "node", "n", "pos", part.alias("part"))
         open_ = placed.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("o"), "node", "n", "pos", "part")).alias("hub")).where("p < q").select("h", "hub")
         left = materialize(placed.join(open_, "h"))
         if k < ROUNDS:
             one = left.where((F.col("hub.part") != F.col("part")) & _may_reach(F.col("hub.n"), F.col("hub.pos"), F.col("n"), F.col("pos"))).groupBy("node").agg(F.min_by("hub.node", "hub.o").alias("b"))
-            found = materialize(found.union(similar(one.select(F.col("node").alias("a"), "b"), docs, nodes, width)))
+            linked = similar(one.select(F.col("node").alias("a"), "b"), docs, nodes, width)
+            was, found = found, materialize(found.union(linked))
+            discard(was, linked, left)
+        discard(comps)
+    discard(shared)
+    whole = left
     left = left.drop("hub").join(nodes.drop("least", "n"), "node")
     x, y = left.alias("x"), left.alias("y")
     differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _BITS), F.lit(0))
     fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _may_reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")) & (differ * (OVER + UNDER) <= (F.col("x.n") + F.col("y.n")) * (UNDER - OVER))
     rest = x.join(y, (F.col("x.h") == F.col("y.h")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = similar(rest, docs, nodes, width)
+    discard(whole)
     comps = materialize(connected_components(found.union(more)))
 
     named = nodes.select("node", "least").join(comps, "node", "left").select("node", "least", part.alias("part"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank_null, discard, materialize, table
+from .common import blank_null, discard, materialize, slices, table
 from .pii import expectation_maximisation
 
 SAMPLE = 4_000
@@ -57,7 +57,7 @@ class _Tokens(dict):
     """token -> shape << 60 | 30-bit hash of its stem (0: none) << 30 | 30-bit hash of its bare lower-case word; memory is bounded."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         bare = _STRIP.sub("", token)
         low = bare.lower()
@@ -168,7 +168,7 @@ def cast_votes(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(doc_id, quality, toxic) with an array of votes for each question; the last is the label's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             q, t = zip(*(votes(x.as_py()) for x in b.column(1)), strict=True) if len(b) else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(q, pa.list_(pa.int32())), pa.array(t, pa.list_(pa.int32()))], ["doc_id", *QUESTIONS])
 
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> dict
     known = docs.sparkSession.createDataFrame(target, "id long, " + ", ".join(f"{q} double" for q in QUESTIONS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([features(x.as_py()) for x in b.column(0)], pa.list_(pa.int64()))], ["doc_id", *QUESTIONS, "features"])
 
     texts = _text(docs).join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("text", "doc_id", *QUESTIONS)
@@ -215,7 +215,7 @@ def _trained(drawn: DataFrame) -> dict[int, float]:
     used = np.sort(np.array([r.feature for r in best.select("feature").collect()], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [x.values.to_numpy(zero_copy_only=False) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.sort(x[np.isin(x, used)]) for x in rows], pa.list_(pa.int64()))], ["doc_id", "target", "features"])
 
@@ -240,7 +240,7 @@ def score(docs: DataFrame, weights: dict[str, dict[int, float]], columns: list[s
     names = [_fresh(c, kept.columns) for c in ("p_low_quality", "p_toxic")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = [features(t.as_py()) for t in b.column(0)]
             p = [pa.array([_probability(f, *known[q]) for f in x], pa.float64()) for q in QUESTIONS]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *p], [*b.schema.names[1:], *names])
