@@ -9,7 +9,7 @@ makes no pairs; the sample changes how many pairs are looked at, never which are
 First, in ROUNDS rounds, each node is compared with one node that it shares a shingle with, so most of a large group of near copies
 becomes one component with few comparisons each. Then all other pairs in different components follow that pass three bounds which
 no similar pair fails at the first shingle in common: of sizes, of what is left of both sets from there, and of the
-parities of 256 counters, whose bits differ at most as often as the sets do.
+parities of 256 counters, then of 2,048, whose bits differ at most as often as the sets do.
 What is left is compared by the sets themselves, computed anew from those texts alone.
 
 Nulls: a null text is an empty one; rows without doc_id are left out; rows that repeat a doc_id link through the id. Texts
@@ -37,6 +37,8 @@ SAMPLE, FREQUENT, MOST = 4_000, 5, 200_000
 #: Rounds of one comparison a node before all pairs that are left.
 ROUNDS = 3
 _BITS = ["b0", "b1", "b2", "b3"]
+#: Counters of the last bound, whose parities pairs are compared by before their sets are read.
+WIDE_BITS = 11
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -77,25 +79,27 @@ def frequent(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> np.nd
 
 
 def described(docs: DataFrame, last: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """(doc_id, node, n, b0 to b3, prefix)."""
+    """(doc_id, node, n, b0 to b3, wide, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            nodes, n, bits, prefixes = [], [], [], []
+            nodes, n, bits, wide, prefixes = [], [], [], [], []
             for t in b.column(1):
                 x = shingles(t.as_py(), width)
                 nodes.append(_node(x))
                 n.append(len(x))
                 odd = (np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
                 bits.append(np.packbits(odd, bitorder="little").view("<i8"))
+                odd = (np.bincount((x >> np.uint64(64 - WIDE_BITS)).astype(np.int64), minlength=1 << WIDE_BITS) & 1).astype(np.uint8)
+                wide.append(np.packbits(odd, bitorder="little").view("<i8"))
                 known = np.isin(x, last, assume_unique=True) if len(last) else np.zeros(len(x), bool)
                 first = len(x) - -(-OVER * len(x) // UNDER) + 1 if len(x) else 0
                 prefixes.append(np.concatenate([x[~known], x[known]])[:first].view(np.int64))
             bits = np.array(bits, np.int64).reshape(-1, 4)
-            columns = [b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *[pa.array(bits[:, k]) for k in range(4)], pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", *_BITS, "prefix"])
+            columns = [b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *[pa.array(bits[:, k]) for k in range(4)], pa.array(wide, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", *_BITS, "wide", "prefix"])
 
-    return _ids(docs).mapInArrow(run, "doc_id long, node long, n int, " + ", ".join(f"{c} long" for c in _BITS) + ", prefix array<long>")
+    return _ids(docs).mapInArrow(run, "doc_id long, node long, n int, " + ", ".join(f"{c} long" for c in _BITS) + ", wide array<long>, prefix array<long>")
 
 
 def _may_reach(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -103,6 +107,13 @@ def _may_reach(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (F.least(n, m) * UNDER >= F.greatest(n, m) * OVER) & (F.least(n - i, m - j) * (OVER + UNDER) >= (n + m) * OVER)
 
 
+def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose wide parities differ in no more bits than similar sets do."""
+    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b"))
+    differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+    return pairs.join(y, "b").join(x, "a").where(differ * (OVER + UNDER) <= (F.col("n_a") + F.col("n_b")) * (UNDER - OVER)).select("a", "b")
+
+
 def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
     """Those of pairs (a, b) whose sets are similar enough; only their texts are read as sets."""
     pairs = materialize(pairs)
@@ -119,7 +130,7 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int = WI
 def near_copies(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> DataFrame:
     """doc_id, component_id: the least doc_id that a document is linked with, through others too."""
     rows = materialize(described(docs, frequent(docs, width, sample), width))
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _BITS]))
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in [*_BITS, "wide"]]))
     prefixes = rows.select("node", "n", F.posexplode("prefix").alias("pos", "h")).distinct()
     groups = prefixes.groupBy("h").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one < other").select("h")
     shared = materialize(prefixes.join(groups, "h"))
@@ -139,12 +150,12 @@ def near_copies(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> Da
         discard(comps)
     discard(shared)
     whole = left
-    left = left.drop("hub").join(nodes.drop("least", "n"), "node")
+    left = left.drop("hub").join(nodes.drop("least", "n", "wide"), "node")
     x, y = left.alias("x"), left.alias("y")
     differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _BITS), F.lit(0))
     fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _may_reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")) & (differ * (OVER + UNDER) <= (F.col("x.n") + F.col("y.n")) * (UNDER - OVER))
     rest = x.join(y, (F.col("x.h") == F.col("y.h")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = similar(rest, docs, nodes, width)
+    more = similar(_close(rest, nodes), docs, nodes, width)
     discard(whole)
     comps = materialize(connected_components(found.union(more)))
 
