@@ -91,8 +91,8 @@ def _stem_features(stems: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([(ids[at] * 2_654_435_761 + k * 40_503_001) & 0x3FFFFFFF | 1 << 31 for k, at in enumerate(levels)])
 
 
-def profile(text: str) -> tuple[np.ndarray, list[float], tuple[int, int], int, float]:
-    """Distinct hashes of words and stems, shares of SHAPES, distinct abusive words by list, the number of tokens, and the share of ENGLISH."""
+def profile(text: str, count_english: bool = False) -> tuple[np.ndarray, list[float], tuple[int, int], int, float]:
+    """Distinct hashes of words and stems, shares of SHAPES, distinct abusive words by list, the number of tokens, and, if asked for, the share of ENGLISH."""
     words = text.split()
     n = len(words)
     if not n:
@@ -103,13 +103,13 @@ def profile(text: str) -> tuple[np.ndarray, list[float], tuple[int, int], int, f
     kinds = distinct >> 60
     repeats = float((code[1:] == code[:-1]).sum()) / n
     known = np.concatenate([np.unique(distinct & 0x3FFFFFFF), _stem_features(code >> 30 & 0x3FFFFFFF, n)])
-    english = float(np.isin(code & 0x3FFFFFFF, _ENGLISH).sum()) / n
+    english = float(np.isin(code & 0x3FFFFFFF, _ENGLISH).sum()) / n if count_english else 0.0
     return known, [shape[MARKED] / n, shape[CAPITALS] / n, shape[BARS] / n, repeats], (int((kinds == ABUSE_1).sum()), int((kinds == ABUSE_2).sum())), n, english
 
 
 def votes(text: str) -> tuple[list[int], list[int]]:
     """Of the heuristic labellers, on quality and on toxicity."""
-    _, (marked, capitals, bars, repeats), (one, two), n, english = profile(text)
+    _, (marked, capitals, bars, repeats), (one, two), n, english = profile(text, count_english=True)
     band = lambda x, bad, good: 1 if x >= bad else 0 if x < good else -1
     noisy = band(max(marked, bars), 0.25, 0.03)
     shouting = band(capitals, 0.3, 0.05) if n >= 5 else -1
