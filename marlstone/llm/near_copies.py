@@ -9,8 +9,9 @@ makes no pairs; the sample changes how many pairs are looked at, never which are
 First, in ROUNDS rounds, each node is compared with one node that it shares a shingle with, so most of a large group of near copies
 becomes one component with few comparisons each. Then all other pairs in different components follow that pass three bounds which
 no similar pair fails at the first shingle in common: of sizes, of what is left of both sets from there, and of the
-parities of 256 counters, then of 2,048, whose bits differ at most as often as the sets do.
-What is left is compared by the sets themselves, computed anew from those texts alone.
+parities of 256 counters, whose bits differ at most as often as the sets do. All pairs then meet the parities of at least four counters
+a shingle, which few pairs pass that aren't similar. What is left is compared by the sets themselves, computed anew from
+those texts alone: in SETTLED rounds one pair a node, then all pairs that still are in different components.
 
 Nulls: a null text is an empty one; rows without doc_id are left out; rows that repeat a doc_id link through the id. Texts
 without words are equal to each other; shorter texts than WIDTH words are one shingle. Sets are told apart by 64 bits.
@@ -37,8 +38,10 @@ SAMPLE, FREQUENT, MOST = 4_000, 5, 200_000
 #: Rounds of one comparison a node before all pairs that are left.
 ROUNDS = 3
 _BITS = ["b0", "b1", "b2", "b3"]
-#: Counters of the last bound, whose parities pairs are compared by before their sets are read.
-WIDE_BITS = 11
+#: Rounds of one comparison a node among the pairs that passed all bounds, before all that are left of them.
+SETTLED = 2
+#: Counters of the last bound: at least so many a shingle, in a power of two up to MOST_COUNTERS, by which pairs are compared before their sets are read.
+COUNTERS, MOST_COUNTERS = 4, 1 << 20
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -47,6 +50,13 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    """Bits of the counters of a set. Both halves of them, xored, are the bits of half as many counters."""
+    m = min(MOST_COUNTERS, max(64, 1 << (COUNTERS * len(x) - 1).bit_length()))
+    odd = (np.bincount((x & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def _node(x: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(x.tobytes())
 
@@ -90,8 +100,7 @@ def described(docs: DataFrame, last: np.ndarray, width: int = WIDTH) -> DataFram
                 n.append(len(x))
                 odd = (np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
                 bits.append(np.packbits(odd, bitorder="little").view("<i8"))
-                odd = (np.bincount((x >> np.uint64(64 - WIDE_BITS)).astype(np.int64), minlength=1 << WIDE_BITS) & 1).astype(np.uint8)
-                wide.append(np.packbits(odd, bitorder="little").view("<i8"))
+                wide.append(parities(x))
                 known = np.isin(x, last, assume_unique=True) if len(last) else np.zeros(len(x), bool)
                 first = len(x) - -(-OVER * len(x) // UNDER) + 1 if len(x) else 0
                 prefixes.append(np.concatenate([x[~known], x[known]])[:first].view(np.int64))
@@ -107,10 +116,17 @@ def _may_reach(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (F.least(n, m) * UNDER >= F.greatest(n, m) * OVER) & (F.least(n - i, m - j) * (OVER + UNDER) >= (n + m) * OVER)
 
 
+def _halved(c: str) -> Column:
+    half = (F.size(c) / 2).cast("int")
+    return F.zip_with(F.slice(c, 1, half), F.slice(c, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose wide parities differ in no more bits than similar sets do."""
+    """Those of pairs (a, b) whose parities differ in no more bits than similar sets do; sizes must have been compared."""
     x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b"))
-    differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+    p = F.when(F.size("wide_a") > F.size("wide_b"), _halved("wide_a")).otherwise(F.col("wide_a"))
+    q = F.when(F.size("wide_b") > F.size("wide_a"), _halved("wide_b")).otherwise(F.col("wide_b"))
+    differ = F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, d: s + d)
     return pairs.join(y, "b").join(x, "a").where(differ * (OVER + UNDER) <= (F.col("n_a") + F.col("n_b")) * (UNDER - OVER)).select("a", "b")
 
 
@@ -129,11 +145,12 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int = WI
 
 def near_copies(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> DataFrame:
     """doc_id, component_id: the least doc_id that a document is linked with, through others too."""
-    rows = materialize(described(docs, frequent(docs, width, sample), width))
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in [*_BITS, "wide"]]))
-    prefixes = rows.select("node", "n", F.posexplode("prefix").alias("pos", "h")).distinct()
-    groups = prefixes.groupBy("h").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one < other").select("h")
-    shared = materialize(prefixes.join(groups, "h"))
+    all_ = materialize(described(docs, frequent(docs, width, sample), width))
+    rows = materialize(all_.select("doc_id", "node"))
+    nodes = materialize(all_.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ["n", *_BITS, "wide", "prefix"]]))
+    discard(all_)
+    several = nodes.select(F.explode("prefix").alias("h")).groupBy("h").count().where("count > 1").select("h")
+    shared = materialize(nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h")).join(several, "h"))
     by_id = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     found = materialize(rows.join(by_id.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")))
     part = F.coalesce("component", "node")
@@ -144,20 +161,30 @@ def near_copies(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> Da
         left = materialize(placed.join(open_, "h"))
         if k < ROUNDS:
             one = left.where((F.col("hub.part") != F.col("part")) & _may_reach(F.col("hub.n"), F.col("hub.pos"), F.col("n"), F.col("pos"))).groupBy("node").agg(F.min_by("hub.node", "hub.o").alias("b"))
-            linked = similar(one.select(F.col("node").alias("a"), "b"), docs, nodes, width)
+            linked = similar(_close(one.select(F.col("node").alias("a"), "b"), nodes), docs, nodes, width)
             was, found = found, materialize(found.union(linked))
             discard(was, linked, left)
         discard(comps)
     discard(shared)
     whole = left
-    left = left.drop("hub").join(nodes.drop("least", "n", "wide"), "node")
+    left = left.drop("hub").join(nodes.select("node", *_BITS), "node")
     x, y = left.alias("x"), left.alias("y")
     differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _BITS), F.lit(0))
     fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _may_reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")) & (differ * (OVER + UNDER) <= (F.col("x.n") + F.col("y.n")) * (UNDER - OVER))
     rest = x.join(y, (F.col("x.h") == F.col("y.h")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = similar(_close(rest, nodes), docs, nodes, width)
+    rest = materialize(_close(rest, nodes))
     discard(whole)
-    comps = materialize(connected_components(found.union(more)))
+    for k in range(SETTLED + 1):
+        comps = materialize(connected_components(found))
+        p, q = (comps.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")) for c in ("a", "b"))
+        apart = rest.join(p, "a", "left").join(q, "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+        if k < SETTLED:
+            apart = apart.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(k))).alias("b"))
+        linked = similar(apart.select("a", "b"), docs, nodes, width)
+        was, found = found, materialize(found.union(linked))
+        discard(was, linked, comps)
+    discard(rest)
+    comps = materialize(connected_components(found))
 
     named = nodes.select("node", "least").join(comps, "node", "left").select("node", "least", part.alias("part"))
     least = named.groupBy("part").agg(F.min("least").alias("component_id"))
