@@ -1,12 +1,14 @@
-"""Near copies by the similarity of their word shingles: an exact set-similarity join.
+"""Near copies by SimHash and, beyond its budget of bits, by an exact join of the sets of word shingles.
 
 A text is the set of its shingles (WIDTH words, ASCII lower case, by XXH64 with seed 42); texts are linked that have at
-least OVER / UNDER of the shingles of both in common. Equal sets are one node from then on. Nodes are compared that share
+least OVER / UNDER of the shingles of both in common. Equal sets are one node from then on. Each has a fingerprint, and the
+links of the trie's walk are compared first (by their sets, as all pairs here). Similar sets differ in 3 to 14 of 64
+bits as a rule, which no walk can afford, so what it doesn't find follows from the sets: nodes are compared that share
 a shingle in their prefixes: in one order of all shingles, two sets that are similar enough have one in common
 among the first n - ceil(0.8 n) + 1 of each. Frequent shingles of a sample come last in that order, so a common line
 makes no pairs; the sample changes how many pairs are looked at, never which are found.
 
-First, in ROUNDS rounds, each node is compared with one node that it shares a shingle with, so most of a large group of near copies
+In ROUNDS rounds each node is compared with one node that it shares a shingle with, so most of a large group of near copies
 becomes one component with few comparisons each. Then all other pairs in different components follow that pass three bounds which
 no similar pair fails at the first shingle in common: of sizes, of what is left of both sets from there, and of the
 parities of 256 counters, whose bits differ at most as often as the sets do. All pairs then meet the parities of at least four counters
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blank_null, connected_components, discard, materialize, possible, slices
-from .simhash import shingle_hashes
+from .simhash import fingerprint, links, shingle_hashes
 
 WIDTH = 5
 #: Similarity, as a fraction of whole numbers.
@@ -36,10 +38,10 @@ OVER, UNDER = 4, 5
 #: Documents looked at for frequent shingles, how many of them have such a one, and at most so many are known.
 SAMPLE, FREQUENT, MOST = 4_000, 5, 200_000
 #: Rounds of one comparison a node before all pairs that are left.
-ROUNDS = 3
+ROUNDS = 2
 _BITS = ["b0", "b1", "b2", "b3"]
 #: Rounds of one comparison a node among the pairs that passed all bounds, before all that are left of them.
-SETTLED = 2
+SETTLED = 1
 #: Counters of the last bound: at least so many a shingle, in a power of two up to MOST_COUNTERS, by which pairs are compared before their sets are read.
 COUNTERS, MOST_COUNTERS = 4, 1 << 20
 
@@ -89,14 +91,15 @@ def frequent(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> np.nd
 
 
 def described(docs: DataFrame, last: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """(doc_id, node, n, b0 to b3, wide, prefix)."""
+    """(doc_id, node, fp, n, b0 to b3, wide, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            nodes, n, bits, wide, prefixes = [], [], [], [], []
+            nodes, fps, n, bits, wide, prefixes = [], [], [], [], [], []
             for t in b.column(1):
                 x = shingles(t.as_py(), width)
                 nodes.append(_node(x))
+                fps.append(fingerprint(x[k : k + 32_768] for k in range(0, len(x), 32_768)))
                 n.append(len(x))
                 odd = (np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
                 bits.append(np.packbits(odd, bitorder="little").view("<i8"))
@@ -105,10 +108,10 @@ def described(docs: DataFrame, last: np.ndarray, width: int = WIDTH) -> DataFram
                 first = len(x) - -(-OVER * len(x) // UNDER) + 1 if len(x) else 0
                 prefixes.append(np.concatenate([x[~known], x[known]])[:first].view(np.int64))
             bits = np.array(bits, np.int64).reshape(-1, 4)
-            columns = [b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *[pa.array(bits[:, k]) for k in range(4)], pa.array(wide, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", *_BITS, "wide", "prefix"])
+            columns = [b.column(0), *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in (nodes, fps)], pa.array(n, pa.int32()), *[pa.array(bits[:, k]) for k in range(4)], pa.array(wide, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "fp", "n", *_BITS, "wide", "prefix"])
 
-    return _ids(docs).mapInArrow(run, "doc_id long, node long, n int, " + ", ".join(f"{c} long" for c in _BITS) + ", wide array<long>, prefix array<long>")
+    return _ids(docs).mapInArrow(run, "doc_id long, node long, fp long, n int, " + ", ".join(f"{c} long" for c in _BITS) + ", wide array<long>, prefix array<long>")
 
 
 def _may_reach(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -143,16 +146,33 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int = WI
     return out
 
 
+def linked_by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes to compare: those of one fingerprint with the least of them, and the least ones of linked fingerprints."""
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    p, q = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in ("a", "b"))
+    near = links(heads.select("fp")).join(p, "a").join(q, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    pairs = same.union(near).distinct()
+    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    fits = F.least("n_a", "n_b") * UNDER >= F.greatest("n_a", "n_b") * OVER
+    out = materialize(pairs.join(x, "a").join(y, "b").where(fits).select("a", "b"))
+    discard(heads)
+    return out
+
+
 def near_copies(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> DataFrame:
     """doc_id, component_id: the least doc_id that a document is linked with, through others too."""
     all_ = materialize(described(docs, frequent(docs, width, sample), width))
     rows = materialize(all_.select("doc_id", "node"))
-    nodes = materialize(all_.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ["n", *_BITS, "wide", "prefix"]]))
+    nodes = materialize(all_.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ["fp", "n", *_BITS, "wide", "prefix"]]))
     discard(all_)
     several = nodes.select(F.explode("prefix").alias("h")).groupBy("h").count().where("count > 1").select("h")
     shared = materialize(nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h")).join(several, "h"))
     by_id = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    found = materialize(rows.join(by_id.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")))
+    first = linked_by_fingerprint(nodes)
+    linked = similar(_close(first, nodes), docs, nodes, width)
+    found = materialize(rows.join(by_id.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).union(linked))
+    discard(first, linked)
     part = F.coalesce("component", "node")
     for k in range(ROUNDS + 1):
         comps = materialize(connected_components(found))

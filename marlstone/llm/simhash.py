@@ -17,7 +17,7 @@ table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -57,9 +57,10 @@ def shingle_hashes(text: str, width: int = SHINGLE) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], 42) for a, b in zip(start[k:m].tolist(), end[k + width - 1 : m + width - 1].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: str, width: int = SHINGLE) -> int:
+def fingerprint(pieces: Iterable[np.ndarray]) -> int:
+    """Of shingles' hashes: bits that over half of them have."""
     tally, count = np.zeros(BITS, np.int64), 0
-    for h in shingle_hashes(text, width):
+    for h in pieces:
         tally += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         count += len(h)
     return int(np.packbits(2 * tally > count, bitorder="little").view("<u8")[0])
@@ -70,7 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(shingle_hashes(t.as_py())) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank_null().alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, fp long")
