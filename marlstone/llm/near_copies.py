@@ -160,6 +160,15 @@ def linked_by_fingerprint(nodes: DataFrame) -> DataFrame:
     return out
 
 
+def _joined(comps: DataFrame, linked: DataFrame) -> DataFrame:
+    """Components of those of comps (node, component) and the links (a, b) between their nodes or others."""
+    p, q = (comps.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")) for c in ("a", "b"))
+    between = linked.join(p, "a", "left").join(q, "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    out = materialize(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(between)))
+    discard(comps, linked)
+    return out
+
+
 def near_copies(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> DataFrame:
     """doc_id, component_id: the least doc_id that a document is linked with, through others too."""
     all_ = materialize(described(docs, frequent(docs, width, sample), width))
@@ -171,20 +180,18 @@ def near_copies(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> Da
     by_id = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     first = linked_by_fingerprint(nodes)
     linked = similar(_close(first, nodes), docs, nodes, width)
-    found = materialize(rows.join(by_id.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).union(linked))
+    comps = materialize(connected_components(rows.join(by_id.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).union(linked)))
     discard(first, linked)
     part = F.coalesce("component", "node")
     for k in range(ROUNDS + 1):
-        comps = materialize(connected_components(found))
         placed = shared.join(comps, "node", "left").select("h", "node", "n", "pos", part.alias("part"))
         open_ = placed.groupBy("h").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("o"), "node", "n", "pos", "part")).alias("hub")).where("p < q").select("h", "hub")
         left = materialize(placed.join(open_, "h"))
         if k < ROUNDS:
             one = left.where((F.col("hub.part") != F.col("part")) & _may_reach(F.col("hub.n"), F.col("hub.pos"), F.col("n"), F.col("pos"))).groupBy("node").agg(F.min_by("hub.node", "hub.o").alias("b"))
             linked = similar(_close(one.select(F.col("node").alias("a"), "b"), nodes), docs, nodes, width)
-            was, found = found, materialize(found.union(linked))
-            discard(was, linked, left)
-        discard(comps)
+            comps = _joined(comps, linked)
+            discard(left)
     discard(shared)
     whole = left
     left = left.drop("hub").join(nodes.select("node", *_BITS), "node")
@@ -195,16 +202,13 @@ def near_copies(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> Da
     rest = materialize(_close(rest, nodes))
     discard(whole)
     for k in range(SETTLED + 1):
-        comps = materialize(connected_components(found))
         p, q = (comps.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")) for c in ("a", "b"))
         apart = rest.join(p, "a", "left").join(q, "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
         if k < SETTLED:
             apart = apart.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(k))).alias("b"))
         linked = similar(apart.select("a", "b"), docs, nodes, width)
-        was, found = found, materialize(found.union(linked))
-        discard(was, linked, comps)
+        comps = _joined(comps, linked)
     discard(rest)
-    comps = materialize(connected_components(found))
 
     named = nodes.select("node", "least").join(comps, "node", "left").select("node", "least", part.alias("part"))
     least = named.groupBy("part").agg(F.min("least").alias("component_id"))
