@@ -104,7 +104,7 @@ def described(docs: DataFrame, last: np.ndarray, width: int = WIDTH) -> DataFram
                 odd = (np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
                 bits.append(np.packbits(odd, bitorder="little").view("<i8"))
                 wide.append(parities(x))
-                known = np.isin(x, last, assume_unique=True) if len(last) else np.zeros(len(x), bool)
+                known = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x if len(last) else np.zeros(len(x), bool)
                 first = len(x) - -(-OVER * len(x) // UNDER) + 1 if len(x) else 0
                 prefixes.append(np.concatenate([x[~known], x[known]])[:first].view(np.int64))
             bits = np.array(bits, np.int64).reshape(-1, 4)

@@ -80,6 +80,13 @@ class _Tokens(dict):
 
 _ABUSE = [frozenset(x) for x in ABUSE]
 _tokens = _Tokens()
+
+
+def _forget_tokens() -> None:
+    """Workers live on after a task; what follows needs their memory."""
+    _tokens.clear()
+
+
 _ENGLISH = np.array([xxhash.xxh32_intdigest(w, 11) & 0x3FFFFFFF for w in sorted(ENGLISH)], np.int64)
 SHAPES = ["marked", "capitals", "bars", "repeats"]
 
@@ -244,6 +251,8 @@ def score(docs: DataFrame, weights: dict[str, dict[int, float]], columns: list[s
             x = [features(t.as_py()) for t in b.column(0)]
             p = [pa.array([_probability(f, *known[q]) for f in x], pa.float64()) for q in QUESTIONS]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *p], [*b.schema.names[1:], *names])
+        if columns:  # the texts go on to other steps
+            _forget_tokens()
 
     source = docs.select(blank_null().alias(_fresh("text_", kept.columns)), *([F.col(f"`{c}`") for c in columns] if columns else [F.col("doc_id").cast("long").alias("doc_id")]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
