@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, mixing, pii, quality, simhash, substring_bytes, substring_words, token_binary, url_filter, winnow
+from . import align, decontaminate, mixing, pii, quality, simhash, substring_bytes, substring_words, token_binary, url_filter, winnow
 
 QUERIES = {
     "op1_winnowing": winnow.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_personal_data": pii.query,
     "op9_suffix_array_dedup": substring_bytes.query,
     "op10_url_filter": url_filter.query,
+    "op11_tokenizer_alignment": align.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
