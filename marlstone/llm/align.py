@@ -282,11 +282,12 @@ class _Sums:
 
 
 def contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n_best, count_sum) of a stream sorted by b, counts (block null, by a) before postings."""
+    """(key, n_best, count_sum) of a stream sorted by b and part, counts (block null, by a) before postings in each."""
     now, ids, counts, best = -1, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     sums = _Sums()
     for batch in batches:
-        b, a, n = batch.column("b").to_numpy(), batch.column("a").to_numpy(), batch.column("n").to_numpy(zero_copy_only=False)
+        b = batch.column("b").to_numpy().astype(np.int64) << 32 | batch.column("part").to_numpy()
+        a, n = batch.column("a").to_numpy(), batch.column("n").to_numpy(zero_copy_only=False)
         counted = np.asarray(batch.column("block").is_null())
         block = batch.column("block").fill_null(0).to_numpy()
         starts = np.flatnonzero(np.diff(b, prepend=-1))
@@ -327,7 +328,7 @@ def contributions(posts: DataFrame, counts: DataFrame) -> DataFrame:
     heads = spread(counts.select("b", "a", "n")).select("b", F.explode(F.sequence(F.lit(0), many - 1)).alias("part"), "a", "n", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("times"))
     body = spread(posts).select("b", F.pmod(F.xxhash64("a", "block"), many).cast("int").alias("part"), "a", F.lit(0).cast("long").alias("n"), "block", "docs", "times")
     stream = heads.union(body).repartition(n, "b", "part").sortWithinPartitions("b", "part", F.col("block").isNotNull(), "a")
-    return stream.select("b", "a", "n", "block", "docs", "times").mapInArrow(contribute, "key long, n_best long, count_sum long")
+    return stream.select("b", "part", "a", "n", "block", "docs", "times").mapInArrow(contribute, "key long, n_best long, count_sum long")
 
 
 def default_tokenizers() -> tuple[str, str]:
