@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import align, decontaminate, mixing, pii, quality, simhash, substring_bytes, substring_words, token_binary, url_filter, winnow
+from . import align, decontaminate, language, mixing, pii, quality, simhash, substring_bytes, substring_words, token_binary, url_filter, whiten, winnow
 
 QUERIES = {
     "op1_winnowing": winnow.query,
@@ -18,6 +18,8 @@ QUERIES = {
     "op9_suffix_array_dedup": substring_bytes.query,
     "op10_url_filter": url_filter.query,
     "op11_tokenizer_alignment": align.query,
+    "op12_language_mixture": language.query,
+    "op13_embedding_whitening": whiten.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
