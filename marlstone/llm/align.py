@@ -15,8 +15,9 @@ B ids with a large share of the postings are dealt out to several tasks by (A id
 counts; there are at most as many such ids as B has, so their list may be broadcast. No task holds more than a block of
 texts, one B id's counts, an Arrow batch of postings and FLUSH contributions.
 
-Words: both tokenizers never join what a lone space parts from what stands before it (B's vocabulary is checked for
-that), so each distinct word is encoded once for as long as the worker remembers it.
+Words: both tokenizers never join what a lone space or line feed parts from what stands before it (B's vocabulary is checked
+for that), so each distinct word is encoded once for as long as the worker remembers it. A comma or full stop after a letter is
+a token of its own to both (checked as well).
 
 Nulls: a null or empty text has no tokens: zeros and ''. So has a text that either tokenizer doesn't give back byte for byte.
 A null doc_id stays null; rows that repeat a doc_id give a row each, and each counts. An empty table gives no rows. Other
@@ -30,6 +31,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +43,9 @@ from .common import discard, materialize, parallelism, slices, table
 
 #: A block ends at so many documents or UTF-8 bytes.
 DOCS_BITS = 12
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 3_000_000
 #: Contributions that a task holds before it sums them up and hands them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 DOC_FIELDS = ["n_a", "n_b", "n_groups", "n_links"]
 SCHEMA = "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, block long, b int, a int, n long, docs binary, times binary"
@@ -61,14 +63,14 @@ def byte_signs() -> dict[str, int]:
 class Tokenizers:
     """Both tokenizers in a worker, with a bounded memory of words."""
 
-    #: A space that isn't alone between two characters that aren't white space to any library.
-    odd = re.compile("^ | \\Z|[\\s᠎] | [\\s᠎]")
+    #: White space that isn't alone between two characters that aren't white space to any library.
+    odd = re.compile("^\\s|\\s\\Z|\\s\\s|᠎")
     lone = re.compile("(?<=[^\\s᠎]) (?=[^\\s᠎])")
     #: Signs whose classes are the same in every version of Unicode.
-    plain = re.compile("[!-~\xa1-\xac\xae-ſ]*\\Z")
+    plain = re.compile("\n?[!-~\xa1-\xac\xae-ſ]*\\Z")
     kept: dict[tuple[str, str], Tokenizers] = {}
 
-    def __init__(self, a_path: str, b_path: str, most_words: int = 250_000):
+    def __init__(self, a_path: str, b_path: str, most_words: int = 200_000):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -83,14 +85,25 @@ class Tokenizers:
             self.a_bytes[k] = bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
-        self.parts_words = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.parts_words = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        number = {p: k for k, p in enumerate(pieces)}
+        self.start = number.get("▁")
+        #: What a last comma or full stop adds to a word's ids.
+        self.stops: dict[str, tuple[bytes, bytes]] = {}
+        for c in ",.":
+            if c in vocabulary and c in number and not any(p[k : k + 1] == c and p[k - 1].isalpha() for p in pieces for k in range(1, len(p))):
+                self.stops[c] = array("i", [vocabulary[c]]).tobytes(), array("i", [number[c]]).tobytes()
         self.ranks = self._ranks(spec)
+        #: Whether A's ids always give back their text: a token for each byte, and nothing that changes texts.
+        self.lossless = spec.get("normalizer") is None and all(c in vocabulary for c in signs) and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         self.a_size, self.b_size = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
         ends = [(k, end) for k, n in ((len(self.a_bytes), b",|"), (len(self.b_bytes), b",;")) for end in n.decode()]
         #: Texts of ids with what follows them: A's before a comma, before a bar, B's before a comma, before a semicolon.
         self.shown = np.array([f"{k}{end}".encode() for n, end in ends for k in range(n)])
         self.a_words: dict[str, bytes] = {}
         self.b_words: dict[str, bytes] = {}
+        #: Words known before; those met again move on to the above.
+        self.before: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.bad: set[str] = set()
         self.most = most_words
 
@@ -113,24 +126,56 @@ class Tokenizers:
         return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
     def words(self, text: str) -> list[str]:
-        """Parts of ' ' + text that both tokenizers encode apart, each without its first space."""
-        if not self.parts_words:
+        """Parts of ' ' + text that both tokenizers encode apart: after a space (left out), or from a line feed on."""
+        if not self.parts_words or text[0] == "\n":
             return [text]
         if not self.odd.search(text):
-            return text.split(" ")
+            return text.replace("\n", " \n").split(" ")
         parts = self.lone.split(f" {text}")
-        return [parts[0][1:], *parts[1:]]
+        # A part that begins with a line feed would be taken for one without a space.
+        return [text] if any(p[:1] == "\n" for p in parts) else [parts[0][1:], *parts[1:]]
+
+    @staticmethod
+    def text_of(word: str) -> str:
+        return word if word[:1] == "\n" else f" {word}"
 
     def learn(self, new: list[str]) -> None:
-        plain = [bool(self.ranks) and self.plain.match(w) is not None for w in new]
-        rest = [w for w, p in zip(new, plain, strict=True) if not p]
-        others = iter(self.a.encode_batch_fast([f" {w}" for w in rest], add_special_tokens=False) if rest else [])
-        for w, p, b in zip(new, plain, self.b.encode(new, num_threads=1), strict=True):
-            a = self.ranks(f" {w}") if p else next(others).ids
-            self.a_words[w], self.b_words[w] = array("i", a).tobytes(), array("i", b).tobytes()
-            if self.joined(a, self.a_bytes) != (own := f" {w}".encode()) or self.joined(b, self.b_bytes) != own:
+        """Ids of words that aren't known."""
+        stopped = [w for w in new if w[-1:] in self.stops and w[-2:-1].isalpha()]
+        if stopped:
+            bare = dict.fromkeys(w for w in new if w[-1:] not in self.stops or not w[-2:-1].isalpha())
+            bare.update(dict.fromkeys(w[:-1] for w in stopped if w[:-1] not in self.a_words))
+            new = list(bare)
+        plain = [self.ranks is not None and self.plain.match(w) is not None for w in new]
+        rest = [self.text_of(w) for w, p in zip(new, plain, strict=True) if not p]
+        others = iter(self.a.encode_batch_fast(rest, add_special_tokens=False) if rest else [])
+        ranks = self.ranks
+        a = [ranks(w if w[:1] == "\n" else f" {w}") if p else next(others).ids for w, p in zip(new, plain, strict=True)]
+        b = [x[1:] if w[:1] == "\n" and x[:1] == [self.start] else x for w, x in zip(new, self.b.encode(new, num_threads=1), strict=True)]
+        for to, ids in ((self.a_words, a), (self.b_words, b)):
+            ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+            raw = array("i", chain.from_iterable(ids)).tobytes()
+            to.update(zip(new, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+        # All at once; if they aren't given back, which one isn't.
+        if "".join(map(self.text_of, new)).encode() != self.joined(chain.from_iterable(b), self.b_bytes):
+            self.bad.update(w for w, x in zip(new, b, strict=True) if self.joined(x, self.b_bytes) != self.text_of(w).encode())
+        if not self.lossless:
+            self.bad.update(w for w, x in zip(new, a, strict=True) if self.joined(x, self.a_bytes) != self.text_of(w).encode())
+        for w in stopped:
+            own, (x, y) = w[:-1], self.stops[w[-1]]
+            self.a_words[w], self.b_words[w] = self.a_words[own] + x, self.b_words[own] + y
+            if own in self.bad:
                 self.bad.add(w)
 
+    def meet(self, new: list[str]) -> None:
+        if len(self.a_words) > self.most:
+            self.before, self.a_words, self.b_words = (self.a_words, self.b_words), {}, {}
+        for k, to in ((0, self.a_words), (1, self.b_words)):
+            known = self.before[k]
+            to.update((w, known[w]) for w in new if w in known)
+        if new := [w for w in new if w not in self.a_words]:
+            self.learn(new)
+
     @staticmethod
     def joined(ids, parts: list[bytes]) -> bytes:
         return b"".join(map(parts.__getitem__, ids))
@@ -143,15 +188,22 @@ class Tokenizers:
                 out.append((b"", b""))
                 continue
             words = self.words(text)
-            if new := [w for w in set(words) if w not in self.a_words]:
-                if len(self.a_words) > self.most:
-                    self.a_words, self.b_words, self.bad, new = {}, {}, set(), list(set(words))
-                self.learn(new)
-            a, b = b"".join(map(self.a_words.__getitem__, words)), b"".join(map(self.b_words.__getitem__, words))
+            if words[0][:1] == "\n":  # one word, with a space before its line feed
+                a, b = (array("i", x).tobytes() for x in (self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text)))
+                words = [text]
+                self.bad.add(text)  # is looked at below
+            else:
+                own = set(words)
+                if new := [w for w in own if w not in self.a_words]:
+                    full = len(self.a_words) > self.most
+                    self.meet(list(own) if full else new)
+                a, b = b"".join(map(self.a_words.__getitem__, words)), b"".join(map(self.b_words.__getitem__, words))
             if self.bad and not self.bad.isdisjoint(words):
                 whole = f" {text}".encode()
                 if self.joined(np.frombuffer(a, "i4").tolist(), self.a_bytes) != whole or self.joined(np.frombuffer(b, "i4").tolist(), self.b_bytes) != whole:
                     a = b = b""
+                if len(self.bad) > self.most:
+                    self.a_words, self.b_words, self.before, self.bad = {}, {}, ({}, {}), set()
             out.append((a, b))
         return out
 
@@ -285,7 +337,7 @@ def contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n_best, count_sum) of a stream sorted by b and part, counts (block null, by a) before postings in each."""
     now, ids, counts, best = -1, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     sums = _Sums()
-    for batch in batches:
+    for batch in (x for x in batches if len(x)):
         b = batch.column("b").to_numpy().astype(np.int64) << 32 | batch.column("part").to_numpy()
         a, n = batch.column("a").to_numpy(), batch.column("n").to_numpy(zero_copy_only=False)
         counted = np.asarray(batch.column("block").is_null())
