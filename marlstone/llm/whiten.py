@@ -131,7 +131,8 @@ def subspace(product: Callable[[np.ndarray], np.ndarray], d: int, k: int, block:
     """The k largest eigenvalues of a symmetric matrix that is only known by product(Q), their vectors, residuals, and the passes taken."""
     k = min(k, d)
     block = min(d, block or 2 * k)
-    most_kept = max(most_kept or 8 * block, 3 * block)
+    stay = k + block
+    most_kept = max(most_kept or 8 * block, stay + 2 * block)
     rng = np.random.default_rng(seed)
     q = np.linalg.qr(rng.standard_normal((d, block)))[0]
     kept, image = np.zeros((d, 0)), np.zeros((d, 0))
@@ -147,8 +148,9 @@ def subspace(product: Callable[[np.ndarray], np.ndarray], d: int, k: int, block:
         if len(values) == d or len(values) >= k and (residuals <= tolerance * scale).all():
             return values[:k], vectors[:, :k], residuals, passes
         if len(values) > most_kept - block:
-            kept, image = vectors[:, : 2 * block], (image @ turn)[:, : 2 * block]
-        q = _orthogonal(away[:, :block], kept, 1e-15 * scale)
+            kept, image = vectors[:, :stay], (image @ turn)[:, :stay]
+        open_ = np.flatnonzero(np.linalg.norm(away[:, :stay], axis=0) > tolerance * scale)[:block]
+        q = _orthogonal(away[:, open_], kept, 1e-15 * scale)
         if q.shape[1] < min(block, d - kept.shape[1]):  # what is kept is closed under the matrix: look elsewhere
             more = rng.standard_normal((d, min(block, d - kept.shape[1]) - q.shape[1]))
             q = np.hstack([q, _orthogonal(more, np.hstack([kept, q]), 0.0)])
