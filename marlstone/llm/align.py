@@ -8,12 +8,12 @@ text into groups.
    of ids of a block: which of its documents hold the pair, how many times each, and the sum.
 2. Counts of pairs are summed before they are shuffled. They and the postings are shuffled by B id, sorted (a sort that
    spills) with the counts first, and read as one stream: an id's counts, at most as many as A has ids, give its maximum,
-   then its postings pass by and each becomes a contribution to a document. Contributions of a task are summed by document
-   before a last shuffle sums them all.
+   then its postings pass by and each becomes a contribution to a document. Contributions of a task are summed by document,
+   and those to one block of documents travel as one row; a last shuffle by block, again read as a stream, sums them all.
 
 B ids with a large share of the postings are dealt out to several tasks by (A id, block), each of which gets the id's
 counts; there are at most as many such ids as B has, so their list may be broadcast. No task holds more than a block of
-texts, one B id's counts, an Arrow batch of postings and FLUSH contributions.
+texts, one B id's counts, an Arrow batch of rows and FLUSH contributions.
 
 Words: both tokenizers never join what a lone space or line feed parts from what stands before it (B's vocabulary is checked
 for that), so each distinct word is encoded once for as long as the worker remembers it. A comma or full stop after a letter is
@@ -35,6 +35,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,8 @@ FLUSH = 1_000_000
 
 DOC_FIELDS = ["n_a", "n_b", "n_groups", "n_links"]
 SCHEMA = "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, block long, b int, a int, n long, docs binary, times binary"
+SUM_FIELDS = ["docs", "best", "total"]
+SUMS = "block long, docs binary, best binary, total binary"
 #: Pre-tokens of the byte-level BPE: fixed values.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -208,11 +211,6 @@ class Tokenizers:
         return out
 
 
-def _places(starts: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """For each entry of `of` (ascending), the index of the range that holds it; ranges begin at starts, the first at 0."""
-    return np.searchsorted(starts, of, "right") - 1
-
-
 def link(t: Tokenizers, encoded: list[tuple[bytes, bytes]]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
     """A row of DOC_FIELDS and digest for each text; and document, A id and B id of each link."""
     a, b = (np.frombuffer(b"".join(x[k] for x in encoded), "i4").astype(np.int64) for k in (0, 1))
@@ -243,6 +241,11 @@ def link(t: Tokenizers, encoded: list[tuple[bytes, bytes]]) -> tuple[list[tuple]
     return rows, doc, a[at_a], b[at_b]
 
 
+def _binary(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Slices of x between the places of `ends`, as binaries."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+
+
 def _postings(doc: np.ndarray, a: np.ndarray, b: np.ndarray, a_bits: int) -> tuple:
     """b, a, sum, and as binaries documents (16 bits each) and times (8 bits each) for each pair of ids. More than 255 times are several entries."""
     every = np.sort(((b << a_bits | a) << DOCS_BITS) | doc)
@@ -255,10 +258,9 @@ def _postings(doc: np.ndarray, a: np.ndarray, b: np.ndarray, a_bits: int) -> tup
     pair = which >> DOCS_BITS
     start = np.flatnonzero(np.diff(pair, prepend=-1))
     n = np.add.reduceat(part, start) if len(start) else part
-    ends = np.append(start, len(pair)).astype(np.int32)
-    binary = lambda x, size: pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((ends * size).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+    ends = np.append(start, len(pair))
     pair = pair[start]
-    return pair >> a_bits, pair & ((1 << a_bits) - 1), n, binary((which & ((1 << DOCS_BITS) - 1)).astype("<u2"), 2), binary(part.astype(np.uint8), 1)
+    return pair >> a_bits, pair & ((1 << a_bits) - 1), n, _binary((which & ((1 << DOCS_BITS) - 1)).astype("<u2"), ends), _binary(part.astype(np.uint8), ends)
 
 
 def scan(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -328,13 +330,18 @@ class _Sums:
             order = np.argsort(key, kind="stable")
             key = key[order]
             at = np.flatnonzero(np.diff(key, prepend=-1))
-            whole = pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(np.add.reduceat(best[order], at)), pa.array(np.add.reduceat(total[order], at))], ["key", "n_best", "count_sum"])
-            yield from (whole.slice(k, 20_000) for k in range(0, len(at), 20_000))
+            key, best, total = key[at], np.add.reduceat(best[order], at), np.add.reduceat(total[order], at)
+            block = key >> DOCS_BITS
+            start = np.flatnonzero(np.diff(block, prepend=-1))
+            ends = np.append(start, len(block))
+            docs = (key & ((1 << DOCS_BITS) - 1)).astype("<u2")
+            whole = pa.RecordBatch.from_arrays([pa.array(block[start]), *(_binary(x, ends) for x in (docs, best, total))], ["block", "docs", "best", "total"])
+            yield from (whole.slice(k, 100) for k in range(0, len(start), 100))
         self.parts, self.held = [], 0
 
 
 def contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n_best, count_sum) of a stream sorted by b and part, counts (block null, by a) before postings in each."""
+    """(block, docs, best, total), as binaries, of a stream sorted by b and part, counts (block null, by a) before postings in each."""
     now, ids, counts, best = -1, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     sums = _Sums()
     for batch in (x for x in batches if len(x)):
@@ -368,19 +375,50 @@ def contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contributions(posts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(key, n_best, count_sum), several rows a document: postings meet their B id's counts in one sorted stream."""
+    """(block, docs, best, total), several rows a block: postings meet their B id's counts in one sorted stream."""
     n = parallelism(posts.sparkSession)
     weights = counts.groupBy("b").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("ids"))
     room = F.lit(weights.agg(F.sum("size")).first()[0] or 1) / (4 * n)
-    # A part holds at least 16 times what the id's counts, which every part gets, weigh.
-    parts = F.ceil(F.col("size") / F.greatest(room, F.col("ids") * 500)).cast("int")
+    # A part weighs at least three times as much as the id's counts, which every part gets.
+    parts = F.ceil(F.col("size") / F.greatest(room, F.col("ids") * 100)).cast("int")
     hot = F.broadcast(weights.select(F.col("b").alias("hot_b"), parts.alias("parts")).where("parts > 1"))  # at most B's vocabulary
     spread = lambda df: df.join(hot, F.col("b") == F.col("hot_b"), "left")
     many = F.coalesce("parts", F.lit(1))
     heads = spread(counts.select("b", "a", "n")).select("b", F.explode(F.sequence(F.lit(0), many - 1)).alias("part"), "a", "n", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("times"))
     body = spread(posts).select("b", F.pmod(F.xxhash64("a", "block"), many).cast("int").alias("part"), "a", F.lit(0).cast("long").alias("n"), "block", "docs", "times")
     stream = heads.union(body).repartition(n, "b", "part").sortWithinPartitions("b", "part", F.col("block").isNotNull(), "a")
-    return stream.select("b", "part", "a", "n", "block", "docs", "times").mapInArrow(contribute, "key long, n_best long, count_sum long")
+    return stream.select("b", "part", "a", "n", "block", "docs", "times").mapInArrow(contribute, SUMS)
+
+
+def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their sums, of a stream sorted by block, documents (by place) before contributions in each."""
+    names = ["doc_id", *DOC_FIELDS, "n_best", "count_sum", "groups_sha256"]
+    heads: list[pa.RecordBatch] = []
+    now, sums = None, np.zeros((2, 1 << DOCS_BITS), np.int64)
+
+    def done() -> Iterator[pa.RecordBatch]:
+        for h in heads:
+            at = h.column("at").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(h.column(c) for c in names[:5]), pa.array(sums[0, at]), pa.array(sums[1, at]), h.column("groups_sha256")], names)
+
+    for batch in (x for x in batches if len(x)):
+        block = batch.column("block").to_numpy()
+        starts = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
+        for lo, hi in zip(starts, [*starts[1:], len(block)], strict=True):
+            if block[lo] != now:
+                yield from done()
+                now, heads = block[lo], []
+                sums[:] = 0
+            part = batch.slice(lo, hi - lo)
+            known = part.column("docs").is_null()
+            if (mine := part.filter(known)).num_rows:
+                heads.append(mine)
+            more = part.filter(pa.compute.invert(known))
+            for k in range(len(more)):
+                docs, best, total = (np.frombuffer(more.column(c)[k].as_buffer(), kind) for c, kind in (("docs", "<u2"), ("best", "<i8"), ("total", "<i8")))
+                sums[0, docs] += best
+                sums[1, docs] += total
+    yield from done()
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -395,11 +433,11 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None)
     rows = materialize(scan(docs, a_path or own[0], b_path or own[1]))
     posts = rows.where("b is not null").select("block", "b", "a", "n", "docs", "times")
     counts = materialize(pair_counts(posts))
-    heads = rows.where("b is null").select("key", "doc_id", *DOC_FIELDS, "groups_sha256", F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"))
-    nothing = [F.lit(None).cast("long").alias(c) for c in ["doc_id", *DOC_FIELDS]]
-    more = contributions(posts, counts).select("key", *nothing, F.lit(None).cast("string").alias("groups_sha256"), "n_best", "count_sum")
-    sums = heads.union(more).groupBy("key").agg(*(F.max(c).alias(c) for c in ["doc_id", *DOC_FIELDS, "groups_sha256"]), *(F.sum(c).alias(c) for c in ("n_best", "count_sum")))
-    out = materialize(sums.select("doc_id", *DOC_FIELDS, "n_best", "count_sum", "groups_sha256"))
+    fields = ["doc_id", *DOC_FIELDS, "groups_sha256"]
+    heads = rows.where("b is null").select(F.shiftright("key", DOCS_BITS).alias("block"), F.col("key").bitwiseAND(F.lit((1 << DOCS_BITS) - 1)).cast("int").alias("at"), *fields, *(F.lit(None).cast("binary").alias(c) for c in SUM_FIELDS))
+    more = contributions(posts, counts).select("block", F.lit(None).cast("int").alias("at"), *(F.lit(None).cast("string" if c == "groups_sha256" else "long").alias(c) for c in fields), *SUM_FIELDS)
+    stream = heads.union(more).repartition(parallelism(docs.sparkSession), "block").sortWithinPartitions("block", F.col("docs").isNotNull(), "at")
+    out = materialize(stream.mapInArrow(finish, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"))
     discard(rows)
     return out, counts.select("b", "a", "n")
 
