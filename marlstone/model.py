@@ -38,17 +38,17 @@ class SolverParams:
     nb_previous_pivots: int = 5
     min_pivot_per_steps: int = 5
     density_tolerance: float = 0.2
-    max_dense_schur: int = 8_000
+    #: Largest dense part, in rows, that one task factorises; a larger one is held in blocks of dense_block rows and columns.
+    max_dense_schur: int = 2_000
+    dense_block: int = 512
     #: 'independent': singletons, then an independent set by score; 'blocks': sets of nb_candidates_per_block, merged in pairs.
     pivot_strategy: str = "independent"
-    #: Factors with at most so many entries are solved in one task.
-    local_nnz: int = 2_000_000
 
     def __post_init__(self):
         for name in ("value_tol", "density_tolerance"):
             if not 0 <= getattr(self, name) <= 1:
                 raise ValueError(f"{name} must be in 0..1")
-        for name in ("marko_tol", "nb_candidates_per_block", "nb_previous_pivots", "max_dense_schur"):
+        for name in ("marko_tol", "nb_candidates_per_block", "nb_previous_pivots", "max_dense_schur", "dense_block"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
         if self.pivot_strategy not in ("independent", "blocks"):
@@ -73,3 +73,5 @@ class Factors:
     params: SolverParams
     steps: list[dict] = field(default_factory=list)
     reason: str = ""
+    #: What solves keep for further ones.
+    kept: dict = field(default_factory=dict)

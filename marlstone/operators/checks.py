@@ -57,3 +57,9 @@ def maximal(e: DataFrame, pivots: DataFrame, cands: DataFrame) -> DataFrame:
     cols = e.join(pivots.select("row"), "row", "left_semi").select("col").distinct()
     rows = e.join(pivots.select("col"), "col", "left_semi").select("row").distinct()
     return _count(cands.join(cols, "col", "left_anti").join(rows, "row", "left_anti"))
+
+
+def same_lines(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(violations): lines whose statistics aren't the same in both."""
+    both = a.select("*", F.lit(1).alias("n")).union(b.select("*", F.lit(-1)))
+    return both.groupBy("line", "id", "deg", "biggest", "other").agg(F.sum("n").alias("n")).agg(F.count(F.when(F.col("n") != 0, 1)).alias("violations"))

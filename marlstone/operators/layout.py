@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 
 def compressed(e: DataFrame, by: str) -> DataFrame:
     """(by, cells): CSC view with by='col', CSR view with by='row'."""
@@ -48,6 +50,20 @@ def random_permutation(ids: DataFrame, seed: int = 0) -> DataFrame:
     return h.join(F.broadcast(counts), F.col("b") == F.col("k")).select((F.col("before") + F.row_number().over(W.partitionBy("b").orderBy("h", "idx")) - 1).cast("int").alias("pos"), "idx")
 
 
+def numbered(ids: DataFrame, key: str) -> DataFrame:
+    """(idx, pos): key's values, each at most once, and their places in order. Ranges are counted in tasks of their own; a row for each range meets the driver."""
+    spark = ids.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    ranged = materialize(ids.select(F.col(key).alias("idx")).repartitionByRange(n, "idx").sortWithinPartitions("idx").select("idx", F.monotonically_increasing_id().alias("at")))
+    split = ranged.select("idx", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("within"))
+    before, rows = 0, []
+    for r in sorted(split.groupBy("range").count().collect()):
+        rows.append((r[0], before))
+        before += r[1]
+    starts = F.broadcast(spark.createDataFrame(rows, "start long, before long"))
+    return split.join(starts, F.col("range") == F.col("start")).select("idx", (F.col("before") + F.col("within")).cast("int").alias("pos"))
+
+
 def random_dense(spark, m: int, n: int, seed: int = 0) -> DataFrame:
     """Deterministic values in [0, 10), the diagonal four times as large."""
     cells = spark.range(m * n).select(F.floor(F.col("id") / n).cast("int").alias("row"), (F.col("id") % n).cast("int").alias("col"))

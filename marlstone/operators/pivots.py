@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import near
 
 def col_stats(e: DataFrame) -> DataFrame:
     return e.groupBy("col").agg(F.count(F.lit(1)).alias("col_deg"), F.max(F.abs("val")).alias("col_max"))
@@ -19,6 +20,33 @@ def row_degrees(e: DataFrame) -> DataFrame:
     return e.groupBy("row").agg(F.count(F.lit(1)).alias("row_deg"))
 
 
+def line_stats(e: DataFrame, border: DataFrame | None = None) -> DataFrame:
+    """(line, id, deg, biggest, other) of each row and column with entries: their number, largest size, and the least line that crosses.
+
+    line: R rows, C columns, I rows over columns that aren't on the border, C without border columns then. What a step's search asks of the matrix.
+    """
+    inner = e if border is None else e.join(border.select("col"), "col", "left_anti")
+    of = lambda name, x, by, other: x.groupBy(F.col(by).alias("id")).agg(F.count(F.lit(1)).alias("deg"), F.max(F.abs("val")).alias("biggest"), F.min(other).alias("other")).select(F.lit(name).alias("line"), "id", "deg", "biggest", "other")
+    both = of("R", e, "row", "col").union(of("C", inner, "col", "row"))
+    return both if border is None else both.union(of("I", inner, "row", "col"))
+
+
+def updated_lines(lines: DataFrame, s: DataFrame, pivots: DataFrame, table: DataFrame, border: DataFrame | None = None, count: int | None = None, touches: int | None = None) -> DataFrame:
+    """line_stats() of a step's result s from those before it: only lines that pivots touched are counted anew, pivots' own go.
+
+    table: the step's parts. count: number of pivots, touches: a bound on the touched lines, both if known.
+    """
+    l, u = table.where("part = 'L'").select(F.lit("R").alias("t_line"), F.col("row").alias("t_id")), table.where("part = 'U'").select(F.lit("C").alias("t_line"), F.col("col").alias("t_id"))  # noqa: E741
+    touched = near(l.union(u).distinct(), touches)
+    own = pivots.select(F.lit("R").alias("t_line"), F.col("row").alias("t_id")).union(pivots.select(F.lit("C"), "col"))
+    kind = F.when(F.col("line") == "C", "C").otherwise("R")
+    same = (kind == F.col("t_line")) & (F.col("id") == F.col("t_id"))
+    kept = lines.join(touched, same, "left_anti").join(near(own, count and 2 * count), same, "left_anti")
+    rows, cols = (s.join(touched.where(f"t_line = '{k}'"), F.col(c) == F.col("t_id"), "left_semi") for k, c in (("R", "row"), ("C", "col")))
+    fresh = line_stats(rows, border).where("line <> 'C'").union(line_stats(cols, border).where("line = 'C'"))
+    return kept.select("line", "id", "deg", "biggest", "other").union(fresh)
+
+
 def eligible(e: DataFrame, value_tol: float) -> DataFrame:
     """Entries of at least value_tol times their column's largest."""
     return e.join(col_stats(e), "col").where(F.abs("val") >= F.col("col_max") * value_tol).select("row", "col", "val", "col_max", "col_deg")
@@ -65,11 +93,11 @@ def candidates(best: DataFrame, marko_tol: float) -> DataFrame:
     return best.join(F.broadcast(bound), F.col("cost") <= F.col("allowed")).select("col", "row", "cost", (F.col("cost") / F.col("allowed") + F.col("val") / F.col("col_max")).alias("score"))
 
 
-def conflicts(e: DataFrame, cands: DataFrame) -> DataFrame:
-    """(loser): columns that lose to another candidate in whose row they have an entry, or the other way round."""
+def conflicts(e: DataFrame, cands: DataFrame, count: int | None = None) -> DataFrame:
+    """(loser): columns that lose to another candidate in whose row they have an entry, or the other way round. count: of the candidates, if known."""
     p = cands.select(F.col("row").alias("p_row"), F.col("col").alias("p_col"), F.col("score").alias("p_score"))
     q = cands.select(F.col("col").alias("q_col"), F.col("score").alias("q_score"))
-    met = e.select("row", "col").join(p, F.col("row") == F.col("p_row")).where("col <> p_col").join(q, F.col("col") == F.col("q_col"))
+    met = e.select("row", "col").join(near(p, count), F.col("row") == F.col("p_row")).where("col <> p_col").join(near(q, count), F.col("col") == F.col("q_col"))
     loser = F.when(F.col("p_score") < F.col("q_score"), F.col("p_col")).when(F.col("p_score") > F.col("q_score"), F.col("q_col")).otherwise(F.greatest("p_col", "q_col"))
     return met.select(loser.alias("loser")).distinct()
 
@@ -105,29 +133,43 @@ def ordered(rs: DataFrame, cs: DataFrame, luby: DataFrame, done: int, step: int,
     return ranked(every, ["rank"]).select((F.col("at") + done).cast("int").alias("pos"), "row", "col", F.lit(step).alias("step"), "kind")
 
 
-def proposed(e: DataFrame, nb_cols: int, value_tol: float, marko_tol: float, border: DataFrame | None = None) -> DataFrame:
-    """(kind, row, col, cost, score): row singletons, column singletons and candidates, in one relation."""
-    rs = row_singletons(e, border)
-    inner = e if border is None else e.join(border.select("col"), "col", "left_anti")
-    cs = col_singletons(inner, rs)
-    cands = candidates(best_rows(inner, rs.union(cs), nb_cols, value_tol), marko_tol)
+def proposed(e: DataFrame, nb_cols: int, value_tol: float, marko_tol: float, border: DataFrame | None = None, lines: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(kind, row, col, cost, score): row singletons, column singletons and candidates, in one relation, from line_stats(). most: a bound on the lines, if known."""
+    lines = line_stats(e, border) if lines is None else lines
+    rows, cols = lines.where("line = 'R'"), lines.where("line = 'C'")
+    single = rows.where("deg = 1").select(F.col("id").alias("row"), F.col("other").alias("col"))
+    if border is not None:
+        single = single.join(border.select("col"), "col", "left_anti")
+    rs = single.groupBy("col").agg(F.min("row").alias("row")).select("row", "col")
+    alone = cols.where("deg = 1").select(F.col("id").alias("col"), F.col("other").alias("row"))
+    cs = alone.join(near(rs.select("row"), most), "row", "left_anti").join(near(rs.select("col"), most), "col", "left_anti").groupBy("row").agg(F.min("col").alias("col")).select("row", "col")
+    taken = rs.union(cs)
+    limit = cols.agg(F.floor(F.sum("deg") / nb_cols).alias("limit"))
+    short = cols.join(F.broadcast(limit), F.col("deg") <= F.col("limit")).select(F.col("id").alias("col"), F.col("deg").alias("col_deg"), F.col("biggest").alias("col_max"))
+    short = short.join(near(taken.select("col"), most), "col", "left_anti")
+    degrees = lines.where(f"line = '{'R' if border is None else 'I'}'").select(F.col("id").alias("row"), F.col("deg").alias("row_deg")).join(near(taken.select("row"), most), "row", "left_anti")
+    free = e.join(near(short, most), "col").where(F.abs("val") >= F.col("col_max") * value_tol).join(near(degrees, most), "row")
+    best = free.groupBy("col").agg(F.min(F.struct("row_deg", "row", "val", "col_deg", "col_max")).alias("b"))
+    best = best.select("col", "b.row", "b.val", "b.col_deg", "b.col_max", "b.row_deg", ((F.col("b.row_deg") - 1) * (F.col("b.col_deg") - 1)).alias("cost"))
+    cands = candidates(best, marko_tol)
     none = [F.lit(None).cast("long").alias("cost"), F.lit(None).cast("double").alias("score")]
     return rs.select(F.lit("RS").alias("kind"), "row", "col", *none).union(cs.select(F.lit("CS"), "row", "col", *none)).union(cands.select(F.lit("LUBY"), "row", "col", "cost", "score"))
 
 
-def search(e: DataFrame, n: int, done: int, step: int, value_tol: float, marko_tol: float, border: DataFrame | None = None, border_cols: int = 0, keep=lambda df: df, needed: int | None = None) -> DataFrame:
-    """All pivots of a step. keep: makes an intermediate result cheap to read again. needed: columns to find at most.
+def search(e: DataFrame, n: int, done: int, step: int, value_tol: float, marko_tol: float, border: DataFrame | None = None, border_cols: int = 0, keep=lambda df: df, needed: int | None = None, lines: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """All pivots of a step. keep: makes an intermediate result cheap to read again. needed: columns to find at most. lines: line_stats(e, border), most: a bound on them, if known.
 
     Pivots of a step have rows and columns of their own, so singletons can't be more than the columns left.
     """
-    every = keep(proposed(e, max(1, n - done - border_cols), value_tol, marko_tol, border))
+    every = keep(proposed(e, max(1, n - done - border_cols), value_tol, marko_tol, border, lines, most))
     rs, cs, cands = (every.where(f"kind = '{k}'").drop("kind") for k in ("RS", "CS", "LUBY"))
-    chosen = cands
+    chosen, found = cands, most
     if needed is not None:
         counts = {r.kind: r["count"] for r in every.groupBy("kind").count().collect()}
+        found = counts.get("LUBY", 0)
         left = max(1, needed - 1 - counts.get("RS", 0) - counts.get("CS", 0))
-        chosen = cands if counts.get("LUBY", 0) <= left else capped(cands, left)
-    return ordered(rs, cs, chosen.join(conflicts(e, cands), F.col("col") == F.col("loser"), "left_anti"), done, step)
+        chosen = cands if found <= left else capped(cands, left)
+    return ordered(rs, cs, chosen.join(near(conflicts(e, cands, found), found), F.col("col") == F.col("loser"), "left_anti"), done, step)
 
 
 def block_search(e: DataFrame, n: int, done: int, step: int, value_tol: float, marko_tol: float, per_block: int, keep=lambda df: df) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import near
 
-def _at(e: DataFrame, pivots: DataFrame) -> DataFrame:
-    """e with the positions of its row's and its column's pivot, where they are pivots."""
-    r = pivots.select(F.col("row").alias("pr"), F.col("pos").alias("row_pos"))
-    c = pivots.select(F.col("col").alias("pc"), F.col("pos").alias("col_pos"))
-    return e.join(r, F.col("row") == F.col("pr"), "left").join(c, F.col("col") == F.col("pc"), "left").select("row", "col", "val", "row_pos", "col_pos")
+def _at(e: DataFrame, pivots: DataFrame, count: int | None = None, *more: str) -> DataFrame:
+    """e with the positions of its row's and its column's pivot, where they are pivots. count: of the pivots, if known."""
+    r = near(pivots.select(F.col("row").alias("pr"), F.col("pos").alias("row_pos"), *more), count)
+    c = near(pivots.select(F.col("col").alias("pc"), F.col("pos").alias("col_pos")), count)
+    return e.join(r, F.col("row") == F.col("pr"), "left").join(c, F.col("col") == F.col("pc"), "left").select("row", "col", "val", "row_pos", "col_pos", *more)
 
 
 def diagonal(e: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -39,16 +40,18 @@ def schur(e: DataFrame, pivots: DataFrame, l: DataFrame, u: DataFrame) -> DataFr
     return rest.unionByName(less).groupBy("row", "col").agg(F.sum("val").alias("val"))
 
 
-def step(e: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(part, pivot, row, col, val, kind): L, D, U and S of a step in one relation, so a step is one table. kind: D rows' alone."""
-    at = _at(e, pivots)
-    kinds = pivots.select(F.col("pos").alias("p"), "kind")
-    d = at.where("row_pos = col_pos").join(kinds, F.col("row_pos") == F.col("p")).select("row_pos", "row", "col", "val", "kind")
-    by = e.join(pivots.select("row", "col", "pos"), ["row", "col"]).select(F.col("pos").alias("p"), F.col("val").alias("by"))
+def step(e: DataFrame, pivots: DataFrame, count: int | None = None, nnz: int | None = None) -> DataFrame:
+    """(part, pivot, row, col, val, kind): L, D, U and S of a step in one relation, so a step is one table. kind: D rows' alone.
+
+    count: of the pivots, nnz: of e, if known: then small sides of joins are broadcast, and only the sum of S is shuffled.
+    """
+    at = _at(e, pivots, count, "kind")
+    d = at.where("row_pos = col_pos").select("row_pos", "row", "col", "val", "kind")
+    by = near(e.join(near(pivots.select("row", "col", "pos"), count), ["row", "col"]).select(F.col("pos").alias("p"), F.col("val").alias("by")), count)
     l = at.where("col_pos is not null and (row_pos is null or row_pos > col_pos)").join(by, F.col("col_pos") == F.col("p")).select(F.col("col_pos").alias("pivot"), "row", (F.col("val") / F.col("by")).alias("val"), F.col("row_pos").isNull().alias("rest"))  # noqa: E741
     u = at.where("row_pos is not null and (col_pos is null or row_pos < col_pos)").select(F.col("row_pos").alias("pivot"), "row", "col", "val", F.col("col_pos").isNull().alias("rest"))
     left = l.where("rest").select(F.col("pivot").alias("p"), F.col("row").alias("i"), F.col("val").alias("lv"))
-    less = u.where("rest").join(left, F.col("pivot") == F.col("p")).select(F.col("i").alias("row"), "col", (-F.col("val") * F.col("lv")).alias("val"))
+    less = u.where("rest").join(near(left, nnz), F.col("pivot") == F.col("p")).select(F.col("i").alias("row"), "col", (-F.col("val") * F.col("lv")).alias("val"))
     s = at.where("row_pos is null and col_pos is null").select("row", "col", "val").union(less).groupBy("row", "col").agg(F.sum("val").alias("val"))
     none, nobody = F.lit(None).cast("int"), F.lit(None).cast("string")
     return (

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..model import Matrix, SolverParams
 from ..operators import blocks as B
 from ..storage import materialize
-from .factorize import accounting, backward_levels, dense_lu, dense_solve, factorize, forward_levels
+from .dense import dense_lu
+from .factorize import accounting, backward, dense_solve, factorize, forward
 
 
 def _reduced(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list, list]:
@@ -76,7 +77,7 @@ def solve(a: Matrix, b: DataFrame, assigned: DataFrame, params: SolverParams | N
     e = a.entries
     cols = materialize(B.col_blocks(e, assigned))
     f = factorize(a, params, border=cols.where("block is null").select("col"))
-    v = forward_levels(f, b)
+    v = forward(f, b)
     kind = cols.select("col", F.col("block").alias("cb"))
     own = f.dense.join(assigned, "row").join(kind, "col").select("block", F.lit("e").alias("part"), "row", "col", "val", F.col("cb").isNotNull().alias("interior"))
     right = v.join(f.d.select("row"), F.col("i") == F.col("row"), "left_anti").join(assigned, F.col("i") == F.col("row"))
@@ -85,7 +86,7 @@ def solve(a: Matrix, b: DataFrame, assigned: DataFrame, params: SolverParams | N
     edge = materialize(reduced.groupBy().applyInPandas(_border_solve, "i int, x double"))
     wanted = parts.where("part = 'e' and not interior").select(F.col("block").alias("of"), F.col("col").alias("k")).distinct().join(edge, F.col("k") == F.col("i")).select("of", "i", "x")
     inner = parts.groupBy("block").cogroup(wanted.groupBy("of")).applyInPandas(_back, "i int, x double")
-    return backward_levels(f, v, materialize(inner.union(edge)))
+    return backward(f, v, materialize(inner.union(edge)))
 
 
 def fill(a: Matrix, assigned: DataFrame, params: SolverParams | None = None) -> dict[str, float]:

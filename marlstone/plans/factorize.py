@@ -9,13 +9,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..model import Factors, Matrix, SolverParams
 from ..operators import checks as C
 from ..operators import pivots as P
 from ..operators import update as UP
+from ..operators.layout import numbered
 from ..storage import discard, materialize
+from . import dense as D
+from .dense import dense_lu
+from .triangular import GROWTH, Levels, joined
 
 
 def stop_reason(nnz: int, m: int, n: int, done: int, last: list[int], p: SolverParams) -> str | None:
@@ -57,13 +60,14 @@ def factorize(a: Matrix, params: SolverParams | None = None, border: DataFrame |
     edge = border.count() if border is not None else 0
     s = materialize(a.entries)
     nnz, done, steps, tables, found = s.count(), 0, [], [], []
+    lines = materialize(P.line_stats(s, border)) if p.pivot_strategy != "blocks" else None
     while (why := stop_reason(nnz, a.m, a.n - edge, done, found, p)) is None:
         began, keep, k = time.perf_counter(), _Kept(), len(steps)
         with span("pivot search"):
             if p.pivot_strategy == "blocks":
                 piv = P.block_search(s, a.n, done, k, p.value_tol, p.marko_tol, p.nb_candidates_per_block, keep)
             else:
-                piv = P.search(s, a.n, done, k, p.value_tol, p.marko_tol, border, edge, keep, needed=a.n - edge - done)
+                piv = P.search(s, a.n, done, k, p.value_tol, p.marko_tol, border, edge, keep, needed=a.n - edge - done, lines=lines, most=a.m - done)
             piv = keep(piv)
             kinds = {r.kind: r["count"] for r in piv.groupBy("kind").count().collect()}
         searched = time.perf_counter()
@@ -73,20 +77,24 @@ def factorize(a: Matrix, params: SolverParams | None = None, border: DataFrame |
             why = "stalled"
             break
         with span("update"):
-            table = materialize(UP.step(s, piv))
-            after = table.where("part = 'S'").count()
-        for name in sorted(checks):
+            table = materialize(UP.step(s, piv, count, nnz))
+            sizes = {r.part: r["count"] for r in table.groupBy("part").count().collect()}
+            after, rest = sizes.get("S", 0), table.where("part = 'S'").select("row", "col", "val")
+            if lines is not None:
+                was, lines = lines, materialize(P.updated_lines(lines, rest, piv, table, border, count, sizes.get("L", 0) + sizes.get("U", 0)))
+                discard(was)
+        if lines is not None and "statistics" in checks and (bad := C.same_lines(lines, P.line_stats(rest, border)).first()[0]):
+            raise ValueError(f"step {k}: check statistics found {bad} violations")
+        for name in sorted(checks - {"statistics"}):
             bad = CHECKS[name](s, piv, table).first()[0]
             if bad:
                 raise ValueError(f"step {k}: check {name} found {bad} violations")
         keep.drop()
-        s = table.where("part = 'S'").select("row", "col", "val")
+        s = rest
         tables.append(table)
         steps.append({"step": k, "nnz_before": nnz, "row_singletons": kinds.get("RS", 0), "col_singletons": kinds.get("CS", 0), "luby": kinds.get("LUBY", 0) + kinds.get("TP", 0), "pivots": count, "nnz_after": after, "search_s": searched - began, "update_s": time.perf_counter() - searched})
         nnz, done = after, done + count
         found.append(count)
-    if a.n - done > p.max_dense_schur:
-        raise ValueError(f"{a.n - done} columns are left for the dense part; at most {p.max_dense_schur} are allowed")
     spark = a.entries.sparkSession
     every = spark.createDataFrame([], "part string, pivot int, row int, col int, val double, kind string, step int")
     for k, table in enumerate(tables):
@@ -95,11 +103,11 @@ def factorize(a: Matrix, params: SolverParams | None = None, border: DataFrame |
     part = lambda name: every.where(f"part = '{name}'")
     perm = part("D").select(F.col("pivot").alias("pos"), "row", "col", "step", "kind")
     s = materialize(s)
-    discard(*tables)
+    discard(*tables, *([lines] if lines is not None else []))
     return Factors(a.m, a.n, part("L").select("pivot", "row", "val"), part("D").select("pivot", "row", "col", "val"), part("U").select("row", "col", "val", "pivot"), perm, s, done, p, steps, why or "finished")
 
 
-#: Checks of a step's input matrix, pivots and result.
+#: Checks of a step's input matrix, pivots and result; beside them, "statistics" compares the lines' updated figures with fresh ones.
 CHECKS = {
     "doubles": lambda s, piv, t: C.duplicates(t.where("part = 'S'")),
     "pivots": lambda s, piv, t: C.pivots_emptied(t.where("part = 'S'"), piv),
@@ -109,33 +117,6 @@ CHECKS = {
 }
 
 
-def dense_lu(x: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray, bool]:
-    """LU with partial pivoting of an m x k array (m >= k): the factors in place, row order, and whether a pivot was 0.
-
-    By panels of `block` columns, so most of the work is products of arrays.
-    """
-    x = x.astype(float).copy()
-    m, k = x.shape
-    order, singular = np.arange(m), False
-    for a in range(0, k, block):
-        b = min(k, a + block)
-        for j in range(a, b):
-            at = j + int(np.argmax(np.abs(x[j:, j])))
-            if x[at, j] == 0:
-                singular = True
-                continue
-            if at != j:
-                x[[j, at]] = x[[at, j]]
-                order[[j, at]] = order[[at, j]]
-            x[j + 1 :, j] /= x[j, j]
-            x[j + 1 :, j + 1 : b] -= np.outer(x[j + 1 :, j], x[j, j + 1 : b])
-        if b < k:
-            for j in range(a, b):
-                x[j + 1 : b, b:] -= np.outer(x[j + 1 : b, j], x[j, b:])
-            x[b:, b:] -= x[b:, a:b] @ x[a:b, b:]
-    return x, order, singular
-
-
 def dense_solve(x: np.ndarray, order: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The solution's k entries, and after them what rows beyond the k-th leave of b (0 if the system can be solved)."""
     k = x.shape[1]
@@ -159,22 +140,6 @@ def plain_lu(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _tagged(f: Factors, b: DataFrame) -> DataFrame:
-    """Everything that a solve needs in one relation, a union of the parts."""
-    none = F.lit(0)
-    rows = [
-        f.l.select(F.lit("l").alias("part"), F.col("pivot").alias("a"), F.col("row").alias("b"), none.alias("c"), F.col("val").alias("v")),
-        f.d.select(F.lit("d"), "pivot", "row", "col", "val"),
-        f.u.select(F.lit("u"), "pivot", "row", "col", "val"),
-        f.dense.select(F.lit("s"), F.lit(0), "row", "col", "val"),
-        b.select(F.lit("b"), F.lit(0), "i", none, "x"),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out
-
-
 def _tail(s: pd.DataFrame, rhs: dict, rows_left: list, cols_left: list) -> dict:
     """Solution of what is left, by column. More rows than columns must agree with each other."""
     if len(rows_left) < len(cols_left):
@@ -195,78 +160,48 @@ def _tail(s: pd.DataFrame, rhs: dict, rows_left: list, cols_left: list) -> dict:
     return dict(zip(cols_left, y, strict=False))
 
 
-def _forward_local(parts: dict[str, pd.DataFrame], none: pd.DataFrame) -> dict:
-    rhs = dict(zip(parts.get("b", none).b, parts.get("b", none).v, strict=True))
-    d = parts.get("d", none).sort_values("a")
-    by_l = {p: (g.b.to_numpy(), g.v.to_numpy()) for p, g in parts.get("l", none).groupby("a")}
-    for p, row in zip(d.a, d.b, strict=True):
-        if p in by_l:
-            known = rhs[row]
-            for i, v in zip(*by_l[p], strict=True):
-                rhs[i] -= v * known
-    return rhs
-
+def _levels(f: Factors) -> list[tuple[int, int, str]]:
+    """(step, rank, kind) of all pivots in order: pivots of one level don't meet. At most three a step."""
+    if "levels" not in f.kept:
+        f.kept["levels"] = sorted((r.step, {"RS": 0, "CS": 1, "LUBY": 2, "TP": 2}[r.kind], r.kind) for r in f.perm.select("step", "kind").distinct().collect())
+    return f.kept["levels"]
 
-def _backward_local(parts: dict[str, pd.DataFrame], none: pd.DataFrame, rhs: dict, x: dict) -> dict:
-    d = parts.get("d", none).sort_values("a", ascending=False)
-    by_u = {p: (g.c.to_numpy(), g.v.to_numpy()) for p, g in parts.get("u", none).groupby("a")}
-    for p, row, col, v in zip(d.a, d.b, d.c, d.v, strict=True):
-        x[col] = (rhs[row] - sum(w * x[c] for c, w in zip(*by_u[p], strict=True)) if p in by_u else rhs[row]) / v
-    return x
 
+def _numbered_pivots(f: Factors, levels: list[tuple[int, int, str]]) -> DataFrame:
+    numbers = f.perm.sparkSession.createDataFrame([(s, kind, k) for k, (s, _, kind) in enumerate(levels)], "step int, kind string, level int")
+    return f.perm.join(F.broadcast(numbers), ["step", "kind"])  # a row for each level
 
-def _solver_local(m: int, n: int):
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        parts, none = dict(list(t.groupby("part"))), t.iloc[:0]
-        rhs = _forward_local(parts, none)
-        d = parts.get("d", none)
-        x = _tail(parts.get("s", none), rhs, sorted(set(range(m)) - set(d.b)), sorted(set(range(n)) - set(d.c)))
-        x = _backward_local(parts, none, rhs, x)
-        return pd.DataFrame({"i": list(x), "x": list(x.values())})
 
-    return run
+def lower_levels(f: Factors, growth: float = GROWTH) -> Levels:
+    """L as an operator on right-hand sides, by rows; column singletons have no L entries."""
+    if ("lower", growth) not in f.kept:
+        levels = [x for x in _levels(f) if x[2] != "CS"]
+        own = _numbered_pivots(f, levels).select("pos", F.col("row").alias("own"), "level")
+        f.kept["lower", growth] = joined(f.l.join(own, F.col("pivot") == F.col("pos")).select("level", "row", F.col("own").alias("col"), (-F.col("val")).alias("val")), len(levels), growth)
+    return f.kept["lower", growth]
 
 
-def is_small(f: Factors) -> bool:
-    """Whether the factors have at most local_nnz entries, so that one task solves with them."""
-    return sum(s["nnz_before"] for s in f.steps[:1]) + sum(s["nnz_after"] for s in f.steps) <= f.params.local_nnz
+def upper_levels(f: Factors, growth: float = GROWTH) -> Levels:
+    """The pivots' own part of D^-1 (D + U) as an operator on solutions, by columns, the last level first."""
+    if ("upper", growth) not in f.kept:
+        levels = _levels(f)[::-1]
+        at = _numbered_pivots(f, levels).select(F.col("col").alias("k"), "level")
+        d = f.d.select(F.col("pivot").alias("p"), F.col("col").alias("own"), F.col("val").alias("by"))
+        e = f.u.join(d, F.col("pivot") == F.col("p")).join(at, F.col("col") == F.col("k")).select("level", F.col("own").alias("row"), "col", (-F.col("val") / F.col("by")).alias("val"))
+        f.kept["upper", growth] = joined(e, len(levels), growth)
+    return f.kept["upper", growth]
 
 
-def solve(f: Factors, b: DataFrame) -> DataFrame:
-    """(i, x) of A x = b: in one task if the factors are small enough, else level by level."""
-    if is_small(f):
-        return _tagged(f, b).groupBy().applyInPandas(_solver_local(f.m, f.n), "i int, x double")
-    return solve_levels(f, b)
+def forward(f: Factors, b: DataFrame, growth: float = GROWTH) -> DataFrame:
+    """(i, x): L solved for b."""
+    return materialize(lower_levels(f, growth).apply(b.select("i", "x")))
 
 
-def _levels(f: Factors) -> list[tuple[int, int, str]]:
-    return sorted((r.step, {"RS": 0, "CS": 1, "LUBY": 2, "TP": 2}[r.kind], r.kind) for r in f.perm.select("step", "kind").distinct().collect())
-
-
-def forward_levels(f: Factors, b: DataFrame) -> DataFrame:
-    """(i, x): L solved for b, by joins by (step, kind): pivots of one level don't meet. Row singletons and independent pivots have L entries."""
-    v = materialize(b)
-    for step, _, kind in _levels(f):
-        if kind == "CS":
-            continue
-        here = f.perm.where((F.col("step") == step) & (F.col("kind") == kind)).select(F.col("pos").alias("p"), F.col("row").alias("r"))
-        known = here.join(v, F.col("r") == F.col("i")).select("p", F.col("x").alias("xp"))
-        less = f.l.join(known, F.col("pivot") == F.col("p")).select(F.col("row").alias("i"), (-F.col("val") * F.col("xp")).alias("x"))
-        was, v = v, materialize(v.unionByName(less).groupBy("i").agg(F.sum("x").alias("x")))
-        discard(was)
-    return v
-
-
-def backward_levels(f: Factors, v: DataFrame, x: DataFrame) -> DataFrame:
-    """(i, x) of all columns from forward_levels() and the columns without a pivot; each level needs later ones only."""
-    for step, _, kind in reversed(_levels(f)):
-        here = f.perm.where((F.col("step") == step) & (F.col("kind") == kind)).select(F.col("pos").alias("p"), "row", "col")
-        own = here.join(v, F.col("row") == F.col("i")).select("p", "col", "x")
-        less = f.u.join(x.withColumnRenamed("i", "k"), F.col("col") == F.col("k")).select("pivot", (F.col("val") * F.col("x")).alias("w")).join(here.select("p"), F.col("pivot") == F.col("p"), "left_semi").groupBy("pivot").agg(F.sum("w").alias("w"))
-        d = f.d.select(F.col("pivot").alias("q"), F.col("val").alias("by"))
-        got = own.join(less, F.col("p") == F.col("pivot"), "left").join(d, F.col("p") == F.col("q")).select(F.col("col").alias("i"), ((F.col("x") - F.coalesce("w", F.lit(0.0))) / F.col("by")).alias("x"))
-        x = materialize(x.unionByName(got))
-    return x
+def backward(f: Factors, v: DataFrame, x: DataFrame, growth: float = GROWTH) -> DataFrame:
+    """(i, x) of all columns from forward() and the columns without a pivot."""
+    less = f.u.join(x.select(F.col("i").alias("k"), "x"), F.col("col") == F.col("k")).groupBy(F.col("pivot").alias("p")).agg(F.sum(F.col("val") * F.col("x")).alias("less"))
+    own = f.d.join(v, F.col("row") == F.col("i")).join(less, F.col("pivot") == F.col("p"), "left")
+    return upper_levels(f, growth).apply(own.select(F.col("col").alias("i"), ((F.col("x") - F.coalesce("less", F.lit(0.0))) / F.col("val")).alias("x"))).union(x)
 
 
 def open_columns(f: Factors) -> DataFrame:
@@ -274,20 +209,55 @@ def open_columns(f: Factors) -> DataFrame:
     return f.dense.sparkSession.range(f.n).select(F.col("id").cast("int").alias("col")).join(f.d.select("col"), "col", "left_anti")
 
 
-def solve_levels(f: Factors, b: DataFrame) -> DataFrame:
-    v = forward_levels(f, b)
-    left = v.join(f.d.select("row"), F.col("i") == F.col("row"), "left_anti")
+def open_rows(f: Factors) -> DataFrame:
+    return f.dense.sparkSession.range(f.m).select(F.col("id").cast("int").alias("row")).join(f.d.select("row"), "row", "left_anti")
+
+
+def _solve_tail_task(f: Factors, rhs: DataFrame) -> DataFrame:
     none = F.lit(0)
-    tail = f.dense.select(F.lit("s").alias("part"), none.alias("a"), F.col("row").alias("b"), F.col("col").alias("c"), F.col("val").alias("v")).union(left.select(F.lit("b"), none, "i", none, "x"))
-    tail = tail.union(open_columns(f).select(F.lit("c"), none, none, "col", F.lit(0.0)))
+    tail = f.dense.select(F.lit("s").alias("part"), F.col("row").alias("b"), F.col("col").alias("c"), F.col("val").alias("v")).union(rhs.select(F.lit("b"), "i", none, "x"))
+    tail = tail.union(open_columns(f).select(F.lit("c"), none, "col", F.lit(0.0)))
 
     def dense(t: pd.DataFrame) -> pd.DataFrame:
         s, r = t[t.part == "s"], t[t.part == "b"]
-        rhs = dict(zip(r.b, r.v, strict=True))
-        x = _tail(s, rhs, sorted(rhs), sorted(t[t.part == "c"].c))
+        right = dict(zip(r.b, r.v, strict=True))
+        x = _tail(s, right, sorted(right), sorted(t[t.part == "c"].c))
         return pd.DataFrame({"i": list(x), "x": list(x.values())})
 
-    return backward_levels(f, v, materialize(tail.groupBy().applyInPandas(dense, "i int, x double")))
+    return tail.groupBy().applyInPandas(dense, "i int, x double")
+
+
+def tail_blocks(f: Factors) -> tuple[D.DenseFactors, DataFrame, DataFrame]:
+    """The dense part's factors over blocks, and the numbers (idx, pos) of its rows and columns."""
+    if "tail" not in f.kept:
+        rows, cols = materialize(numbered(open_rows(f), "row")), materialize(numbered(open_columns(f), "col"))
+        e = f.dense.join(rows.select(F.col("idx").alias("row"), F.col("pos").alias("i")), "row").join(cols.select(F.col("idx").alias("col"), F.col("pos").alias("j")), "col").select("i", "j", "val")
+        m, n, size = f.m - f.done, f.n - f.done, f.params.dense_block
+        f.kept["tail"] = D.factorize_blocks(D.blocked(e, m, n, size), m, n, size), rows, cols
+    return f.kept["tail"]
+
+
+def solve_tail(f: Factors, rhs: DataFrame) -> DataFrame:
+    """(i, x) of the columns without a pivot; rhs: (i, x) of the rows without one. In one task up to max_dense_schur rows, else over blocks."""
+    if f.n == f.done:
+        worst = rhs.agg(F.max(F.abs("x"))).first()[0] or 0.0
+        if worst > 1e-6 * max(1.0, f.kept.get("scale", 1.0)):
+            raise ValueError("rows beyond the square part contradict the others")
+        return rhs.limit(0)
+    if f.m - f.done <= f.params.max_dense_schur:
+        return materialize(_solve_tail_task(f, rhs))
+    factors, rows, cols = tail_blocks(f)
+    right = rhs.join(rows, F.col("i") == F.col("idx")).select(F.col("pos").alias("i"), "x")
+    x = D.solve_blocks(factors, right).withColumnRenamed("i", "j")
+    return x.join(cols, F.col("j") == F.col("pos")).select(F.col("idx").alias("i"), "x")
+
+
+def solve(f: Factors, b: DataFrame, growth: float = GROWTH) -> DataFrame:
+    """(i, x) of A x = b: joined levels of L, the dense part, joined levels of U. Levels and the dense part's factors are kept for further solves."""
+    v = forward(f, b, growth)
+    f.kept["scale"] = v.agg(F.max(F.abs("x"))).first()[0] or 1.0
+    left = v.join(f.d.select("row"), F.col("i") == F.col("row"), "left_anti")
+    return backward(f, v, solve_tail(f, left), growth)
 
 
 def reconstruction(f: Factors) -> DataFrame:
@@ -301,10 +271,9 @@ def reconstruction(f: Factors) -> DataFrame:
 
 def permutation(f: Factors) -> DataFrame:
     """perm with the dense tail's lines after the pivots, in order of their ids."""
-    rows = f.dense.sparkSession.range(f.m).select(F.col("id").cast("int").alias("row")).join(f.d.select("row"), "row", "left_anti")
-    rows = rows.select("row", F.row_number().over(W.orderBy("row")).alias("k"))  # at most m - n + max_dense_schur rows
-    cols = open_columns(f).select("col", F.row_number().over(W.orderBy("col")).alias("j"))
-    tail = rows.join(cols, F.col("k") == F.col("j")).select((F.col("k") - 1 + f.done).cast("int").alias("pos"), "row", "col", F.lit(len(f.steps)).alias("step"), F.lit("DENSE").alias("kind"))
+    rows = numbered(open_rows(f), "row").select(F.col("idx").alias("row"), F.col("pos").alias("k"))
+    cols = numbered(open_columns(f), "col").select(F.col("idx").alias("col"), F.col("pos").alias("j"))
+    tail = rows.join(cols, F.col("k") == F.col("j")).select((F.col("k") + f.done).cast("int").alias("pos"), "row", "col", F.lit(len(f.steps)).alias("step"), F.lit("DENSE").alias("kind"))
     return f.perm.union(tail)
 
 

@@ -16,7 +16,7 @@ from .operators import layout as L
 from .operators import pivots as P
 from .operators import update as U
 from .plans import bordered, report, sweep
-from .plans.factorize import factorize, reconstruction, solve, solve_levels
+from .plans.factorize import factorize, reconstruction, solve
 from .plans.factorize import permutation as full_permutation
 from .sources.triplets import default_vector
 from .storage import materialize
@@ -372,7 +372,15 @@ def _(s, d):
 @_query("solve_by_levels", f"SELECT CAST(i AS INT) AS i, i + 1.0::DOUBLE AS x FROM range({_N}) t(i)")
 def _(s, d):
     m, f = _factors(s, d)
-    return solve_levels(f, A.spmv(m.entries, default_vector(s, m.n), m.m)).select("i", _round("x"))
+    return solve(f, A.spmv(m.entries, default_vector(s, m.n), m.m), growth=0.5).select("i", _round("x"))
+
+
+@_query("dense_tail_solution", f"SELECT CAST(i AS INT) AS i, i + 1.0::DOUBLE AS x FROM range({_N}) t(i)")
+def _(s, d):
+    """An early stop leaves a large dense part, which is factorised over blocks."""
+    m = X.parts_square(s, d)
+    f = factorize(m, SolverParams(density_tolerance=0.02, max_dense_schur=32, dense_block=64))
+    return solve(f, A.spmv(m.entries, default_vector(s, m.n), m.m)).select("i", _round("x"))
 
 
 @_query("backward_error_small", "SELECT true AS small")

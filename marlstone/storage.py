@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Whether shuffle files go when a query ends, not when the driver's garbage is collected.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -23,16 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once.
 
+    by: columns of few values that get a folder for each value, so that a filter on them reads no other.
+
     The table stands in for the shuffles behind it, so their files go as soon as it is written.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)  # half of what the default leaves of texts
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)  # half of what the default leaves of texts
     finally:
         spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
@@ -40,6 +43,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return table
 
 
+#: Rows of a few numbers that may be broadcast (some 10 MB).
+NEAR_ROWS = 200_000
+
+
+def near(df: DataFrame, rows: int | None) -> DataFrame:
+    """df as a broadcast side if its number of rows, or a bound on it, is known to be small; else as it is, for a shuffled join."""
+    return F.broadcast(df) if rows is not None and rows <= NEAR_ROWS else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize() wrote and that no later step reads."""
     for t in tables:

@@ -13,7 +13,9 @@ from marlstone.operators import checks as C
 from marlstone.operators import layout as L
 from marlstone.operators import pivots as P
 from marlstone.plans import bordered, options, report
-from marlstone.plans.factorize import CHECKS, cross_check, dense_lu, dense_solve, factorize, permutation, plain_lu, refine, solve, solve_levels
+from marlstone.plans import dense as BD
+from marlstone.plans.dense import dense_lu
+from marlstone.plans.factorize import CHECKS, cross_check, dense_solve, factorize, lower_levels, permutation, plain_lu, refine, solve, upper_levels
 from marlstone.plans.sweep import values
 from marlstone.sources import triplets as T
 from marlstone.storage import materialize
@@ -60,8 +62,8 @@ def test_solve(spark, kind):
     f = factorize(m, SolverParams(density_tolerance=0.6))
     b = A.spmv(m.entries, T.default_vector(spark, m.n), m.m)
     want = np.arange(1, m.n + 1)
-    for how in (solve, solve_levels) if kind == "dominant" else (solve,):
-        x = dict(how(f, b).collect())
+    for growth in (4.0, 0.0) if kind == "dominant" else (4.0,):
+        x = dict(solve(f, b, growth).collect())
         assert np.allclose([x[i] for i in range(m.n)], want)
     p = permutation(f)
     assert C.permutation(p, m.n, "row").first()[0] == 0 and C.permutation(p, m.n, "col").first()[0] == 0
@@ -76,25 +78,61 @@ def test_tie_keeps_the_smaller_column(spark):
 
 @pytest.mark.parametrize("a", [[[1.0, 0, 0], [1, 0, 0], [0, 1, 1]], [[1.0, 0], [1, 0]], [[0.0, 0], [1, 0]]])
 def test_singular_is_refused(spark, a):
-    """Equal lines and columns without entries, by both ways to solve."""
+    """Equal lines and columns without entries, in one task and over blocks."""
     m = matrix(spark, np.array(a))
-    f = factorize(m)
-    for how in (solve, solve_levels):
+    for most in (100, 1):
+        f = factorize(m, SolverParams(max_dense_schur=most, dense_block=2))
         with pytest.raises(Exception, match="the matrix is singular"):
-            how(f, T.default_vector(spark, m.m)).collect()
+            solve(f, T.default_vector(spark, m.m)).collect()
 
 
 def test_more_rows_than_columns(spark):
     """Extra rows that agree are fine, others are refused."""
     a = np.vstack([dominant(8, 2), np.ones((2, 8))])
     m = matrix(spark, a)
-    f = factorize(m, SolverParams(density_tolerance=0.9))
     right = a @ np.arange(1.0, 9)
     b = spark.createDataFrame([(i, float(v)) for i, v in enumerate(right)], "i int, x double")
-    for how in (solve, solve_levels):
-        assert np.allclose([v for _, v in sorted(how(f, b).collect())], np.arange(1.0, 9))
-    with pytest.raises(Exception, match="contradict"):
-        solve(f, b.select("i", F.when(F.col("i") == 9, 0.0).otherwise(F.col("x")).alias("x"))).collect()
+    for most in (100, 1):
+        f = factorize(m, SolverParams(density_tolerance=0.6, max_dense_schur=most, dense_block=3))
+        assert np.allclose([v for _, v in sorted(solve(f, b).collect())], np.arange(1.0, 9))
+        with pytest.raises(Exception, match="contradict"):
+            solve(f, b.select("i", F.when(F.col("i") == 9, 0.0).otherwise(F.col("x")).alias("x"))).collect()
+
+
+@pytest.mark.parametrize(("m", "n", "size"), [(90, 90, 8), (41, 30, 7), (5, 5, 8)])
+def test_dense_blocks(spark, m, n, size):
+    """Blocked factors solve as one array's do, whatever rows the tournament takes; P A = L U; multipliers stay small."""
+    a = np.random.default_rng(m).normal(size=(m, n))
+    a[:n] = a[:n][::-1]
+    e = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(m) for j in range(n)], "i int, j int, val double")
+    f = BD.factorize_blocks(BD.blocked(e, m, n, size), m, n, size)
+    want = np.arange(1.0, n + 1)
+    b = spark.createDataFrame([(i, float(v)) for i, v in enumerate(a @ want)], "i int, x double")
+    assert np.allclose([x for _, x in sorted(BD.solve_blocks(f, b).collect())], want)
+    low, up, order = np.zeros((m, n)), np.zeros((n, n)), []
+    for p in f.pivots.orderBy("k").collect():
+        lo, w = p.k * size, f.width(p.k)
+        own = BD._array(p.data, w)
+        order += p.ids
+        low[p.ids, lo : lo + w], up[lo : lo + w, lo : lo + w] = np.tril(own, -1) + np.eye(w), np.triu(own)
+        for r in f.lower[p.k].collect():
+            low[BD._ids(r.ids), lo : lo + w] = BD._array(r.data, w)
+        for r in f.upper[p.k].collect() if p.k < len(f.upper) else []:
+            wide = f.width(r.bj)
+            up[lo : lo + w, r.bj * size : r.bj * size + wide] = BD._array(r.data, wide)
+    assert np.allclose(low @ up, a) and len(set(order)) == n and np.abs(low).max() < 20
+
+
+def test_levels_are_joined(spark):
+    """Joined levels are as few as their growth allows and give the same as one after the other."""
+    a = dominant(40, 9)
+    m = matrix(spark, a)
+    f = factorize(m, SolverParams(density_tolerance=0.9))
+    for of in (lower_levels, upper_levels):
+        one, all_ = of(f, 0.0), of(f, 100.0)
+        assert all_.k == 1 and all_.before == one.before and one.k > 1
+        v = T.default_vector(spark, 40)
+        assert np.allclose(*([x for _, x in sorted(q.apply(v).collect())] for q in (one, all_)))
 
 
 def test_vectors_of_different_sizes_are_refused(spark):
@@ -110,7 +148,7 @@ def test_blocks_and_checks(spark):
     b = materialize(A.spmv(m.entries, T.default_vector(spark, 14), 14))
     f = factorize(m, SolverParams(density_tolerance=0.7, pivot_strategy="blocks"), checks=frozenset(CHECKS))
     assert np.allclose([v for _, v in sorted(solve(f, b).collect())], np.arange(1, 15)) and cross_check(m, f) < 1e-9
-    g = factorize(m, SolverParams(density_tolerance=0.7), checks=frozenset(CHECKS))
+    g = factorize(m, SolverParams(density_tolerance=0.7), checks=frozenset([*CHECKS, "statistics"]))
     assert g.done and cross_check(m, g) < 1e-9
     rough = solve(g, b).select("i", (F.col("x") + F.col("i") * 1e-4).alias("x"))
     assert np.allclose([v for _, v in sorted(refine(m, g, b, rough).collect())], np.arange(1, 15), atol=1e-10)
