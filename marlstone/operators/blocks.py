@@ -101,6 +101,13 @@ def block_stats(sizes: DataFrame) -> DataFrame:
     return out
 
 
+def border_stats(e: DataFrame, cols: DataFrame) -> DataFrame:
+    """(n_border, nnz_border): columns on the border and their entries, one row."""
+    edge = cols.where("block is null").select(F.col("col").alias("k"))
+    counted = e.join(edge, F.col("col") == F.col("k"), "left_semi").agg(F.countDistinct("col").alias("n_border"), F.count(F.lit(1)).alias("nnz_border"))
+    return counted
+
+
 def violations(e: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
     """(violations): interior columns that leave their block, border columns within one, and the identity of sizes."""
     span = e.join(rows.select("row", "block"), "row").groupBy("col").agg(F.countDistinct("block").alias("n")).join(cols.withColumnRenamed("block", "cb"), "col")

@@ -79,8 +79,45 @@ def added(e: DataFrame, more: DataFrame) -> DataFrame:
     return e.unionByName(more).groupBy("row", "col").agg(F.sum("val").alias("val"))
 
 
+#: A node of level k spans 2^(BITS k) values; levels reach over all longs.
+BITS, LEVELS = 2, 32
+
+
+def _nodes(lo: str, hi: str):
+    """The fewest aligned nodes that make up [lo, hi), as an array of (level, node): at each level what lacks a whole parent on either side."""
+    def step(s, level):
+        up, down = -F.shiftright(-s["lo"], BITS), F.shiftright(s["hi"], BITS)
+        whole = (up <= down) & (level < LEVELS - 1)
+        left, right = F.when(whole, F.shiftleft(up, BITS)).otherwise(s["hi"]), F.when(whole, F.shiftleft(down, BITS)).otherwise(s["hi"])
+        run = lambda a, b: F.when(a < b, F.transform(F.sequence(a, b - 1), lambda n: F.struct(level.alias("level"), n.alias("node")))).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
+        return F.struct(F.when(whole, up).otherwise(F.lit(0)).cast("long").alias("lo"), F.when(whole, down).otherwise(F.lit(0)).cast("long").alias("hi"), F.concat(s["nodes"], run(s["lo"], left), run(right, s["hi"])).alias("nodes"))
+
+    start = F.struct(F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"), F.array().cast("array<struct<level:int,node:bigint>>").alias("nodes"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step)["nodes"]
+
+
+def points_in_ranges(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """points' columns beside those of each range (with lo and hi, hi excluded) that holds their `at`; names must differ.
+
+    A range is cut into aligned nodes, a few a level, and a point lies in one node of each level, so a hash join on (level, node) meets
+    each pair once. Points look only into levels that some range uses (at most LEVELS, counted first).
+    """
+    nodes = ranges.where("lo < hi").withColumn("__n", F.explode(_nodes("lo", "hi"))).select("*", F.col("__n.level").alias("__level"), F.col("__n.node").alias("__node")).drop("__n")
+    used = sorted(r[0] for r in nodes.select("__level").distinct().collect())
+    if not used:
+        return points.join(ranges, F.lit(False))
+    at = points.withColumn("__of", F.explode(F.array(*(F.lit(k) for k in used)))).withColumn("__in", F.expr(f"shiftright(cast(at as bigint), {BITS} * __of)"))
+    return at.join(nodes, (F.col("__of") == F.col("__level")) & (F.col("__in") == F.col("__node"))).drop("__of", "__in", "__level", "__node")
+
+
 def ranges_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """How each range of a (id, lo, hi; hi excluded) meets those of b: begin, end, total or inner."""
-    x, y = a.select(F.col("id").alias("a_id"), F.col("lo").alias("al"), F.col("hi").alias("ah")), b.select(F.col("id").alias("b_id"), F.col("lo").alias("bl"), F.col("hi").alias("bh"))
+    """How each range of a (id, lo, hi; hi excluded) meets those of b: begin, end, total or inner.
+
+    Two ranges meet if one's start lies in the other: b's in a's, or a's in b's behind its start. Both are joins of points in ranges, by hash. Empty ranges meet nothing.
+    """
+    x, y = (df.where("lo < hi").select(F.col("id").alias(f"{c}_id"), F.col("lo").alias(f"{c}l"), F.col("hi").alias(f"{c}h")) for df, c in ((a, "a"), (b, "b")))
+    first = points_in_ranges(y.withColumn("at", F.col("bl")), x.withColumn("lo", F.col("al")).withColumn("hi", F.col("ah")))
+    behind = points_in_ranges(x.withColumn("at", F.col("al")), y.withColumn("lo", F.col("bl") + 1).withColumn("hi", F.col("bh")))
     kind = F.when((F.col("al") <= F.col("bl")) & (F.col("ah") >= F.col("bh")), "total").when((F.col("al") >= F.col("bl")) & (F.col("ah") <= F.col("bh")), "inner").when(F.col("al") < F.col("bl"), "end").otherwise("begin")
-    return x.join(y, (F.col("al") < F.col("bh")) & (F.col("bl") < F.col("ah"))).select("a_id", "b_id", kind.alias("kind"))
+    both = first.select("a_id", "b_id", "al", "ah", "bl", "bh").union(behind.select("a_id", "b_id", "al", "ah", "bl", "bh"))
+    return both.select("a_id", "b_id", kind.alias("kind"))

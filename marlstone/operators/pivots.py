@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..storage import near
+from ..storage import metrics_of, near
 
 def col_stats(e: DataFrame) -> DataFrame:
     return e.groupBy("col").agg(F.count(F.lit(1)).alias("col_deg"), F.max(F.abs("val")).alias("col_max"))
@@ -89,7 +89,11 @@ def allowed_cost(best: DataFrame, marko_tol: float) -> DataFrame:
 
 def candidates(best: DataFrame, marko_tol: float) -> DataFrame:
     """(col, row, cost, score); the larger score wins."""
-    bound = allowed_cost(best, marko_tol).select("allowed")
+    return scored(best, allowed_cost(best, marko_tol))
+
+
+def scored(best: DataFrame, bound: DataFrame) -> DataFrame:
+    bound = bound.select("allowed")  # one row
     return best.join(F.broadcast(bound), F.col("cost") <= F.col("allowed")).select("col", "row", "cost", (F.col("cost") / F.col("allowed") + F.col("val") / F.col("col_max")).alias("score"))
 
 
@@ -133,7 +137,15 @@ def ordered(rs: DataFrame, cs: DataFrame, luby: DataFrame, done: int, step: int,
     return ranked(every, ["rank"]).select((F.col("at") + done).cast("int").alias("pos"), "row", "col", F.lit(step).alias("step"), "kind")
 
 
-def proposed(e: DataFrame, nb_cols: int, value_tol: float, marko_tol: float, border: DataFrame | None = None, lines: DataFrame | None = None, most: int | None = None) -> DataFrame:
+def as_it_is(state: str, df: DataFrame, part: str = "") -> DataFrame:
+    """What a search does with its intermediate results unless their times are measured."""
+    return df
+
+
+KINDS = {k: f"count_if(kind = '{k}')" for k in ("RS", "CS", "LUBY", "TP")}
+
+
+def proposed(e: DataFrame, nb_cols: int, value_tol: float, marko_tol: float, border: DataFrame | None = None, lines: DataFrame | None = None, most: int | None = None, stage=as_it_is) -> DataFrame:
     """(kind, row, col, cost, score): row singletons, column singletons and candidates, in one relation, from line_stats(). most: a bound on the lines, if known."""
     lines = line_stats(e, border) if lines is None else lines
     rows, cols = lines.where("line = 'R'"), lines.where("line = 'C'")
@@ -143,39 +155,41 @@ def proposed(e: DataFrame, nb_cols: int, value_tol: float, marko_tol: float, bor
     rs = single.groupBy("col").agg(F.min("row").alias("row")).select("row", "col")
     alone = cols.where("deg = 1").select(F.col("id").alias("col"), F.col("other").alias("row"))
     cs = alone.join(near(rs.select("row"), most), "row", "left_anti").join(near(rs.select("col"), most), "col", "left_anti").groupBy("row").agg(F.min("col").alias("col")).select("row", "col")
-    taken = rs.union(cs)
+    taken = stage("get singletons", rs.select(F.lit("RS").alias("kind"), "row", "col").union(cs.select(F.lit("CS"), "row", "col")), "candidates")
     limit = cols.agg(F.floor(F.sum("deg") / nb_cols).alias("limit"))
     short = cols.join(F.broadcast(limit), F.col("deg") <= F.col("limit")).select(F.col("id").alias("col"), F.col("deg").alias("col_deg"), F.col("biggest").alias("col_max"))
     short = short.join(near(taken.select("col"), most), "col", "left_anti")
     degrees = lines.where(f"line = '{'R' if border is None else 'I'}'").select(F.col("id").alias("row"), F.col("deg").alias("row_deg")).join(near(taken.select("row"), most), "row", "left_anti")
     free = e.join(near(short, most), "col").where(F.abs("val") >= F.col("col_max") * value_tol).join(near(degrees, most), "row")
     best = free.groupBy("col").agg(F.min(F.struct("row_deg", "row", "val", "col_deg", "col_max")).alias("b"))
-    best = best.select("col", "b.row", "b.val", "b.col_deg", "b.col_max", "b.row_deg", ((F.col("b.row_deg") - 1) * (F.col("b.col_deg") - 1)).alias("cost"))
-    cands = candidates(best, marko_tol)
+    best = stage("get eligible", best.select("col", "b.row", "b.val", "b.col_deg", "b.col_max", "b.row_deg", ((F.col("b.row_deg") - 1) * (F.col("b.col_deg") - 1)).alias("cost")), "candidates")
+    bound = stage("auxiliary", allowed_cost(best, marko_tol), "candidates")
+    cands = stage("assign score", scored(best, bound), "candidates")
     none = [F.lit(None).cast("long").alias("cost"), F.lit(None).cast("double").alias("score")]
-    return rs.select(F.lit("RS").alias("kind"), "row", "col", *none).union(cs.select(F.lit("CS"), "row", "col", *none)).union(cands.select(F.lit("LUBY"), "row", "col", "cost", "score"))
+    return taken.select("kind", "row", "col", *none).union(cands.select(F.lit("LUBY"), "row", "col", "cost", "score"))
 
 
-def search(e: DataFrame, n: int, done: int, step: int, value_tol: float, marko_tol: float, border: DataFrame | None = None, border_cols: int = 0, keep=lambda df: df, needed: int | None = None, lines: DataFrame | None = None, most: int | None = None) -> DataFrame:
+def search(e: DataFrame, n: int, done: int, step: int, value_tol: float, marko_tol: float, border: DataFrame | None = None, border_cols: int = 0, keep=lambda df, **_: df, needed: int | None = None, lines: DataFrame | None = None, most: int | None = None, stage=as_it_is) -> DataFrame:
     """All pivots of a step. keep: makes an intermediate result cheap to read again. needed: columns to find at most. lines: line_stats(e, border), most: a bound on them, if known.
 
-    Pivots of a step have rows and columns of their own, so singletons can't be more than the columns left.
+    Pivots of a step have rows and columns of their own, so singletons can't be more than the columns left. stage: sees each intermediate result, see as_it_is().
     """
-    every = keep(proposed(e, max(1, n - done - border_cols), value_tol, marko_tol, border, lines, most))
+    every = keep(proposed(e, max(1, n - done - border_cols), value_tol, marko_tol, border, lines, most, stage), metrics=KINDS)
     rs, cs, cands = (every.where(f"kind = '{k}'").drop("kind") for k in ("RS", "CS", "LUBY"))
     chosen, found = cands, most
     if needed is not None:
-        counts = {r.kind: r["count"] for r in every.groupBy("kind").count().collect()}
-        found = counts.get("LUBY", 0)
-        left = max(1, needed - 1 - counts.get("RS", 0) - counts.get("CS", 0))
+        counts = metrics_of(every)
+        found = counts["LUBY"]
+        left = max(1, needed - 1 - counts["RS"] - counts["CS"])
         chosen = cands if found <= left else capped(cands, left)
-    return ordered(rs, cs, chosen.join(near(conflicts(e, cands, found), found), F.col("col") == F.col("loser"), "left_anti"), done, step)
+    losers = stage("first pass", conflicts(e, cands, found), "merging")
+    return stage("discarding pivots", ordered(rs, cs, chosen.join(near(losers, found), F.col("col") == F.col("loser"), "left_anti"), done, step), "merging")
 
 
-def block_search(e: DataFrame, n: int, done: int, step: int, value_tol: float, marko_tol: float, per_block: int, keep=lambda df: df) -> DataFrame:
+def block_search(e: DataFrame, n: int, done: int, step: int, value_tol: float, marko_tol: float, per_block: int, keep=lambda df: df, stage=as_it_is) -> DataFrame:
     """All pivots of a step by the older search: sets of candidates, each independent, merged in pairs."""
-    sets = block_sets(e, keep(block_candidates(e, max(1, n - done), value_tol)), marko_tol, per_block, seed=step)
-    found = merged_sets(e, sets, keep)
+    sets = stage("getting pivots", block_sets(e, keep(block_candidates(e, max(1, n - done), value_tol)), marko_tol, per_block, seed=step), "candidates")
+    found = stage("getting pivots", merged_sets(e, sets, keep), "merging")
     none = found.select("row", "col").limit(0)
     return ordered(none, none, found, done, step, kind="TP")
 
@@ -240,18 +254,29 @@ def block_sets(e: DataFrame, cands: DataFrame, marko_tol: float, per_block: int
 
 
 def merged_sets(e: DataFrame, sets: DataFrame, keep=lambda df: df) -> DataFrame:
-    """One independent set: sets are merged in pairs, round by round; the larger stays, and of the smaller what it doesn't cross."""
-    now = keep(sets)
-    while (blocks := now.select("block").distinct().count()) > 1:
-        size = now.groupBy("block").agg(F.count(F.lit(1)).alias("size")).withColumn("at", F.row_number().over(W.orderBy("block")) - 1)  # a row per block
-        pair = F.floor(F.col("at") / 2).alias("pair")
-        ranked = size.select("block", pair, F.row_number().over(W.partitionBy(pair).orderBy(F.desc("size"), "block")).alias("rank"))
-        placed = keep(now.join(ranked, "block"))
-        large, small = placed.where("rank = 1"), placed.where("rank = 2")
+    """One independent set, by a reduction tree over the blocks' hashed numbers.
+
+    Each block draws a 60-bit hash; blocks with the same first bits make a group, at first as many bits as leave about two blocks
+    in each, then one less a round. Blocks of a group are paired by size: the larger stays, and with it what it doesn't cross of the other. Nothing
+    orders all blocks: a window holds one group's.
+    """
+    now = keep(sets.withColumn("block", F.shiftright(F.xxhash64("block", F.lit(17)), 4)))
+    blocks = now.select("block").distinct().count()
+    bits = max(0, blocks.bit_length() - 1)
+    while blocks > 1:
+        group = F.when(F.lit(bits) > 0, F.shiftright("block", 60 - bits)).otherwise(F.lit(0).cast("long"))
+        size = now.groupBy("block").agg(F.count(F.lit(1)).alias("size")).withColumn("group", group)
+        rank = F.row_number().over(W.partitionBy("group").orderBy(F.desc("size"), "block")) - 1  # about two blocks a group
+        paired = size.withColumn("nth", rank).select("block", "group", F.floor(F.col("nth") / 2).alias("half"), (F.col("nth") % 2).alias("rank"))
+        pair = F.struct("group", "half")
+        placed = keep(now.join(paired.select("block", pair.alias("pair"), "rank"), "block"))
+        large, small = placed.where("rank = 0"), placed.where("rank = 1")
         crossed_cols = e.join(large.select("row", "pair"), "row").select("pair", "col").distinct()
         crossed_rows = e.join(large.select("col", "pair"), "col").select("pair", "row").distinct()
         fine = small.join(crossed_cols, ["pair", "col"], "left_anti").join(crossed_rows, ["pair", "row"], "left_anti")
-        now = keep(large.unionByName(fine).select(F.col("pair").alias("block"), "row", "col", "cost"))
-        if blocks == now.select("block").distinct().count():
-            break
+        first = placed.where("rank = 0").select("pair", F.col("block").alias("into")).distinct()
+        now = keep(large.unionByName(fine).join(first, "pair").select(F.col("into").alias("block"), "row", "col", "cost"))
+        left = now.select("block").distinct().count()
+        bits = max(0, bits - 1)
+        blocks = left
     return now.select("row", "col", "cost")

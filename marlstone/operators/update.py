@@ -40,23 +40,23 @@ def schur(e: DataFrame, pivots: DataFrame, l: DataFrame, u: DataFrame) -> DataFr
     return rest.unionByName(less).groupBy("row", "col").agg(F.sum("val").alias("val"))
 
 
-def step(e: DataFrame, pivots: DataFrame, count: int | None = None, nnz: int | None = None) -> DataFrame:
+def step(e: DataFrame, pivots: DataFrame, count: int | None = None, nnz: int | None = None, stage=lambda state, df, part: df) -> DataFrame:
     """(part, pivot, row, col, val, kind): L, D, U and S of a step in one relation, so a step is one table. kind: D rows' alone.
 
     count: of the pivots, nnz: of e, if known: then small sides of joins are broadcast, and only the sum of S is shuffled.
+    stage: sees each part, see pivots.as_it_is().
     """
+    none, nobody = F.lit(None).cast("int"), F.lit(None).cast("string")
     at = _at(e, pivots, count, "kind")
-    d = at.where("row_pos = col_pos").select("row_pos", "row", "col", "val", "kind")
+    d = at.where("row_pos = col_pos").select(F.lit("D").alias("part"), F.col("row_pos").alias("pivot"), "row", "col", "val", "kind", F.lit(False).alias("rest"))
     by = near(e.join(near(pivots.select("row", "col", "pos"), count), ["row", "col"]).select(F.col("pos").alias("p"), F.col("val").alias("by")), count)
-    l = at.where("col_pos is not null and (row_pos is null or row_pos > col_pos)").join(by, F.col("col_pos") == F.col("p")).select(F.col("col_pos").alias("pivot"), "row", (F.col("val") / F.col("by")).alias("val"), F.col("row_pos").isNull().alias("rest"))  # noqa: E741
-    u = at.where("row_pos is not null and (col_pos is null or row_pos < col_pos)").select(F.col("row_pos").alias("pivot"), "row", "col", "val", F.col("col_pos").isNull().alias("rest"))
-    left = l.where("rest").select(F.col("pivot").alias("p"), F.col("row").alias("i"), F.col("val").alias("lv"))
+    l = at.where("col_pos is not null and (row_pos is null or row_pos > col_pos)").join(by, F.col("col_pos") == F.col("p"))  # noqa: E741
+    l = l.select(F.lit("L"), "col_pos", "row", none, (F.col("val") / F.col("by")).alias("val"), nobody, F.col("row_pos").isNull())  # noqa: E741
+    ld = stage("update L", d.union(l), "ld")
+    u = at.where("row_pos is not null and (col_pos is null or row_pos < col_pos)")
+    u = stage("update S rows", u.select(F.lit("U").alias("part"), F.col("row_pos").alias("pivot"), "row", "col", "val", nobody.alias("kind"), F.col("col_pos").isNull().alias("rest")), "u")
+    left = ld.where("part = 'L' and rest").select(F.col("pivot").alias("p"), F.col("row").alias("i"), F.col("val").alias("lv"))
     less = u.where("rest").join(near(left, nnz), F.col("pivot") == F.col("p")).select(F.col("i").alias("row"), "col", (-F.col("val") * F.col("lv")).alias("val"))
     s = at.where("row_pos is null and col_pos is null").select("row", "col", "val").union(less).groupBy("row", "col").agg(F.sum("val").alias("val"))
-    none, nobody = F.lit(None).cast("int"), F.lit(None).cast("string")
-    return (
-        l.select(F.lit("L").alias("part"), "pivot", "row", none.alias("col"), "val", nobody.alias("kind"))
-        .union(d.select(F.lit("D"), "row_pos", "row", "col", "val", "kind"))
-        .union(u.select(F.lit("U"), "pivot", "row", "col", "val", nobody))
-        .union(s.select(F.lit("S"), none, "row", "col", "val", nobody))
-    )
+    s = stage("update S cols", s.select(F.lit("S").alias("part"), none.alias("pivot"), "row", "col", "val", nobody.alias("kind")), "s")
+    return ld.drop("rest").union(u.drop("rest")).union(s)

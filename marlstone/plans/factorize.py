@@ -15,7 +15,7 @@ from ..operators import checks as C
 from ..operators import pivots as P
 from ..operators import update as UP
 from ..operators.layout import numbered
-from ..storage import discard, materialize
+from ..storage import discard, materialize, metrics_of
 from . import dense as D
 from .dense import dense_lu
 from .triangular import GROWTH, Levels, joined
@@ -37,8 +37,8 @@ class _Kept:
     def __init__(self):
         self.held: list[DataFrame] = []
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.held.append(materialize(df))
+    def __call__(self, df: DataFrame, **options) -> DataFrame:
+        self.held.append(materialize(df, **options))
         return self.held[-1]
 
     def drop(self) -> None:
@@ -46,13 +46,33 @@ class _Kept:
         self.held = []
 
 
-def factorize(a: Matrix, params: SolverParams | None = None, border: DataFrame | None = None, trace=None, checks: frozenset[str] = frozenset()) -> Factors:
+#: Parts of a step whose times are measured.
+PARTS = ("candidates", "merging", "ld", "u", "s")
+STEP_PARTS = {k: f"count_if(part = '{k}')" for k in ("L", "D", "U", "S")}
+
+
+class _Stages:
+    """Writes each intermediate result of a step as a table of its own and takes the time, by state (for a trace) and part."""
+
+    def __init__(self, trace, keep: _Kept):
+        self.trace, self.keep, self.seconds = trace, keep, dict.fromkeys(PARTS, 0.0)
+
+    def __call__(self, state: str, df: DataFrame, part: str) -> DataFrame:
+        began = time.perf_counter()
+        with self.trace.span(state) if self.trace else nullcontext():
+            out = self.keep(df)
+        self.seconds[part] += time.perf_counter() - began
+        return out
+
+
+def factorize(a: Matrix, params: SolverParams | None = None, border: DataFrame | None = None, trace=None, checks: frozenset[str] = frozenset(), measured: bool = False, most_steps: int | None = None) -> Factors:
     """Steps of independent pivots until the rest is dense, small or stalls. Each step is one table; only counts reach the driver.
 
     border: columns (col) that get no pivot, left for the dense part. trace: a report.Trace; checks: names of CHECKS made in each step.
+    most_steps: a stop after so many, for a look at the first. measured (as with a trace): each part of a step is a job of its own, so that its time is known; that is slower.
     """
     p = params or SolverParams()
-    span = trace.span if trace else lambda _: nullcontext()
+    measured = measured or trace is not None
     if a.n > a.m:
         raise ValueError("more columns than rows")
     if border is not None and p.pivot_strategy == "blocks":
@@ -61,28 +81,28 @@ def factorize(a: Matrix, params: SolverParams | None = None, border: DataFrame |
     s = materialize(a.entries)
     nnz, done, steps, tables, found = s.count(), 0, [], [], []
     lines = materialize(P.line_stats(s, border)) if p.pivot_strategy != "blocks" else None
-    while (why := stop_reason(nnz, a.m, a.n - edge, done, found, p)) is None:
+    while (why := stop_reason(nnz, a.m, a.n - edge, done, found, p)) is None and (most_steps is None or len(steps) < most_steps):
         began, keep, k = time.perf_counter(), _Kept(), len(steps)
-        with span("pivot search"):
-            if p.pivot_strategy == "blocks":
-                piv = P.block_search(s, a.n, done, k, p.value_tol, p.marko_tol, p.nb_candidates_per_block, keep)
-            else:
-                piv = P.search(s, a.n, done, k, p.value_tol, p.marko_tol, border, edge, keep, needed=a.n - edge - done, lines=lines, most=a.m - done)
-            piv = keep(piv)
-            kinds = {r.kind: r["count"] for r in piv.groupBy("kind").count().collect()}
+        stages = _Stages(trace, keep) if measured else None
+        stage = stages or P.as_it_is
+        if p.pivot_strategy == "blocks":
+            piv = P.block_search(s, a.n, done, k, p.value_tol, p.marko_tol, p.nb_candidates_per_block, keep, stage)
+        else:
+            piv = P.search(s, a.n, done, k, p.value_tol, p.marko_tol, border, edge, keep, needed=a.n - edge - done, lines=lines, most=a.m - done, stage=stage)
+        piv = keep(piv, metrics=P.KINDS)
+        kinds = metrics_of(piv)
         searched = time.perf_counter()
         count = sum(kinds.values())
         if not count:
             keep.drop()
             why = "stalled"
             break
-        with span("update"):
-            table = materialize(UP.step(s, piv, count, nnz))
-            sizes = {r.part: r["count"] for r in table.groupBy("part").count().collect()}
-            after, rest = sizes.get("S", 0), table.where("part = 'S'").select("row", "col", "val")
-            if lines is not None:
-                was, lines = lines, materialize(P.updated_lines(lines, rest, piv, table, border, count, sizes.get("L", 0) + sizes.get("U", 0)))
-                discard(was)
+        table = materialize(UP.step(s, piv, count, nnz, stage), metrics=STEP_PARTS)
+        sizes = metrics_of(table)
+        after, rest = sizes["S"], table.where("part = 'S'").select("row", "col", "val")
+        if lines is not None:
+            was, lines = lines, materialize(P.updated_lines(lines, rest, piv, table, border, count, sizes["L"] + sizes["U"]))
+            discard(was)
         if lines is not None and "statistics" in checks and (bad := C.same_lines(lines, P.line_stats(rest, border)).first()[0]):
             raise ValueError(f"step {k}: check statistics found {bad} violations")
         for name in sorted(checks - {"statistics"}):
@@ -92,7 +112,7 @@ def factorize(a: Matrix, params: SolverParams | None = None, border: DataFrame |
         keep.drop()
         s = rest
         tables.append(table)
-        steps.append({"step": k, "nnz_before": nnz, "row_singletons": kinds.get("RS", 0), "col_singletons": kinds.get("CS", 0), "luby": kinds.get("LUBY", 0) + kinds.get("TP", 0), "pivots": count, "nnz_after": after, "search_s": searched - began, "update_s": time.perf_counter() - searched})
+        steps.append({"step": k, "nnz_before": nnz, "row_singletons": kinds["RS"], "col_singletons": kinds["CS"], "luby": kinds["LUBY"] + kinds["TP"], "pivots": count, "nnz_l": sizes["L"], "nnz_u": sizes["U"], "nnz_after": after, "search_s": searched - began, "update_s": time.perf_counter() - searched, **{f"{part}_s": stages.seconds[part] if stages else None for part in PARTS}})
         nnz, done = after, done + count
         found.append(count)
     spark = a.entries.sparkSession
@@ -227,13 +247,20 @@ def _solve_tail_task(f: Factors, rhs: DataFrame) -> DataFrame:
     return tail.groupBy().applyInPandas(dense, "i int, x double")
 
 
-def tail_blocks(f: Factors) -> tuple[D.DenseFactors, DataFrame, DataFrame]:
+def tail_blocks(f: Factors, trace=None) -> tuple[D.DenseFactors, DataFrame, DataFrame]:
     """The dense part's factors over blocks, and the numbers (idx, pos) of its rows and columns."""
     if "tail" not in f.kept:
+        span, began = trace.span if trace else lambda _: nullcontext(), time.perf_counter()
         rows, cols = materialize(numbered(open_rows(f), "row")), materialize(numbered(open_columns(f), "col"))
         e = f.dense.join(rows.select(F.col("idx").alias("row"), F.col("pos").alias("i")), "row").join(cols.select(F.col("idx").alias("col"), F.col("pos").alias("j")), "col").select("i", "j", "val")
         m, n, size = f.m - f.done, f.n - f.done, f.params.dense_block
-        f.kept["tail"] = D.factorize_blocks(D.blocked(e, m, n, size), m, n, size), rows, cols
+        with span("convert matrix"):
+            blocks = materialize(D.blocked(e, m, n, size))
+        converted = time.perf_counter()
+        with span("dense factorization"):
+            f.kept["tail"] = D.factorize_blocks(blocks, m, n, size), rows, cols
+        discard(blocks)
+        f.kept["seconds"] = {"convert": converted - began, "dense": time.perf_counter() - converted}
     return f.kept["tail"]
 
 
@@ -244,7 +271,7 @@ def solve_tail(f: Factors, rhs: DataFrame) -> DataFrame:
         if worst > 1e-6 * max(1.0, f.kept.get("scale", 1.0)):
             raise ValueError("rows beyond the square part contradict the others")
         return rhs.limit(0)
-    if f.m - f.done <= f.params.max_dense_schur:
+    if f.m - f.done <= f.params.max_dense_schur and "tail" not in f.kept:
         return materialize(_solve_tail_task(f, rhs))
     factors, rows, cols = tail_blocks(f)
     right = rhs.join(rows, F.col("i") == F.col("idx")).select(F.col("pos").alias("i"), "x")
@@ -252,12 +279,23 @@ def solve_tail(f: Factors, rhs: DataFrame) -> DataFrame:
     return x.join(cols, F.col("j") == F.col("pos")).select(F.col("idx").alias("i"), "x")
 
 
-def solve(f: Factors, b: DataFrame, growth: float = GROWTH) -> DataFrame:
-    """(i, x) of A x = b: joined levels of L, the dense part, joined levels of U. Levels and the dense part's factors are kept for further solves."""
+def solve(f: Factors, b: DataFrame, growth: float = GROWTH, seconds: dict[str, float] | None = None) -> DataFrame:
+    """(i, x) of A x = b: joined levels of L, the dense part, joined levels of U. Levels and the dense part's factors are kept for further solves.
+
+    seconds: gets the times of the three parts (l, dense, u); the solution is written as a table then.
+    """
+    times = [time.perf_counter()]
     v = forward(f, b, growth)
     f.kept["scale"] = v.agg(F.max(F.abs("x"))).first()[0] or 1.0
-    left = v.join(f.d.select("row"), F.col("i") == F.col("row"), "left_anti")
-    return backward(f, v, solve_tail(f, left), growth)
+    times.append(time.perf_counter())
+    tail = solve_tail(f, v.join(f.d.select("row"), F.col("i") == F.col("row"), "left_anti"))
+    times.append(time.perf_counter())
+    x = backward(f, v, tail, growth)
+    if seconds is not None:
+        x = materialize(x)
+        times.append(time.perf_counter())
+        seconds.update(zip(("l", "dense", "u"), (y - x_ for x_, y in zip(times, times[1:], strict=False)), strict=True))
+    return x
 
 
 def reconstruction(f: Factors) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 from ..model import SolverParams
 from ..operators import algebra as A
 from ..sources.triplets import read_matrix, read_vector
-from . import report
-from .factorize import accounting, cross_check, factorize, solve
+from . import bordered, report
+from .factorize import accounting, cross_check, factorize, solve, tail_blocks
 from .sweep import sweep
 
 # Option names, and the parameters that they set.
@@ -98,17 +98,20 @@ def run(spark: SparkSession, options: Options) -> dict:
         report.make_dirs(out_dir)
     name = report.prefix(options.texts["matrix"], options.params, 1, options.group_run[0] if options.group_run else None)
     if options.group_run:
-        stats = sweep(a, *options.group_run, params=options.params)
+        stats = sweep(a, *options.group_run, params=options.params, measured=True)
         text = report.sweep_text(stats, options.group_run[0], options.params)
         if out_dir:
             report.write_text(f"{out_dir}/data/MULTI_{name}_raw.dat", text)
         return {"stats": stats, "text": text}
     trace = report.Trace() if "trace" in options.flags else None
-    f = factorize(a, options.params, trace=trace, checks=frozenset(options.checks))
+    f = factorize(a, options.params, trace=trace, checks=frozenset(options.checks), measured=out_dir is not None)
+    if out_dir and f.n > f.done:
+        tail_blocks(f, trace)
     b = A.spmv(a.entries, x0, a.m)
-    x = solve(f, b)
+    solved: dict[str, float] = {}
+    x = solve(f, b, seconds=solved)
     errors = {"backward_error": A.backward_error(a.entries, x, b, a.m).first()[0], "forward_error": A.norm2(A.axpby(x, 1.0, x0, -1.0)).first()[0] / max(1e-300, A.norm2(x0).first()[0])}
-    facts = accounting(f, a.entries.count()) | errors
+    facts = accounting(f, a.entries.count()) | errors | {f"timing_solve_{k}": v * 1e6 for k, v in solved.items()} | {f"timing_{k}": v * 1e6 for k, v in f.kept.get("seconds", {}).items()}
     if options.cross_check:
         facts["cross_check"] = cross_check(a, f)
     text = report.summary(f, facts)
@@ -121,3 +124,17 @@ def run(spark: SparkSession, options: Options) -> dict:
     if "output_file" in options.texts:
         report.write_text(options.texts["output_file"], text)
     return {"factors": f, "x": x, "facts": facts, "text": text}
+
+
+def run_bordered(spark: SparkSession, options: Options, num_blocks: int, partitioner: str = "multilevel") -> dict:
+    """Reads the matrix, partitions it, factorises and solves in bordered form for b = A x, and reports."""
+    a = read_matrix(spark, options.texts["matrix"])
+    x0 = read_vector(spark, a.n, options.texts.get("RHS_file"))
+    done = bordered.run(a, A.spmv(a.entries, x0, a.m), bordered.BorderedParams(num_blocks, partitioner, solver=options.params))
+    error = A.norm2(A.axpby(done["x"], 1.0, x0, -1.0)).first()[0] / max(1e-300, A.norm2(x0).first()[0])
+    lines = [f"blocks {num_blocks}, border columns {done['border']['n_border']}, their entries {done['border']['nnz_border']}"]
+    lines += [f"{r.what}: mean {r.avg:.6g}, deviation {r.std:.6g}, most {r.max}, least {r.min}" for r in done["stats"].collect()]  # three rows
+    text = "\n".join([*lines, f"backward_error {done['backward_error']:.6g}", f"forward_error {error:.6g}"])
+    if "output_file" in options.texts:
+        report.write_text(options.texts["output_file"], text)
+    return done | {"forward_error": error, "text": text}

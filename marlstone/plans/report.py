@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..model import Factors, SolverParams
 
+#: States of a trace, by the number that stands for each. Fixed values.
+STATES = (
+    "get singletons", "get eligible", "auxiliary", "assign score", "first pass", "discarding pivots",
+    "getting pivots", "update L", "update S cols", "update S rows", "convert matrix", "dense factorization",
+)
+
 
 def summary(f: Factors, facts: dict[str, float] | None = None) -> str:
     """Text of a run; facts: from factorize.accounting() and norms."""
@@ -20,20 +26,35 @@ def summary(f: Factors, facts: dict[str, float] | None = None) -> str:
     return "\n".join(lines)
 
 
-def totals(f: Factors) -> dict[str, float]:
-    """Microseconds of search and update, and mean and population deviation of pivots per step."""
+#: Totals over steps: name in files, key of a step. Fixed values.
+TOTALS = {
+    "timing_total_pivot_search": "search_s", "timing_total_extracting_candidates": "candidates_s", "timing_total_merging_pivots": "merging_s",
+    "timing_total_update": "update_s", "timing_total_update_LD": "ld_s", "timing_total_update_U": "u_s", "timing_total_update_S": "s_s",
+}
+
+
+def _us(seconds: float | None) -> str:
+    return "?" if seconds is None else f"{seconds * 1e6:.0f}"
+
+
+def _sum(f: Factors, key: str) -> float | None:
+    """Over the steps; nothing where a step's parts weren't measured."""
+    found = [s[key] for s in f.steps]
+    return None if None in found else sum(found)
+
+
+def totals(f: Factors) -> dict[str, str | float]:
+    """Microseconds of each part over all steps, and mean and population deviation of pivots per step."""
     found = [s["pivots"] for s in f.steps]
     mean = sum(found) / len(found) if found else 0.0
-    return {
-        "timing_total_pivot_search": sum(s["search_s"] for s in f.steps) * 1e6, "timing_total_update": sum(s["update_s"] for s in f.steps) * 1e6,
-        "pivots_mean": mean, "pivots_std": (sum((x - mean) ** 2 for x in found) / len(found)) ** 0.5 if found else 0.0,
-    }
+    out = {name: _us(_sum(f, key)) for name, key in TOTALS.items()}
+    return out | {"pivots_mean": mean, "pivots_std": (sum((x - mean) ** 2 for x in found) / len(found)) ** 0.5 if found else 0.0}
 
 
 def raw_text(f: Factors, facts: dict[str, float]) -> str:
-    """'#key value' lines, then a line per step: pivots and microseconds; ? where a step's plan doesn't tell parts apart."""
+    """'#key value' lines, then a line per step: pivots and microseconds; ? where a run's parts weren't measured."""
     head = [f"#{k}\t{v}" for k, v in ({"sparse_pivots": f.done, "dense_pivots": f.n - f.done, "nb_steps": len(f.steps), "reason": f.reason} | totals(f) | facts).items()]
-    return "\n".join(head + ["#pivots\tsearch\tcandidates\tmerging\tupdate\tupdate LD\tupdate U\tupdate S"] + ["\t".join([str(s["pivots"]), f"{s['search_s'] * 1e6:.0f}", "?", "?", f"{s['update_s'] * 1e6:.0f}", "?", "?", "?"]) for s in f.steps]) + "\n"
+    return "\n".join(head + ["#pivots\tsearch\tcandidates\tmerging\tupdate\tupdate LD\tupdate U\tupdate S"] + ["\t".join([str(s["pivots"]), *(_us(s[k]) for k in TOTALS.values())]) for s in f.steps]) + "\n"
 
 
 # Column labels of a sweep's file.
@@ -49,10 +70,11 @@ def sweep_text(stats: DataFrame, swept: str, p: SolverParams) -> str:
     head = [f"#{k}\t{getattr(p, k)}" for k in ("value_tol", "marko_tol", "nb_candidates_per_block", "nb_previous_pivots", "min_pivot_per_steps", "density_tolerance", "max_dense_schur") if k != swept]
     lines = []
     for r in stats.orderBy("run").collect():  # a row per run
-        us = lambda s: f"{s * 1e6:.0f}"
         known = {
-            "timing total": us(r.search_s + r.update_s), "timing sparse": us(r.search_s + r.update_s), "timing pivot search": us(r.search_s), "timing update": us(r.update_s), "timing solve": us(r.solve_s), "forward error": f"{r.forward_error:e}",
-            "backward error": f"{r.backward_error:e}", "schur density": f"{r.schur_density:f}", "sparse pivots S": str(r.sparse_pivots), "dense pivots": str(r.dense_pivots), "nnz": str(r.nnz_final), "nnz L": str(r.nnz_l), "nnz U": str(r.nnz_u), "#steps": str(r.steps),
+            "timing total": _us(r.search_s + r.update_s + (r.convert_s or 0) + (r.dense_s or 0)), "timing sparse": _us(r.search_s + r.update_s), "timing dense": _us(r.dense_s), "timing convert": _us(r.convert_s), "timing pivot search": _us(r.search_s),
+            "timing creating init sets": _us(r.candidates_s), "timing merging pivots": _us(r.merging_s), "timing update": _us(r.update_s), "timing update LD": _us(r.ld_s), "timing update U": _us(r.u_s), "timing update S": _us(r.s_s), "timing solve": _us(r.solve_s),
+            "timing solve L": _us(r.solve_l_s), "timing solve dense": _us(r.solve_dense_s), "timing solve U": _us(r.solve_u_s), "forward error": f"{r.forward_error:e}", "backward error": f"{r.backward_error:e}", "schur density": f"{r.schur_density:f}",
+            "sparse pivots S": str(r.sparse_pivots), "dense pivots": str(r.dense_pivots), "nnz": str(r.nnz_final), "nnz L": str(r.nnz_l), "nnz U": str(r.nnz_u), "#steps": str(r.steps),
         }
         lines.append("\t".join([f"{r.param_value:g}", *(known.get(c, "?") for c in SWEEP_COLUMNS)]))
     return "\n".join([*head, "\t".join(f'"{c}"' for c in (swept, *SWEEP_COLUMNS)), *lines]) + "\n"
@@ -77,8 +99,12 @@ def prefix(matrix: str, p: SolverParams, threads: int, swept: str | None = None)
 
 
 def series(f: Factors, columns: tuple[str, ...] = ("search_s", "update_s")) -> str:
-    """A line per step, ? where a value is missing."""
-    return "\n".join("\t".join("?" if s.get(c) is None else f"{s[c]}" for c in columns) for s in f.steps)
+    """A line per step, ? where a value is missing; times end with a column and a line for the dense part."""
+    show = lambda v: "?" if v is None else f"{v}"
+    lines = [[show(s.get(c)) for c in columns] for s in f.steps]
+    if "search_s" in columns:
+        lines = [[*x, "?"] for x in lines] + [["?"] * len(columns) + [show(f.kept.get("seconds", {}).get("dense"))]]
+    return "\n".join(map("\t".join, lines))
 
 
 class Trace:

@@ -13,13 +13,15 @@ from .operators import algebra as A
 from .operators import blocks as B
 from .operators import checks as C
 from .operators import layout as L
+from .operators import multilevel
 from .operators import pivots as P
 from .operators import update as U
 from .plans import bordered, report, sweep
-from .plans.factorize import factorize, reconstruction, solve
+from .plans.factorize import factorize, reconstruction, refine, solve
 from .plans.factorize import permutation as full_permutation
-from .sources.triplets import default_vector
-from .storage import materialize
+from .sources import triplet_source
+from .sources.triplets import default_vector, write_triplets
+from .storage import materialize, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,6 +180,57 @@ def _(s, d):
     return L.ranges_overlap(n.select("id", F.col("id").alias("lo"), (F.col("id") + 3).alias("hi")), n.select("id", (F.col("id") * 2).alias("lo"), (F.col("id") * 2 + 1 + F.col("id") % 5).alias("hi")))
 
 
+_SPANS = """sp AS (SELECT l_orderkey AS id, min(date_diff('day', DATE '1970-01-01', l_shipdate::DATE)) AS lo, max(date_diff('day', DATE '1970-01-01', l_shipdate::DATE)) + 1 AS hi FROM lineitem GROUP BY 1),
+mo AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS id, min(date_diff('day', DATE '1970-01-01', o_orderdate::DATE)) AS lo, max(date_diff('day', DATE '1970-01-01', o_orderdate::DATE)) + 1 AS hi FROM orders GROUP BY 1)"""
+
+
+@_query("ship_span_overlaps", "SELECT mo.id AS \"month\", CASE WHEN sp.lo <= mo.lo AND sp.hi >= mo.hi THEN 'total' WHEN sp.lo >= mo.lo AND sp.hi <= mo.hi THEN 'inner' WHEN sp.lo < mo.lo THEN 'end' ELSE 'begin' END AS kind, count(*) AS n, sum(sp.id)::BIGINT AS ids FROM sp JOIN mo ON sp.lo < mo.hi AND mo.lo < sp.hi GROUP BY 1, 2", _SPANS)
+def _(s, d):
+    """How the orders' spans of ship dates meet the months' spans of order dates, counted by month."""
+    day = lambda c: F.unix_date(F.to_date(c))
+    span = lambda df, key, at: df.groupBy(key.alias("id")).agg(F.min(day(at)).alias("lo"), (F.max(day(at)) + 1).alias("hi"))
+    ships = span(X.table(s, d, "lineitem"), F.col("l_orderkey"), "l_shipdate")
+    months = span(X.table(s, d, "orders"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long"), "o_orderdate")
+    met = L.ranges_overlap(ships, months)
+    return met.groupBy(F.col("b_id").alias("month"), "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("a_id").alias("ids"))
+
+
+@_query("triplet_round_trip", "SELECT * FROM e", _E)
+def _(s, d):
+    """The matrix written as triplet parts by many tasks and read back by ranges of bytes."""
+    m, path = X.parts_square(s, d), shared_dir(s)
+    triplet_source.write(m, path)
+    return triplet_source.read(s, path, split_bytes=100_000).entries
+
+
+@_query("triplet_columns", f"SELECT e.col, count(*) AS n, sum(val) AS total FROM e WHERE col >= {_N} // 3 AND col < {_N} // 2 GROUP BY col", _E)
+def _(s, d):
+    """Columns in a range from a file of one task; only byte ranges that can hold them are read."""
+    m, path = X.parts_square(s, d), shared_dir(s)
+    write_triplets(m, path)
+    triplet_source.register(s)
+    file = next(x for x in s.read.format("binaryFile").load(path).select("path").collect())[0]
+    e = s.read.format("triplets").option("split_bytes", 50_000).schema("col int, val double").load(file.removeprefix("file:"))
+    return e.where((F.col("col") >= m.n // 3) & (F.col("col") < m.n // 2)).groupBy("col").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("total"))
+
+
+@_query("refined_solution", f"SELECT CAST(i AS INT) AS i, i + 1.0::DOUBLE AS x FROM range({_N}) t(i)")
+def _(s, d):
+    """A solution that is off by a thousandth, refined."""
+    m, f = _factors(s, d)
+    b = materialize(A.spmv(m.entries, default_vector(s, m.n), m.m))
+    rough = default_vector(s, m.n).select("i", (F.col("x") * 1.001).alias("x"))
+    return refine(m, f, b, rough).select("i", _round("x"))
+
+
+@_query("first_step_counts", "SELECT (SELECT count(*) FROM e) AS nnz_before, (SELECT count(*) FROM pv WHERE kind = 'RS') AS row_singletons, (SELECT count(*) FROM pv WHERE kind = 'CS') AS col_singletons, (SELECT count(*) FROM pv WHERE kind = 'LUBY') AS luby, (SELECT count(*) FROM pv) AS pivots, (SELECT count(*) FROM l) AS nnz_l, (SELECT count(*) FROM u) AS nnz_u, (SELECT count(*) FROM s) AS nnz_after", _E, _STATS)
+def _(s, d):
+    """What is observed of a run's first step while its tables are written."""
+    names = ("nnz_before", "row_singletons", "col_singletons", "luby", "pivots", "nnz_l", "nnz_u", "nnz_after")
+    steps = factorize(X.parts_square(s, d), most_steps=1).steps
+    return s.createDataFrame([tuple(steps[0][k] for k in names)], ", ".join(f"{k} long" for k in names))
+
+
 @_query("col_max", "SELECT * FROM cs", _E, _STATS)
 def _(s, d):
     return P.col_stats(X.parts_square(s, d).entries)
@@ -459,6 +512,20 @@ def _(s, d):
     return bordered.solve(m, A.spmv(m.entries, default_vector(s, m.n), m.m), r.select("row", "block")).select("i", _round("x"))
 
 
+@_query("sbbd_nested_solution", f"SELECT CAST(i AS INT) AS i, i + 1.0::DOUBLE AS x FROM range({_N}) t(i)")
+def _(s, d):
+    """A run with a multilevel partition into eight blocks, whose border is too large for one task and is bordered itself."""
+    m = X.parts_blocks(s, d)
+    p = bordered.BorderedParams(num_blocks=8, solver=SolverParams(max_dense_schur=24, dense_block=64))
+    return bordered.run(m, A.spmv(m.entries, default_vector(s, m.n), m.m), p)["x"].select("i", _round("x"))
+
+
+@_query("border_stats", "SELECT count(DISTINCT col) AS n_border, count(*) AS nnz_border FROM e WHERE col IN (SELECT col FROM cb WHERE block IS NULL)", _E2, _BL)
+def _(s, d):
+    m, _r, c = _blocks(s, d)
+    return B.border_stats(m.entries, c)
+
+
 @_query("local_columns", "SELECT block, col, CAST(row_number() OVER (PARTITION BY block ORDER BY edge, col) - 1 AS INT) AS local FROM (SELECT block, col, 0 AS edge FROM cb WHERE block IS NOT NULL UNION ALL SELECT block, col, 1 FROM bd)", _E2, _BL)
 def _(s, d):
     m, r, c = _blocks(s, d)
@@ -475,6 +542,18 @@ def _(s, d):
     return sizes.crossJoin(cut(ranges).withColumnRenamed("cut", "a")).crossJoin(cut(grown).withColumnRenamed("cut", "b")).select("n_rows", "balanced", (F.col("b") <= F.col("a")).alias("no_worse"))  # one row each
 
 
+@_query("multilevel_partition", f"SELECT {_N} AS n_rows, (SELECT count(*) FROM (SELECT col FROM (SELECT col, (row * 7919) % {_N} // {_BS} AS b FROM e) GROUP BY col HAVING count(DISTINCT b) > 1)) AS ranges_cut, true AS balanced, true AS halved", _E2)
+def _(s, d):
+    """Rows of a block matrix, shuffled: what equal ranges of them cut, and whether the partition's blocks stay within their room and it cuts at most half of that."""
+    m = X.parts_blocks(s, d)
+    e = materialize(m.entries.select((F.col("row").cast("long") * 7919 % m.n).cast("int").alias("row"), "col", "val"))
+    ranges, found = B.contiguous(s, m.m, 4), multilevel.partition(e, m.m, 4)
+    cut = lambda r, name: B.col_blocks(e, r).agg(F.count_if(F.col("block").isNull()).alias(name))
+    sizes = found.groupBy("block").count().agg(F.sum("count").alias("n_rows"), (F.max("count") <= 1.1 * m.m / 4).alias("balanced"))
+    both = sizes.crossJoin(cut(ranges, "ranges_cut")).crossJoin(cut(found, "cut"))  # one row each
+    return both.select("n_rows", "ranges_cut", "balanced", (F.col("cut") * 2 <= F.col("ranges_cut")).alias("halved"))
+
+
 @_query("check_duplicates", "SELECT count(*) AS violations FROM (SELECT 1 FROM e GROUP BY row, col HAVING count(*) > 1)", _E)
 def _(s, d):
     return C.duplicates(X.parts_square(s, d).entries)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Whether shuffle files go when a query ends, not when the driver's garbage is collected.
@@ -24,25 +27,49 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+_LOCK, _WRITERS = threading.Lock(), {"n": 0, "before": "false"}
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP is on while any thread writes a table; what it was before comes back after the last."""
+    with _LOCK:
+        if not _WRITERS["n"]:
+            _WRITERS["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _WRITERS["n"] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITERS["n"] -= 1
+            if not _WRITERS["n"]:
+                spark.conf.set(CLEANUP, _WRITERS["before"])
+
+
+def materialize(df: DataFrame, by: list[str] | None = None, metrics: dict[str, str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once.
 
     by: columns of few values that get a folder for each value, so that a filter on them reads no other.
+    metrics: aggregates (SQL) that are observed while the table is written, so that they take no job of their own; metrics_of() has them.
 
     The table stands in for the shuffles behind it, so their files go as soon as it is written.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    seen = Observation() if metrics else None
+    if seen:
+        df = df.observe(seen, *(F.expr(c).alias(k) for k, c in metrics.items()))
+    with _cleaning(spark):
         df.write.option("compression", "zstd").parquet(path, partitionBy=by)  # half of what the default leaves of texts
-    finally:
-        spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
-    table._shared_path = path
+    table._shared_path, table._metrics = path, seen.get if seen else {}
     return table
 
 
+def metrics_of(table: DataFrame) -> dict[str, int]:
+    return table._metrics
+
+
 #: Rows of a few numbers that may be broadcast (some 10 MB).
 NEAR_ROWS = 200_000
 
