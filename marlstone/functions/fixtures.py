@@ -27,6 +27,11 @@ def parts_square(spark: SparkSession, sf_dir: str) -> Matrix:
     return Matrix(_dominant(spark, off, n), n, n)
 
 
+def part_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, x): the parts' retail prices as a vector."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("i"), F.col("p_retailprice").alias("x"))
+
+
 def parts_blocks(spark: SparkSession, sf_dir: str, num_blocks: int = 4) -> Matrix:
     n = table(spark, sf_dir, "part").count()
     bs = n // num_blocks

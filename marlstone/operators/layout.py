@@ -71,7 +71,10 @@ def random_dense(spark, m: int, n: int, seed: int = 0) -> DataFrame:
     return cells.withColumn("val", F.when(F.col("row") == F.col("col"), u * 4).otherwise(u))
 
 
-def without(e: DataFrame, cells: DataFrame) -> DataFrame:
+def without(e: DataFrame, cells: DataFrame, strict: bool = False) -> DataFrame:
+    """e less the cells; strict: cells that aren't there are refused."""
+    if strict and cells.join(e.select("row", "col"), ["row", "col"], "left_anti").limit(1).count():
+        raise ValueError("a cell to delete isn't there")
     return e.join(cells.select("row", "col"), ["row", "col"], "left_anti")
 
 

@@ -92,22 +92,25 @@ for _by, _o in (("col", "row"), ("row", "col")):
     _query(f"{_by}_sizes", f"SELECT CAST(i AS INT) AS id, count({_by}) AS nnz FROM range({_N}) t(i) LEFT JOIN (SELECT * FROM e WHERE val > 1) f ON f.{_by} = i GROUP BY i", _E)(lambda s, d, by=_by: L.sizes((m := X.parts_square(s, d)).entries.where("val > 1"), by, m.n))
 
 
-@_query("vec_axpby", "SELECT i, x * 2.0 + x * x * (-0.5) AS x FROM v", _VEC)
+_PRICES = "v AS (SELECT p_partkey::INT AS i, p_retailprice AS x FROM part)"
+
+
+@_query("vec_axpby", "SELECT i, x * 2.0::DOUBLE + x * x * (-0.5::DOUBLE) AS x FROM v", _PRICES)
 def _(s, d):
-    v = default_vector(s, X.table(s, d, "part").count())
+    v = X.part_prices(s, d)
     return A.axpby(v, 2.0, v.select("i", (F.col("x") * F.col("x")).alias("x")), -0.5)
 
 
-@_query("vec_norm2", "SELECT round(sqrt(sum(x * x)), 4) AS norm2 FROM v", _VEC)
+@_query("vec_norm2", "SELECT round(sqrt(sum(x * x)), 4) AS norm2 FROM v", _PRICES)
 def _(s, d):
-    return A.norm2(default_vector(s, X.table(s, d, "part").count())).select(_round("norm2", 4))
+    return A.norm2(X.part_prices(s, d)).select(_round("norm2", 4))
 
 
-@_query("vec_permute", f"SELECT CAST(p.i AS INT) AS i, v.x FROM range({_N}) p(i) JOIN v ON v.i = {_N} - 1 - p.i", _VEC)
+@_query("vec_permute", f"SELECT CAST({_N} - 1 - i AS INT) AS i, x FROM v", _PRICES)
 def _(s, d):
     n = X.table(s, d, "part").count()
     perm = s.range(n).select(F.col("id").cast("int").alias("pos"), (F.lit(n - 1) - F.col("id")).cast("int").alias("idx"))
-    return A.permute_vector(default_vector(s, n), perm)
+    return A.permute_vector(X.part_prices(s, d), perm)
 
 
 @_query("matrix_permute", f"SELECT CAST({_N} - 1 - row AS INT) AS row, CAST((col + 1) % {_N} AS INT) AS col, val FROM e", _E)
@@ -117,10 +120,13 @@ def _(s, d):
     return L.permute(m.entries, ids.select((F.lit(m.n - 1) - F.col("idx")).alias("pos"), "idx"), ids.select(((F.col("idx") + 1) % m.n).alias("pos"), "idx"))
 
 
-@_query("random_permutation_check", "SELECT CAST(0 AS BIGINT) AS violations")
+@_query("random_permutation_check", "SELECT count(*) AS n, sum(p_partkey)::BIGINT AS ids, (count(*) * (count(*) - 1) // 2)::BIGINT AS places, 0::BIGINT AS violations, true AS mixed FROM part")
 def _(s, d):
-    n = X.table(s, d, "part").count()
-    return C.permutation(L.random_permutation(s.range(n).select(F.col("id").cast("int").alias("idx")), 7), n)
+    """Of a random order of the parts: their number, the sums of keys and of places, what isn't a permutation, and whether hardly any part kept its place."""
+    ids = X.table(s, d, "part").select(F.col("p_partkey").cast("int").alias("idx"))
+    p = materialize(L.random_permutation(ids, 7))
+    sums = p.agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("ids"), F.sum("pos").alias("places"), (F.count_if(F.col("pos") == F.col("idx")) < 10 + F.count(F.lit(1)) / 20).alias("mixed"))
+    return sums.crossJoin(C.permutation(p, ids.count()))  # one row each
 
 
 _EVENTS = "ev AS (SELECT * FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL)"
@@ -157,9 +163,9 @@ def _(s, d):
     return A.density(m.entries, m.m, m.n).select("nnz", _round("density", 9))
 
 
-@_query("max_abs", "SELECT max(abs(x)) AS max_abs FROM v", _VEC)
+@_query("max_abs", "SELECT max(abs(x)) AS max_abs FROM v", _PRICES)
 def _(s, d):
-    return A.max_abs(default_vector(s, X.table(s, d, "part").count()))
+    return A.max_abs(X.part_prices(s, d))
 
 
 @_query("matrix_add", "SELECT row, col, sum(val) AS val FROM (SELECT * FROM e UNION ALL SELECT col AS row, row AS col, val FROM e) GROUP BY 1, 2", _E)
@@ -374,10 +380,13 @@ def _(s, d):
     return P.capped(cands, cands.count() // 2).select("col", "row", "cost")
 
 
-@_query("merged_by_cost", "SELECT row, col, cost FROM ca WHERE col % 2 = 0 UNION ALL SELECT row, col, cost FROM ca WHERE col % 2 = 1", _E, _STATS)
+@_query("merged_by_cost", "SELECT row, col, cost, CAST(row_number() OVER (ORDER BY cost, col, row) - 1 AS INT) AS place FROM ca", _E, _STATS)
 def _(s, d):
+    """Both halves of the candidates as one, and each one's place in the order that the merge came out in."""
     cands = materialize(P.candidates(_best(s, d)[1], MARKO))
-    return P.by_cost(cands.where("col % 2 = 0"), cands.where("col % 2 = 1"))
+    merged = materialize(P.by_cost(cands.where("col % 2 = 0"), cands.where("col % 2 = 1")).withColumn("at", F.monotonically_increasing_id()))
+    places = L.numbered(merged, "at")
+    return merged.join(places, F.col("at") == F.col("idx")).select("row", "col", "cost", F.col("pos").alias("place"))
 
 
 @_query("check_logical_sum", "SELECT CAST(0 AS BIGINT) AS violations")

@@ -22,7 +22,7 @@ from marlstone.storage import materialize
 from marlstone.streaming.products import running_spmv
 
 D = "/root/testdata/sf0.001"
-QUICK = ["matrix_entries", "csc_columns", "col_sizes", "vec_axpby", "matrix_permute", "spmv", "spmv_rectangular", "matrix_norm_inf", "range_overlaps", "eligible_entries", "row_singletons", "col_singletons", "independent_pivots", "schur_step", "tp_candidates", "col_blocks", "block_sizes", "block_entries", "block_check", "check_same_pattern", "tp_independent_sets", "tp_best_cost", "touch_counts", "capped_candidates", "merged_by_cost", "check_logical_sum", "step_parts", "local_columns", "grown_partition"]
+QUICK = ["matrix_entries", "csc_columns", "col_sizes", "vec_axpby", "vec_norm2", "vec_permute", "max_abs", "matrix_permute", "spmv", "spmv_rectangular", "matrix_norm_inf", "range_overlaps", "eligible_entries", "row_singletons", "col_singletons", "independent_pivots", "schur_step", "tp_candidates", "col_blocks", "block_sizes", "block_entries", "block_check", "check_same_pattern", "tp_independent_sets", "tp_best_cost", "touch_counts", "capped_candidates", "merged_by_cost", "check_logical_sum", "step_parts", "local_columns", "grown_partition"]
 
 
 @pytest.fixture(scope="module")

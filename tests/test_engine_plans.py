@@ -50,7 +50,7 @@ def cut(a, of):
     return sum(len(set(of[np.flatnonzero(a[:, j])])) > 1 for j in range(a.shape[1]))
 
 
-@pytest.mark.parametrize("name", ["ship_span_overlaps", "range_overlaps", "triplet_round_trip", "triplet_columns", "first_step_counts", "border_stats", "sbbd_nested_solution", "dense_tail_solution", "refined_solution", "multilevel_partition", "tp_independent_sets"])
+@pytest.mark.parametrize("name", ["ship_span_overlaps", "range_overlaps", "triplet_round_trip", "triplet_columns", "first_step_counts", "border_stats", "sbbd_nested_solution", "dense_tail_solution", "refined_solution", "multilevel_partition", "random_permutation_check"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for t in ("nation", "part", "supplier", "lineitem", "orders", "events"):
@@ -230,6 +230,14 @@ def test_line_statistics_follow_each_step(spark):
             assert np.allclose([v for _, v in sorted(solve(f, b).collect())], np.arange(1, 41))
 
 
+def test_absent_cells_are_refused(spark):
+    e = spark.createDataFrame([(0, 0, 1.0), (1, 0, 2.0)], "row int, col int, val double")
+    gone = spark.createDataFrame([(0, 0), (5, 5)], "row int, col int")
+    assert L.without(e, gone).count() == 1 and L.without(e, gone.where("row = 0"), strict=True).count() == 1
+    with pytest.raises(ValueError):
+        L.without(e, gone, strict=True)
+
+
 def test_merged_sets_of_many_blocks(spark):
     """Sets of one candidate each are merged into one set whose lines no other pivot crosses."""
     e = matrix(spark, dominant(60, 2, 0.04)).entries
