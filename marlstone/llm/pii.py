@@ -51,7 +51,7 @@ _TITLE = "Mrs?|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?"
 LOOSE = {
     "email": rf"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{{1,64}}+ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{{1,63}}+ ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{{2,12}}",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])",
-    "phone": r"(?<![0-9+.)-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-][0-9]{2,4}[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4})?(?![0-9.])",
+    "phone": r"(?<![0-9+.)-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-][0-9]{2,4}[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4})?(?!\.?[0-9])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}{{1,30}}+(?: \p{{Lu}}\p{{Ll}}{{1,30}}+)?",
     "secret": rf"(?<![A-Za-z0-9])(?:(?i:(?:[A-Za-z0-9]{{1,20}}[_-]){{0,3}}(?:{_SECRET}))[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?[A-Za-z0-9+/_.=-]{{8,200}}+[\"']?|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{30,80}}+|sk-[A-Za-z0-9_-]{{20,80}}+|xox[abprs]-[A-Za-z0-9-]{{10,80}}+|-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----)",
 }

@@ -424,6 +424,22 @@ def test_personal_data_found_by_votes(spark):
         assert all(a[1] <= b[0] for a, b in zip(s, s[1:], strict=False))
 
 
+def test_phones_that_end_a_sentence(spark):
+    """A full stop behind a phone isn't part of it, unless a digit follows."""
+    texts = [f"call: (555) 123-4{k:03d}. Mail: bob{k} at mail dot com now" for k in range(150)] + [f"release 55.12 123-4{k:03d}.7 of it" for k in range(20)]
+    got = {x.doc_id: x for x in pii.find(frame(spark, list(enumerate(texts)))).collect()}
+    assert sum(f"phone:6:{6 + len('(555) 123-4000')}" in got[k].spans for k in range(150)) >= 0.95 * 150
+    assert not any("phone" in got[k].spans for k in range(150, 170))
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    """Whatever further columns are called, they pass through."""
+    names = ["__n", "__s", "__cdf", "__m", "mix_0", "MIX_2"]
+    df = spark.createDataFrame([(1, "a b", "s", 3, *range(6))], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in names))
+    out = mixing.mix(df, {"s": 1.0}, 0.0, budget=9.0)
+    assert set(names) < set(out.columns) and all(tuple(r[c] for c in names) == tuple(range(6)) for r in out.collect()) and out.count() > 0
+
+
 def test_personal_data_in_texts_of_many_matches(spark):
     """Time grows with the matches, not with their square."""
     text = "".join(f"u{k}@mail.example.com (555) 123-4567\n" for k in range(20_000))
