@@ -64,18 +64,29 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float, budget: floa
     return joined.select("source", F.when(F.col("size") > 0, wish / F.col("size")).otherwise(1.0).alias("rate"))
 
 
+def _free(count: int, taken: list[str]) -> list[str]:
+    """Names of columns that the input doesn't have, in any case."""
+    known, out, k = {c.lower() for c in taken}, [], 0
+    while len(out) < count:
+        if f"mix_{k}" not in known:
+            out.append(f"mix_{k}")
+        k += 1
+    return out
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float = OTHER, budget: float | None = None, seed: str = SEED) -> DataFrame:
     """docs replicated to the weights and shuffled; adds copy (from 0) and shuffle_key."""
     weights = WEIGHTS if weights is None else weights
     pieces = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int")
-    table_ = rates(docs, weights, other, budget).select(F.col("source").alias("__s"), cumulative(F.col("rate") / pieces).alias("__cdf"), pieces.alias("__m"))
+    s, cdf, m, n = _free(4, docs.columns)
+    table_ = rates(docs, weights, other, budget).select(F.col("source").alias(s), cumulative(F.col("rate") / pieces).alias(cdf), pieces.alias(m))
     named = F.coalesce("source", F.lit(""))
     key = F.when(named.isin(*weights), named) if weights else F.lit(None).cast("string")
     id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    uniforms = F.transform(F.sequence(F.lit(0), F.col("__m") - 1), lambda k: F.when(k == 0, uniform(seed, id_)).otherwise(uniform(seed, id_, k.cast("string"))))
-    count = F.aggregate(uniforms, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)))
-    rows = docs.drop("copy", "shuffle_key").join(F.broadcast(table_), key.eqNullSafe(F.col("__s")))
-    copies = rows.withColumn("__n", count).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n", "__s", "__cdf", "__m")
+    uniforms = F.transform(F.sequence(F.lit(0), F.col(m) - 1), lambda k: F.when(k == 0, uniform(seed, id_)).otherwise(uniform(seed, id_, k.cast("string"))))
+    count = F.aggregate(uniforms, F.lit(0), lambda k, u: k + F.size(F.filter(cdf, lambda c: c <= u)))
+    rows = docs.drop("copy", "shuffle_key").join(F.broadcast(table_), key.eqNullSafe(F.col(s)))
+    copies = rows.withColumn(n, count).where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(n, s, cdf, m)
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed + "-order"), id_, F.col("copy"))))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id")
 
