@@ -8,7 +8,8 @@ document less place in the item, so that a passage's hits meet). An alignment's
 neighbours within `slack` words, since an inserted or lost word shifts the rest; where it covers at least `threshold` of the
 item's windows, the words themselves are compared, at the alignment with the most hits of its neighbours and at each that
 reaches the threshold by itself. A word of the item counts as found if it lies in `width` words in a row that are equal there; else the
-neighbours are asked in order of distance. What is found must be consistent in its slots, that is, equal values of the item stand for
+neighbours are asked in order of distance. At least `threshold` of the item's words must be found (that share is the coverage): hits of neighbours count
+the same windows again where a text repeats itself, as tables of numbers do. What is found must be consistent in its slots, that is, equal values of the item stand for
 equal values of the document and different ones for different ones. What passes is a leak: 'exact' if all words
 are found in a row and all slots kept their values, 'edited' if words are lost, changed or inserted, 'reparameterised' if slots have other values.
 Of an item's alignments in a document that pass, exact ones come first, then edited ones, then those
@@ -149,7 +150,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold:
     both = wide.join(texts, ["doc_id", "row"]).withColumn("d", doc_slots).drop("cleaned").join(items.select("item_id", slots(words(F.col("cleaned")), F.col("template")).alias("i")), "item_id")
 
     def checked(place: Column) -> Column:
-        """The place with how well it fits; null where slots are inconsistent."""
+        """The place with how well it fits; null where slots are inconsistent or too few words are found."""
 
         def judged(found: Column) -> Column:
             slotted = F.filter(found, lambda x: x["i"].isNotNull() & x["d"].isNotNull())
@@ -159,7 +160,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold:
                 consistent = (F.size(p) == F.size(F.array_distinct(p["i"]))) & (F.size(p) == F.size(F.array_distinct(p["d"])))
                 same = F.forall(p, lambda x: x["i"] == x["d"])
                 rank = F.when(same & F.forall(found, lambda x: F.coalesce(x["straight"], F.lit(False))), 2).when(same, 1).otherwise(0)
-                return F.when(consistent, F.struct(rank.alias("rank"), place["n"].alias("n"), place["here"].alias("here"), (-place["shift"]).alias("s")))
+                share = F.size(F.filter(found, lambda x: x.isNotNull())) / F.size(found)
+                return F.when(consistent & (share >= threshold - 1e-9), F.struct(rank.alias("rank"), place["n"].alias("n"), place["here"].alias("here"), (-place["shift"]).alias("s"), share.alias("share")))
 
             return F.transform(F.array(pairs), fits)[0]
 
@@ -169,7 +171,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold:
     best = passed.groupBy("doc_id", "item_id", "n_windows").agg(F.max("b").alias("b"))
     matched = F.least("b.n", "n_windows")
     kind = F.element_at(F.array(*map(F.lit, ("reparameterised", "edited", "exact"))), F.col("b.rank") + 1)
-    long = best.select("doc_id", "item_id", matched.alias("n_matched"), "n_windows", (matched / F.col("n_windows")).alias("coverage"), (-F.col("b.s")).alias("at_word"), kind.alias("kind"))
+    long = best.select("doc_id", "item_id", matched.alias("n_matched"), "n_windows", F.col("b.share").alias("coverage"), (-F.col("b.s")).alias("at_word"), kind.alias("kind"))
     short = every.where((F.size("template") < width) & (F.col("cleaned") != "")).select("item_id", F.sha2(bare(F.col("cleaned")), 256).alias("b"))
     if not short.limit(1).count():
         return long

@@ -424,6 +424,16 @@ def test_personal_data_found_by_votes(spark):
         assert all(a[1] <= b[0] for a, b in zip(s, s[1:], strict=False))
 
 
+def test_tables_of_numbers_hold_no_item(spark):
+    """Many hits of the same windows aren't an item: its words must be there."""
+    tables = [(k, "Table " + " ".join(str(v) for v in range(k, 60 + k))) for k in range(3)]
+    items = [(k, f"What comes next in the row {' '.join(str(v) for v in range(k, k + 8))} for case {k} of the set ?") for k in range(3)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.leaks(frame(spark, tables), bench).count() == 0
+    got = decontaminate.leaks(frame(spark, [*tables, (9, f"so {items[1][1]} and on")]), bench).collect()
+    assert {r.doc_id for r in got} == {9} and next(r.coverage for r in got if r.item_id == 1) > 0.9
+
+
 def test_phones_that_end_a_sentence(spark):
     """A full stop behind a phone isn't part of it, unless a digit follows."""
     texts = [f"call: (555) 123-4{k:03d}. Mail: bob{k} at mail dot com now" for k in range(150)] + [f"release 55.12 123-4{k:03d}.7 of it" for k in range(20)]
