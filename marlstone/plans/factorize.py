@@ -338,6 +338,22 @@ def cross_check(a: Matrix, f: Factors) -> float:
     return e.groupBy().applyInPandas(compare, "error double").first()[0]
 
 
+def cross_check_permuted(a: Matrix, b: DataFrame, params: SolverParams | None = None) -> float:
+    """The other direction: the whole of a square A is factorised densely over blocks, and A with its rows in that factorisation's order
+    sparsely. Largest difference of both solutions."""
+    p = params or SolverParams()
+    if a.m != a.n:
+        raise ValueError("a square matrix is expected")
+    whole = D.factorize_blocks(D.blocked(a.entries.select(F.col("row").alias("i"), F.col("col").alias("j"), "val"), a.m, a.n, p.dense_block), a.m, a.n, p.dense_block)
+    dense_x = D.solve_blocks(whole, b)
+    order = materialize(whole.pivots.select("k", F.posexplode("ids").alias("at", "was")).select("was", (F.col("k") * p.dense_block + F.col("at")).cast("int").alias("pos")))
+    e = a.entries.join(order, F.col("row") == F.col("was")).select(F.col("pos").alias("row"), "col", "val")
+    moved = b.join(order, F.col("i") == F.col("was")).select(F.col("pos").alias("i"), "x")
+    x = solve(factorize(Matrix(e, a.m, a.n), p), moved)
+    both = dense_x.select(F.col("i").alias("k"), F.col("x").alias("y")).join(x, F.col("k") == F.col("i"), "full")
+    return both.agg(F.max(F.coalesce(F.abs(F.col("x") - F.col("y")), F.lit(float("inf"))))).first()[0] or 0.0
+
+
 def refine(a: Matrix, f: Factors, b: DataFrame, x: DataFrame, target: float = 1e-14, rounds: int = 20) -> DataFrame:
     """x += solve(b - A x) until the backward error is small or stops shrinking."""
     from ..operators import algebra as A

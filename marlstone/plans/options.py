@@ -11,7 +11,7 @@ from ..model import SolverParams
 from ..operators import algebra as A
 from ..sources.triplets import read_matrix, read_vector
 from . import bordered, report
-from .factorize import accounting, cross_check, factorize, solve, tail_blocks
+from .factorize import accounting, cross_check, cross_check_permuted, factorize, solve, tail_blocks
 from .sweep import sweep
 
 # Option names, and the parameters that they set.
@@ -113,7 +113,7 @@ def run(spark: SparkSession, options: Options) -> dict:
     errors = {"backward_error": A.backward_error(a.entries, x, b, a.m).first()[0], "forward_error": A.norm2(A.axpby(x, 1.0, x0, -1.0)).first()[0] / max(1e-300, A.norm2(x0).first()[0])}
     facts = accounting(f, a.entries.count()) | errors | {f"timing_solve_{k}": v * 1e6 for k, v in solved.items()} | {f"timing_{k}": v * 1e6 for k, v in f.kept.get("seconds", {}).items()}
     if options.cross_check:
-        facts["cross_check"] = cross_check(a, f)
+        facts |= {"cross_check": cross_check(a, f), "cross_check_permuted": cross_check_permuted(a, b, options.params)}
     text = report.summary(f, facts)
     if out_dir:
         report.write_text(f"{out_dir}/data/{name}_raw.dat", report.raw_text(f, facts))

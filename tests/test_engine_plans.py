@@ -15,7 +15,7 @@ from marlstone.operators import checks as C
 from marlstone.operators import layout as L
 from marlstone.operators import multilevel, pivots
 from marlstone.plans import bordered, options, report, sweep
-from marlstone.plans.factorize import factorize, solve, tail_blocks
+from marlstone.plans.factorize import cross_check_permuted, factorize, solve, tail_blocks
 from marlstone.sources import triplet_source as S
 from marlstone.sources import triplets as T
 from marlstone.storage import materialize, metrics_of
@@ -230,6 +230,14 @@ def test_line_statistics_follow_each_step(spark):
             assert np.allclose([v for _, v in sorted(solve(f, b).collect())], np.arange(1, 41))
 
 
+def test_dense_order_against_sparse(spark):
+    """Solutions of the dense factorisation and of the sparse one of rows in its order agree."""
+    a = dominant(18, 6)[::-1].copy()
+    m = matrix(spark, a)
+    b = A.spmv(m.entries, T.default_vector(spark, 18), 18)
+    assert cross_check_permuted(m, b, SolverParams(dense_block=7, density_tolerance=0.6)) < 1e-9
+
+
 def test_absent_cells_are_refused(spark):
     e = spark.createDataFrame([(0, 0, 1.0), (1, 0, 2.0)], "row int, col int, val double")
     gone = spark.createDataFrame([(0, 0), (5, 5)], "row int, col int")
