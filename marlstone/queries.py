@@ -523,9 +523,9 @@ def _(s, d):
 
 @_query("sbbd_nested_solution", f"SELECT CAST(i AS INT) AS i, i + 1.0::DOUBLE AS x FROM range({_N}) t(i)")
 def _(s, d):
-    """A run with a multilevel partition into eight blocks, whose border is too large for one task and is bordered itself."""
+    """A run with a multilevel partition into four blocks, whose border is too large for one task and is bordered itself."""
     m = X.parts_blocks(s, d)
-    p = bordered.BorderedParams(num_blocks=8, solver=SolverParams(max_dense_schur=24, dense_block=64))
+    p = bordered.BorderedParams(num_blocks=4, solver=SolverParams(max_dense_schur=32, dense_block=64))
     return bordered.run(m, A.spmv(m.entries, default_vector(s, m.n), m.m), p)["x"].select("i", _round("x"))
 
 

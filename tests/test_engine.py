@@ -99,7 +99,7 @@ def test_more_rows_than_columns(spark):
             solve(f, b.select("i", F.when(F.col("i") == 9, 0.0).otherwise(F.col("x")).alias("x"))).collect()
 
 
-@pytest.mark.parametrize(("m", "n", "size"), [(90, 90, 8), (41, 30, 7), (5, 5, 8)])
+@pytest.mark.parametrize(("m", "n", "size"), [(60, 60, 12), (41, 30, 11), (5, 5, 8)])
 def test_dense_blocks(spark, m, n, size):
     """Blocked factors solve as one array's do, whatever rows the tournament takes; P A = L U; multipliers stay small."""
     a = np.random.default_rng(m).normal(size=(m, n))
@@ -125,13 +125,13 @@ def test_dense_blocks(spark, m, n, size):
 
 def test_levels_are_joined(spark):
     """Joined levels are as few as their growth allows and give the same as one after the other."""
-    a = dominant(40, 9)
+    a = dominant(24, 9)
     m = matrix(spark, a)
     f = factorize(m, SolverParams(density_tolerance=0.9))
     for of in (lower_levels, upper_levels):
         one, all_ = of(f, 0.0), of(f, 100.0)
         assert all_.k == 1 and all_.before == one.before and one.k > 1
-        v = T.default_vector(spark, 40)
+        v = T.default_vector(spark, 24)
         assert np.allclose(*([x for _, x in sorted(q.apply(v).collect())] for q in (one, all_)))
 
 
