@@ -25,7 +25,7 @@ def grown(e: DataFrame, m: int, num_blocks: int, rounds: int = 8, slack: float =
     """
     now = materialize(contiguous(e.sparkSession, m, num_blocks))
     room = int(slack * -(-m // num_blocks))
-    pattern = e.select("row", "col").distinct()
+    pattern = materialize(e.select("row", "col").distinct())  # each round reads it three times
     best = None
     for k in range(rounds + 1):
         cut = pattern.join(now, "row").groupBy("col").agg(F.countDistinct("block").alias("n")).where("n > 1").count()

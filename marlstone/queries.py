@@ -547,8 +547,9 @@ def _(s, d):
 def _(s, d):
     """Rows of the grown partition, whether blocks stay within their room, and whether no more columns are cut than by equal ranges."""
     m = X.parts_square(s, d)
-    ranges, grown = B.contiguous(s, m.m, 4), B.grown(m.entries, m.m, 4)
-    cut = lambda r: B.col_blocks(m.entries, r).where("block is null").agg(F.count(F.lit(1)).alias("cut"))
+    e = materialize(m.entries)
+    ranges, grown = B.contiguous(s, m.m, 4), B.grown(e, m.m, 4)
+    cut = lambda r: B.col_blocks(e, r).where("block is null").agg(F.count(F.lit(1)).alias("cut"))
     sizes = grown.groupBy("block").count().agg(F.sum("count").alias("n_rows"), (F.max("count") <= int(1.25 * -(-m.m // 4))).alias("balanced"))
     return sizes.crossJoin(cut(ranges).withColumnRenamed("cut", "a")).crossJoin(cut(grown).withColumnRenamed("cut", "b")).select("n_rows", "balanced", (F.col("b") <= F.col("a")).alias("no_worse"))  # one row each
 
