@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialize
+from ..storage import discard, materialize, near
 
 #: Entries of a product to those of the levels behind it.
 GROWTH = 4.0
@@ -23,11 +23,15 @@ GROWTH = 4.0
 
 @dataclass(frozen=True)
 class Levels:
-    """entries(level, row, col, val): v[row] += val * v[col], level 0 first; k levels, `before` before any were joined."""
+    """entries(level, row, col, val): v[row] += val * v[col], level 0 first; k levels, `before` before any were joined. most: bounds on the levels' entries.
+
+    Where a level's entries are few they are broadcast, else both sides are shuffled: the vector, as long as the matrix, never meets the driver.
+    """
 
     entries: DataFrame
     k: int
     before: int
+    most: tuple[int, ...]
 
     def apply(self, v: DataFrame) -> DataFrame:
         """(i, x) after all levels; the last sum isn't written."""
@@ -38,7 +42,7 @@ class Levels:
                 discard(was)
             was = v
             here = self.entries.where(F.col("level") == level).select("row", "col", "val")
-            more = here.join(v, F.col("col") == F.col("i")).select(F.col("row").alias("i"), (F.col("val") * F.col("x")).alias("x"))
+            more = near(here, self.most[level]).join(v.hint("merge"), F.col("col") == F.col("i")).select(F.col("row").alias("i"), (F.col("val") * F.col("x")).alias("x"))
             v = v.select("i", "x").union(more).groupBy("i").agg(F.sum("x").alias("x"))
         return v
 
@@ -52,6 +56,7 @@ def joined(entries: DataFrame, k: int, growth: float = GROWTH) -> Levels:
     now, before = materialize(entries.select("level", "row", "col", "val"), by=["level"]), k
     sizes = {r.level: r["count"] for r in now.groupBy("level").count().collect()}  # a row for each level
     own = [sizes.get(t, 0) for t in range(k)]
+    most = list(own)
     while k > 1:
         pair = F.expr("level div 2").cast("int")
         second = now.where(f"level % 2 = 1 and level < {k // 2 * 2}").select(pair.alias("t"), "row", F.col("col").alias("mid"), F.col("val").alias("a"))
@@ -62,17 +67,19 @@ def joined(entries: DataFrame, k: int, growth: float = GROWTH) -> Levels:
         if not any(fine):
             discard(product)
             break
-        new, sums = [], []
+        new, sums, bounds = [], [], []
         for level in range(k):
             if level % 2 and fine[level // 2]:
                 new.append(new[-1])
                 sums[-1] += own[level]
+                bounds[-1] += most[level] + made.get(level // 2, 0)
             else:
                 new.append(len(sums))
                 sums.append(own[level])
+                bounds.append(most[level])
         kept = product.where(F.element_at(F.array(*(F.lit(x) for x in fine)), F.col("t") + 1))
         both = now.select(_renamed(new, F.col("level")).alias("level"), "row", "col", "val").union(kept.select(_renamed(new, F.col("t") * 2).alias("level"), "row", "col", "val"))
         was, now = now, materialize(both.groupBy("level", "row", "col").agg(F.sum("val").alias("val")), by=["level"])
         discard(was, product)
-        k, own = len(sums), sums
-    return Levels(now, k, before)
+        k, own, most = len(sums), sums, bounds
+    return Levels(now, k, before, tuple(most))
