@@ -254,29 +254,28 @@ def block_sets(e: DataFrame, cands: DataFrame, marko_tol: float, per_block: int
 
 
 def merged_sets(e: DataFrame, sets: DataFrame, keep=lambda df: df) -> DataFrame:
-    """One independent set, by a reduction tree over the blocks' hashed numbers.
+    """One independent set of the blocks' sets: block after block, larger ones first, with what those before don't cross.
 
-    Each block draws a 60-bit hash; blocks with the same first bits make a group, at first as many bits as leave about two blocks
-    in each, then one less a round. Blocks of a group are paired by size: the larger stays, and with it what it doesn't cross of the other. Nothing
-    orders all blocks: a window holds one group's.
+    Cells that cross each other are listed once, from the matrix. Then rounds settle all blocks at once: a cell stays once no open cell before it crosses
+    it, and what it crosses goes, so a round settles every cell whose rivals before it are settled. What comes out is what going through
+    the blocks one after the other would give; nothing orders all blocks, and the list shrinks from round to round.
     """
-    now = keep(sets.withColumn("block", F.shiftright(F.xxhash64("block", F.lit(17)), 4)))
-    blocks = now.select("block").distinct().count()
-    bits = max(0, blocks.bit_length() - 1)
-    while blocks > 1:
-        group = F.when(F.lit(bits) > 0, F.shiftright("block", 60 - bits)).otherwise(F.lit(0).cast("long"))
-        size = now.groupBy("block").agg(F.count(F.lit(1)).alias("size")).withColumn("group", group)
-        rank = F.row_number().over(W.partitionBy("group").orderBy(F.desc("size"), "block")) - 1  # about two blocks a group
-        paired = size.withColumn("nth", rank).select("block", "group", F.floor(F.col("nth") / 2).alias("half"), (F.col("nth") % 2).alias("rank"))
-        pair = F.struct("group", "half")
-        placed = keep(now.join(paired.select("block", pair.alias("pair"), "rank"), "block"))
-        large, small = placed.where("rank = 0"), placed.where("rank = 1")
-        crossed_cols = e.join(large.select("row", "pair"), "row").select("pair", "col").distinct()
-        crossed_rows = e.join(large.select("col", "pair"), "col").select("pair", "row").distinct()
-        fine = small.join(crossed_cols, ["pair", "col"], "left_anti").join(crossed_rows, ["pair", "row"], "left_anti")
-        first = placed.where("rank = 0").select("pair", F.col("block").alias("into")).distinct()
-        now = keep(large.unionByName(fine).join(first, "pair").select(F.col("into").alias("block"), "row", "col", "cost"))
-        left = now.select("block").distinct().count()
-        bits = max(0, bits - 1)
-        blocks = left
-    return now.select("row", "col", "cost")
+    sizes = sets.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+    place = F.struct((-F.col("size")).alias("size"), F.xxhash64("block", F.lit(17)).alias("of"), "block", "cost", "col")
+    cells = keep(sets.join(sizes, "block").select("row", "col", "cost", place.alias("place")))
+    p, q = (cells.select(F.col("row").alias(f"row_{c}"), F.col("col").alias(c), F.col("place").alias(f"place_{c}")) for c in ("a", "b"))
+    met = e.select("row", "col").join(p, F.col("row") == F.col("row_a")).where("col <> a").join(q, F.col("col") == F.col("b"))
+    first = F.col("place_a") < F.col("place_b")
+    rivals = keep(met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")).distinct())
+    gone = None
+    while True:
+        # Of the open rivalries (a before b), those whose a is no open b any more settle: that b goes, and with it its own rivalries.
+        later = rivals.select(F.col("b").alias("later"))
+        now = keep(rivals.join(later, F.col("a") == F.col("later"), "left_anti").select(F.col("b").alias("lost")).distinct())
+        if not now.limit(1).count():
+            break
+        gone = now if gone is None else gone.union(now)
+        left = rivals.join(now, F.col("a") == F.col("lost"), "left_anti").join(now, F.col("b") == F.col("lost"), "left_anti")
+        rivals = keep(left)
+    found = cells.select("row", "col", "cost")
+    return found if gone is None else found.join(gone, F.col("col") == F.col("lost"), "left_anti")
