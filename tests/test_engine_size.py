@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone import queries as Q
@@ -70,12 +71,13 @@ def test_long_levels_are_shuffled(spark, monkeypatch):
     assert "BroadcastHashJoin" not in plan(levels.apply(v)) and sorted(levels.apply(v).collect()) == [(0, 1.0), (1, 1.5), (2, 1.75)]
 
 
-def test_blocks_are_merged_in_few_rounds(spark):
+@pytest.mark.parametrize("few", [1_000, 0])
+def test_blocks_are_merged_in_few_rounds(spark, few):
     """As many blocks as candidates take no more tables than chains of cells that cross each other are long, and give what going through them in order gives."""
     a = np.eye(400) + np.diag(np.tile([1.0, 0.0], 200)[:399], 1)
     e = matrix(spark, a).entries
     sets, kept = spark.createDataFrame([(k, k, k, 0) for k in range(400)], "block long, row int, col int, cost long"), []
-    found = pivots.merged_sets(e, sets, lambda df: kept.append(materialize(df)) or kept[-1])
+    found = pivots.merged_sets(e, sets, lambda df: kept.append(materialize(df)) or kept[-1], few)
     assert found.count() == 200 and C.independence(e, materialize(found)).first()[0] == 0 and len(kept) <= 6
 
 
