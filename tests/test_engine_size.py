@@ -12,7 +12,7 @@ from marlstone import storage
 from marlstone.model import Matrix, SolverParams
 from marlstone.operators import blocks as B
 from marlstone.operators import checks as C
-from marlstone.operators import pivots
+from marlstone.operators import multilevel, pivots
 from marlstone.plans import bordered
 from marlstone.plans.dense import dense_lu
 from marlstone.plans.factorize import stop_reason
@@ -93,3 +93,12 @@ def test_grown_reads_its_matrix_once(spark):
     n = e.count()
     assert B.grown(e.select("row", "col", "val").where(seen(F.col("row").cast("double")) >= 0), 30, 3, rounds=2).count() == 30
     assert read.value <= n
+
+
+def test_partition_levels_shrink_fast(spark):
+    """A level of the multilevel partition leaves fewer than half of the vertices of a chain, none too heavy, and few of those without a net."""
+    vertices = spark.range(3000).select(F.col("id").cast("int").alias("v"), F.lit(1).cast("long").alias("weight"))
+    pins = spark.range(1999).select(F.explode(F.array(F.col("id").cast("int"), (F.col("id") + 1).cast("int"))).alias("v"), F.col("id").cast("int").alias("net"))
+    found = multilevel.clusters(pins, vertices, 75.0, 0).toPandas()
+    assert sorted(found.v) == list(range(3000)) and found.groupby("c").weight.sum().max() <= 75
+    assert found[found.v < 2000].c.nunique() < 1000 and found[found.v >= 2000].c.nunique() <= 30
