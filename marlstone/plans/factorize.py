@@ -111,7 +111,8 @@ def factorize(a: Matrix, params: SolverParams | None = None, border: DataFrame |
         table = materialize(UP.step(s, piv, count, nnz, stage), metrics=STEP_PARTS)
         sizes = metrics_of(table)
         after, rest = sizes["S"], table.where("part = 'S'").select("row", "col", "val")
-        if lines is not None:
+        last = most_steps is not None and k + 1 >= most_steps or stop_reason(after, a.m, a.n - edge, done + count, [*found, count], p, border is not None) is not None
+        if lines is not None and (not last or "statistics" in checks):  # only a further step asks for them
             was, lines = lines, materialize(P.updated_lines(lines, rest, piv, table, border, count, sizes["L"] + sizes["U"]))
             discard(was)
         if lines is not None and "statistics" in checks and (bad := C.same_lines(lines, P.line_stats(rest, border)).first()[0]):
@@ -130,11 +131,12 @@ def factorize(a: Matrix, params: SolverParams | None = None, border: DataFrame |
     every = spark.createDataFrame([], "part string, pivot int, row int, col int, val double, kind string, step int")
     for k, table in enumerate(tables):
         every = every.union(table.where("part <> 'S'").withColumn("step", F.lit(k)))
-    every = materialize(every)
+    if len(tables) != 1:  # one step's table has its parts already, and serves as it is
+        every, s = materialize(every), materialize(s)
+        discard(*tables)
     part = lambda name: every.where(f"part = '{name}'")
     perm = part("D").select(F.col("pivot").alias("pos"), "row", "col", "step", "kind")
-    s = materialize(s)
-    discard(*tables, *([lines] if lines is not None else []))
+    discard(*([lines] if lines is not None else []))
     return Factors(a.m, a.n, part("L").select("pivot", "row", "val"), part("D").select("pivot", "row", "col", "val"), part("U").select("row", "col", "val", "pivot"), perm, s, done, p, steps, why or "finished")
 
 

@@ -75,8 +75,11 @@ NEAR_ROWS = 200_000
 
 
 def near(df: DataFrame, rows: int | None) -> DataFrame:
-    """df as a broadcast side if its number of rows, or a bound on it, is known to be small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows is not None and rows <= NEAR_ROWS else df
+    """df as a broadcast side if its number of rows, or a bound on it, is known to be small; with more, a side that is shuffled and merged, as
+    Spark would broadcast a table whose compressed file is small, however many rows it has; as it is if nothing is known."""
+    if rows is None:
+        return df
+    return F.broadcast(df) if rows <= NEAR_ROWS else df.hint("merge")
 
 
 def discard(*tables: DataFrame) -> None:

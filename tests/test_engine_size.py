@@ -102,3 +102,10 @@ def test_partition_levels_shrink_fast(spark):
     found = multilevel.clusters(pins, vertices, 75.0, 0).toPandas()
     assert sorted(found.v) == list(range(3000)) and found.groupby("c").weight.sum().max() <= 75
     assert found[found.v < 2000].c.nunique() < 1000 and found[found.v >= 2000].c.nunique() <= 30
+
+
+def test_long_sides_are_merged(spark):
+    """A side that is known to be long isn't broadcast because its file is small."""
+    a, b = (materialize(spark.range(100).select(F.col("id").alias(c))) for c in ("x", "y"))
+    plan = lambda rows: a.join(storage.near(b, rows), F.col("x") == F.col("y"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(100) and "SortMergeJoin" in plan(storage.NEAR_ROWS + 1)
