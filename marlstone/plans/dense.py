@@ -18,10 +18,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize
@@ -29,6 +30,8 @@ from ..storage import discard, materialize
 #: Blocks in a group of the tournament.
 FAN = 8
 BLOCKS = "bi int, bj int, ids binary, data binary"
+#: Bytes of blocks in a row group of their tables, however few they take compressed, and of blocks that an update's task meets.
+GROUP, TASK = 16 << 20, 64 << 20
 
 
 def dense_lu(x: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -60,19 +63,24 @@ def dense_lu(x: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray, bo
 
 @dataclass(frozen=True)
 class DenseFactors:
-    """pivots(k, ids array, data): each panel's pivot rows in order and their L11 \\ U11 in place; lower[k](ids, data): L of the rows left
+    """heads[k](k, ids array, data): panel k's pivot rows in order and their L11 \\ U11 in place; lower[k](ids, data): L of the rows left
     after panel k; upper(k, bj, data): U right of panel k. Row ids and columns are 0-based, in the blocks' numbering."""
 
     m: int
     n: int
     size: int
-    pivots: DataFrame
+    heads: list[DataFrame]
     lower: list[DataFrame]
     upper: list[DataFrame]
 
     def width(self, k: int) -> int:
         return min(self.size, self.n - k * self.size)
 
+    @property
+    def pivots(self) -> DataFrame:
+        """All panels' heads."""
+        return reduce(DataFrame.union, self.heads)
+
 
 def _array(raw: bytes, width: int) -> np.ndarray:
     return np.frombuffer(raw, "<f8").reshape(-1, width)
@@ -97,12 +105,23 @@ _UP = pa.schema([("bj", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())
 _CELL = pa.schema([("i", pa.int32()), ("x", pa.float64())])
 
 
+def table(df: DataFrame, size: int, by: list[str] | None = None) -> DataFrame:
+    """A table of blocks that is read in pieces of GROUP bytes."""
+    return materialize(df, by=by, group=max(1, GROUP // (8 * size * size)))
+
+
+def _parts(spark: SparkSession, blocks: int, size: int) -> int:
+    """Tasks that so many blocks are dealt to for an update: by their bytes, as blocks of few entries look small where they are compressed."""
+    return max(1, min(blocks, max(spark.sparkContext.defaultParallelism, blocks * 3 * 8 * size * size // TASK)))
+
+
 def blocked(entries: DataFrame, m: int, n: int, size: int) -> DataFrame:
     """Blocks of an m x n matrix from (i, j, val), 0-based; cells without an entry are 0. A group is at most size^2 entries."""
     place = (F.col("i") % size * size + F.col("j") % size).cast("int")
-    cells = entries.select((F.col("i") / size).cast("int").alias("bi"), (F.col("j") / size).cast("int").alias("bj"), F.struct(place.alias("at"), "val").alias("cell")).groupBy("bi", "bj").agg(F.collect_list("cell").alias("cells"))
-    wide = -(-n // size)
-    grid = entries.sparkSession.range(-(-m // size) * wide).select((F.col("id") / wide).cast("int").alias("bi"), (F.col("id") % wide).cast("int").alias("bj"))
+    cells = entries.select((F.col("i") / size).cast("int").alias("bi"), (F.col("j") / size).cast("int").alias("bj"), F.struct(place.alias("at"), F.col("val")).alias("cell"))
+    spark, tall, wide = entries.sparkSession, -(-m // size), -(-n // size)
+    grid = spark.range(tall * wide).select((F.col("id") / wide).cast("int").alias("bi"), (F.col("id") % wide).cast("int").alias("bj"), F.lit(None).cast(cells.schema["cell"].dataType).alias("cell"))
+    dealt = cells.union(grid).repartition(_parts(spark, tall * wide, size), "bi", "bj").groupBy("bi", "bj").agg(F.collect_list("cell").alias("cells"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
@@ -113,7 +132,7 @@ def blocked(entries: DataFrame, m: int, n: int, size: int) -> DataFrame:
             ids = np.arange(high, dtype="<i4") + r["bi"] * size
             yield _batch([{"bi": r["bi"], "bj": r["bj"], "ids": ids.tobytes(), "data": x[:high, :width].astype("<f8").tobytes()}], _OUT)
 
-    return grid.join(cells, ["bi", "bj"], "left").mapInArrow(fill, BLOCKS)
+    return dealt.mapInArrow(fill, BLOCKS)
 
 
 def _best_rows(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,13 +177,13 @@ def factorize_blocks(blocks: DataFrame, m: int, n: int, size: int) -> DenseFacto
     if n > m:
         raise ValueError("more columns than rows")
     spark, tall, wide = blocks.sparkSession, -(-m // size), -(-n // size)
-    rest = materialize(blocks.withColumn("panel", F.col("bj") == 0), by=["panel"])
-    pivots, lower, upper = spark.createDataFrame([], "k int, ids array<int>, data binary"), [], []
+    rest = table(blocks.withColumn("panel", F.col("bj") == 0), size, by=["panel"])
+    pivots, lower, upper = [], [], []
     for k in range(wide):
         width = min(size, n - k * size)
         panel = rest.where("panel").drop("panel")
         ids, lu = _tournament(panel, tall, width)
-        pivots = pivots.union(spark.createDataFrame([(k, ids.tolist(), bytearray(lu.astype("<f8").tobytes()))], pivots.schema))
+        pivots.append(materialize(spark.createDataFrame([(k, ids.tolist(), bytearray(lu.astype("<f8").tobytes()))], "k int, ids array<int>, data binary").coalesce(1)))
 
         def below(batches: Iterator[pa.RecordBatch], ids=ids, lu=lu, width=width) -> Iterator[pa.RecordBatch]:
             for r in _rows(batches):
@@ -174,16 +193,17 @@ def factorize_blocks(blocks: DataFrame, m: int, n: int, size: int) -> DenseFacto
                     solved = np.linalg.solve(np.triu(lu).T, x[stay].T).T
                     yield _batch([{"bi": r["bi"], "bj": 0, "ids": own[stay].tobytes(), "data": np.ascontiguousarray(solved).tobytes()}], _OUT)
 
-        l = materialize(panel.mapInArrow(below, BLOCKS).select("bi", "ids", "data"))  # noqa: E741
+        l = table(panel.mapInArrow(below, BLOCKS).select("bi", "ids", "data"), size)  # noqa: E741
         lower.append(l)
         if k == wide - 1:
             discard(rest)
             break
         others = rest.where("not panel").drop("panel")
-        upper.append(materialize(_upper(others, ids, lu, size, n).withColumn("k", F.lit(k)), by=["bj"]))
-        was, rest = rest, materialize(_updated(others, l, upper[-1], size, n).withColumn("panel", F.col("bj") == k + 1), by=["panel"])
+        upper.append(table(_upper(others, ids, lu, size, n).withColumn("k", F.lit(k)), size, by=["bj"]))
+        spread = _parts(spark, tall * (wide - k - 1), size)
+        was, rest = rest, table(_updated(others, l, upper[-1], (tall, k + 1, wide), spread, size, n).withColumn("panel", F.col("bj") == k + 1), size, by=["panel"])
         discard(was)
-    return DenseFactors(m, n, size, materialize(pivots), lower, upper)
+    return DenseFactors(m, n, size, pivots, lower, upper)
 
 
 def _upper(blocks: DataFrame, ids: np.ndarray, lu: np.ndarray, size: int, n: int) -> DataFrame:
@@ -209,19 +229,29 @@ def _upper(blocks: DataFrame, ids: np.ndarray, lu: np.ndarray, size: int, n: int
     return blocks.mapInArrow(taken, "bj int, ids binary, data binary").groupBy("bj").applyInArrow(solved, "bj int, data binary")
 
 
-def _updated(blocks: DataFrame, l: DataFrame, u: DataFrame, size: int, n: int) -> DataFrame:  # noqa: E741
-    """Blocks less L U, without the pivot rows. Blocks all of whose rows are pivots go."""
-    both = blocks.join(l.select("bi", F.col("ids").alias("l_ids"), F.col("data").alias("l")), "bi").join(u.select("bj", F.col("data").alias("u")), "bj")
+def _updated(blocks: DataFrame, l: DataFrame, u: DataFrame, span: tuple[int, int, int], spread: int, size: int, n: int) -> DataFrame:  # noqa: E741
+    """Blocks less L U, without the pivot rows. Blocks all of whose rows are pivots go.
 
-    def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            width = min(size, n - r["bj"] * size)
-            own, stay = _ids(r["ids"]), _ids(r["l_ids"])
-            x, u_ = _array(r["data"], width), _array(r["u"], width)
-            x = x[np.isin(own, stay)] - _array(r["l"], len(u_)) @ u_  # both keep the block's order
-            yield _batch([{"bi": r["bi"], "bj": r["bj"], "ids": r["l_ids"], "data": np.ascontiguousarray(x).tobytes()}], _OUT)
+    L goes to all of its block row and U to all of its block column (span: number of block rows, first block column, end), so that one
+    shuffle by block, to `spread` tasks, has all three meet. A group is three blocks.
+    """
+    tall, first, wide = span
+    every = lambda lo, hi: F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))
+    left = l.select("bi", every(first, wide).alias("bj"), F.lit("l"), "ids", "data")
+    right = u.select(every(0, tall).alias("bi"), "bj", F.lit("u"), F.lit(None).cast("binary"), "data")
+    parts = blocks.select("bi", "bj", F.lit("x").alias("part"), "ids", "data").union(left).union(right)
+
+    def update(t: pa.Table) -> pa.Table:
+        at = {p: k for k, p in enumerate(t.column("part").to_pylist())}
+        if len(at) < 3:
+            return _OUT.empty_table()
+        ids, data = (lambda p: t.column("ids")[at[p]].as_py()), (lambda p: t.column("data")[at[p]].as_py())
+        bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
+        x, u_ = _array(data("x"), min(size, n - bj * size)), _array(data("u"), min(size, n - bj * size))
+        x = x[np.isin(_ids(ids("x")), _ids(ids("l")))] - _array(data("l"), len(u_)) @ u_  # both keep the block's order
+        return pa.Table.from_pylist([{"bi": bi, "bj": bj, "ids": ids("l"), "data": np.ascontiguousarray(x).tobytes()}], _OUT)
 
-    return both.select("bi", "bj", "ids", "data", "l_ids", "l", "u").mapInArrow(update, BLOCKS)
+    return parts.repartition(spread, "bi", "bj").groupBy("bi", "bj").applyInArrow(update, BLOCKS)
 
 
 def _replaced(v: DataFrame, key: str, known: dict[int, float], less: DataFrame | None) -> DataFrame:
@@ -239,7 +269,7 @@ def solve_blocks(f: DenseFactors, b: DataFrame, tolerance: float = 1e-6) -> Data
     panels = range(len(f.lower))
     v = materialize(b.select(F.col("i").cast("int").alias("i"), F.col("x").cast("double").alias("x")))
     scale = max(1.0, v.agg(F.max(F.abs("x"))).first()[0] or 0.0)
-    head = lambda k: f.pivots.where(F.col("k") == k).first()
+    head = lambda k: f.heads[k].first()
     for k in panels:
         p = head(k)
         ids, lu = p.ids, _array(p.data, f.width(k))

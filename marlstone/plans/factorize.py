@@ -268,7 +268,7 @@ def tail_blocks(f: Factors, trace=None) -> tuple[D.DenseFactors, DataFrame, Data
         e = f.dense.join(rows.select(F.col("idx").alias("row"), F.col("pos").alias("i")), "row").join(cols.select(F.col("idx").alias("col"), F.col("pos").alias("j")), "col").select("i", "j", "val")
         m, n, size = f.m - f.done, f.n - f.done, f.params.dense_block
         with span("convert matrix"):
-            blocks = materialize(D.blocked(e, m, n, size))
+            blocks = D.table(D.blocked(e, m, n, size), size)
         converted = time.perf_counter()
         with span("dense factorization"):
             f.kept["tail"] = D.factorize_blocks(blocks, m, n, size), rows, cols

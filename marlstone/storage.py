@@ -47,11 +47,12 @@ def _cleaning(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(CLEANUP, _WRITERS["before"])
 
 
-def materialize(df: DataFrame, by: list[str] | None = None, metrics: dict[str, str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, by: list[str] | None = None, metrics: dict[str, str] | None = None, group: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once.
 
     by: columns of few values that get a folder for each value, so that a filter on them reads no other.
     metrics: aggregates (SQL) that are observed while the table is written, so that they take no job of their own; metrics_of() has them.
+    group: rows of a row group at most, for long rows: a read holds up to 4,096 rows of a row group at once.
 
     The table stands in for the shuffles behind it, so their files go as soon as it is written.
     """
@@ -60,7 +61,8 @@ def materialize(df: DataFrame, by: list[str] | None = None, metrics: dict[str, s
     if seen:
         df = df.observe(seen, *(F.expr(c).alias(k) for k, c in metrics.items()))
     with _cleaning(spark):
-        df.write.option("compression", "zstd").parquet(path, partitionBy=by)  # half of what the default leaves of texts
+        write = df.write.option("compression", "zstd")  # half of what the default leaves of texts
+        (write.option("parquet.block.row.count.limit", group) if group else write).parquet(path, partitionBy=by)
     table = spark.read.schema(df.schema).parquet(path)
     table._shared_path, table._metrics = path, seen.get if seen else {}
     return table

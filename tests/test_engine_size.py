@@ -13,7 +13,7 @@ from marlstone.model import Matrix, SolverParams
 from marlstone.operators import blocks as B
 from marlstone.operators import checks as C
 from marlstone.operators import multilevel, pivots
-from marlstone.plans import bordered
+from marlstone.plans import bordered, dense
 from marlstone.plans.dense import dense_lu
 from marlstone.plans.factorize import stop_reason
 from marlstone.plans.triangular import joined
@@ -109,3 +109,19 @@ def test_long_sides_are_merged(spark):
     a, b = (materialize(spark.range(100).select(F.col("id").alias(c))) for c in ("x", "y"))
     plan = lambda rows: a.join(storage.near(b, rows), F.col("x") == F.col("y"))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan(100) and "SortMergeJoin" in plan(storage.NEAR_ROWS + 1)
+
+
+def test_blocks_are_read_in_pieces(spark):
+    """A row group holds few blocks, however well they are compressed, so that a read of a large dense part's tables stays small; an update is one shuffle, dealt by bytes."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    e = spark.range(1_536).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.lit(2.0).alias("val"))
+    blocks = dense.table(dense.blocked(e, 1_536, 1_536, 512).coalesce(1), 512)
+    groups = [pq.ParquetFile(f).metadata for f in glob.glob(blocks._shared_path.removeprefix("file://") + "/*.parquet")]
+    assert sum(g.num_rows for g in groups) == 9 and max(g.row_group(k).num_rows for g in groups for k in range(g.num_row_groups)) * 8 * 512**2 <= dense.GROUP
+    f = dense.factorize_blocks(blocks, 1_536, 1_536, 512)
+    assert [r.k for r in f.pivots.orderBy("k").collect()] == [0, 1, 2]
+    x = dense.solve_blocks(f, e.select("i", (F.col("i") * 2.0).alias("x")))
+    assert x.where(F.col("x") != F.col("i")).count() == 0 and x.count() == 1_536
