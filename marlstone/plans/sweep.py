@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..model import Matrix, SolverParams
 from ..operators import algebra as A
 from ..sources.triplets import default_vector
-from ..storage import discard, materialize
+from ..storage import NEAR_ROWS, discard, materialize
 from .factorize import PARTS, accounting, factorize, solve, tail_blocks
 
 SWEPT = ("value_tol", "marko_tol", "nb_candidates_per_block", "nb_previous_pivots", "min_pivot_per_steps", "density_tolerance")
@@ -53,7 +53,8 @@ def sweep(a: Matrix, param: str, init: float, inc: float, steps: int, params: So
     """run_stats: a row per run with its steps, pivots, factor sizes, times, errors and whether it solved. Swept blocks need pivot_strategy 'blocks'.
 
     The matrix and the right-hand side are written once for all runs. Runs go `at_once` at a time, each in a scheduler pool of its own, so that the
-    many small stages of one fill what another leaves idle; with measured parts they go one after the other, as times would mix.
+    many small stages of one fill what another leaves idle; with measured parts they go one after the other, as times would mix, and so they do
+    with a matrix of more than NEAR_ROWS entries, whose stages fill the machines alone: what runs hold on the driver and the executors would add up.
     """
     spark, base = a.entries.sparkSession, params or SolverParams()
     a = Matrix(materialize(a.entries), a.m, a.n)
@@ -71,7 +72,7 @@ def sweep(a: Matrix, param: str, init: float, inc: float, steps: int, params: So
         finally:
             spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
 
-    with ThreadPoolExecutor(1 if measured else max(1, at_once)) as pool:
+    with ThreadPoolExecutor(1 if measured or a.entries.count() > NEAR_ROWS else max(1, at_once)) as pool:
         rows = list(pool.map(inheritable_thread_target(spark)(one), enumerate(values(param, init, inc, steps))))
     discard(a.entries, b)
     return spark.createDataFrame([tuple(r[c.split()[0]] for c in RUN.split(", ")) for r in rows], RUN)

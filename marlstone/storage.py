@@ -27,24 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
-_LOCK, _WRITERS = threading.Lock(), {"n": 0, "before": "false"}
+#: Most bytes that a Python worker is sent at once while long rows are written.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+_LOCK, _WRITERS = threading.Lock(), {}
 
 
 @contextmanager
-def _cleaning(spark: SparkSession) -> Iterator[None]:
-    """CLEANUP is on while any thread writes a table; what it was before comes back after the last."""
+def _set(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings that hold while any thread writes such a table; what they were before comes back after the last."""
     with _LOCK:
-        if not _WRITERS["n"]:
-            _WRITERS["before"] = spark.conf.get(CLEANUP, "false")
-            spark.conf.set(CLEANUP, "true")
-        _WRITERS["n"] += 1
+        for key, value in values.items():
+            n, before = _WRITERS.get(key, (0, None))
+            if not n:
+                before = spark.conf.get(key)
+                spark.conf.set(key, value)
+            _WRITERS[key] = n + 1, before
     try:
         yield
     finally:
         with _LOCK:
-            _WRITERS["n"] -= 1
-            if not _WRITERS["n"]:
-                spark.conf.set(CLEANUP, _WRITERS["before"])
+            for key in values:
+                n, before = _WRITERS[key]
+                _WRITERS[key] = n - 1, before
+                if n == 1:
+                    spark.conf.set(key, before)
 
 
 def materialize(df: DataFrame, by: list[str] | None = None, metrics: dict[str, str] | None = None, group: int | None = None) -> DataFrame:
@@ -60,7 +67,7 @@ def materialize(df: DataFrame, by: list[str] | None = None, metrics: dict[str, s
     seen = Observation() if metrics else None
     if seen:
         df = df.observe(seen, *(F.expr(c).alias(k) for k, c in metrics.items()))
-    with _cleaning(spark):
+    with _set(spark, **{CLEANUP: "true"} | ({BATCH: "16m"} if group else {})):
         write = df.write.option("compression", "zstd")  # half of what the default leaves of texts
         (write.option("parquet.block.row.count.limit", group) if group else write).parquet(path, partitionBy=by)
     table = spark.read.schema(df.schema).parquet(path)

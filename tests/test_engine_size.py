@@ -1,9 +1,11 @@
 """Work of the sparse engine that must not grow faster than its input."""
 
 import re
+import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from marlstone.model import Matrix, SolverParams
 from marlstone.operators import blocks as B
 from marlstone.operators import checks as C
 from marlstone.operators import multilevel, pivots
-from marlstone.plans import bordered, dense
+from marlstone.plans import bordered, dense, sweep
 from marlstone.plans.dense import dense_lu
 from marlstone.plans.factorize import stop_reason
 from marlstone.plans.triangular import joined
@@ -125,3 +127,28 @@ def test_blocks_are_read_in_pieces(spark):
     assert [r.k for r in f.pivots.orderBy("k").collect()] == [0, 1, 2]
     x = dense.solve_blocks(f, e.select("i", (F.col("i") * 2.0).alias("x")))
     assert x.where(F.col("x") != F.col("i")).count() == 0 and x.count() == 1_536
+
+
+def test_long_rows_go_to_python_in_pieces(spark):
+    """While a table of long rows is written, a worker gets few of them at once; the setting comes back."""
+    was = spark.conf.get(storage.BATCH)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    long = spark.range(0, 40, 1, 1).select(F.expr("cast(repeat('0', 1000000) as binary)").alias("x"))
+    assert max(r.n for r in materialize(long.mapInArrow(sizes, "n long"), group=8).collect()) <= 20 and spark.conf.get(storage.BATCH) == was
+
+
+@pytest.mark.parametrize(("few", "most"), [(0, 1), (1_000, 2)])
+def test_large_sweeps_go_one_by_one(spark, monkeypatch, few, most):
+    """Runs over a large matrix follow each other, so that what they hold doesn't add up."""
+    now, seen = [0], []
+
+    def run(*_):
+        now[0] += 1
+        seen.append(now[0])
+        time.sleep(0.5)
+        now[0] -= 1
+        return dict.fromkeys(c.split()[0] for c in sweep.RUN.split(", "))
+
+    monkeypatch.setattr(sweep, "_run", run)
+    monkeypatch.setattr(sweep, "NEAR_ROWS", few)
+    assert sweep.sweep(matrix(spark, np.eye(4)), "marko_tol", 2.0, 2.0, 2).count() == 2 and max(seen) == most
